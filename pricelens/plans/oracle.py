@@ -8,6 +8,8 @@ pre-registered tables; each key's SQL names the CTEs it needs and
 from __future__ import annotations
 
 from pricelens.plans import sqlx as X
+from pricelens.plans import keyparams as KP
+from pricelens.params import BLACKLIST_TERMS
 
 # name -> (dependencies, body)
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
@@ -175,3 +177,101 @@ FROM hist h JOIN listings_v l ON l.id = h.listing_id AND l.query = h.query""",
 
 ORACLE["market_report"] = build_sql(_market_report_sql("market_big"), "market_big")
 ORACLE["catalog_report"] = build_sql(_market_report_sql("catalog"), "catalog")
+
+# --- scoring / text --------------------------------------------------------
+
+cte("catalog_scored", f"""
+SELECT c.*, {X.price_score('c.price_nok', 'm.median')} AS price_score
+FROM catalog c LEFT JOIN (
+  SELECT query, quantile_cont(price_nok, 0.5) FILTER (WHERE price_nok > 0) AS median
+  FROM catalog GROUP BY query) m USING (query)""", ("catalog",))
+
+cte("posts_scored", f"""
+SELECT p.*, {X.price_score('p.price_nok', 'm.median')} AS price_score
+FROM posts p LEFT JOIN (
+  SELECT query, quantile_cont(price_nok, 0.5) FILTER (WHERE price_nok > 0) AS median
+  FROM posts GROUP BY query) m USING (query)""", ("posts",))
+
+ORACLE["price_scores"] = build_sql(
+    "SELECT query, id, price_nok, price_score FROM catalog_scored "
+    "ORDER BY price_score ASC NULLS LAST, query, id", "catalog_scored")
+
+ORACLE["composite_scores"] = build_sql(
+    f"SELECT id, query, price_score, "
+    f"{X.composite_score('title', 'description', 'price_score')} AS composite_score "
+    f"FROM posts_scored", "posts_scored")
+
+_TEXT = X.score_text("title", "description")
+ORACLE["keyword_hits"] = build_sql(
+    f"SELECT id, query, {X.keyword_hits(_TEXT, X.POSITIVE_KEYWORDS)} AS positive_hits, "
+    f"{X.keyword_hits(_TEXT, X.NEGATIVE_KEYWORDS)} AS negative_hits FROM posts", "posts")
+
+ORACLE["battery_pct"] = build_sql(
+    f"SELECT id, query, {X.battery_match(_TEXT)} AS battery_match, "
+    f"{X.battery_from_text(_TEXT)} AS battery_pct FROM posts", "posts")
+
+_P = "CASE WHEN price_nok > 0 THEN price_nok END"
+ORACLE["market_percentiles"] = build_sql(
+    "SELECT query, " + ", ".join(
+        f"coalesce(quantile_cont({_P}, {X.d(p / 100)}), {X.d(0.0)}) AS p{p}"
+        for p in (0, 10, 25, 50, 75, 90, 100)) + " FROM posts GROUP BY query", "posts")
+
+cte("sc", "SELECT * FROM listings_v WHERE price_score IS NOT NULL", ("listings_v",))
+cte("safe", "SELECT query, bool_or(price_score > CAST(-60.0 AS DOUBLE)) AS has_safe "
+            "FROM sc GROUP BY query", ("sc",))
+ORACLE["select_candidates"] = build_sql("""
+SELECT query, id, rank, price_nok, price_score, composite_score FROM (
+  SELECT c.*, row_number() OVER (
+           PARTITION BY query
+           ORDER BY CASE WHEN f.use_cs THEN -coalesce(composite_score, CAST(0 AS DOUBLE))
+                         ELSE price_score END, price_score, id) AS rank
+  FROM (SELECT s.* FROM sc s JOIN safe USING (query)
+        WHERE s.price_score > CAST(-60.0 AS DOUBLE) OR NOT safe.has_safe) c
+  JOIN (SELECT s.query, bool_or(s.composite_score IS NOT NULL) AS use_cs
+        FROM sc s JOIN safe USING (query)
+        WHERE s.price_score > CAST(-60.0 AS DOUBLE) OR NOT safe.has_safe
+        GROUP BY s.query) f USING (query)) t
+WHERE rank <= 5""", "sc", "safe")
+
+
+def _blacklisted(title: str, terms) -> str:
+    pat = f"(?i)(?:^|{X.NOT_WORD})(?:{'|'.join(terms)})(?:$|{X.NOT_WORD})"
+    return f"coalesce(regexp_matches({title}, {X.q(pat)}), false)"
+
+
+ORACLE["relevant_listings"] = build_sql(
+    f"SELECT query, id, title, price_nok FROM catalog WHERE NOT {_blacklisted('title', KP.CATALOG_TERMS)} "
+    f"AND NOT coalesce(price_nok < {KP.CATALOG_MIN_PRICE}, false)", "catalog")
+
+_BL = _blacklisted("title", KP.CATALOG_TERMS)
+_CHEAP = f"(NOT {_BL} AND coalesce(price_nok < {KP.CATALOG_MIN_PRICE}, false))"
+ORACLE["filter_stats"] = build_sql(
+    f"SELECT query, count(*) AS n_in, count_if({_BL}) AS dropped_blacklist, "
+    f"count_if({_CHEAP}) AS dropped_price, count_if(NOT {_BL} AND NOT {_CHEAP}) AS n_kept "
+    f"FROM catalog GROUP BY query", "catalog")
+
+ORACLE["relevant_posts"] = build_sql(
+    f"SELECT query, id, price_nok FROM posts WHERE NOT {_blacklisted('title', BLACKLIST_TERMS)} "
+    f"AND NOT coalesce(price_nok < {KP.POSTS_MIN_PRICE}, false)", "posts")
+
+ORACLE["deal_bands"] = build_sql(
+    f"SELECT id, query, price_score, {X.price_band('price_score')} AS price_band FROM listings_v",
+    "listings_v")
+
+cte("posts_src", f"""
+SELECT CAST(doc_id AS VARCHAR) AS id, lang AS query,
+       {X.py_strip('split_part(text, chr(10), 1)')} AS title,
+       text AS description, n_chars AS price_nok, source
+FROM documents""")
+
+ORACLE["listing_display"] = build_sql(
+    f"SELECT id, query, "
+    f"{X.battery_match(chr(32).join(['concat_ws(', X.q(' '), ', coalesce(title, ', X.q(''), '), coalesce(description, ', X.q(''), '))']))} AS battery_display, "
+    f"coalesce({X.storage_of('title')}, '—') AS storage, {X.city_of('location')} AS city, "
+    f"{X.format_price('price_nok')} AS price_text "
+    f"FROM (SELECT *, source AS location FROM posts_src) t", "posts_src")
+
+
+ORACLE["normalize_query"] = f"SELECT doc_id, {X.normalize_query('text')} AS normalized FROM documents"
+ORACLE["parse_price"] = f"SELECT doc_id, {X.parse_price('text')} AS price_nok FROM documents"
+ORACLE["listing_id"] = f"SELECT page_id, {X.listing_id_from_url('url')} AS listing_id FROM pages"

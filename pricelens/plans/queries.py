@@ -71,3 +71,102 @@ def q_market_report(spark, sf):
 @register("catalog_report")
 def q_catalog_report(spark, sf):
     return M.market_report(S.catalog(spark, sf))
+
+
+# --- scoring / relevance / text -------------------------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from pricelens.functions import text as TX  # noqa: E402
+from pricelens.operators import relevance as R  # noqa: E402
+from pricelens.operators import scoring as SC  # noqa: E402
+from pricelens.plans import keyparams as KP  # noqa: E402
+from pricelens.sources.tables import read_table  # noqa: E402
+
+
+@register("price_scores")
+def q_price_scores(spark, sf):
+    return M.cheapest_first(S.catalog_scored(spark, sf)).select(
+        "query", "id", "price_nok", "price_score")
+
+
+@register("composite_scores")
+def q_composite_scores(spark, sf):
+    return SC.score_listings(S.posts_scored(spark, sf)).select(
+        "id", "query", "price_score", "composite_score")
+
+
+@register("keyword_hits")
+def q_keyword_hits(spark, sf):
+    return SC.keyword_hits(S.posts(spark, sf))
+
+
+@register("battery_pct")
+def q_battery_pct(spark, sf):
+    return SC.battery_pct(S.posts(spark, sf))
+
+
+@register("market_percentiles")
+def q_market_percentiles(spark, sf):
+    f = M.price_frequencies(S.posts(spark, sf))
+    ps = [0, 10, 25, 50, 75, 90, 100]
+    agg = f.groupBy("query").agg(
+        F.percentile(F.col("price"), [p / 100 for p in ps], F.col("cnt")).alias("q"))
+    return agg.select("query", *[F.coalesce(F.col("q")[i], F.lit(0.0)).alias(f"p{p}")
+                                 for i, p in enumerate(ps)])
+
+
+@register("select_candidates")
+def q_select_candidates(spark, sf):
+    return M.select_candidates(S.listings_v(spark, sf), KP.CANDIDATE_LIMIT).select(
+        "query", "id", "rank", "price_nok", "price_score", "composite_score")
+
+
+@register("relevant_listings")
+def q_relevant_listings(spark, sf):
+    return R.relevant_listings(S.catalog(spark, sf), KP.CATALOG_MIN_PRICE,
+                               KP.CATALOG_TERMS).select("query", "id", "title", "price_nok")
+
+
+@register("filter_stats")
+def q_filter_stats(spark, sf):
+    return R.filter_stats(S.catalog(spark, sf), KP.CATALOG_MIN_PRICE, KP.CATALOG_TERMS)
+
+
+@register("relevant_posts")
+def q_relevant_posts(spark, sf):
+    return R.relevant_listings(S.posts(spark, sf), KP.POSTS_MIN_PRICE).select(
+        "query", "id", "price_nok")
+
+
+@register("deal_bands")
+def q_deal_bands(spark, sf):
+    return SC.deal_bands(S.listings_v(spark, sf)).select("id", "query", "price_score", "price_band")
+
+
+@register("listing_display")
+def q_listing_display(spark, sf):
+    d = read_table(spark, sf, "documents", "doc_id", "text", "lang", "n_chars", "source")
+    p = d.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("query"),
+                 TX.py_strip(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"),
+                 F.col("text").alias("description"), F.col("n_chars").alias("price_nok"),
+                 F.col("source").alias("location"))
+    return SC.listing_display(p)
+
+
+@register("normalize_query")
+def q_normalize_query(spark, sf):
+    d = read_table(spark, sf, "documents", "doc_id", "text")
+    return d.select("doc_id", TX.normalize_query("text").alias("normalized"))
+
+
+@register("parse_price")
+def q_parse_price(spark, sf):
+    d = read_table(spark, sf, "documents", "doc_id", "text")
+    return d.select("doc_id", TX.parse_price("text").alias("price_nok"))
+
+
+@register("listing_id")
+def q_listing_id(spark, sf):
+    p = read_table(spark, sf, "pages", "page_id", "url")
+    return p.select("page_id", TX.listing_id_from_url("url").alias("listing_id"))

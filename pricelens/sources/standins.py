@@ -112,3 +112,14 @@ def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract("url", r"^[a-z]+://[^/]*/([a-z]{2})/", 1).alias("query"),
         F.when(page != "", page.cast("int")).otherwise(F.lit(1)).alias("page_num"),
         "url", "html")
+
+
+def posts_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts with a price score against their language's median length."""
+    p = posts(spark, sf_dir)
+    return score_against_market(p, market_report(p))
+
+
+def catalog_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = catalog(spark, sf_dir)
+    return score_against_market(c, market_report(c))
