@@ -275,3 +275,108 @@ ORACLE["listing_display"] = build_sql(
 ORACLE["normalize_query"] = f"SELECT doc_id, {X.normalize_query('text')} AS normalized FROM documents"
 ORACLE["parse_price"] = f"SELECT doc_id, {X.parse_price('text')} AS price_nok FROM documents"
 ORACLE["listing_id"] = f"SELECT page_id, {X.listing_id_from_url('url')} AS listing_id FROM pages"
+
+# --- table maintenance -----------------------------------------------------
+
+
+def _latest_state(name: str, src: str) -> None:
+    """CTE ``name``: listing state from observation rows of CTE ``src``."""
+    cte(f"{name}_last", f"""
+SELECT * FROM (
+  SELECT o.*, row_number() OVER (PARTITION BY id, query ORDER BY scraped_at DESC, seq DESC) AS rn
+  FROM {src} o) t WHERE rn = 1""", (src,))
+    cte(f"{name}_base", f"""
+SELECT l.id, l.query, l.price_nok, l.scraped_at, l.seq,
+       l.scan_day = m.last_day AS is_active,
+       'listing ' || l.id AS title, {X.q('https://www.finn.no/item/')} || l.id AS url,
+       '' AS description
+FROM {name}_last l JOIN (SELECT query, max(scan_day) AS last_day FROM {src} GROUP BY query) m
+  USING (query)""", (f"{name}_last",))
+    cte(f"{name}_ps", f"""
+SELECT b.*, {X.price_score('b.price_nok', 'm.median')} AS price_score
+FROM {name}_base b LEFT JOIN (
+  SELECT query, quantile_cont(price_nok, 0.5) FILTER (WHERE price_nok > 0) AS median
+  FROM {name}_base GROUP BY query) m USING (query)""", (f"{name}_base",))
+    cte(name, f"""
+SELECT *, {X.composite_score('title', 'description', 'price_score')} AS composite_score
+FROM {name}_ps""", (f"{name}_ps",))
+
+
+cte("obs_split", """
+SELECT o.*, o.scan_day < m.last_day AS is_before
+FROM obs o JOIN (SELECT query, max(scan_day) AS last_day FROM obs GROUP BY query) m USING (query)""",
+    ("obs",))
+cte("obs_before", "SELECT * EXCLUDE (is_before) FROM obs_split WHERE is_before", ("obs_split",))
+cte("batch", f"""
+SELECT id, query, 'listing ' || id AS title, price_nok, {X.q('https://www.finn.no/item/')} || id AS url,
+       scraped_at, '' AS description, CAST(NULL AS DOUBLE) AS price_score,
+       CAST(NULL AS DOUBLE) AS composite_score, seq
+FROM obs_split WHERE NOT is_before""", ("obs_split",))
+_latest_state("tb", "obs_before")
+cte("hist_before", """
+SELECT listing_id, query, price, seen_at, seq FROM (
+  SELECT id AS listing_id, query, price_nok AS price, scraped_at AS seen_at, seq,
+         lag(price_nok) OVER (PARTITION BY id, query ORDER BY scraped_at, seq) AS prev
+  FROM obs_before WHERE price_nok > 0) t
+WHERE prev IS NULL OR prev <> price""", ("obs_before",))
+
+cte("upserted", """
+SELECT coalesce(t.id, b.id) AS id, coalesce(t.query, b.query) AS query,
+       CASE WHEN b.id IS NOT NULL THEN b.title ELSE t.title END AS title,
+       CASE WHEN b.id IS NOT NULL THEN b.price_nok ELSE t.price_nok END AS price_nok,
+       CASE WHEN b.id IS NOT NULL THEN b.url ELSE t.url END AS url,
+       CASE WHEN b.id IS NOT NULL THEN b.scraped_at ELSE t.scraped_at END AS scraped_at,
+       CASE WHEN b.id IS NOT NULL THEN b.description ELSE t.description END AS description,
+       CASE WHEN b.id IS NOT NULL THEN b.price_score ELSE t.price_score END AS price_score,
+       coalesce(b.composite_score, t.composite_score) AS composite_score,
+       CASE WHEN b.id IS NOT NULL THEN true WHEN s.query IS NOT NULL THEN false
+            ELSE coalesce(t.is_active, true) END AS is_active
+FROM tb t
+FULL OUTER JOIN (
+  SELECT * EXCLUDE (rn, composite_score), ck AS composite_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY id, query ORDER BY seq DESC) AS rn,
+           arg_max(composite_score, seq) FILTER (WHERE composite_score IS NOT NULL)
+             OVER (PARTITION BY id, query) AS ck
+    FROM batch) x WHERE rn = 1) b
+  ON t.id = b.id AND t.query = b.query
+LEFT JOIN (SELECT DISTINCT query FROM batch) s ON s.query = t.query""", ("tb", "batch"))
+
+_UPSERT_COLS = ("id, query, title, price_nok, url, scraped_at, description, price_score, "
+                "composite_score, is_active")
+ORACLE["upsert_listings"] = build_sql(f"SELECT {_UPSERT_COLS} FROM upserted", "upserted")
+ORACLE["deactivate_missing"] = build_sql(f"""
+SELECT {_UPSERT_COLS} FROM upserted u
+WHERE NOT u.is_active AND EXISTS (
+  SELECT 1 FROM tb t WHERE t.id = u.id AND t.query = u.query AND coalesce(t.is_active, true))""",
+    "upserted", "tb")
+
+ORACLE["append_history"] = build_sql("""
+SELECT listing_id, query, price, seen_at, seq FROM (
+  SELECT u.*, lag(price) OVER (PARTITION BY listing_id, query ORDER BY _new, seq) AS prev
+  FROM (
+    SELECT listing_id, query, price, seen_at, seq, 0 AS _new FROM (
+      SELECT h.*, row_number() OVER (PARTITION BY listing_id, query
+                                     ORDER BY seen_at DESC, seq DESC) AS rn
+      FROM hist_before h
+      WHERE EXISTS (SELECT 1 FROM batch b WHERE b.price_nok > 0
+                    AND b.id = h.listing_id AND b.query = h.query)) t WHERE rn = 1
+    UNION ALL
+    SELECT id, query, price_nok, scraped_at, seq, 1 FROM batch WHERE price_nok > 0) u) v
+WHERE _new = 1 AND (prev IS NULL OR prev <> price)""", "hist_before", "batch")
+
+_CUT = f"({KP.NOW_SQL} - INTERVAL {KP.RETENTION_DAYS} DAY)"
+cte("stale", f"SELECT id, query FROM listings_v WHERE NOT coalesce(is_active, true) "
+             f"AND scraped_at < {_CUT}", ("listings_v",))
+ORACLE["prune_listings"] = build_sql(
+    "SELECT id, query, price_nok, scraped_at, is_active FROM listings_v l "
+    "WHERE NOT EXISTS (SELECT 1 FROM stale s WHERE s.id = l.id AND s.query = l.query)",
+    "listings_v", "stale")
+ORACLE["prune_history"] = build_sql(
+    "SELECT listing_id, query, price, seen_at, seq FROM hist h "
+    "WHERE NOT EXISTS (SELECT 1 FROM stale s WHERE s.id = h.listing_id AND s.query = h.query)",
+    "hist", "stale")
+ORACLE["prune_counts"] = build_sql(
+    "SELECT 'listings' AS \"table\", count(*) AS deleted FROM stale UNION ALL "
+    "SELECT 'price_history', count(*) FROM hist h "
+    "WHERE EXISTS (SELECT 1 FROM stale s WHERE s.id = h.listing_id AND s.query = h.query)",
+    "hist", "stale")

@@ -170,3 +170,46 @@ def q_parse_price(spark, sf):
 def q_listing_id(spark, sf):
     p = read_table(spark, sf, "pages", "page_id", "url")
     return p.select("page_id", TX.listing_id_from_url("url").alias("listing_id"))
+
+
+# --- table maintenance -----------------------------------------------------
+
+from pricelens.operators import tables as TB  # noqa: E402
+
+_UPSERT_COLS = ("id", "query", "title", "price_nok", "url", "scraped_at", "description",
+                "price_score", "composite_score", "is_active")
+
+
+def _upserted(spark, sf):
+    return TB.upsert_listings(S.table_before(spark, sf), S.last_scan_batch(spark, sf))
+
+
+@register("upsert_listings")
+def q_upsert_listings(spark, sf):
+    return _upserted(spark, sf).select(*_UPSERT_COLS)
+
+
+@register("deactivate_missing")
+def q_deactivate_missing(spark, sf):
+    return TB.deactivated(S.table_before(spark, sf), _upserted(spark, sf)).select(*_UPSERT_COLS)
+
+
+@register("append_history")
+def q_append_history(spark, sf):
+    return TB.append_history(S.history_before(spark, sf), S.last_scan_batch(spark, sf))
+
+
+@register("prune_listings")
+def q_prune_listings(spark, sf):
+    return TB.prune_listings(S.listings_v(spark, sf), KP.NOW, KP.RETENTION_DAYS).select(
+        "id", "query", "price_nok", "scraped_at", "is_active")
+
+
+@register("prune_history")
+def q_prune_history(spark, sf):
+    return TB.prune_history(_history(spark, sf), S.listings_v(spark, sf), KP.NOW, KP.RETENTION_DAYS)
+
+
+@register("prune_counts")
+def q_prune_counts(spark, sf):
+    return TB.prune_counts(_history(spark, sf), S.listings_v(spark, sf), KP.NOW, KP.RETENTION_DAYS)

@@ -38,9 +38,10 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def listings_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest observation per (id, query) with active flag and scores."""
-    o = obs(spark, sf_dir)
+def latest_state(o: DataFrame) -> DataFrame:
+    """Listing state from observation rows: the latest row per (id, query)
+    (partial aggregate, no sort), active when seen on its search's last day,
+    price-scored against that search's median and composite-scored."""
     latest = (o.groupBy("id", "query")
               .agg(F.max(F.struct("scraped_at", "seq", "price_nok", "scan_day")).alias("l"))
               .select("id", "query", "l.*"))
@@ -51,12 +52,46 @@ def listings_v(spark: SparkSession, sf_dir: str) -> DataFrame:
            .withColumn("url", F.concat(F.lit(BASE_URL + "/item/"), F.col("id")))
            .withColumn("description", F.lit(""))
            .drop("last_day", "scan_day"))
-    rep = market_report(cur)
-    scored = score_against_market(cur, rep)
+    scored = score_against_market(cur, market_report(cur))
     return scored.withColumn(
         "composite_score", composite_score("title", "description", "price_score"))
 
 
+def listings_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest observation per (id, query) with active flag and scores."""
+    return latest_state(obs(spark, sf_dir))
+
+
+def _split_last_scan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Observations before each search's last scan day, and that day's scan."""
+    o = obs(spark, sf_dir)
+    last = o.groupBy("query").agg(F.max("scan_day").alias("_last"))
+    oj = o.join(last, "query")
+    before = oj.filter(F.col("scan_day") < F.col("_last")).drop("_last")
+    batch = oj.filter(F.col("scan_day") == F.col("_last")).drop("_last")
+    return before, batch
+
+
+def table_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored listing state before each search's last scan."""
+    return latest_state(_split_last_scan(spark, sf_dir)[0]).drop("seq")
+
+
+def history_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricelens.operators.history import price_changes
+    return price_changes(_split_last_scan(spark, sf_dir)[0])
+
+
+def last_scan_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last scan of every search, in feed shape (scores unset)."""
+    b = _split_last_scan(spark, sf_dir)[1]
+    return b.select("id", "query", F.concat(F.lit("listing "), F.col("id")).alias("title"),
+                    "price_nok", F.concat(F.lit(BASE_URL + "/item/"), F.col("id")).alias("url"),
+                    "scraped_at", F.lit("").alias("description"),
+                    F.lit(None).cast("double").alias("price_score"),
+                    F.lit(None).cast("double").alias("composite_score"), "seq")
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_retailprice")
     return p.select(
