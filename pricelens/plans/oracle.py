@@ -380,3 +380,156 @@ ORACLE["prune_counts"] = build_sql(
     "SELECT 'price_history', count(*) FROM hist h "
     "WHERE EXISTS (SELECT 1 FROM stale s WHERE s.id = h.listing_id AND s.query = h.query)",
     "hist", "stale")
+
+# --- read models -----------------------------------------------------------
+
+ORACLE["saved_searches"] = build_sql(
+    "SELECT query, count(*) AS n_active, max(scraped_at) AS last_seen FROM listings_v "
+    "WHERE coalesce(is_active, true) GROUP BY query ORDER BY last_seen DESC, query", "listings_v")
+
+ORACLE["search_freshness"] = build_sql(
+    f"SELECT query, max(scraped_at) AS last_scan, "
+    f"coalesce(max(scraped_at) >= {KP.NOW_SQL} - INTERVAL {int(KP.CACHE_TTL_HOURS * 3600)} SECOND, false) AS fresh "
+    f"FROM listings_v WHERE coalesce(is_active, true) GROUP BY query", "listings_v")
+
+ORACLE["best_deals"] = build_sql(
+    f"SELECT id, query, price_nok, price_score FROM listings_v "
+    f"WHERE price_score IS NOT NULL AND coalesce(is_active, true) "
+    f"ORDER BY price_score, query, id LIMIT {KP.DEALS_LIMIT}", "listings_v")
+
+ORACLE["listings_by_query"] = build_sql(
+    f"SELECT id, query, price_nok, price_score, is_active FROM listings_v "
+    f"WHERE query = {X.q(KP.EXPORT_QUERY)} ORDER BY price_score NULLS FIRST, id", "listings_v")
+
+# --- reviews ---------------------------------------------------------------
+
+
+def _py_int(e: str) -> str:
+    s = X.py_strip(f"CAST({e} AS VARCHAR)")
+    return f"(CASE WHEN regexp_full_match({s}, '[+-]?[0-9]{{1,18}}') THEN TRY_CAST({s} AS BIGINT) END)"
+
+
+cte("sanitized", f"""
+SELECT id, query, CAST(greatest(1, least(10, c)) AS INTEGER) AS condition_score,
+       CAST(CASE WHEN b BETWEEN 1 AND 100 THEN b END AS INTEGER) AS battery_pct,
+       coalesce(red_flags, CAST([] AS VARCHAR[])) AS red_flags, coalesce(summary, '') AS summary
+FROM (SELECT r.*, {_py_int('r.condition_score')} AS c, {_py_int('r.battery_pct')} AS b
+      FROM reviews r) t
+WHERE c IS NOT NULL AND (battery_pct IS NULL OR b IS NOT NULL)""", ("reviews",))
+
+cte("merged", """
+SELECT p.*, s.condition_score, s.battery_pct AS r_battery, s.red_flags, s.summary
+FROM posts_scored p LEFT JOIN sanitized s USING (id, query)""", ("posts_scored", "sanitized"))
+
+cte("reviewed", f"""
+SELECT * EXCLUDE (r_battery), r_battery AS battery_pct,
+       {X.composite_score('title', 'description', 'price_score', 'r_battery')} AS composite_score
+FROM merged""", ("merged",))
+
+ORACLE["sanitize_assessments"] = build_sql(
+    "SELECT id, query, condition_score, battery_pct, array_to_string(red_flags, '; ') AS red_flags, "
+    "summary FROM sanitized", "sanitized")
+
+ORACLE["merge_assessments"] = build_sql(
+    "SELECT id, query, price_score, condition_score, r_battery AS battery_pct FROM merged", "merged")
+
+ORACLE["rescore_reviewed"] = build_sql(
+    "SELECT id, query, battery_pct, composite_score FROM reviewed", "reviewed")
+
+ORACLE["top_reviewed"] = build_sql(f"""
+SELECT query, id, rank, composite_score FROM (
+  SELECT r.*, row_number() OVER (PARTITION BY query
+           ORDER BY coalesce(composite_score, CAST(0 AS DOUBLE)) DESC, id) AS rank
+  FROM reviewed r WHERE condition_score IS NOT NULL OR summary <> '') t
+WHERE rank <= {KP.CANDIDATE_LIMIT}""", "reviewed")
+
+ORACLE["condition_bands"] = build_sql(
+    f"SELECT id, query, price_score, condition_score, {X.price_band('price_score')} AS price_band, "
+    f"{X.condition_band('condition_score')} AS condition_band FROM reviewed", "reviewed")
+
+
+def _candidates_sql(src: str, limit: int) -> str:
+    """Select-candidates rule over CTE ``src`` (needs price_score, composite_score)."""
+    thr = "CAST(-60.0 AS DOUBLE)"
+    return f"""
+SELECT * FROM (
+  SELECT c.*, row_number() OVER (
+           PARTITION BY query
+           ORDER BY CASE WHEN f.use_cs THEN -coalesce(composite_score, CAST(0 AS DOUBLE))
+                         ELSE price_score END, price_score, id) AS rank
+  FROM cand_{src} c JOIN (SELECT query, bool_or(composite_score IS NOT NULL) AS use_cs
+                          FROM cand_{src} GROUP BY query) f USING (query)) t
+WHERE rank <= {limit}"""
+
+
+def _candidate_ctes(src: str) -> None:
+    thr = "CAST(-60.0 AS DOUBLE)"
+    cte(f"cand_{src}", f"""
+SELECT s.* FROM {src} s JOIN (
+  SELECT query, bool_or(price_score > {thr}) AS has_safe FROM {src}
+  WHERE price_score IS NOT NULL GROUP BY query) f USING (query)
+WHERE s.price_score IS NOT NULL AND (s.price_score > {thr} OR NOT f.has_safe)""", (src,))
+
+
+cte("posts_cs", f"SELECT *, {X.composite_score('title', 'description', 'price_score')} "
+                f"AS composite_score FROM posts_scored", ("posts_scored",))
+_candidate_ctes("posts_cs")
+cte("post_candidates", _candidates_sql("posts_cs", KP.CANDIDATE_LIMIT), ("cand_posts_cs",))
+
+_PROMPT = ("'Listing title: ' || title || chr(10) || 'Price: ' || coalesce(CAST(price_nok AS VARCHAR), 'None')"
+           " || ' NOK' || chr(10) || 'Location: ' || coalesce(nullif(location, ''), '-') || chr(10)"
+           " || 'Description: ' || coalesce(nullif(description, ''), '(no description)') || chr(10)")
+ORACLE["review_worklist"] = build_sql(f"""
+SELECT id, query, {_PROMPT} AS prompt_text, CAST(0 AS INTEGER) AS n_images
+FROM (SELECT c.*, d.source AS location FROM post_candidates c
+      LEFT JOIN documents d ON CAST(d.doc_id AS VARCHAR) = c.id) t""", "post_candidates")
+
+cte("stored_flat", """
+SELECT CAST(l.doc_id AS VARCHAR) AS id, d.lang AS query,
+       CAST(CASE WHEN l.quality = 1 THEN 8 WHEN l.toxic = 1 THEN 0 END AS INTEGER) AS condition_score,
+       CAST(l.doc_id % 101 AS INTEGER) AS battery_pct,
+       CASE WHEN l.toxic = 1 THEN '' ELSE 'quality ' || CAST(l.quality AS VARCHAR) END AS ai_summary,
+       CASE WHEN l.toxic = 1 THEN '["toxic language", "check seller"]'
+            WHEN l.quality = 0 THEN 'not json' WHEN l.quality = 1 THEN '[]' END AS ai_red_flags
+FROM labels l JOIN documents d ON l.doc_id = d.doc_id""")
+
+_FLAGS = ("(CASE WHEN json_valid(ai_red_flags) AND json_type(ai_red_flags) = 'ARRAY' "
+          "THEN from_json(ai_red_flags, '[\"VARCHAR\"]') ELSE CAST([] AS VARCHAR[]) END)")
+ORACLE["stored_reports"] = build_sql(f"""
+SELECT id, query, ex AS has_report,
+       CASE WHEN ex THEN CAST(coalesce(nullif(condition_score, 0), 5) AS INTEGER) END AS condition_score,
+       CASE WHEN ex THEN battery_pct END AS battery_pct,
+       CASE WHEN ex THEN array_to_string(flags, '; ') END AS red_flags,
+       CASE WHEN ex THEN coalesce(ai_summary, '') END AS summary
+FROM (SELECT *, coalesce(condition_score IS NOT NULL OR ai_summary <> '', false) AS ex,
+             {_FLAGS} AS flags FROM stored_flat) t""", "stored_flat")
+
+ORACLE["json_arrays"] = build_sql(f"""
+SELECT id, query, CAST(len(flags) AS INTEGER) AS n_flags, CAST(to_json(flags) AS VARCHAR) AS flags_json
+FROM (SELECT *, {_FLAGS} AS flags FROM stored_flat) t""", "stored_flat")
+
+# --- export ----------------------------------------------------------------
+
+
+def _guard(e: str) -> str:
+    return (f"(CASE WHEN substr({e}, 1, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) "
+            f"THEN '''' || {e} ELSE {e} END)")
+
+
+cte("export_src", """
+SELECT r.id, r.query, r.title, r.price_nok, r.price_score, r.composite_score, r.condition_score,
+       r.battery_pct, r.summary AS ai_summary,
+       nullif(array_to_string(r.red_flags, '; '), '') AS red_flags,
+       d.source AS location, 'https://www.finn.no/item/' || r.id AS url,
+       CAST(NULL AS VARCHAR) AS scraped_at
+FROM reviewed r JOIN documents d ON CAST(d.doc_id AS VARCHAR) = r.id""", ("reviewed",))
+
+_TEXT_COLS = ("id", "query", "title", "ai_summary", "red_flags", "location", "url", "scraped_at")
+_EXPORT = ("id", "query", "title", "price_nok", "price_score", "composite_score",
+           "condition_score", "battery_pct", "ai_summary", "red_flags", "location", "url",
+           "scraped_at")
+ORACLE["export_rows"] = build_sql(
+    "SELECT " + ", ".join(f"{_guard(c)} AS {c}" if c in _TEXT_COLS else c for c in _EXPORT)
+    + " FROM export_src", "export_src")
+ORACLE["export_json_rows"] = build_sql("SELECT " + ", ".join(_EXPORT) + " FROM export_src",
+                                       "export_src")

@@ -213,3 +213,127 @@ def q_prune_history(spark, sf):
 @register("prune_counts")
 def q_prune_counts(spark, sf):
     return TB.prune_counts(_history(spark, sf), S.listings_v(spark, sf), KP.NOW, KP.RETENTION_DAYS)
+
+
+# --- read models -----------------------------------------------------------
+
+from pricelens.operators import assessments as AS  # noqa: E402
+from pricelens.operators import searches as SE  # noqa: E402
+from pricelens.sources import export as EX  # noqa: E402
+
+
+@register("saved_searches")
+def q_saved_searches(spark, sf):
+    return SE.saved_searches(S.listings_v(spark, sf))
+
+
+@register("search_freshness")
+def q_search_freshness(spark, sf):
+    return SE.search_freshness(S.listings_v(spark, sf), KP.NOW, KP.CACHE_TTL_HOURS)
+
+
+@register("best_deals")
+def q_best_deals(spark, sf):
+    return SE.best_deals(S.listings_v(spark, sf), KP.DEALS_LIMIT).select(
+        "id", "query", "price_nok", "price_score")
+
+
+@register("listings_by_query")
+def q_listings_by_query(spark, sf):
+    return SE.listings_by_query(S.listings_v(spark, sf), KP.EXPORT_QUERY).select(
+        "id", "query", "price_nok", "price_score", "is_active")
+
+
+# --- reviews ---------------------------------------------------------------
+
+def _sanitized(spark, sf):
+    return AS.sanitize_assessments(S.reviews(spark, sf))
+
+
+def _reviewed_posts(spark, sf):
+    """Scored posts with their sanitized review attached and rescored."""
+    merged = AS.merge_assessments(S.posts_scored(spark, sf), _sanitized(spark, sf))
+    return AS.rescore_reviewed(merged)
+
+
+@register("sanitize_assessments")
+def q_sanitize_assessments(spark, sf):
+    return _sanitized(spark, sf).withColumn("red_flags", F.array_join("red_flags", "; "))
+
+
+@register("merge_assessments")
+def q_merge_assessments(spark, sf):
+    m = AS.merge_assessments(S.posts_scored(spark, sf), _sanitized(spark, sf))
+    return m.select("id", "query", "price_score",
+                    F.col("ai_report.condition_score").alias("condition_score"),
+                    F.col("ai_report.battery_pct").alias("battery_pct"))
+
+
+@register("rescore_reviewed")
+def q_rescore_reviewed(spark, sf):
+    return _reviewed_posts(spark, sf).select(
+        "id", "query", F.col("ai_report.battery_pct").alias("battery_pct"), "composite_score")
+
+
+@register("top_reviewed")
+def q_top_reviewed(spark, sf):
+    return SE.top_reviewed(_reviewed_posts(spark, sf), KP.CANDIDATE_LIMIT).select(
+        "query", "id", "rank", "composite_score")
+
+
+@register("review_worklist")
+def q_review_worklist(spark, sf):
+    scored = SC.score_listings(S.posts_scored(spark, sf))
+    cand = M.select_candidates(scored, KP.CANDIDATE_LIMIT)
+    posts_src = read_table(spark, sf, "documents", "doc_id", "source").select(
+        F.col("doc_id").cast("string").alias("id"), F.col("source").alias("location"))
+    cand = (cand.join(posts_src, "id", "left")
+            .withColumn("image_urls", F.array().cast("array<string>")))
+    return AS.review_worklist(cand).select("id", "query", "prompt_text",
+                                           F.size("images").alias("n_images"))
+
+
+@register("stored_reports")
+def q_stored_reports(spark, sf):
+    r = AS.stored_reports(S.stored_flat(spark, sf))
+    return r.select("id", "query", F.col("ai_report").isNotNull().alias("has_report"),
+                    F.col("ai_report.condition_score").alias("condition_score"),
+                    F.col("ai_report.battery_pct").alias("battery_pct"),
+                    F.array_join("ai_report.red_flags", "; ").alias("red_flags"),
+                    F.col("ai_report.summary").alias("summary"))
+
+
+@register("json_arrays")
+def q_json_arrays(spark, sf):
+    f = S.stored_flat(spark, sf)
+    arr = F.coalesce(F.from_json(F.col("ai_red_flags"), "array<string>"),
+                     F.array().cast("array<string>"))
+    return f.select("id", "query", F.size(arr).alias("n_flags"),
+                    F.to_json(arr).alias("flags_json"))
+
+
+@register("condition_bands")
+def q_condition_bands(spark, sf):
+    return SC.deal_bands(_reviewed_posts(spark, sf).select(
+        "id", "query", "price_score", F.col("ai_report.condition_score").alias("condition_score")),
+        "condition_score")
+
+
+# --- export ----------------------------------------------------------------
+
+def _export_source(spark, sf):
+    posts_src = read_table(spark, sf, "documents", "doc_id", "source").select(
+        F.col("doc_id").cast("string").alias("id"), F.col("source").alias("location"))
+    return (_reviewed_posts(spark, sf).join(posts_src, "id")
+            .withColumn("url", F.concat(F.lit("https://www.finn.no/item/"), F.col("id")))
+            .withColumn("scraped_at", F.lit(None).cast("timestamp")))
+
+
+@register("export_rows")
+def q_export_rows(spark, sf):
+    return EX.guard_csv(EX.export_rows(_export_source(spark, sf)))
+
+
+@register("export_json_rows")
+def q_export_json_rows(spark, sf):
+    return EX.export_rows(_export_source(spark, sf))

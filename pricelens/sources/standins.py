@@ -158,3 +158,21 @@ def posts_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalog_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = catalog(spark, sf_dir)
     return score_against_market(c, market_report(c))
+
+
+def stored_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review fields as a row store keeps them: flat columns, flags as JSON text
+    (sometimes empty or malformed), condition sometimes 0/NULL."""
+    lab = read_table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    d = read_table(spark, sf_dir, "documents", "doc_id", "lang")
+    q, t = F.col("quality"), F.col("toxic")
+    return lab.join(d, "doc_id").select(
+        F.col("doc_id").cast("string").alias("id"),
+        F.col("lang").alias("query"),
+        F.when(q == 1, F.lit(8)).when(t == 1, F.lit(0)).cast("int").alias("condition_score"),
+        (F.col("doc_id") % 101).cast("int").alias("battery_pct"),
+        F.when(t == 1, F.lit("")).otherwise(F.concat(F.lit("quality "), q.cast("string")))
+         .alias("ai_summary"),
+        F.when(t == 1, F.lit('["toxic language", "check seller"]'))
+         .when(q == 0, F.lit("not json")).when(q == 1, F.lit("[]")).alias("ai_red_flags"),
+    )
