@@ -533,3 +533,150 @@ ORACLE["export_rows"] = build_sql(
     + " FROM export_src", "export_src")
 ORACLE["export_json_rows"] = build_sql("SELECT " + ", ".join(_EXPORT) + " FROM export_src",
                                        "export_src")
+
+# --- pages / URLs / scans --------------------------------------------------
+
+from pricelens.sources import pages as PG  # noqa: E402
+from pricelens.sources import standins as SI  # noqa: E402
+
+
+def _inner_text(e: str) -> str:
+    t = f"regexp_replace({e}, {X.q('(?i)<br' + chr(92) + 's*/?>')}, chr(10), 'g')"
+    t = f"regexp_replace({t}, '<[^>]*>', '', 'g')"
+    for ent, ch in PG.ENTITIES:
+        t = f"replace({t}, {X.q(ent)}, {X.q(ch)})"
+    return X.py_strip(t)
+
+
+def _rx(s: str, p: str, g: int = 1) -> str:
+    return f"regexp_extract({s}, {X.q(p)}, {g})"
+
+
+def _first_of(s: str, p: str, n: int) -> str:
+    return "(" + " || ".join(_rx(s, p, g) for g in range(1, n + 1)) + ")"
+
+
+def _has(s: str, p: str) -> str:
+    return f"regexp_matches({s}, {X.q(p)})"
+
+
+cte("cards0", f"""
+SELECT page_id, query, page_num, CAST(unnest(range(0, len(cs))) AS INTEGER) AS pos, unnest(cs) AS card
+FROM (SELECT *, regexp_extract_all(html, {X.q(PG.CARD_RE)}, 1) AS cs FROM captured) t""", ("captured",))
+
+cte("cards1", f"""
+SELECT *, CASE WHEN pref <> '' THEN pref ELSE anyl END AS link FROM (
+  SELECT *, {_rx('card', PG.LISTING_LINK_RE)} AS pref, {_rx('card', PG.ANY_LINK_RE)} AS anyl
+  FROM cards0) t""", ("cards0",))
+
+cte("cards2", f"""
+SELECT *, {X.safe_listing_url(X.absolute_url('href'))} AS safe,
+       {_inner_text(_first_of('card', PG.TITLE_RE, 3))} AS t1,
+       {_inner_text(_rx('link', PG.ANCHOR_TEXT_RE))} AS t2,
+       CASE WHEN {_has('card', PG.PRICE_RE)} THEN {_first_of('card', PG.PRICE_RE, 3)} END AS price_text,
+       coalesce({', '.join(f"CASE WHEN {_has('card', p)} THEN {X.location_text(_inner_text(_rx('card', p)))} END" for p in PG.LOCATION_RES)}) AS location,
+       {_rx('card', PG.IMG_RE, 0)} AS img,
+       CASE WHEN {_has('card', PG.DESC_RE)} THEN {_inner_text(_first_of('card', PG.DESC_RE, 2))} ELSE '' END AS description
+FROM (SELECT *, {_rx('link', PG.HREF_RE)} AS href FROM cards1) t""", ("cards1",))
+
+cte("cards3", f"""
+SELECT page_id, query, page_num, pos, CASE WHEN href <> '' THEN safe END AS url,
+       CASE WHEN t1 <> '' THEN t1 ELSE t2 END AS title, {X.parse_price('price_text')} AS price_nok,
+       location, CASE WHEN src <> '' AND {X.image_url_allowed('src')} THEN src ELSE '' END AS image_urls,
+       description
+FROM (SELECT *, coalesce(nullif({_rx('img', PG.SRC_RE)}, ''), {_rx('img', PG.DATA_SRC_RE)}) AS src
+      FROM cards2) t""", ("cards2",))
+
+ORACLE["page_cards"] = build_sql(f"""
+SELECT page_id, query, page_num, pos, {X.listing_id_from_url('url')} AS id, title, price_nok, url,
+       location, image_urls, description
+FROM cards3 WHERE url IS NOT NULL AND title <> ''""", "cards3")
+
+cte("links", f"""
+SELECT page_id, pos, href, abs_url, {X.safe_listing_url('abs_url')} AS safe_url FROM (
+  SELECT page_id, pos, href, {X.absolute_url('href')} AS abs_url FROM (
+    SELECT page_id, CAST(unnest(range(0, len(hs))) AS INTEGER) AS pos, unnest(hs) AS href
+    FROM (SELECT page_id, regexp_extract_all(html, {X.q(SI.HREFS_RE)}, 1) AS hs FROM pages) a) b) c""")
+
+ORACLE["page_links"] = build_sql(
+    f"SELECT page_id, pos, href, abs_url, safe_url, "
+    f"CASE WHEN safe_url IS NOT NULL THEN {X.listing_id_from_url('safe_url')} END AS listing_id "
+    f"FROM links", "links")
+
+ORACLE["safe_urls"] = (
+    f"SELECT page_id, url, {X.url_scheme('url')} AS scheme, {X.url_host('url')} AS host, "
+    f"{X.safe_listing_url('url', KP.PAGE_HOSTS_EXACT, KP.PAGE_HOST_SUFFIXES)} AS safe_url FROM pages")
+
+ORACLE["safe_image_urls"] = build_sql(
+    f"SELECT page_id, pos, abs_url, {X.image_url_allowed('abs_url')} AS allowed, "
+    f"CASE WHEN {X.image_url_allowed('abs_url')} THEN abs_url END AS kept FROM links", "links")
+
+_W = "(40 + (page_id * 7 + (i - 1) * 13) % 400)"
+cte("img_cands", f"""
+SELECT page_id, cands,
+       CASE WHEN len(cands) > 0 THEN [cands[1].src] ELSE CAST([] AS VARCHAR[]) END AS existing
+FROM (SELECT page_id, list_transform(regexp_extract_all(html, {X.q(SI.HREFS_RE)}, 1),
+        lambda h, i: {{'src': {X.q(SI.CDN_PREFIX)} || CAST({_W} AS VARCHAR) || 'x' ||
+                              CAST({_W} AS VARCHAR) || 'c' || h,
+                      'width': CAST({_W} AS INTEGER)}}) AS cands
+      FROM pages) t""")
+
+ORACLE["image_url_upgrade"] = build_sql(
+    f"SELECT page_id, pos, src, {X.upgrade_image_url('src')} AS upgraded FROM ("
+    f"SELECT page_id, CAST(unnest(range(0, len(cands))) AS INTEGER) AS pos, "
+    f"unnest(cands).src AS src FROM img_cands) t", "img_cands")
+
+_UP = X.upgrade_image_url("c.src")
+_TAKE = (f"coalesce(c.src, '') <> '' AND NOT list_contains(acc.seen, c.src) "
+         f"AND NOT coalesce(c.width > 0 AND c.width < 100, false) AND {X.image_url_allowed(_UP)}")
+cte("gallery", f"""
+SELECT page_id, cands, existing,
+       list_reduce(cands, lambda acc, c: CASE WHEN {_TAKE}
+                   THEN {{'seen': list_append(acc.seen, {_UP}), 'out': list_append(acc.out, {_UP})}}
+                   ELSE acc END,
+                   {{'seen': existing, 'out': CAST([] AS VARCHAR[])}}).out AS g
+FROM img_cands""", ("img_cands",))
+
+ORACLE["gallery_images"] = build_sql("""
+SELECT page_id, CAST(len(cands) AS INTEGER) AS n_candidates,
+       CAST(len(imgs) AS INTEGER) AS n_images, array_to_string(imgs, ' ') AS images
+FROM (SELECT *, CASE WHEN len(g) > 0 THEN g[1:8] ELSE existing END AS imgs FROM gallery) t""",
+    "gallery")
+
+_DD = [f"CASE WHEN {_has('html', p)} THEN {_inner_text(_rx('html', p))} END" for p in PG.DETAIL_DESC_RES]
+_DL = [f"CASE WHEN {_has('html', p)} THEN {_inner_text(_rx('html', p))} END" for p in PG.DETAIL_LOCATION_RES]
+cte("details", f"""
+SELECT page_id,
+       coalesce({', '.join(f'CASE WHEN length({d}) > 20 THEN {d} END' for d in _DD)},
+                CASE WHEN {_has('html', PG.DETAIL_HEADING_RE)} THEN {_inner_text(_rx('html', PG.DETAIL_HEADING_RE))} END,
+                '') AS detail_description,
+       coalesce({', '.join(f"CASE WHEN {l} <> '' THEN {X.py_strip(f'split_part({l}, chr(10), 1)')} END" for l in _DL)}) AS detail_location
+FROM pages""")
+
+ORACLE["enrich_details"] = build_sql("""
+SELECT CAST(d.doc_id AS VARCHAR) AS id, d.lang AS query,
+       length(coalesce(nullif(x.detail_description, ''), d.text)) AS description_len,
+       coalesce(nullif(d.source, ''), x.detail_location) AS location
+FROM documents d LEFT JOIN details x ON x.page_id = d.doc_id""", "details")
+
+cte("scan_cards", """
+SELECT query || '@' || CAST(scan_day AS VARCHAR) AS scan_id, id,
+       CAST(hour(scraped_at) + 1 AS INTEGER) AS page_num, seq AS pos, price_nok
+FROM obs""", ("obs",))
+cte("scan_new", """
+SELECT scan_id, page_num, count(*) AS new_ids FROM (
+  SELECT *, row_number() OVER (PARTITION BY scan_id, id ORDER BY page_num, pos) AS rn
+  FROM scan_cards) t WHERE rn = 1 GROUP BY scan_id, page_num""", ("scan_cards",))
+cte("scan_comp", """
+SELECT scan_id, bool_or(page_num > 1 AND new_ids = 0) AS complete,
+       coalesce(min(CASE WHEN page_num > 1 AND new_ids = 0 THEN page_num END), max(page_num)) AS stop_page
+FROM (SELECT p.scan_id, p.page_num, coalesce(n.new_ids, 0) AS new_ids
+      FROM (SELECT DISTINCT scan_id, page_num FROM scan_cards) p
+      LEFT JOIN scan_new n USING (scan_id, page_num)) t
+GROUP BY scan_id""", ("scan_cards", "scan_new"))
+ORACLE["scan_complete"] = build_sql("SELECT scan_id, complete, stop_page FROM scan_comp", "scan_comp")
+ORACLE["dedupe_scan"] = build_sql("""
+SELECT scan_id, id, page_num, pos, price_nok FROM (
+  SELECT c.*, row_number() OVER (PARTITION BY c.scan_id, c.id ORDER BY c.page_num, c.pos) AS rn
+  FROM scan_cards c JOIN scan_comp s USING (scan_id) WHERE c.page_num <= s.stop_page) t
+WHERE rn = 1""", "scan_cards", "scan_comp")

@@ -337,3 +337,86 @@ def q_export_rows(spark, sf):
 @register("export_json_rows")
 def q_export_json_rows(spark, sf):
     return EX.export_rows(_export_source(spark, sf))
+
+
+# --- pages / URLs / scans --------------------------------------------------
+
+from pricelens.functions import text as TXT  # noqa: E402
+from pricelens.functions import urls as U  # noqa: E402
+from pricelens.sources import pages as PG  # noqa: E402
+
+
+@register("page_cards")
+def q_page_cards(spark, sf):
+    return PG.page_cards(S.captured(spark, sf)).select(
+        "page_id", "query", "page_num", "pos", "id", "title", "price_nok", "url", "location",
+        F.array_join("image_urls", " ").alias("image_urls"), "description")
+
+
+@register("page_links")
+def q_page_links(spark, sf):
+    return PG.page_links(S.captured(spark, sf))
+
+
+@register("safe_urls")
+def q_safe_urls(spark, sf):
+    p = read_table(spark, sf, "pages", "page_id", "url")
+    return p.select("page_id", "url", U.url_scheme("url").alias("scheme"),
+                    U.url_host("url").alias("host"),
+                    U.safe_listing_url("url", KP.PAGE_HOSTS_EXACT, KP.PAGE_HOST_SUFFIXES)
+                    .alias("safe_url"))
+
+
+@register("safe_image_urls")
+def q_safe_image_urls(spark, sf):
+    l = PG.page_links(S.captured(spark, sf))
+    return l.select("page_id", "pos", "abs_url",
+                    U.image_url_allowed("abs_url").alias("allowed"),
+                    F.filter(F.array("abs_url"), lambda u: U.image_url_allowed(u)).getItem(0)
+                    .alias("kept"))
+
+
+@register("image_url_upgrade")
+def q_image_url_upgrade(spark, sf):
+    c = S.image_candidates(spark, sf).select(
+        "page_id", F.posexplode("candidates").alias("pos", "c"))
+    return c.select("page_id", "pos", F.col("c.src").alias("src"),
+                    TXT.upgrade_image_url(F.col("c.src")).alias("upgraded"))
+
+
+@register("gallery_images")
+def q_gallery_images(spark, sf):
+    c = S.image_candidates(spark, sf)
+    g = PG.gallery(F.col("existing"), F.col("candidates"))
+    return c.select("page_id", F.size("candidates").alias("n_candidates"),
+                    F.size(g).alias("n_images"), F.array_join(g, " ").alias("images"))
+
+
+@register("enrich_details")
+def q_enrich_details(spark, sf):
+    posts_src = read_table(spark, sf, "documents", "doc_id", "lang", "text", "source").select(
+        F.col("doc_id").alias("page_id"), F.col("doc_id").cast("string").alias("id"),
+        F.col("lang").alias("query"), F.col("text").alias("description"),
+        F.col("source").alias("location"))
+    e = PG.enrich_details(posts_src, PG.detail_fields(S.captured(spark, sf)))
+    return e.select("id", "query", F.length("description").alias("description_len"), "location")
+
+
+def _scan_cards(spark, sf):
+    o = S.obs(spark, sf)
+    return o.select(F.concat("query", F.lit("@"), F.col("scan_day").cast("string")).alias("scan_id"),
+                    "id", (F.hour("scraped_at") + 1).cast("int").alias("page_num"),
+                    F.col("seq").alias("pos"), "price_nok")
+
+
+@register("scan_complete")
+def q_scan_complete(spark, sf):
+    cards = _scan_cards(spark, sf)
+    return PG.scan_completeness(cards, cards.select("scan_id", "page_num"))
+
+
+@register("dedupe_scan")
+def q_dedupe_scan(spark, sf):
+    cards = _scan_cards(spark, sf)
+    comp = PG.scan_completeness(cards, cards.select("scan_id", "page_num"))
+    return PG.dedupe_scan(cards, comp)

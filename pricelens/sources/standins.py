@@ -176,3 +176,26 @@ def stored_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(t == 1, F.lit('["toxic language", "check seller"]'))
          .when(q == 0, F.lit("not json")).when(q == 1, F.lit("[]")).alias("ai_red_flags"),
     )
+
+
+HREFS_RE = r"<a\b[^>]*\shref=\"([^\"]*)\""
+CDN_PREFIX = "https://images.finncdn.no/dynamic/"
+
+
+def image_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per captured page, image candidates derived from its links: each href
+    becomes a CDN path with a width from the page id and position (some are
+    thumbnails); the first one is the card's existing image."""
+    p = read_table(spark, sf_dir, "pages", "page_id", "html")
+    hrefs = F.regexp_extract_all("html", F.lit(HREFS_RE), 1)
+    pid = F.col("page_id")
+
+    def cand(h, i):
+        w = F.lit(40) + (pid * 7 + i * 13) % 400
+        return F.struct(F.concat(F.lit(CDN_PREFIX), w.cast("string"), F.lit("x"), w.cast("string"),
+                                 F.lit("c"), h).alias("src"), w.cast("int").alias("width"))
+
+    c = p.select("page_id", F.transform(hrefs, cand).alias("candidates"))
+    return c.withColumn("existing", F.when(F.size("candidates") > 0,
+                                           F.array(F.col("candidates")[0]["src"]))
+                        .otherwise(F.array().cast("array<string>")))
