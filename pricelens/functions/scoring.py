@@ -38,9 +38,13 @@ def keyword_hits(text: Column, words: Sequence[str]) -> Column:
 
 def composite_score(title, description, price_score_col, reviewed_battery=None,
                     positive: Sequence[str] = POSITIVE_KEYWORDS,
-                    negative: Sequence[str] = NEGATIVE_KEYWORDS) -> Column:
-    """0-100 deal score = price part (<=40) + battery part (<=30) + content (<=30)."""
-    text = score_text(title, description)
+                    negative: Sequence[str] = NEGATIVE_KEYWORDS,
+                    text: Column | None = None) -> Column:
+    """0-100 deal score = price part (<=40) + battery part (<=30) + content (<=30).
+
+    ``text`` may pass a precomputed ``score_text`` column (see
+    ``with_composite_score``) so the lower-cased text is built once."""
+    text = score_text(title, description) if text is None else text
     ps = _c(price_score_col)
     price_part = F.when(ps.isNull(), F.lit(20.0)).otherwise(
         clamp(F.lit(20.0) - ps * F.lit(0.5), 0.0, 40.0))
@@ -73,3 +77,14 @@ def condition_band(cs) -> Column:
     s = _c(cs)
     return (F.when(s.isNull(), F.lit(None).cast("string"))
             .when(s >= 8, F.lit("good")).when(s >= 5, F.lit("fair")).otherwise(F.lit("poor")))
+
+
+def with_composite_score(df, title="title", description="description", ps="price_score",
+                         reviewed_battery=None, out: str = "composite_score"):
+    """Add the composite score through a staged ``_score_text`` column: the
+    lower-cased text is computed once per row and every keyword test reads it."""
+    staged = df.withColumn("_score_text", score_text(_c(title), _c(description)))
+    rb = _c(reviewed_battery) if reviewed_battery is not None else None
+    return (staged.withColumn(out, composite_score(title, description, ps, rb,
+                                                   text=F.col("_score_text")))
+            .drop("_score_text"))

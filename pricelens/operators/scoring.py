@@ -13,8 +13,7 @@ from pricelens.params import NEGATIVE_KEYWORDS, POSITIVE_KEYWORDS
 def score_listings(scored: DataFrame, reviewed_battery: str | None = None) -> DataFrame:
     """Add ``composite_score`` (needs title, description, price_score)."""
     rb = F.col(reviewed_battery) if reviewed_battery else None
-    return scored.withColumn(
-        "composite_score", SC.composite_score("title", "description", "price_score", rb))
+    return SC.with_composite_score(scored, reviewed_battery=rb)
 
 
 def best_first(scored: DataFrame) -> DataFrame:

@@ -83,27 +83,38 @@ def page_cards(pages: DataFrame, exact=ALLOWED_EXACT_HOSTS, suffixes=ALLOWED_HOS
                          F.posexplode(F.regexp_extract_all("html", F.lit(CARD_RE), 1))
                          .alias("pos", "card"))
     c = F.col("card")
-    pref = F.regexp_extract(c, LISTING_LINK_RE, 1)
-    anyl = F.regexp_extract(c, ANY_LINK_RE, 1)
-    link = F.when(pref != "", pref).otherwise(anyl)
-    href = F.regexp_extract(link, HREF_RE, 1)
-    url = safe_listing_url(absolute_url(href), exact, suffixes)
-    title = inner_text(_first_of(c, TITLE_RE, 3))
-    title = F.when(title != "", title).otherwise(inner_text(F.regexp_extract(link, ANCHOR_TEXT_RE, 1)))
-    price_text = F.when(_present(c, PRICE_RE), _first_of(c, PRICE_RE, 3))
-    location = F.coalesce(*[F.when(_present(c, p), location_text(inner_text(F.regexp_extract(c, p, 1))))
-                            for p in LOCATION_RES])
-    img = F.regexp_extract(c, IMG_RE, 0)
-    src = F.coalesce(F.nullif(F.regexp_extract(img, SRC_RE, 1), F.lit("")),
-                     F.regexp_extract(img, DATA_SRC_RE, 1))
+    # Staged projections: shared regex results become columns, and the seven
+    # text fragments go through ``inner_text`` once, inside one ``transform``,
+    # which keeps the generated code of the stage small.  An absent element
+    # extracts as '' and so reads as "no value" downstream.
+    s1 = cards.select("*", F.regexp_extract(c, LISTING_LINK_RE, 1).alias("_pref"),
+                      F.regexp_extract(c, ANY_LINK_RE, 1).alias("_any"))
+    s2 = s1.select("*", F.when(F.col("_pref") != "", F.col("_pref"))
+                   .otherwise(F.col("_any")).alias("_link"))
+    frags = F.array(_first_of(c, TITLE_RE, 3), F.regexp_extract("_link", ANCHOR_TEXT_RE, 1),
+                    *[F.regexp_extract(c, p, 1) for p in LOCATION_RES],
+                    _first_of(c, DESC_RE, 2))
+    s3 = s2.select("*", F.regexp_extract("_link", HREF_RE, 1).alias("_href"),
+                   F.transform(frags, inner_text).alias("_txt"),
+                   _first_of(c, PRICE_RE, 3).alias("_price_text"),
+                   F.regexp_extract(c, IMG_RE, 0).alias("_img"))
+    t = F.col("_txt")
+    n_loc = len(LOCATION_RES)
+    s4 = s3.select(
+        "*",
+        F.when(t[0] != "", t[0]).otherwise(t[1]).alias("title"),
+        F.coalesce(F.nullif(F.regexp_extract("_img", SRC_RE, 1), F.lit("")),
+                   F.regexp_extract("_img", DATA_SRC_RE, 1)).alias("_src"))
+    location = F.coalesce(*[location_text(t[2 + i]) for i in range(n_loc)])
+    src = F.col("_src")
     images = F.when((src != "") & image_url_allowed(src), F.array(src)).otherwise(
         F.array().cast("array<string>"))
-    desc = F.when(_present(c, DESC_RE), inner_text(_first_of(c, DESC_RE, 2))).otherwise(F.lit(""))
-    out = cards.select(
+    href = F.col("_href")
+    out = s4.select(
         "page_id", "query", "page_num", "pos",
-        F.when(href != "", url).alias("url"), title.alias("title"),
-        parse_price(price_text).alias("price_nok"), location.alias("location"),
-        images.alias("image_urls"), desc.alias("description"))
+        F.when(href != "", safe_listing_url(absolute_url(href), exact, suffixes)).alias("url"),
+        "title", parse_price(F.col("_price_text")).alias("price_nok"), location.alias("location"),
+        images.alias("image_urls"), t[2 + n_loc].alias("description"))
     return (out.filter(F.col("url").isNotNull() & (F.col("title") != ""))
             .withColumn("id", listing_id_from_url("url")))
 

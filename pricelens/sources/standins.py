@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.functions.scoring import composite_score
+from pricelens.functions.scoring import with_composite_score
 from pricelens.functions.text import py_strip
 from pricelens.operators.market import score_against_market, market_report
 from pricelens.params import BASE_URL
@@ -53,8 +53,7 @@ def latest_state(o: DataFrame) -> DataFrame:
            .withColumn("description", F.lit(""))
            .drop("last_day", "scan_day"))
     scored = score_against_market(cur, market_report(cur))
-    return scored.withColumn(
-        "composite_score", composite_score("title", "description", "price_score"))
+    return with_composite_score(scored)
 
 
 def listings_v(spark: SparkSession, sf_dir: str) -> DataFrame:
