@@ -29,8 +29,18 @@ def d(x: float) -> str:
 
 
 def py_round(e: str, digits: int) -> str:
+    """Same exact half-even rounding as ``functions.numeric.py_round``; the
+    argument is bound once through a one-element lambda."""
     s = d(float(10 ** digits))
-    return f"(round_even(({e}) * {s}, 0) / {s})"
+    k = d(134217729.0)
+    body = (f"CASE WHEN x IS NULL THEN NULL "
+            f"WHEN x * {s} - floor(x * {s}) = {d(0.5)} AND "
+            f"(((x * {k}) - ((x * {k}) - x)) * {s} - x * {s}) + (x - ((x * {k}) - ((x * {k}) - x))) * {s} > 0 "
+            f"THEN ceil(x * {s}) "
+            f"WHEN x * {s} - floor(x * {s}) = {d(0.5)} AND "
+            f"(((x * {k}) - ((x * {k}) - x)) * {s} - x * {s}) + (x - ((x * {k}) - ((x * {k}) - x))) * {s} < 0 "
+            f"THEN floor(x * {s}) ELSE round_even(x * {s}, 0) END / {s}")
+    return f"(list_transform([CAST(({e}) AS DOUBLE)], lambda x: {body})[1])"
 
 
 def clamp(e: str, lo: float, hi: float) -> str:
