@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pricelens.params import IMAGE_SIZE_PATTERN, IMAGE_SIZE_TARGET, PY_WHITESPACE_CLASS
+from pricelens.params import (
+    IMAGE_SIZE_PATTERN, IMAGE_SIZE_TARGET, PY_WHITESPACE_CHARS, PY_WHITESPACE_CLASS,
+)
 
 WS = PY_WHITESPACE_CLASS
 DIGIT = r"\p{Nd}"
@@ -24,8 +26,11 @@ def _c(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """Strip every Unicode blank from both ends (``trim`` only strips spaces)."""
-    return F.regexp_replace(_c(c), rf"^{WS}+|{WS}+$", "")
+    """Strip every Unicode blank from both ends (``trim`` only strips spaces).
+
+    ``btrim`` with an explicit character set works on the UTF-8 bytes
+    directly, no regex and no string conversion of large texts."""
+    return F.btrim(_c(c), F.lit(PY_WHITESPACE_CHARS))
 
 
 def normalize_query(c) -> Column:

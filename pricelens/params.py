@@ -47,6 +47,13 @@ PY_WHITESPACE_CLASS = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
 
+# The same blanks as a plain character set (for trimming without a regex).
+PY_WHITESPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Export columns, in order.
 EXPORT_COLUMNS: tuple[str, ...] = (
     "id", "query", "title", "price_nok", "price_score", "composite_score",

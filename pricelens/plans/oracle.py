@@ -680,3 +680,12 @@ SELECT scan_id, id, page_num, pos, price_nok FROM (
   SELECT c.*, row_number() OVER (PARTITION BY c.scan_id, c.id ORDER BY c.page_num, c.pos) AS rn
   FROM scan_cards c JOIN scan_comp s USING (scan_id) WHERE c.page_num <= s.stop_page) t
 WHERE rn = 1""", "scan_cards", "scan_comp")
+
+# --- streaming twins -------------------------------------------------------
+
+ORACLE["scan_activity"] = build_sql("""
+SELECT query, date_trunc('day', scraped_at) AS window_start,
+       date_trunc('day', scraped_at) + INTERVAL 1 DAY AS window_end, count(*) AS n_obs
+FROM obs GROUP BY query, date_trunc('day', scraped_at)
+HAVING date_trunc('day', scraped_at) + INTERVAL 1 DAY
+       <= (SELECT max(scraped_at) FROM obs) - INTERVAL 3600 SECOND""", "obs")

@@ -420,3 +420,13 @@ def q_dedupe_scan(spark, sf):
     cards = _scan_cards(spark, sf)
     comp = PG.scan_completeness(cards, cards.select("scan_id", "page_num"))
     return PG.dedupe_scan(cards, comp)
+
+
+# --- streaming twins -------------------------------------------------------
+
+from pricelens.streaming import feed as FD  # noqa: E402
+
+
+@register("scan_activity")
+def q_scan_activity(spark, sf):
+    return FD.scan_activity(S.obs(spark, sf))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pricelens.params import (
     ALLOWED_EXACT_HOSTS, ALLOWED_HOST_SUFFIXES, BASE_URL, IMAGE_SIZE_TARGET,
-    NEGATIVE_KEYWORDS, POSITIVE_KEYWORDS, PY_WHITESPACE_CLASS,
+    NEGATIVE_KEYWORDS, POSITIVE_KEYWORDS, PY_WHITESPACE_CHARS, PY_WHITESPACE_CLASS,
 )
 
 WS = PY_WHITESPACE_CLASS
@@ -48,7 +48,8 @@ def clamp(e: str, lo: float, hi: float) -> str:
 
 
 def py_strip(e: str) -> str:
-    return f"regexp_replace({e}, {q(f'^{WS}+|{WS}+$')}, '', 'g')"
+    chars = " || ".join(f"chr({ord(ch)})" for ch in PY_WHITESPACE_CHARS)
+    return f"trim({e}, {chars})"
 
 
 def normalize_query(e: str) -> str:
