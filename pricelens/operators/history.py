@@ -10,10 +10,15 @@ Scale notes
   the previous one is the same aggregate over rows strictly before it, found
   with an equi-join on the key that AQE can split when a key is hot.
 * ``price_changes`` (the full rebuild) and ``step_changes`` need each row's
-  predecessor, a ``lag`` over a window per listing key.  Keys are single
-  listings, so a window holds one listing's observations; the incremental
-  path (``tables.append_history``) only ever windows the last stored row plus
-  the new batch rows of a key.
+  predecessor within its key.  ``sequential_lag`` gets it without a window
+  per key, so one listing holding a third of all rows is still spread over
+  many tasks: rows are range-partitioned on ``(key, order)`` (Spark samples
+  the bounds, so a hot key spans several partitions), ``lag`` runs inside
+  each range partition, and each partition's first row takes the last row
+  of the previous non-empty partition from a boundary table with one row per
+  partition (its size is bounded by the partition count, so broadcasting it
+  is safe).  The incremental path (``tables.append_history``) only windows
+  the last stored row plus the new batch rows of a key.
 """
 
 from __future__ import annotations
@@ -36,13 +41,38 @@ def observations_to_history(obs: DataFrame) -> DataFrame:
                     F.col("scraped_at").alias("seen_at"), "seq"))
 
 
+def sequential_lag(df: DataFrame, keys: list[str], order: list[str], value: str,
+                   out: str = "_prev", partitions: int | None = None) -> DataFrame:
+    """Add ``out`` = ``value`` of the previous row of the same key in ``order``
+    (NULL for a key's first row), skew-safe (see module notes)."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cols = keys + order
+    r = df.repartitionByRange(n, *cols).withColumn("_pid", F.spark_partition_id())
+    row = F.struct(*[F.col(c) for c in cols], F.col(value).alias("_v"))
+    # Last row of every non-empty partition, and for each partition the last
+    # row of the nearest earlier one: one row per partition.
+    last = r.groupBy("_pid").agg(F.max(row).alias("_last"))
+    boundary = last.select("_pid", F.lag("_last").over(Window.orderBy("_pid")).alias("_b"))
+    w = Window.partitionBy("_pid").orderBy(*cols)
+    same_key_prev = F.lit(True)
+    for k in keys:
+        same_key_prev = same_key_prev & (F.lag(k).over(w) == F.col(k))
+    inner = F.when(same_key_prev, F.lag(value).over(w))
+    with_inner = r.select("*", inner.alias("_inner"), F.row_number().over(w).alias("_rn"))
+    b_same = F.lit(True)
+    for k in keys:
+        b_same = b_same & (F.col(f"_b.{k}") == F.col(k))
+    j = with_inner.join(F.broadcast(boundary), "_pid", "left")
+    prev = F.when(F.col("_rn") == 1, F.when(b_same, F.col("_b._v"))).otherwise(F.col("_inner"))
+    return j.select(*df.columns, prev.alias(out))
+
+
 def price_changes(obs: DataFrame) -> DataFrame:
     """Change-only history: a priced observation is recorded iff its price differs
     from the previous priced observation of the same (id, query)."""
     h = observations_to_history(obs)
-    w = Window.partitionBy(*KEY).orderBy("seen_at", "seq")
-    prev = F.lag("price").over(w)
-    return (h.withColumn("_prev", prev)
+    return (sequential_lag(h, list(KEY), ["seen_at", "seq"], "price")
             .filter(F.col("_prev").isNull() | (F.col("_prev") != F.col("price")))
             .drop("_prev"))
 
@@ -94,10 +124,11 @@ def price_drops(history: DataFrame, listings: DataFrame, limit: int | None = Non
 
 def step_changes(history: DataFrame) -> DataFrame:
     """Each history point with the % change from the previous one (NULL first)."""
-    w = Window.partitionBy(*KEY).orderBy("seen_at", "seq")
-    prev = F.lag("price").over(w)
-    return history.withColumn(
-        "change_pct", (F.col("price") - prev).cast("double") / prev.cast("double") * F.lit(100.0))
+    h = sequential_lag(history, list(KEY), ["seen_at", "seq"], "price")
+    prev = F.col("_prev")
+    return h.withColumn(
+        "change_pct", (F.col("price") - prev).cast("double") / prev.cast("double") * F.lit(100.0)
+    ).drop("_prev")
 
 
 def listing_histories(history: DataFrame, listings: DataFrame,
