@@ -111,3 +111,38 @@ def select_candidates(scored: DataFrame, limit: int, suspicious: float = -60.0)
               .filter((F.col("_tier") == F.col("_min_tier"))
                       & (F.col("_v") == F.when(F.col("_use_cs"), 0).otherwise(1))))
     return picked.drop("_tier", "_v", "_min_tier", "_use_cs")
+
+
+def percentiles(freq: DataFrame, ps: list[float]) -> DataFrame:
+    """Linear-interpolated percentiles per search with the rule
+    ``k = (n-1)*p/100, f = int(k), c = min(f+1, n-1)``,
+    ``v[f]*(c-k) + v[c]*(k-f)`` (``v[f]`` when ``f == c``); 0.0 when nothing
+    is priced, the value itself for one price.
+
+    Works on the ``(query, price, cnt)`` table: a running count over a
+    search's *distinct* prices gives each price its rank range, and each order
+    statistic is ``min(price)`` over prices whose last rank reaches it.  The
+    per-search window holds distinct prices only, never raw rows."""
+    priced = freq.filter(F.col("price").isNotNull())
+    run = Window.partitionBy("query").orderBy("price").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (priced.withColumn("_hi", F.sum("cnt").over(run) - 1)
+              .withColumn("_n", F.sum("cnt").over(Window.partitionBy("query"))))
+    n = F.col("_n")
+    aggs = [F.max("_n").alias("_n")]
+    for i, p in enumerate(ps):
+        k = (n - 1).cast("double") * F.lit(p / 100.0)
+        f = F.floor(k).cast("bigint")
+        c = F.least(f + 1, n - 1)
+        aggs += [F.min(F.when(F.col("_hi") >= f, F.col("price"))).alias(f"_vf{i}"),
+                 F.min(F.when(F.col("_hi") >= c, F.col("price"))).alias(f"_vc{i}"),
+                 F.max(k).alias(f"_k{i}"), F.max(f).alias(f"_f{i}"), F.max(c).alias(f"_c{i}")]
+    g = ranked.groupBy("query").agg(*aggs)
+    out = [F.col("query")]
+    for i, p in enumerate(ps):
+        vf, vc = F.col(f"_vf{i}").cast("double"), F.col(f"_vc{i}").cast("double")
+        k, f, c = F.col(f"_k{i}"), F.col(f"_f{i}"), F.col(f"_c{i}")
+        val = F.when(f == c, vf).otherwise(vf * (c.cast("double") - k) + vc * (k - f.cast("double")))
+        out.append(val.alias(f"p{p:g}"))
+    with_empty = freq.select("query").distinct()
+    return with_empty.join(g.select(*out), "query", "left").select(
+        "query", *[F.coalesce(F.col(f"p{p:g}"), F.lit(0.0)).alias(f"p{p:g}") for p in ps])

@@ -210,11 +210,23 @@ ORACLE["battery_pct"] = build_sql(
     f"SELECT id, query, {X.battery_match(_TEXT)} AS battery_match, "
     f"{X.battery_from_text(_TEXT)} AS battery_pct FROM posts", "posts")
 
-_P = "CASE WHEN price_nok > 0 THEN price_nok END"
-ORACLE["market_percentiles"] = build_sql(
-    "SELECT query, " + ", ".join(
-        f"coalesce(quantile_cont({_P}, {X.d(p / 100)}), {X.d(0.0)}) AS p{p}"
-        for p in (0, 10, 25, 50, 75, 90, 100)) + " FROM posts GROUP BY query", "posts")
+def _percentiles_sql(src: str, ps) -> str:
+    """The interpolation rule of ``operators.market.percentiles`` over CTE ``src``."""
+    cols = []
+    for p in ps:
+        k = f"(CAST(n - 1 AS DOUBLE) * {X.d(p / 100.0)})"
+        f = f"CAST(floor({k}) AS BIGINT)"
+        c = f"least({f} + 1, n - 1)"
+        vf = f"CAST(list_sort(v)[{f} + 1] AS DOUBLE)"
+        vc = f"CAST(list_sort(v)[{c} + 1] AS DOUBLE)"
+        cols.append(f"coalesce(CASE WHEN {f} = {c} THEN {vf} ELSE {vf} * (CAST({c} AS DOUBLE) - {k}) "
+                    f"+ {vc} * ({k} - CAST({f} AS DOUBLE)) END, {X.d(0.0)}) AS p{p:g}")
+    return (f"SELECT query, {', '.join(cols)} FROM (SELECT query, "
+            f"list(price_nok) FILTER (WHERE price_nok > 0) AS v, "
+            f"count(*) FILTER (WHERE price_nok > 0) AS n FROM {src} GROUP BY query) t")
+
+
+ORACLE["market_percentiles"] = build_sql(_percentiles_sql("posts", (0, 10, 25, 50, 75, 90, 100)), "posts")
 
 cte("sc", "SELECT * FROM listings_v WHERE price_score IS NOT NULL", ("listings_v",))
 cte("safe", "SELECT query, bool_or(price_score > CAST(-60.0 AS DOUBLE)) AS has_safe "

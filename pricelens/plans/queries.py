@@ -108,12 +108,7 @@ def q_battery_pct(spark, sf):
 
 @register("market_percentiles")
 def q_market_percentiles(spark, sf):
-    f = M.price_frequencies(S.posts(spark, sf))
-    ps = [0, 10, 25, 50, 75, 90, 100]
-    agg = f.groupBy("query").agg(
-        F.percentile(F.col("price"), [p / 100 for p in ps], F.col("cnt")).alias("q"))
-    return agg.select("query", *[F.coalesce(F.col("q")[i], F.lit(0.0)).alias(f"p{p}")
-                                 for i, p in enumerate(ps)])
+    return M.percentiles(M.price_frequencies(S.posts(spark, sf)), [0, 10, 25, 50, 75, 90, 100])
 
 
 @register("select_candidates")

@@ -65,3 +65,13 @@ def test_composite_order_when_present(spark):
     df = spark.createDataFrame(data, "id string, query string, price_nok bigint, price_score double, composite_score double")
     got = [(x["query"], x["id"], x["rank"]) for x in M.select_candidates(df, 2).orderBy("query", "rank").collect()]
     assert got == [("q", "b", 1), ("q", "a", 2), ("r", "e", 1), ("r", "d", 2)]
+
+
+def test_percentile_reference_rule(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("a", 4), ("a", 5), ("b", 7), ("c", None)],
+                               "query string, price_nok bigint").withColumn("id", F.lit("x"))
+    got = {r["query"]: (r["p0"], r["p50"], r["p100"], r["p10"])
+           for r in M.percentiles(M.price_frequencies(df), [0, 50, 100, 10]).collect()}
+    # k = 4 * 0.1 = 0.4 -> 1*(1-0.4) + 2*0.4
+    assert got == {"a": (1.0, 3.0, 5.0, 1 * (1 - 0.4) + 2 * (0.4 - 0)), "b": (7.0, 7.0, 7.0, 7.0),
+                   "c": (0.0, 0.0, 0.0, 0.0)}
