@@ -27,3 +27,7 @@ EXPORT_QUERY = "view"          # the search exported / listed by query
 # Allowed hosts for the captured pages' own links (their sites are example.*).
 PAGE_HOSTS_EXACT = ("example.com",)
 PAGE_HOST_SUFFIXES = (".example.com", ".example.org")
+
+# The event values behind observation prices run from 0 to a few hundred, so
+# the scan flow's minimum price is set in that range.
+OBS_MIN_PRICE = 10

@@ -701,3 +701,24 @@ SELECT query, date_trunc('day', scraped_at) AS window_start,
 FROM obs GROUP BY query, date_trunc('day', scraped_at)
 HAVING date_trunc('day', scraped_at) + INTERVAL 1 DAY
        <= (SELECT max(scraped_at) FROM obs) - INTERVAL 3600 SECOND""", "obs")
+
+# --- end-to-end scan flow --------------------------------------------------
+
+cte("ss_kept", f"""
+SELECT * FROM (
+  SELECT id, {X.normalize_query('query')} AS query, title, price_nok, description, seq,
+         row_number() OVER (PARTITION BY id, {X.normalize_query('query')} ORDER BY seq) AS rn
+  FROM batch) b
+WHERE rn = 1 AND NOT {_blacklisted('title', BLACKLIST_TERMS)}
+  AND NOT coalesce(price_nok < {KP.OBS_MIN_PRICE}, false)""", ("batch",))
+cte("ss_scored", f"""
+SELECT k.*, {X.price_score('k.price_nok', 'm.median')} AS price_score FROM ss_kept k LEFT JOIN (
+  SELECT query, quantile_cont(price_nok, 0.5) FILTER (WHERE price_nok > 0) AS median
+  FROM ss_kept GROUP BY query) m USING (query)""", ("ss_kept",))
+cte("ss_cs", f"SELECT *, {X.composite_score('title', 'description', 'price_score')} AS composite_score "
+             f"FROM ss_scored", ("ss_scored",))
+_candidate_ctes("ss_cs")
+cte("ss_cands", _candidates_sql("ss_cs", KP.CANDIDATE_LIMIT), ("cand_ss_cs",))
+ORACLE["scan_scoring"] = build_sql("""
+SELECT s.id, s.query, s.seq, s.price_nok, s.price_score, s.composite_score, c.rank
+FROM ss_cs s LEFT JOIN ss_cands c ON c.id = s.id AND c.query = s.query""", "ss_cs", "ss_cands")

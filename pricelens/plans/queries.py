@@ -425,3 +425,17 @@ from pricelens.streaming import feed as FD  # noqa: E402
 @register("scan_activity")
 def q_scan_activity(spark, sf):
     return FD.scan_activity(S.obs(spark, sf))
+
+
+# --- end-to-end scan flow --------------------------------------------------
+
+from pricelens.params import Params  # noqa: E402
+from pricelens.plans.search_job import score_scan  # noqa: E402
+
+
+@register("scan_scoring")
+def q_scan_scoring(spark, sf):
+    res = score_scan(S.last_scan_batch(spark, sf).drop("price_score", "composite_score"),
+                     Params(min_price=KP.OBS_MIN_PRICE, ai_limit=KP.CANDIDATE_LIMIT))
+    return res.listings.select("id", "query", "seq", "price_nok", "price_score",
+                               "composite_score", "rank")
