@@ -43,12 +43,12 @@ def q_latest_price(spark, sf):
 
 @register("price_drops")
 def q_price_drops(spark, sf):
-    return H.price_drops(_history(spark, sf), S.listings_v(spark, sf))
+    return H.price_drops(_history(spark, sf), S.listings_base(spark, sf))
 
 
 @register("top_price_drops")
 def q_top_price_drops(spark, sf):
-    return H.price_drops(_history(spark, sf), S.listings_v(spark, sf), limit=10)
+    return H.price_drops(_history(spark, sf), S.listings_base(spark, sf), limit=10)
 
 
 @register("price_history_changes")
@@ -58,7 +58,7 @@ def q_price_history_changes(spark, sf):
 
 @register("listing_histories")
 def q_listing_histories(spark, sf):
-    return H.listing_histories(_history(spark, sf), S.listings_v(spark, sf))
+    return H.listing_histories(_history(spark, sf), S.listings_base(spark, sf))
 
 
 # --- market ----------------------------------------------------------------
@@ -196,18 +196,18 @@ def q_append_history(spark, sf):
 
 @register("prune_listings")
 def q_prune_listings(spark, sf):
-    return TB.prune_listings(S.listings_v(spark, sf), KP.NOW, KP.RETENTION_DAYS).select(
+    return TB.prune_listings(S.listings_base(spark, sf), KP.NOW, KP.RETENTION_DAYS).select(
         "id", "query", "price_nok", "scraped_at", "is_active")
 
 
 @register("prune_history")
 def q_prune_history(spark, sf):
-    return TB.prune_history(_history(spark, sf), S.listings_v(spark, sf), KP.NOW, KP.RETENTION_DAYS)
+    return TB.prune_history(_history(spark, sf), S.listings_base(spark, sf), KP.NOW, KP.RETENTION_DAYS)
 
 
 @register("prune_counts")
 def q_prune_counts(spark, sf):
-    return TB.prune_counts(_history(spark, sf), S.listings_v(spark, sf), KP.NOW, KP.RETENTION_DAYS)
+    return TB.prune_counts(_history(spark, sf), S.listings_base(spark, sf), KP.NOW, KP.RETENTION_DAYS)
 
 
 # --- read models -----------------------------------------------------------
@@ -219,12 +219,12 @@ from pricelens.sources import export as EX  # noqa: E402
 
 @register("saved_searches")
 def q_saved_searches(spark, sf):
-    return SE.saved_searches(S.listings_v(spark, sf))
+    return SE.saved_searches(S.listings_base(spark, sf))
 
 
 @register("search_freshness")
 def q_search_freshness(spark, sf):
-    return SE.search_freshness(S.listings_v(spark, sf), KP.NOW, KP.CACHE_TTL_HOURS)
+    return SE.search_freshness(S.listings_base(spark, sf), KP.NOW, KP.CACHE_TTL_HOURS)
 
 
 @register("best_deals")

@@ -38,10 +38,9 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def latest_state(o: DataFrame) -> DataFrame:
-    """Listing state from observation rows: the latest row per (id, query)
-    (partial aggregate, no sort), active when seen on its search's last day,
-    price-scored against that search's median and composite-scored."""
+def latest_base(o: DataFrame) -> DataFrame:
+    """Listing state from observation rows without scores: the latest row per
+    (id, query) (partial aggregate), active when seen on its search's last day."""
     latest = (o.groupBy("id", "query")
               .agg(F.max(F.struct("scraped_at", "seq", "price_nok", "scan_day")).alias("l"))
               .select("id", "query", "l.*"))
@@ -52,6 +51,12 @@ def latest_state(o: DataFrame) -> DataFrame:
            .withColumn("url", F.concat(F.lit(BASE_URL + "/item/"), F.col("id")))
            .withColumn("description", F.lit(""))
            .drop("last_day", "scan_day"))
+    return cur
+
+
+def latest_state(o: DataFrame) -> DataFrame:
+    """``latest_base`` price-scored against each search's median and composite-scored."""
+    cur = latest_base(o)
     scored = score_against_market(cur, market_report(cur))
     return with_composite_score(scored)
 
@@ -61,6 +66,11 @@ def listings_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_state(obs(spark, sf_dir))
 
 
+def listings_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``listings_v`` without the score columns (for read models that need none)."""
+    return latest_base(obs(spark, sf_dir))
+
+
 def _split_last_scan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Observations before each search's last scan day, and that day's scan."""
     o = obs(spark, sf_dir)

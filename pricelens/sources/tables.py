@@ -5,13 +5,30 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
 
+# Text tables (heavy per-row work) worth spreading when their files hold few,
+# large row groups.
+SPREAD_TABLES = ("documents", "pages", "conversations")
+MIN_PARTITIONS_CONF = "pricelens.scan.minPartitions"
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    """Read one driver table; selecting ``cols`` right away keeps ReadSchema narrow."""
+    """Read one driver table; selecting ``cols`` right away keeps ReadSchema narrow.
+
+    A Parquet split never cuts a row group, so a file written as one large row
+    group is scanned by one task however many cores there are.  When the
+    session sets ``pricelens.scan.minPartitions`` to N and a fact table comes
+    in with fewer partitions, it is hash-spread on its first column (a
+    deterministic shuffle, safe on retry) so the per-row work downstream uses
+    N tasks.  Off by default: inputs with many row groups do not need it."""
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return df.select(*cols) if cols else df
+    df = df.select(*cols) if cols else df
+    n = int(spark.conf.get(MIN_PARTITIONS_CONF, "0") or 0)
+    if n > 0 and name in SPREAD_TABLES and df.rdd.getNumPartitions() < n:
+        df = df.repartition(n, F.col(df.columns[0]))
+    return df
