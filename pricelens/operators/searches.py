@@ -7,6 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pricelens.functions.times import ts_lit
+
 
 def _active(listings: DataFrame) -> DataFrame:
     return listings.filter(F.coalesce(F.col("is_active"), F.lit(True)))
@@ -26,7 +28,7 @@ def search_freshness(listings: DataFrame, now: datetime, ttl_hours: float) -> Da
     if ttl_hours <= 0:
         fresh = F.lit(False)
     else:
-        fresh = F.coalesce(F.col("last_scan") >= F.lit(now - timedelta(hours=ttl_hours)),
+        fresh = F.coalesce(F.col("last_scan") >= ts_lit(now - timedelta(hours=ttl_hours)),
                            F.lit(False))
     return last.withColumn("fresh", fresh)
 

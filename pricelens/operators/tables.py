@@ -32,6 +32,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pricelens.functions.times import ts_lit
+
 KEY = ["id", "query"]
 REPORT_FIELDS = ("condition_score", "battery_pct", "red_flags", "summary")
 KEPT_SCALARS = ("composite_score",)
@@ -138,7 +140,7 @@ def append_history(history: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def _cutoff(now: datetime, days: int) -> Column:
-    return F.lit(now - timedelta(days=days))
+    return ts_lit(now - timedelta(days=days))
 
 
 def stale_listings(listings: DataFrame, now: datetime, days: int) -> DataFrame:

@@ -722,3 +722,10 @@ cte("ss_cands", _candidates_sql("ss_cs", KP.CANDIDATE_LIMIT), ("cand_ss_cs",))
 ORACLE["scan_scoring"] = build_sql("""
 SELECT s.id, s.query, s.seq, s.price_nok, s.price_score, s.composite_score, c.rank
 FROM ss_cs s LEFT JOIN ss_cands c ON c.id = s.id AND c.query = s.query""", "ss_cs", "ss_cands")
+
+ORACLE["timestamp_text"] = """
+SELECT event_id, ts_text,
+       epoch_us(CAST(CASE WHEN regexp_matches(ts_text, '(Z|[+-][0-9]{2}:?[0-9]{2})$') THEN ts_text
+                          ELSE ts_text || 'Z' END AS TIMESTAMPTZ)) AS epoch_us
+FROM (SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')
+             || CASE WHEN event_id % 2 = 0 THEN '+00:00' ELSE '' END AS ts_text FROM events) t"""

@@ -439,3 +439,19 @@ def q_scan_scoring(spark, sf):
                      Params(min_price=KP.OBS_MIN_PRICE, ai_limit=KP.CANDIDATE_LIMIT))
     return res.listings.select("id", "query", "seq", "price_nok", "price_score",
                                "composite_score", "rank")
+
+
+# --- timestamps as text ----------------------------------------------------
+
+from pricelens.functions import times as TM  # noqa: E402
+
+
+@register("timestamp_text")
+def q_timestamp_text(spark, sf):
+    """Event times written as a row store keeps them (ISO text; every other
+    row with an explicit +00:00 offset) and read back; naive text is UTC."""
+    e = read_table(spark, sf, "events", "event_id", "ts")
+    text = F.concat(TM.iso_text("ts"), F.when(F.col("event_id") % 2 == 0, F.lit("+00:00"))
+                    .otherwise(F.lit("")))
+    return e.select("event_id", text.alias("ts_text"),
+                    F.unix_micros(TM.parse_iso_timestamp(text)).alias("epoch_us"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pricelens.functions.times import iso_text
 from pricelens.params import CSV_FORMULA_PREFIXES, EXPORT_COLUMNS
 
 
@@ -21,7 +22,7 @@ def export_rows(listings: DataFrame, query: str | None = None) -> DataFrame:
     df = listings if query is None else listings.filter(F.col("query") == query)
     r = F.col("ai_report")
     ts = F.col("scraped_at")
-    iso = F.when(ts.isNotNull(), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    iso = F.when(ts.isNotNull(), iso_text(ts))
     return df.select(
         "id", "query", "title", "price_nok", "price_score", "composite_score",
         r["condition_score"].alias("condition_score"),
