@@ -9,7 +9,8 @@ good choice); writes are plain ``DataFrame.write.parquet``.
 Listings are written partitioned by ``bucket = pmod(hash(query), buckets)``
 and sorted by ``(query, price_score)`` inside files, so one search's rows sit
 in one bucket directory (partition pruning for ``query = ...``) and min/max
-statistics help the price-score scans.
+statistics help the price-score scans; the write is range-partitioned so a
+hot search's bucket is written by several tasks.
 """
 
 from __future__ import annotations
@@ -75,8 +76,13 @@ class ListingStore:
         es = self.entries(table)
         path = f"{self.root}/{table}/{kind}{(es[-1][0] + 1 if es else 1):08d}"
         if table == "listings":
+            # Range partitioning on (bucket, query, price_score): a hot search's
+            # bucket is split over several write tasks (Spark samples the
+            # bounds) and each file is sorted for tight min/max statistics.
+            parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
             (df.withColumn("bucket", F.pmod(F.hash("query"), F.lit(self.buckets)))
-             .repartition("bucket").sortWithinPartitions("query", "price_score")
+             .repartitionByRange(parts, "bucket", "query", "price_score")
+             .sortWithinPartitions("bucket", "query", "price_score")
              .write.partitionBy("bucket").parquet(path))
         else:
             df.write.parquet(path)
