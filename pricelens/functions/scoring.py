@@ -17,10 +17,11 @@ def _c(c) -> Column:
 
 
 def price_score(price, median) -> Column:
-    """% above (+) or below (-) the market median, 2 decimals; NULL if unpriced."""
+    """% above (+) or below (-) the market median, 2 decimals; NULL when the
+    price is NULL or 0 (any other price is scored) or the median is not positive."""
     p, m = _c(price), _c(median)
     raw = (p.cast("double") - m) / m * F.lit(100.0)
-    return F.when((p > 0) & (m > 0), py_round(raw, 2))
+    return F.when((p != 0) & (m > 0), py_round(raw, 2))
 
 
 def score_text(title, description) -> Column:

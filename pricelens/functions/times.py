@@ -26,7 +26,12 @@ def parse_iso_timestamp(text) -> Column:
     return with_zone.try_cast("timestamp")
 
 
-def iso_text(ts) -> Column:
-    """Timestamp -> ISO-8601 text with microseconds (as a row store keeps it)."""
+def iso_text(ts, aware: bool = False) -> Column:
+    """Timestamp -> ISO-8601 text the way Python's ``isoformat`` writes it:
+    microseconds only when non-zero; with ``aware`` the zone offset
+    (``+00:00`` style) of the instant in the session zone."""
     t = F.col(ts) if isinstance(ts, str) else ts
-    return F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    micros = F.date_format(t, "SSSSSS")
+    text = F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"),
+                    F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(F.lit("")))
+    return F.concat(text, F.date_format(t, "xxx")) if aware else text

@@ -34,8 +34,8 @@ def _ord(ts: str = "seen_at", seq: str = "seq") -> Column:
 
 
 def observations_to_history(obs: DataFrame) -> DataFrame:
-    """Priced observations in history shape (price 0 / NULL is 'unpriced')."""
-    return (obs.filter(F.col("price_nok") > 0)
+    """Observations with a price in history shape (NULL and 0 mean unpriced)."""
+    return (obs.filter(F.col("price_nok") != 0)
             .select(F.col("id").alias("listing_id"), "query",
                     F.col("price_nok").alias("price"),
                     F.col("scraped_at").alias("seen_at"), "seq"))

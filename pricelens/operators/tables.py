@@ -13,7 +13,7 @@ Rules
 * A stored row of a scanned search that the batch does not contain turns
   inactive, but only when that search's scan was complete.  An empty batch
   changes nothing; a row that reappears is active again.
-* History gets a batch row when its price is set (> 0) and differs from the
+* History gets a batch row when its price is set (non-zero, like the reference's truthiness test) and differs from the
   key's previous price (the latest stored row, then earlier batch rows).
 * Retention deletes inactive listings last seen before ``now - days`` and,
   first, their history; ``days <= 0`` keeps everything.
@@ -121,7 +121,7 @@ def deactivated(table: DataFrame, new_table: DataFrame) -> DataFrame:
 
 def append_history(history: DataFrame, batch: DataFrame) -> DataFrame:
     """History rows to append for ``batch`` (change-only)."""
-    new = (batch.filter(F.col("price_nok") > 0)
+    new = (batch.filter(F.col("price_nok") != 0)
            .select(F.col("id").alias("listing_id"), "query",
                    F.col("price_nok").alias("price"),
                    F.col("scraped_at").alias("seen_at"), "seq",

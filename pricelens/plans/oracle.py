@@ -48,7 +48,7 @@ cte("hist", """
 SELECT listing_id, query, price, seen_at, seq FROM (
   SELECT id AS listing_id, query, price_nok AS price, scraped_at AS seen_at, seq,
          lag(price_nok) OVER (PARTITION BY id, query ORDER BY scraped_at, seq) AS prev
-  FROM obs WHERE price_nok > 0) t
+  FROM obs WHERE price_nok <> 0) t
 WHERE prev IS NULL OR prev <> price""", ("obs",))
 
 cte("lv_last", """
@@ -329,7 +329,7 @@ cte("hist_before", """
 SELECT listing_id, query, price, seen_at, seq FROM (
   SELECT id AS listing_id, query, price_nok AS price, scraped_at AS seen_at, seq,
          lag(price_nok) OVER (PARTITION BY id, query ORDER BY scraped_at, seq) AS prev
-  FROM obs_before WHERE price_nok > 0) t
+  FROM obs_before WHERE price_nok <> 0) t
 WHERE prev IS NULL OR prev <> price""", ("obs_before",))
 
 cte("upserted", """
@@ -370,10 +370,10 @@ SELECT listing_id, query, price, seen_at, seq FROM (
       SELECT h.*, row_number() OVER (PARTITION BY listing_id, query
                                      ORDER BY seen_at DESC, seq DESC) AS rn
       FROM hist_before h
-      WHERE EXISTS (SELECT 1 FROM batch b WHERE b.price_nok > 0
+      WHERE EXISTS (SELECT 1 FROM batch b WHERE b.price_nok <> 0
                     AND b.id = h.listing_id AND b.query = h.query)) t WHERE rn = 1
     UNION ALL
-    SELECT id, query, price_nok, scraped_at, seq, 1 FROM batch WHERE price_nok > 0) u) v
+    SELECT id, query, price_nok, scraped_at, seq, 1 FROM batch WHERE price_nok <> 0) u) v
 WHERE _new = 1 AND (prev IS NULL OR prev <> price)""", "hist_before", "batch")
 
 _CUT = f"({KP.NOW_SQL} - INTERVAL {KP.RETENTION_DAYS} DAY)"
@@ -727,5 +727,6 @@ ORACLE["timestamp_text"] = """
 SELECT event_id, ts_text,
        epoch_us(CAST(CASE WHEN regexp_matches(ts_text, '(Z|[+-][0-9]{2}:?[0-9]{2})$') THEN ts_text
                           ELSE ts_text || 'Z' END AS TIMESTAMPTZ)) AS epoch_us
-FROM (SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')
+FROM (SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S')
+             || CASE WHEN microsecond(ts) <> 0 THEN '.' || strftime(ts, '%f') ELSE '' END
              || CASE WHEN event_id % 2 = 0 THEN '+00:00' ELSE '' END AS ts_text FROM events) t"""

@@ -110,7 +110,7 @@ def location_text(t: str) -> str:
 
 def price_score(p: str, median: str) -> str:
     raw = f"((CAST({p} AS DOUBLE) - {median}) / {median} * {d(100.0)})"
-    return f"(CASE WHEN {p} > 0 AND {median} > 0 THEN {py_round(raw, 2)} END)"
+    return f"(CASE WHEN {p} <> 0 AND {median} > 0 THEN {py_round(raw, 2)} END)"
 
 
 def score_text(title: str, desc: str) -> str:

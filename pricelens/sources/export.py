@@ -22,7 +22,7 @@ def export_rows(listings: DataFrame, query: str | None = None) -> DataFrame:
     df = listings if query is None else listings.filter(F.col("query") == query)
     r = F.col("ai_report")
     ts = F.col("scraped_at")
-    iso = F.when(ts.isNotNull(), iso_text(ts))
+    iso = F.when(ts.isNotNull(), iso_text(ts, aware=True))
     return df.select(
         "id", "query", "title", "price_nok", "price_score", "composite_score",
         r["condition_score"].alias("condition_score"),

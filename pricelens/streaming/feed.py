@@ -31,7 +31,7 @@ STATE_SCHEMA = "last_price long, prev_price long"
 
 def latest_price_stream(feed: DataFrame) -> DataFrame:
     """``(id, query) -> latest (scraped_at, seq, price)``; run in update mode."""
-    return (feed.filter(F.col("price_nok") > 0)
+    return (feed.filter(F.col("price_nok") != 0)
             .groupBy("id", "query")
             .agg(F.max(F.struct("scraped_at", "seq", "price_nok")).alias("l"))
             .select("id", "query", F.col("l.price_nok").alias("price"),
@@ -57,7 +57,7 @@ def _changes(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Ite
 def price_changes_stream(feed: DataFrame) -> DataFrame:
     """Change-only history rows (append mode) with the previous recorded price
     and a drop flag."""
-    priced = feed.filter(F.col("price_nok") > 0).select("id", "query", "price_nok", "scraped_at", "seq")
+    priced = feed.filter(F.col("price_nok") != 0).select("id", "query", "price_nok", "scraped_at", "seq")
     return priced.groupBy("id", "query").applyInPandasWithState(
         _changes, CHANGE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 

@@ -84,4 +84,4 @@ def test_export_json_raw(spark, tmpdir_path):
     got = {r["id"]: r for r in map(json.loads, open(part, encoding="utf-8"))}
     assert got["1"]["title"] == "=cmd|'/c calc'!A1"
     assert got["2"]["red_flags"] is None and "condition_score" in got["2"]
-    assert got["1"]["scraped_at"] == "2026-07-01T12:00:00.000000"
+    assert got["1"]["scraped_at"] == "2026-07-01T12:00:00+00:00"
