@@ -1 +1,2 @@
-"""DataFrame operators: each takes and returns DataFrames, no actions inside."""
+"""DataFrame operators: each takes and returns DataFrames.  The only action
+inside is a row-count bound checked before broadcasting a batch-derived table."""

@@ -73,6 +73,17 @@ def _rebuild_report(df: DataFrame) -> DataFrame:
     return df.withColumn("ai_report", rep).drop(*cols)
 
 
+MAX_BROADCAST_SEARCHES = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``
+    (then a shuffle join, skew-split by AQE).  Counting runs a small job over
+    ``df`` only, so use it for tables derived from a batch, not the store."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
 def upsert_listings(table: DataFrame, batch: DataFrame,
                     complete: DataFrame | None = None,
                     prune_missing: bool = True) -> DataFrame:
@@ -88,7 +99,10 @@ def upsert_listings(table: DataFrame, batch: DataFrame,
         scanned = scanned.join(complete.groupBy("query").agg(F.bool_and("complete").alias("_c")),
                                "query", "left").filter(F.coalesce("_c", F.lit(False))).select("query")
     scanned = scanned.withColumn("_scanned", F.lit(prune_missing))
-    tj = t.join(scanned, "query", "left")
+    # One row per scanned search: joined to every stored row on ``query``.
+    # A shuffle join there would put a hot search's rows in one task, so the
+    # table is broadcast once its size is checked (it comes from the batch).
+    tj = t.join(broadcast_if_small(scanned, MAX_BROADCAST_SEARCHES), "query", "left")
     j = tj.alias("t").join(b.alias("b"), KEY, "full_outer")
     hit = F.coalesce(F.col("b._hit"), F.lit(False))
     kept = set(_kept_columns(t)) | set(_kept_columns(b))

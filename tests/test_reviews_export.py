@@ -85,3 +85,14 @@ def test_export_json_raw(spark, tmpdir_path):
     assert got["1"]["title"] == "=cmd|'/c calc'!A1"
     assert got["2"]["red_flags"] is None and "condition_score" in got["2"]
     assert got["1"]["scraped_at"] == "2026-07-01T12:00:00+00:00"
+
+
+def test_params_bounds_and_defaults():
+    import pytest
+    from pricelens.params import Params
+    p = Params()
+    assert (p.pages, p.ai_limit, p.min_price, p.cache_ttl_hours, p.retention_days) == (3, 5, 500, 6.0, 60)
+    for bad in (dict(pages=0), dict(ai_limit=-1), dict(min_price=-1), dict(deals_limit=0)):
+        with pytest.raises(ValueError):
+            Params(**bad)
+    assert Params(ai_limit=0, min_price=0).ai_limit == 0

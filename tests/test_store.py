@@ -164,3 +164,24 @@ def test_empty_batch_changes_nothing(spark, tmpdir_path):
     _scan(s, spark, [listing(1), listing(2)])
     _scan(s, spark, [])
     assert s.read("listings").filter("is_active").count() == 2
+
+
+def test_landed_scans_applied_once(spark, tmpdir_path):
+    import os
+    from pricelens.streaming.maintenance import apply_landed
+    from tests.helpers import batch as mk
+    land = os.path.join(tmpdir_path, "landing")
+    scans = [[listing(111, 5000), listing(222, 7000)],
+             [listing(111, 4000, T1)],
+             [listing(111, 3900, T1 + timedelta(days=1)), listing(222, 7000, T1 + timedelta(days=1))]]
+    for i, items in enumerate(scans):
+        df = mk(spark, items).drop("price_score", "composite_score", "ai_report")
+        if i == 1:  # a partial scan: 222 must stay active
+            df = df.withColumn("complete", F.lit(False))
+        df.write.parquet(os.path.join(land, f"scan-{i:03d}"))
+    s = _store(spark, os.path.join(tmpdir_path, "store"))
+    assert apply_landed(s, land) == ["scan-000", "scan-001", "scan-002"]
+    assert apply_landed(s, land) == []
+    assert s.read("listings").filter("is_active").count() == 2
+    assert rows(s.read("price_history"), "listing_id", "price", order=["listing_id", "seen_at"]) == \
+        [("111", 5000), ("111", 4000), ("111", 3900), ("222", 7000)]
