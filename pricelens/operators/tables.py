@@ -133,24 +133,57 @@ def deactivated(table: DataFrame, new_table: DataFrame) -> DataFrame:
     return new_table.filter(~F.col("is_active")).join(before, KEY, "left_semi")
 
 
+def _batch_history_rows(batch: DataFrame) -> DataFrame:
+    return (batch.filter(F.col("price_nok") != 0)
+            .select(F.col("id").alias("listing_id"), "query",
+                    F.col("price_nok").alias("price"),
+                    F.col("scraped_at").alias("seen_at"), "seq",
+                    F.lit(1).alias("_new")))
+
+
+def _changes_after(last: DataFrame, new: DataFrame) -> DataFrame:
+    """New rows whose price differs from the key's previous one (the stored
+    last price first, then earlier batch rows by ``seq``)."""
+    w = Window.partitionBy("listing_id", "query").orderBy("_new", "seq")
+    u = last.unionByName(new).withColumn("_prev", F.lag("price").over(w))
+    return (u.filter((F.col("_new") == 1)
+                     & (F.col("_prev").isNull() | (F.col("_prev") != F.col("price"))))
+            .drop("_new", "_prev"))
+
+
 def append_history(history: DataFrame, batch: DataFrame) -> DataFrame:
     """History rows to append for ``batch`` (change-only)."""
-    new = (batch.filter(F.col("price_nok") != 0)
-           .select(F.col("id").alias("listing_id"), "query",
-                   F.col("price_nok").alias("price"),
-                   F.col("scraped_at").alias("seen_at"), "seq",
-                   F.lit(1).alias("_new")))
+    new = _batch_history_rows(batch)
     keys = new.select("listing_id", "query").distinct()
     last = (history.join(keys, ["listing_id", "query"], "left_semi")
             .groupBy("listing_id", "query")
             .agg(F.max(F.struct("seen_at", "seq", "price")).alias("l"))
             .select("listing_id", "query", "l.price", "l.seen_at", "l.seq",
                     F.lit(0).alias("_new")))
-    w = Window.partitionBy("listing_id", "query").orderBy("_new", "seq")
-    u = last.unionByName(new).withColumn("_prev", F.lag("price").over(w))
-    return (u.filter((F.col("_new") == 1)
-                     & (F.col("_prev").isNull() | (F.col("_prev") != F.col("price"))))
-            .drop("_new", "_prev"))
+    return _changes_after(last, new)
+
+
+def append_history_from_state(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """Same rows as ``append_history``, with each key's last recorded price
+    read from the listing state's ``recorded_price`` column instead of a scan
+    of the whole history."""
+    new = _batch_history_rows(batch)
+    last = (state.filter(F.col("recorded_price").isNotNull())
+            .select(F.col("id").alias("listing_id"), "query",
+                    F.col("recorded_price").alias("price"),
+                    F.lit(None).cast("timestamp").alias("seen_at"),
+                    F.lit(None).cast("bigint").alias("seq"), F.lit(0).alias("_new")))
+    return _changes_after(last, new.withColumn("seen_at", F.col("seen_at").cast("timestamp")))
+
+
+def with_recorded_price(state: DataFrame, new_rows: DataFrame) -> DataFrame:
+    """``recorded_price`` = the last appended history price of a key, else the old one."""
+    rec = (new_rows.groupBy("listing_id", "query")
+           .agg(F.max_by("price", "seq").alias("_rec"))
+           .withColumnRenamed("listing_id", "id"))
+    old = F.col("recorded_price") if "recorded_price" in state.columns else F.lit(None).cast("bigint")
+    return (state.join(rec, KEY, "left")
+            .withColumn("recorded_price", F.coalesce(F.col("_rec"), old)).drop("_rec"))
 
 
 def _cutoff(now: datetime, days: int) -> Column:

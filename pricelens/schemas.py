@@ -75,3 +75,7 @@ PAGES = T.StructType([
     T.StructField("url", T.StringType()),
     T.StructField("html", T.StringType()),
 ])
+
+# Listing rows as the store keeps them: plus the last price written to the
+# history, so an append needs no history scan.
+STORED_LISTINGS = T.StructType(list(LISTINGS.fields) + [T.StructField("recorded_price", T.LongType())])

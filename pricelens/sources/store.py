@@ -27,12 +27,20 @@ from pricelens.operators import tables as TB
 class ListingStore:
     """Tables ``listings`` and ``price_history`` under ``root``.
 
-    A table is a series of numbered directories: ``b<n>`` holds a full
-    snapshot, ``a<n>`` rows appended after it.  A directory counts once Spark
-    wrote its ``_SUCCESS`` marker, so a failed job leaves no trace.  Reading
-    takes the newest snapshot plus the appends numbered after it: the history
-    grows by appending only the new change rows of each scan, and retention
-    writes a new snapshot.  Paths go through the Hadoop FileSystem API, so the
+    ``price_history`` is a series of numbered directories: ``b<n>`` a full
+    snapshot, ``a<n>`` rows appended after it; reading takes the newest
+    snapshot plus the later appends.  Each scan appends only its change rows.
+
+    ``listings`` is versioned per bucket (``bucket = pmod(hash(query), N)``):
+    version ``v<n>`` holds ``bucket=K`` directories for the buckets it
+    rewrote, and a bucket's current data is its newest version.  A scan
+    rewrites only the buckets of the searches it contains, so its cost
+    follows the scanned searches, not the table.  Each listing row also
+    carries ``recorded_price``, the last price written to the history, so
+    appending needs no history scan.
+
+    A directory counts once Spark wrote its ``_SUCCESS`` marker, so a failed
+    job leaves no trace.  Paths go through the Hadoop FileSystem API, so the
     root may be any cluster filesystem."""
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
@@ -45,15 +53,18 @@ class ListingStore:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def _bucket(self):
+        return F.pmod(F.hash("query"), F.lit(self.buckets))
+
     def entries(self, table: str) -> list[tuple[int, str]]:
-        """Committed ``(number, kind)`` entries, kind ``b`` (snapshot) or ``a`` (append)."""
+        """Committed ``(number, kind)`` entries, kind ``b``/``a``/``v``."""
         fs, p = self._fs(f"{self.root}/{table}")
         if not fs.exists(p):
             return []
         out = []
         for st in fs.listStatus(p):
             name = st.getPath().getName()
-            if st.isDirectory() and name[:1] in ("a", "b") and name[1:].isdigit():
+            if st.isDirectory() and name[:1] in ("a", "b", "v") and name[1:].isdigit():
                 if fs.exists(self._fs(f"{self.root}/{table}/{name}/_SUCCESS")[1]):
                     out.append((int(name[1:]), name[0]))
         return sorted(out)
@@ -64,38 +75,75 @@ class ListingStore:
         start = bases[-1] if bases else 0
         return [f"{self.root}/{table}/{k}{n:08d}" for n, k in es if n >= start]
 
+    def bucket_paths(self, buckets: list[int] | None = None) -> list[str]:
+        """Current directory of each (wanted) listing bucket."""
+        cur: dict[int, str] = {}
+        for n, _ in self.entries("listings"):
+            vdir = f"{self.root}/listings/v{n:08d}"
+            fs, p = self._fs(vdir)
+            for st in fs.listStatus(p):
+                name = st.getPath().getName()
+                if st.isDirectory() and name.startswith("bucket="):
+                    cur[int(name.split("=", 1)[1])] = f"{vdir}/{name}"
+        wanted = cur if buckets is None else {b: cur[b] for b in buckets if b in cur}
+        return [wanted[b] for b in sorted(wanted)]
+
+    def _read_listings(self, buckets: list[int] | None = None) -> DataFrame:
+        schema = schemas.STORED_LISTINGS
+        paths = self.bucket_paths(buckets)
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths).select(*schema.fieldNames())
+
     def read(self, table: str) -> DataFrame:
-        schema = schemas.LISTINGS if table == "listings" else schemas.PRICE_HISTORY
+        if table == "listings":
+            return self._read_listings().select(*schemas.LISTINGS.fieldNames())
         paths = self.paths(table)
         if not paths:
-            return self.spark.createDataFrame([], schema)
-        df = self.spark.read.schema(schema).parquet(*paths)
-        return df.select(*schema.fieldNames())
+            return self.spark.createDataFrame([], schemas.PRICE_HISTORY)
+        return (self.spark.read.schema(schemas.PRICE_HISTORY).parquet(*paths)
+                .select(*schemas.PRICE_HISTORY.fieldNames()))
 
-    def _commit(self, table: str, df: DataFrame, kind: str) -> str:
+    def _next(self, table: str, kind: str) -> str:
         es = self.entries(table)
-        path = f"{self.root}/{table}/{kind}{(es[-1][0] + 1 if es else 1):08d}"
-        if table == "listings":
-            # Range partitioning on (bucket, query, price_score): a hot search's
-            # bucket is split over several write tasks (Spark samples the
-            # bounds) and each file is sorted for tight min/max statistics.
-            parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            (df.withColumn("bucket", F.pmod(F.hash("query"), F.lit(self.buckets)))
-             .repartitionByRange(parts, "bucket", "query", "price_score")
-             .sortWithinPartitions("bucket", "query", "price_score")
-             .write.partitionBy("bucket").parquet(path))
-        else:
-            df.write.parquet(path)
+        return f"{self.root}/{table}/{kind}{(es[-1][0] + 1 if es else 1):08d}"
+
+    def _commit(self, table: str, df: DataFrame, kind: str) -> str:
+        path = self._next(table, kind)
+        df.write.parquet(path)
+        return path
+
+    def _commit_listings(self, df: DataFrame) -> str:
+        """Write the given rows as a new version of the buckets they fall in.
+        Range partitioning on (bucket, query, price_score) splits a hot
+        search's bucket over several write tasks and sorts each file."""
+        path = self._next("listings", "v")
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        cols = schemas.STORED_LISTINGS.fieldNames()
+        (df.select(*cols).withColumn("bucket", self._bucket())
+         .repartitionByRange(parts, "bucket", "query", "price_score")
+         .sortWithinPartitions("bucket", "query", "price_score")
+         .write.partitionBy("bucket").parquet(path))
         return path
 
     def apply_scan(self, batch: DataFrame, complete: DataFrame | None = None,
                    prune_missing: bool = True) -> None:
-        """Upsert one scan's listings and append its price changes."""
-        listings, history = self.read("listings"), self.read("price_history")
-        new_rows = TB.append_history(history, batch).select(*schemas.PRICE_HISTORY.fieldNames())
-        new_listings = TB.upsert_listings(listings, batch, complete, prune_missing)
+        """Upsert one scan's listings and append its price changes, touching
+        only the buckets of the scanned searches."""
+        touched = [r[0] for r in batch.select(self._bucket().alias("b")).distinct().collect()]
+        if not touched:
+            return
+        state = self._read_listings(touched)
+        new_rows = TB.append_history_from_state(state, batch).select(*schemas.PRICE_HISTORY.fieldNames())
         self._commit("price_history", new_rows, "a")
-        self._commit("listings", new_listings.select(*schemas.LISTINGS.fieldNames()), "b")
+        appended = self.read_history_part(self.entries("price_history")[-1][0])
+        new_state = TB.with_recorded_price(TB.upsert_listings(state, batch, complete, prune_missing),
+                                           appended)
+        self._commit_listings(new_state)
+
+    def read_history_part(self, n: int) -> DataFrame:
+        return self.spark.read.schema(schemas.PRICE_HISTORY).parquet(
+            f"{self.root}/price_history/a{n:08d}")
 
     def prune(self, now: datetime, days: int) -> list[tuple[str, int]]:
         """Retention: delete stale inactive listings and, first, their history."""
@@ -104,5 +152,19 @@ class ListingStore:
                   for r in TB.prune_counts(history, listings, now, days).collect()]
         if days > 0 and any(n for _, n in counts):
             self._commit("price_history", TB.prune_history(history, listings, now, days), "b")
-            self._commit("listings", TB.prune_listings(listings, now, days), "b")
+            kept = TB.prune_listings(self._read_listings(), now, days)
+            # every bucket gets a new version; emptied buckets become empty dirs
+            self._commit_listings(kept)
+            self._mark_empty_buckets(kept)
         return counts
+
+    def _mark_empty_buckets(self, kept: DataFrame) -> None:
+        """Buckets left without rows get an empty version so old data is not
+        read again."""
+        present = {r[0] for r in kept.select(self._bucket()).distinct().collect()}
+        vdir = f"{self.root}/listings/v{self.entries('listings')[-1][0]:08d}"
+        schema = schemas.STORED_LISTINGS
+        for b in set(range(self.buckets)) - present:
+            if self.bucket_paths([b]):
+                (self.spark.createDataFrame([], schema).coalesce(1)
+                 .write.mode("overwrite").parquet(f"{vdir}/bucket={b}"))

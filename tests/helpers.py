@@ -17,10 +17,11 @@ def listing(id, price=5000, at=None, query="iphone 13", title="iPhone 13", descr
                 composite_score=composite, ai_report=report)
 
 
-BATCH_SCHEMA = schemas.OBSERVATIONS
-for f in ("price_score", "composite_score"):
-    BATCH_SCHEMA = BATCH_SCHEMA.add(f, "double")
-BATCH_SCHEMA = BATCH_SCHEMA.add("ai_report", schemas.AI_REPORT)
+from pyspark.sql import types as T
+
+BATCH_SCHEMA = T.StructType(list(schemas.OBSERVATIONS.fields) + [
+    T.StructField("price_score", T.DoubleType()), T.StructField("composite_score", T.DoubleType()),
+    T.StructField("ai_report", schemas.AI_REPORT)])
 
 
 def batch(spark, rows):

@@ -185,3 +185,19 @@ def test_landed_scans_applied_once(spark, tmpdir_path):
     assert s.read("listings").filter("is_active").count() == 2
     assert rows(s.read("price_history"), "listing_id", "price", order=["listing_id", "seen_at"]) == \
         [("111", 5000), ("111", 4000), ("111", 3900), ("222", 7000)]
+
+
+def test_scan_rewrites_only_its_buckets(spark, tmpdir_path):
+    s = ListingStore(spark, tmpdir_path, buckets=64)
+    b = lambda q: spark.createDataFrame([(q,)], "query string").select(
+        F.pmod(F.hash("query"), F.lit(64))).collect()[0][0]
+    qa, qb = "iphone 13", "macbook air"
+    assert b(qa) != b(qb)
+    _scan(s, spark, [listing(1, query=qa), listing(2, query=qb)])
+    _scan(s, spark, [listing(1, 4000, T1, query=qa)])
+    import os
+    latest = sorted(d for d in os.listdir(os.path.join(tmpdir_path, "listings")) if d.startswith("v"))[-1]
+    buckets = [d for d in os.listdir(os.path.join(tmpdir_path, "listings", latest)) if d.startswith("bucket=")]
+    assert buckets == [f"bucket={b(qa)}"]
+    got = {r["id"]: (r["price_nok"], r["is_active"]) for r in s.read("listings").collect()}
+    assert got == {"1": (4000, True), "2": (5000, True)}
