@@ -730,3 +730,7 @@ SELECT event_id, ts_text,
 FROM (SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S')
              || CASE WHEN microsecond(ts) <> 0 THEN '.' || strftime(ts, '%f') ELSE '' END
              || CASE WHEN event_id % 2 = 0 THEN '+00:00' ELSE '' END AS ts_text FROM events) t"""
+
+ORACLE["drops_for_query"] = build_sql(
+    _DROPS.replace("ORDER BY drop_pct DESC", f"WHERE d.query = {X.q(KP.EXPORT_QUERY)} ORDER BY drop_pct DESC"),
+    "ranked", "listings_v")

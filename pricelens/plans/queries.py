@@ -455,3 +455,13 @@ def q_timestamp_text(spark, sf):
                     .otherwise(F.lit("")))
     return e.select("event_id", text.alias("ts_text"),
                     F.unix_micros(TM.parse_iso_timestamp(text)).alias("epoch_us"))
+
+
+@register("drops_for_query")
+def q_drops_for_query(spark, sf):
+    """Drops of one search.  History is per (id, query), so filtering the
+    observations first is equivalent and lets the filter reach the scan (the
+    range-partitioned lag would otherwise stop it)."""
+    q = F.col("query") == KP.EXPORT_QUERY
+    hist = H.price_changes(S.obs(spark, sf).filter(q))
+    return H.price_drops(hist, S.listings_base(spark, sf), query=KP.EXPORT_QUERY)
