@@ -96,9 +96,9 @@ def with_composite_score(df, title="title", description="description", ps="price
                          reviewed_battery=None, out: str = "composite_score"):
     """Add the composite score through a staged ``_score_text`` column: the
     lower-cased text is computed once per row and every keyword test reads it."""
-    staged = df.withColumn("_score_text", score_text(_c(title), _c(description)))
+    staged = df.select("*", score_text(_c(title), _c(description)).alias("_score_text"))
     rb = _c(reviewed_battery) if reviewed_battery is not None else None
-    return (staged.withColumn(out, composite_score(title, description, ps, rb,
-                                                   text=F.col("_score_text"),
-                                                   text_name="_score_text"))
-            .drop("_score_text"))
+    keep = [c for c in df.columns if c != out]
+    return staged.select(*keep, composite_score(title, description, ps, rb,
+                                                text=F.col("_score_text"),
+                                                text_name="_score_text").alias(out))

@@ -1,2 +1 @@
-"""DataFrame operators: each takes and returns DataFrames.  The only action
-inside is a row-count bound checked before broadcasting a batch-derived table."""
+"""DataFrame operators: each takes and returns DataFrames, with no actions inside."""

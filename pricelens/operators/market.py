@@ -70,8 +70,8 @@ def score_against_market(listings: DataFrame, report: DataFrame,
     """Add ``price_score``: % vs the search's median (NULL if unpriced)."""
     med = report.select("query", F.col("median").alias("_median"))
     out = listings.join(med, "query", "left")
-    return (out.withColumn("price_score", price_score(F.col(price_col), F.col("_median")))
-            .drop("_median"))
+    keep = [c for c in listings.columns if c != "price_score"]
+    return out.select(*keep, price_score(F.col(price_col), F.col("_median")).alias("price_score"))
 
 
 def cheapest_first(scored: DataFrame) -> DataFrame:

@@ -76,22 +76,17 @@ def _rebuild_report(df: DataFrame) -> DataFrame:
 MAX_BROADCAST_SEARCHES = 100_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``
-    (then a shuffle join, skew-split by AQE).  Counting runs a small job over
-    ``df`` only, so use it for tables derived from a batch, not the store."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def upsert_listings(table: DataFrame, batch: DataFrame,
                     complete: DataFrame | None = None,
-                    prune_missing: bool = True) -> DataFrame:
+                    prune_missing: bool = True,
+                    searches_in_batch: int | None = None) -> DataFrame:
     """New listing table after applying ``batch``.
 
     ``complete`` holds ``(query, complete)`` for the scans in the batch; when
     omitted every scanned search counts as complete.  ``prune_missing=False``
-    never deactivates (a partial scan)."""
+    never deactivates (a partial scan).  ``searches_in_batch``, when the
+    caller knows it (a scan holds one search), bounds the per-search flag
+    table so it is broadcast; otherwise AQE decides from its measured size."""
     t = _flatten_report(table)
     b = dedupe_batch(batch).withColumn("_hit", F.lit(True))
     scanned = batch.select("query").distinct()
@@ -99,10 +94,13 @@ def upsert_listings(table: DataFrame, batch: DataFrame,
         scanned = scanned.join(complete.groupBy("query").agg(F.bool_and("complete").alias("_c")),
                                "query", "left").filter(F.coalesce("_c", F.lit(False))).select("query")
     scanned = scanned.withColumn("_scanned", F.lit(prune_missing))
-    # One row per scanned search: joined to every stored row on ``query``.
-    # A shuffle join there would put a hot search's rows in one task, so the
-    # table is broadcast once its size is checked (it comes from the batch).
-    tj = t.join(broadcast_if_small(scanned, MAX_BROADCAST_SEARCHES), "query", "left")
+    # One row per scanned search, joined to every stored row on ``query``:
+    # a shuffle join would put a hot search's rows in one task, so it is
+    # broadcast when its size is known to be bounded, and otherwise left to
+    # AQE, which broadcasts it from the measured size of this small aggregate.
+    if searches_in_batch is not None and searches_in_batch <= MAX_BROADCAST_SEARCHES:
+        scanned = F.broadcast(scanned)
+    tj = t.join(scanned, "query", "left")
     j = tj.alias("t").join(b.alias("b"), KEY, "full_outer")
     hit = F.coalesce(F.col("b._hit"), F.lit(False))
     kept = set(_kept_columns(t)) | set(_kept_columns(b))

@@ -45,13 +45,12 @@ def latest_base(o: DataFrame) -> DataFrame:
               .agg(F.max(F.struct("scraped_at", "seq", "price_nok", "scan_day")).alias("l"))
               .select("id", "query", "l.*"))
     last_day = o.groupBy("query").agg(F.max("scan_day").alias("last_day"))
-    cur = (latest.join(last_day, "query")
-           .withColumn("is_active", F.col("scan_day") == F.col("last_day"))
-           .withColumn("title", F.concat(F.lit("listing "), F.col("id")))
-           .withColumn("url", F.concat(F.lit(BASE_URL + "/item/"), F.col("id")))
-           .withColumn("description", F.lit(""))
-           .drop("last_day", "scan_day"))
-    return cur
+    return latest.join(last_day, "query").select(
+        "query", "id", "scraped_at", "seq", "price_nok",
+        (F.col("scan_day") == F.col("last_day")).alias("is_active"),
+        F.concat(F.lit("listing "), F.col("id")).alias("title"),
+        F.concat(F.lit(BASE_URL + "/item/"), F.col("id")).alias("url"),
+        F.lit("").alias("description"))
 
 
 def latest_state(o: DataFrame) -> DataFrame:

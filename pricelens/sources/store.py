@@ -130,15 +130,20 @@ class ListingStore:
                    prune_missing: bool = True) -> None:
         """Upsert one scan's listings and append its price changes, touching
         only the buckets of the scanned searches."""
-        touched = [r[0] for r in batch.select(self._bucket().alias("b")).distinct().collect()]
-        if not touched:
+        # The batch's searches (one per scan; a few per micro-batch): small,
+        # and they name the buckets to rewrite.
+        searches = [r[0] for r in batch.select("query").distinct().collect()]
+        if not searches:
             return
+        touched = sorted({r[0] for r in self.spark.createDataFrame(
+            [(q,) for q in searches], "query string").select(self._bucket()).collect()})
         state = self._read_listings(touched)
         new_rows = TB.append_history_from_state(state, batch).select(*schemas.PRICE_HISTORY.fieldNames())
         self._commit("price_history", new_rows, "a")
         appended = self.read_history_part(self.entries("price_history")[-1][0])
-        new_state = TB.with_recorded_price(TB.upsert_listings(state, batch, complete, prune_missing),
-                                           appended)
+        new_state = TB.with_recorded_price(
+            TB.upsert_listings(state, batch, complete, prune_missing, searches_in_batch=len(searches)),
+            appended)
         self._commit_listings(new_state)
 
     def read_history_part(self, n: int) -> DataFrame:
