@@ -17,8 +17,8 @@ the card selectors in priority order:
 * image: first ``img`` ``src`` (else ``data-src``), kept if allowed;
 * description: first ``data-testid="description"`` or ``p`` text.
 
-Limits (documented): attributes must be double-quoted; an element's text runs
-to the next closing tag; the "last span of a 'between' div" location selector
+Limits (documented): attribute values must be quoted (either quote); an
+element's text runs to the next closing tag; only common entities are decoded; the "last span of a 'between' div" location selector
 is not modelled.
 """
 
@@ -33,26 +33,28 @@ from pricelens.params import ALLOWED_EXACT_HOSTS, ALLOWED_HOST_SUFFIXES
 
 # Regexes standing in for the card selectors.
 CARD_RE = r"(?s)<article\b[^>]*>(.*?)</article>"
-LISTING_LINK_RE = (r"(?s)(<a\b[^>]*\shref=\"[^\"]*(?:/recommerce/forsale/item/|/bap/|finnkode=)"
-                   r"[^\"]*\"[^>]*>.*?</a>)")
+Q = "[\"']"          # an attribute value may be in double or single quotes
+V = "[^\"']"         # a character of an attribute value
+LISTING_LINK_RE = (rf"(?s)(<a\b[^>]*\shref={Q}{V}*(?:/recommerce/forsale/item/|/bap/|finnkode=)"
+                   rf"{V}*{Q}[^>]*>.*?</a>)")
 ANY_LINK_RE = r"(?s)(<a\b[^>]*>.*?</a>)"
-HREF_RE = r"^<a\b[^>]*\shref=\"([^\"]*)\""
+HREF_RE = rf"^<a\b[^>]*\shref={Q}({V}*){Q}"
 ANCHOR_TEXT_RE = r"(?s)^<a\b[^>]*>(.*?)</a>"
-TITLE_RE = (r"(?s)<h2\b[^>]*>(.*?)</h2>|<h3\b[^>]*>(.*?)</h3>"
-            r"|<[A-Za-z0-9]+\b[^>]*\sdata-testid=\"ad-title\"[^>]*>(.*?)</")
-PRICE_RE = (r"(?s)<[A-Za-z0-9]+\b[^>]*\sdata-testid=\"[^\"]*price[^\"]*\"[^>]*>(.*?)</"
-            r"|<[A-Za-z0-9]+\b[^>]*\sclass=\"(?:[^\"]*\s)?t3(?:\s[^\"]*)?\"[^>]*>(.*?)</"
-            r"|<span\b[^>]*>([^<]*[Kk][Rr][^<]*)</span>")
+TITLE_RE = (rf"(?s)<h2\b[^>]*>(.*?)</h2>|<h3\b[^>]*>(.*?)</h3>"
+            rf"|<[A-Za-z0-9]+\b[^>]*\sdata-testid={Q}ad-title{Q}[^>]*>(.*?)</")
+PRICE_RE = (rf"(?s)<[A-Za-z0-9]+\b[^>]*\sdata-testid={Q}{V}*price{V}*{Q}[^>]*>(.*?)</"
+            rf"|<[A-Za-z0-9]+\b[^>]*\sclass={Q}(?:{V}*\s)?t3(?:\s{V}*)?{Q}[^>]*>(.*?)</"
+            rf"|<span\b[^>]*>([^<]*[Kk][Rr][^<]*)</span>")
 LOCATION_RES = (
-    r"(?s)<[A-Za-z0-9]+\b[^>]*\sdata-testid=\"location\"[^>]*>(.*?)</",
-    r"(?s)<[A-Za-z0-9]+\b[^>]*\sclass=\"[^\"]*location[^\"]*\"[^>]*>(.*?)</",
-    r"(?s)<[A-Za-z0-9]+\b[^>]*\sclass=\"[^\"]*address[^\"]*\"[^>]*>(.*?)</",
-    r"(?s)<span\b[^>]*\sclass=\"[^\"]*text-caption[^\"]*\"[^>]*>(.*?)</",
+    rf"(?s)<[A-Za-z0-9]+\b[^>]*\sdata-testid={Q}location{Q}[^>]*>(.*?)</",
+    rf"(?s)<[A-Za-z0-9]+\b[^>]*\sclass={Q}{V}*location{V}*{Q}[^>]*>(.*?)</",
+    rf"(?s)<[A-Za-z0-9]+\b[^>]*\sclass={Q}{V}*address{V}*{Q}[^>]*>(.*?)</",
+    rf"(?s)<span\b[^>]*\sclass={Q}{V}*text-caption{V}*{Q}[^>]*>(.*?)</",
 )
 IMG_RE = r"(?s)<img\b[^>]*>"
-SRC_RE = r"\ssrc=\"([^\"]*)\""
-DATA_SRC_RE = r"\sdata-src=\"([^\"]*)\""
-DESC_RE = (r"(?s)<[A-Za-z0-9]+\b[^>]*\sdata-testid=\"description\"[^>]*>(.*?)</"
+SRC_RE = rf"\ssrc={Q}({V}*){Q}"
+DATA_SRC_RE = rf"\sdata-src={Q}({V}*){Q}"
+DESC_RE = (rf"(?s)<[A-Za-z0-9]+\b[^>]*\sdata-testid={Q}description{Q}[^>]*>(.*?)</"
            r"|<p\b[^>]*>(.*?)</p>")
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
             ("&#39;", "'"), ("&amp;", "&"))

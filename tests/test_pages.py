@@ -81,3 +81,11 @@ def test_detail_merge(spark):
     assert r["location"] == "Trondheim"
     listings2 = spark.createDataFrame([(1, "short", "Oslo")], "page_id long, description string, location string")
     assert PG.enrich_details(listings2, PG.detail_fields(pages)).collect()[0]["location"] == "Oslo"
+
+
+def test_single_quoted_attributes(spark):
+    html = ("<article><a href='/recommerce/forsale/item/555666777'><h3>Pixel 8</h3></a>"
+            "<span data-testid='price'>3 000 kr</span><span class='card-location'>Tromsø, Norge</span></article>")
+    df = spark.createDataFrame([(1, "q", 1, "u", html)], "page_id long, query string, page_num int, url string, html string")
+    r = PG.page_cards(df).collect()[0]
+    assert (r["id"], r["title"], r["price_nok"], r["location"]) == ("555666777", "Pixel 8", 3000, "Tromsø, Norge")
