@@ -88,26 +88,27 @@ def select_candidates(scored: DataFrame, limit: int, suspicious: float = -60.0)
     ascending; ties fall back to price score, then id.
 
     Every scored row gets a tier (0 above the threshold, 1 otherwise) and is
-    ranked under both orderings; a tiny per-search flag table then picks the
-    ordering and the lowest tier present.  Only ``2 * limit`` rows per search
-    leave the partial top-k.
+    ranked per search under three orderings, all led by the tier: composite
+    first, price first, and "has a composite" first.  The rank-1 row of the
+    third tells the lowest tier present and whether a candidate there has a
+    composite score, which picks the ordering; rows of other tiers drop out.
+    ``row_number() <= limit`` lets Spark keep ``limit`` rows per search and
+    ordering on each map task before the shuffle, so no task ever holds a
+    whole search.
     """
     ps, cs = F.col("price_score"), F.col("composite_score")
     base = (scored.filter(ps.isNotNull())
             .withColumn("_tier", F.when(ps > suspicious, 0).otherwise(1))
-            .withColumn("_v", F.explode(F.array(F.lit(0), F.lit(1)))))
-    key = F.when(F.col("_v") == 0, -F.coalesce(cs, F.lit(0.0))).otherwise(ps)
+            .withColumn("_v", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))))
+    key = (F.when(F.col("_v") == 0, -F.coalesce(cs, F.lit(0.0)))
+           .when(F.col("_v") == 1, ps)
+           .otherwise(F.when(cs.isNotNull(), 0).otherwise(1).cast("double")))
     w = Window.partitionBy("query", "_v").orderBy("_tier", key, ps, "id")
     top = (base.withColumn("rank", F.row_number().over(w))
            .filter(F.col("rank") <= limit))
-    flags = (scored.filter(ps.isNotNull()).groupBy("query").agg(
-        F.min(F.when(ps > suspicious, 0).otherwise(1)).alias("_min_tier"),
-        F.bool_or((ps > suspicious) & cs.isNotNull()).alias("_cs_safe"),
-        F.bool_or(cs.isNotNull()).alias("_cs_any"))
-        .select("query", "_min_tier",
-                F.when(F.col("_min_tier") == 0, F.col("_cs_safe"))
-                .otherwise(F.col("_cs_any")).alias("_use_cs")))
-    picked = (top.join(flags, "query")
+    flags = (top.filter((F.col("_v") == 2) & (F.col("rank") == 1))
+             .select("query", F.col("_tier").alias("_min_tier"), cs.isNotNull().alias("_use_cs")))
+    picked = (top.filter(F.col("_v") < 2).join(flags, "query")
               .filter((F.col("_tier") == F.col("_min_tier"))
                       & (F.col("_v") == F.when(F.col("_use_cs"), 0).otherwise(1))))
     return picked.drop("_tier", "_v", "_min_tier", "_use_cs")
