@@ -39,19 +39,32 @@ def latest_price_stream(feed: DataFrame) -> DataFrame:
 
 
 def _changes(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Vectorised per key: a row is a change when its price differs from the
+    one before it (the stored last price for the first row); the previous
+    recorded price of a change is the change before it (or the stored one)."""
     last, prev = (state.get if state.exists else (None, None))
     pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["scraped_at", "seq"], kind="stable")
-    out = []
-    for price, ts, seq in zip(pdf["price_nok"], pdf["scraped_at"], pdf["seq"]):
-        price = int(price)
-        if last is None or price != last:
-            prev, last = last, price
-            out.append((key[0], key[1], price, ts, int(seq), prev,
-                        prev is not None and price < prev))
-    state.update((last, prev))
-    if out:
-        yield pd.DataFrame(out, columns=["listing_id", "query", "price", "seen_at", "seq",
-                                         "previous_price", "is_drop"])
+    price = pdf["price_nok"].astype("int64")
+    before = price.shift(1).astype("Float64")
+    if last is not None:
+        before.iloc[0] = last
+    changed = before.isna() | (price != before)
+    ch = pdf.loc[changed.to_numpy()]
+    if ch.empty:
+        state.update((last, prev))
+        return
+    cp = ch["price_nok"].astype("int64").reset_index(drop=True)
+    prev_rec = cp.shift(1).astype("Float64")
+    prev_rec.iloc[0] = last if last is not None else pd.NA
+    out = pd.DataFrame({
+        "listing_id": key[0], "query": key[1], "price": cp,
+        "seen_at": ch["scraped_at"].reset_index(drop=True), "seq": ch["seq"].astype("int64").reset_index(drop=True),
+        "previous_price": prev_rec.astype("Int64"),
+        "is_drop": (prev_rec.notna() & (cp < prev_rec)).fillna(False).astype(bool)})
+    new_last = int(cp.iloc[-1])
+    new_prev = int(cp.iloc[-2]) if len(cp) > 1 else last
+    state.update((new_last, new_prev))
+    yield out
 
 
 def price_changes_stream(feed: DataFrame) -> DataFrame:
@@ -66,7 +79,7 @@ def scan_activity_stream(feed: DataFrame, window: str = "1 day", delay: str = "1
     """Observations per search and tumbling window, emitted once final."""
     return (feed.withWatermark("scraped_at", delay)
             .groupBy("query", F.window("scraped_at", window).alias("w"))
-            .agg(F.count(F.lit(1)).alias("n_obs"), F.approx_count_distinct("id").alias("n_listings_approx"))
+            .agg(F.count(F.lit(1)).alias("n_obs"))
             .select("query", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                     "n_obs"))
 

@@ -43,8 +43,11 @@ def test_change_stream_matches_batch(spark, landed, tmp_path):
     want = H.price_changes(S.obs(spark, SF)).select("listing_id", "query", "price", "seq")
     assert got.count() == want.count()
     assert got.exceptAll(want).count() == 0
-    drops = spark.sql("SELECT * FROM changes WHERE is_drop")
-    assert drops.filter("price >= previous_price").count() == 0
+    drops = spark.sql("SELECT listing_id, query, seq FROM changes WHERE is_drop")
+    batch_drops = (H.step_changes(H.price_changes(S.obs(spark, SF)))
+                   .filter("change_pct < 0").select("listing_id", "query", "seq"))
+    assert drops.count() == batch_drops.count() > 0
+    assert drops.exceptAll(batch_drops).count() == 0
 
 
 def test_latest_price_stream(spark, landed, tmp_path):
