@@ -68,13 +68,17 @@ def sequential_lag(df: DataFrame, keys: list[str], order: list[str], value: str,
     return j.select(*df.columns, prev.alias(out))
 
 
-def price_changes(obs: DataFrame) -> DataFrame:
+def price_changes(obs: DataFrame, keep_previous: bool = False) -> DataFrame:
     """Change-only history: a priced observation is recorded iff its price differs
-    from the previous priced observation of the same (id, query)."""
+    from the previous priced observation of the same (id, query).
+
+    Between two recorded rows every observation repeats the earlier price, so
+    a recorded row's previous observation price *is* the previous recorded
+    price; ``keep_previous`` keeps it as ``previous_price``."""
     h = observations_to_history(obs)
-    return (sequential_lag(h, list(KEY), ["seen_at", "seq"], "price")
-            .filter(F.col("_prev").isNull() | (F.col("_prev") != F.col("price")))
-            .drop("_prev"))
+    out = (sequential_lag(h, list(KEY), ["seen_at", "seq"], "price")
+           .filter(F.col("_prev").isNull() | (F.col("_prev") != F.col("price"))))
+    return out.withColumnRenamed("_prev", "previous_price") if keep_previous else out.drop("_prev")
 
 
 def latest_price(history: DataFrame) -> DataFrame:
@@ -99,9 +103,21 @@ def latest_two(history: DataFrame) -> DataFrame:
 
 
 def drop_candidates(history: DataFrame, query: str | None = None) -> DataFrame:
-    """Keys whose latest recorded price is below the one before it."""
+    """Keys whose latest recorded price is below the one before it.
+
+    With a ``previous_price`` column on the history rows this is one partial
+    aggregate (latest row per key); otherwise the two latest rows come from
+    ``latest_two``."""
     h = history if query is None else history.filter(F.col("query") == query)
-    return latest_two(h).filter(F.col("current_price") < F.col("previous_price"))
+    if "previous_price" in h.columns:
+        cur = (h.groupBy(*KEY)
+               .agg(F.max(F.struct("seen_at", "seq", "price", "previous_price")).alias("c"))
+               .select(*KEY, F.col("c.price").alias("current_price"),
+                       F.col("c.seen_at").alias("current_seen_at"),
+                       F.col("c.previous_price").alias("previous_price")))
+    else:
+        cur = latest_two(h)
+    return cur.filter(F.col("current_price") < F.col("previous_price"))
 
 
 def price_drops(history: DataFrame, listings: DataFrame, limit: int | None = None,

@@ -41,14 +41,18 @@ def q_latest_price(spark, sf):
     return H.latest_price(_history(spark, sf))
 
 
+def _history_prev(spark, sf):
+    return H.price_changes(S.obs(spark, sf), keep_previous=True)
+
+
 @register("price_drops")
 def q_price_drops(spark, sf):
-    return H.price_drops(_history(spark, sf), S.listings_base(spark, sf))
+    return H.price_drops(_history_prev(spark, sf), S.listings_base(spark, sf))
 
 
 @register("top_price_drops")
 def q_top_price_drops(spark, sf):
-    return H.price_drops(_history(spark, sf), S.listings_base(spark, sf), limit=10)
+    return H.price_drops(_history_prev(spark, sf), S.listings_base(spark, sf), limit=10)
 
 
 @register("price_history_changes")
@@ -463,5 +467,5 @@ def q_drops_for_query(spark, sf):
     observations first is equivalent and lets the filter reach the scan (the
     range-partitioned lag would otherwise stop it)."""
     q = F.col("query") == KP.EXPORT_QUERY
-    hist = H.price_changes(S.obs(spark, sf).filter(q))
+    hist = H.price_changes(S.obs(spark, sf).filter(q), keep_previous=True)
     return H.price_drops(hist, S.listings_base(spark, sf), query=KP.EXPORT_QUERY)
