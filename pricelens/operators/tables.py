@@ -144,9 +144,11 @@ def _changes_after(last: DataFrame, new: DataFrame) -> DataFrame:
     last price first, then earlier batch rows by ``seq``)."""
     w = Window.partitionBy("listing_id", "query").orderBy("_new", "seq")
     u = last.unionByName(new).withColumn("_prev", F.lag("price").over(w))
+    # Between recorded rows the price repeats, so a new row's previous row
+    # holds the previous recorded price: kept as ``previous_price``.
     return (u.filter((F.col("_new") == 1)
                      & (F.col("_prev").isNull() | (F.col("_prev") != F.col("price"))))
-            .drop("_new", "_prev"))
+            .drop("_new").withColumnRenamed("_prev", "previous_price"))
 
 
 def append_history(history: DataFrame, batch: DataFrame) -> DataFrame:

@@ -195,7 +195,8 @@ def q_deactivate_missing(spark, sf):
 
 @register("append_history")
 def q_append_history(spark, sf):
-    return TB.append_history(S.history_before(spark, sf), S.last_scan_batch(spark, sf))
+    return TB.append_history(S.history_before(spark, sf), S.last_scan_batch(spark, sf)).select(
+        "listing_id", "query", "price", "seen_at", "seq")
 
 
 @register("prune_listings")

@@ -48,13 +48,16 @@ LISTINGS = T.StructType([
     T.StructField("is_active", T.BooleanType()),
 ])
 
-# Change-only price history (append only).
+# Change-only price history (append only).  ``previous_price`` is the price
+# recorded before this row for the key (NULL for the first), kept so drops
+# need only the latest row per key.
 PRICE_HISTORY = T.StructType([
     T.StructField("listing_id", T.StringType(), False),
     T.StructField("query", T.StringType(), False),
     T.StructField("price", T.LongType(), False),
     T.StructField("seen_at", T.TimestampType()),
     T.StructField("seq", T.LongType()),
+    T.StructField("previous_price", T.LongType()),
 ])
 
 # Raw model-review output, before sanitizing.
