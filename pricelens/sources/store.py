@@ -64,16 +64,37 @@ class ListingStore:
         out = []
         for st in fs.listStatus(p):
             name = st.getPath().getName()
-            if st.isDirectory() and name[:1] in ("a", "b", "v") and name[1:].isdigit():
+            num = name[1:].split("_", 1)[0]
+            if st.isDirectory() and name[:1] in ("a", "b", "v") and num.isdigit():
                 if fs.exists(self._fs(f"{self.root}/{table}/{name}/_SUCCESS")[1]):
-                    out.append((int(name[1:]), name[0]))
+                    out.append((int(num), name[0], name))
+        return [(n, k) for n, k, _ in sorted(out)]
+
+    def _dirs(self, table: str) -> list[tuple[int, str, str]]:
+        fs, p = self._fs(f"{self.root}/{table}")
+        if not fs.exists(p):
+            return []
+        out = []
+        for st in fs.listStatus(p):
+            name = st.getPath().getName()
+            num = name[1:].split("_", 1)[0]
+            if st.isDirectory() and name[:1] in ("a", "b", "v") and num.isdigit() \
+                    and fs.exists(self._fs(f"{self.root}/{table}/{name}/_SUCCESS")[1]):
+                out.append((int(num), name[0], name))
         return sorted(out)
 
     def paths(self, table: str) -> list[str]:
-        es = self.entries(table)
-        bases = [n for n, k in es if k == "b"]
+        es = self._dirs(table)
+        bases = [n for n, k, _ in es if k == "b"]
         start = bases[-1] if bases else 0
-        return [f"{self.root}/{table}/{k}{n:08d}" for n, k in es if n >= start]
+        return [f"{self.root}/{table}/{name}" for n, k, name in es if n >= start]
+
+    def _scan_part(self, scan_id: str) -> str | None:
+        """The committed history part of ``scan_id``, if any."""
+        for _, k, name in self._dirs("price_history"):
+            if k == "a" and name.endswith(f"_{scan_id}"):
+                return f"{self.root}/price_history/{name}"
+        return None
 
     def bucket_paths(self, buckets: list[int] | None = None) -> list[str]:
         """Current directory of each (wanted) listing bucket."""
@@ -108,8 +129,8 @@ class ListingStore:
         es = self.entries(table)
         return f"{self.root}/{table}/{kind}{(es[-1][0] + 1 if es else 1):08d}"
 
-    def _commit(self, table: str, df: DataFrame, kind: str) -> str:
-        path = self._next(table, kind)
+    def _commit(self, table: str, df: DataFrame, kind: str, tag: str | None = None) -> str:
+        path = self._next(table, kind) + (f"_{tag}" if tag else "")
         df.write.parquet(path)
         return path
 
@@ -127,9 +148,14 @@ class ListingStore:
         return path
 
     def apply_scan(self, batch: DataFrame, complete: DataFrame | None = None,
-                   prune_missing: bool = True) -> None:
+                   prune_missing: bool = True, scan_id: str | None = None) -> None:
         """Upsert one scan's listings and append its price changes, touching
-        only the buckets of the scanned searches."""
+        only the buckets of the scanned searches.
+
+        With ``scan_id`` the history part is named after the scan; a re-run
+        after a failure finds the committed part and reuses it instead of
+        appending again (the listing state it would compare with may be the
+        old one), and the upsert itself is idempotent."""
         # The batch's searches (one per scan; a few per micro-batch): small,
         # and they name the buckets to rewrite.
         searches = [r[0] for r in batch.select("query").distinct().collect()]
@@ -138,18 +164,16 @@ class ListingStore:
         touched = sorted({r[0] for r in self.spark.createDataFrame(
             [(q,) for q in searches], "query string").select(self._bucket()).collect()})
         state = self._read_listings(touched)
-        new_rows = TB.append_history_from_state(state, batch).select(*schemas.PRICE_HISTORY.fieldNames())
-        self._commit("price_history", new_rows, "a")
-        appended = self.read_history_part(self.entries("price_history")[-1][0])
+        part = self._scan_part(scan_id) if scan_id else None
+        if part is None:
+            new_rows = TB.append_history_from_state(state, batch).select(*schemas.PRICE_HISTORY.fieldNames())
+            part = self._commit("price_history", new_rows, "a", tag=scan_id)
+        appended = self.spark.read.schema(schemas.PRICE_HISTORY).parquet(part)
         new_state = TB.with_recorded_price(
             TB.upsert_listings(state, batch, complete, prune_missing, searches_in_batch=len(searches)),
             appended)
         self._commit_listings(new_state)
 
-    def read_history_part(self, n: int) -> DataFrame:
-        return self.spark.read.schema(schemas.PRICE_HISTORY).parquet(
-            f"{self.root}/price_history/a{n:08d}")
-
     def prune(self, now: datetime, days: int) -> list[tuple[str, int]]:
         """Retention: delete stale inactive listings and, first, their history."""
         listings, history = self.read("listings"), self.read("price_history")

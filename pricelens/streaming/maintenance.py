@@ -4,8 +4,8 @@ Scans land as directories of observation Parquet files under a landing root
 (one directory per scan, names sortable in arrival order).  Each one not yet
 applied is applied to the store as one batch job -- history append, then the
 listing upsert -- and its id is then recorded in the store's ``applied_scans``
-table.  A crash between those steps is safe to re-run: the history append is
-change-only (re-applying adds nothing) and the upsert is deterministic.
+table.  A crash between those steps is safe to re-run: the history part is
+named after the scan and reused when present, and the upsert is idempotent.
 A ``complete`` column, when present, gives the scan's completeness.
 """
 
@@ -45,7 +45,7 @@ def apply_landed(store: ListingStore, landing_root: str) -> list[str]:
         if "complete" in obs.columns:
             complete = obs.groupBy("query").agg(F.bool_and("complete").alias("complete"))
             obs = obs.drop("complete")
-        store.apply_scan(obs, complete)
+        store.apply_scan(obs, complete, scan_id=scan_id)
         store._commit("applied_scans", store.spark.createDataFrame([(scan_id,)], "scan_id string"), "a")
         applied.append(scan_id)
     return applied

@@ -201,3 +201,22 @@ def test_scan_rewrites_only_its_buckets(spark, tmpdir_path):
     assert buckets == [f"bucket={b(qa)}"]
     got = {r["id"]: (r["price_nok"], r["is_active"]) for r in s.read("listings").collect()}
     assert got == {"1": (4000, True), "2": (5000, True)}
+
+
+def test_rerun_after_partial_failure_does_not_duplicate(spark, tmpdir_path):
+    s = _store(spark, tmpdir_path)
+    b1 = batch(spark, [listing(111, 5000)])
+    s.apply_scan(b1, scan_id="s1")
+    b2 = batch(spark, [listing(111, 4000, T1)])
+    # simulate a crash after the history part of s2 was committed: write it,
+    # but not the listings
+    from pricelens import schemas
+    from pricelens.operators import tables as TB
+    state = s._read_listings()
+    part = TB.append_history_from_state(state, b2).select(*schemas.PRICE_HISTORY.fieldNames())
+    s._commit("price_history", part, "a", tag="s2")
+    s.apply_scan(b2, scan_id="s2")       # the re-run
+    assert rows(s.read("price_history"), "price", order=["seen_at"]) == [(5000,), (4000,)]
+    assert s.read("listings").collect()[0]["price_nok"] == 4000
+    d = H.price_drops(s.read("price_history"), s.read("listings"))
+    assert rows(d, "listing_id", "previous_price", "current_price") == [("111", 5000, 4000)]
