@@ -75,3 +75,16 @@ def test_percentile_reference_rule(spark):
     # k = 4 * 0.1 = 0.4 -> 1*(1-0.4) + 2*0.4
     assert got == {"a": (1.0, 3.0, 5.0, 1 * (1 - 0.4) + 2 * (0.4 - 0)), "b": (7.0, 7.0, 7.0, 7.0),
                    "c": (0.0, 0.0, 0.0, 0.0)}
+
+
+def test_truthiness_of_prices(spark):
+    from pricelens.operators import history as H
+    l = _l(spark, [100, 200, 300, -50, 0])
+    r = M.market_report(l).collect()[0]
+    assert (r["count"], r["median"]) == (3, 200.0)          # only positive prices count
+    s = {x["price_nok"]: x["price_score"] for x in M.score_against_market(l, M.market_report(l)).collect()}
+    assert s[-50] == -125.0 and s[0] is None               # any non-zero price is scored
+    obs = spark.createDataFrame([("1", "q", -50, 1), ("1", "q", 0, 2), ("1", "q", -50, 3)],
+                                "id string, query string, price_nok bigint, seq long") \
+        .withColumn("scraped_at", F.timestamp_seconds("seq"))
+    assert [x["price"] for x in H.price_changes(obs).collect()] == [-50]
