@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, quality
+from . import bpe, language, quality, warc
 
 #: Place of the public byte-level BPE file; a parameter of the query.
 TOKENIZER = os.environ.get("PRICELENS_BPE") or public_tokenizers.path("byte_bpe_50k.json")
@@ -18,6 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = warc.write_archive(_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return warc.read_archive(spark, root, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents", "doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -33,6 +38,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op7_quality_rules": op7_quality_rules,
     "op9_bpe": op9_bpe,
     "op10_language_id": op10_language_id,
@@ -41,6 +47,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _STOPS = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS)))
 
 ORACLE: dict[str, str] = {
+    "op2_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keep FROM pages
+), b AS (
+  SELECT *, array_to_string(list_transform(string_split(sha1(h), ''), lambda x: substr(
+    '0000000100100011010001010110011110001001101010111100110111101111', 4 * (strpos('0123456789abcdef', x) - 1) + 1, 4)), '') AS bits
+  FROM p
+)
+SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT + 4 * substr(bits, 5 * i + 3, 1)::INT
+         + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
+FROM b""",
     "op7_quality_rules": rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
