@@ -126,14 +126,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             i = j
 
 
-def words_of(col: pa.Array, hashed: bool = True, lower: bool = False) -> Words:
+def words_of(col: pa.Array, hashed: bool = True, lower: bool = False, word_bytes: np.ndarray = _IS_WORD) -> Words:
+    """Words of a string array; ``word_bytes`` tells the bytes that words are made of."""
     data, off = text_buffers(col)
     if len(off) < 2 or off[-1] == off[0]:
         none = np.empty(0, np.int64)
         return Words(data, none, none, np.zeros(len(off) - 1, np.int64), np.empty(0, _U))
     lo, hi = int(off[0]), int(off[-1])
     body = data[lo:hi]
-    inside = _IS_WORD[body]
+    inside = word_bytes[body]
     edge = np.zeros(len(body) + 1, dtype=bool)
     edge[off - lo] = True
     first = inside.copy()

@@ -7,9 +7,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, language, quality, warc
+from . import bpe, decontaminate, language, licenses, pii, preference, quality, warc
 
+#: Secret of the pseudonyms; a deployment sets its own.
+PII_KEY = os.environ.get("PRICELENS_PII_KEY", "pricelens")
 #: Place of the public byte-level BPE file; a parameter of the query.
 TOKENIZER = os.environ.get("PRICELENS_BPE") or public_tokenizers.path("byte_bpe_50k.json")
 
@@ -18,16 +21,37 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = warc.write_archive(_table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return warc.read_archive(spark, root, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return licenses.scan(docs, licenses.train(docs)).select("doc_id", "paragraph", "word", "family", "probability", "similarity", "passage")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(_table(spark, sf_dir, "documents", "doc_id", "text"), PII_KEY)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents", "doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    pairs = preference.format_pairs(*preference.neighbour_pairs(turns))
+    mask = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return pairs.select(F.col("pair_id").alias("conv_id"), "n_common", "prompt", "chosen", "rejected",
+                        mask("chosen_mask").alias("chosen_mask"), mask("rejected_mask").alias("rejected_mask"), "usable")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents", "doc_id", "text"), TOKENIZER))
 
@@ -38,8 +62,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
+    "op4_licenses": op4_licenses,
+    "op6_pii": op6_pii,
     "op7_quality_rules": op7_quality_rules,
+    "op8_preference": op8_preference,
     "op9_bpe": op9_bpe,
     "op10_language_id": op10_language_id,
 }
@@ -92,4 +120,33 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND ({quality.verdict_sql()}) AS kept
 FROM v""",
+    "op8_preference": r"""
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+  WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+), l AS (
+  SELECT conv_id, turn AS last_turn, text AS last_text FROM t WHERE role = 'assistant'
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) = 1
+), b AS (
+  SELECT t.conv_id, turn, replace(role, '<|', '< |') AS role, replace(t.text, '<|', '< |') AS c,
+         CASE WHEN turn = l.last_turn AND role = 'assistant' THEN replace(o.last_text, '<|', '< |') ELSE replace(t.text, '<|', '< |') END AS r
+  FROM t JOIN l USING (conv_id) JOIN l o ON o.conv_id = xor(t.conv_id, 1) WHERE turn <= l.last_turn
+), n AS (
+  SELECT *, min(CASE WHEN c <> r THEN turn END) OVER (PARTITION BY conv_id) AS split,
+         '<|' || role || '|>' || chr(10) || c || '<|end|>' || chr(10) AS cx, '<|' || role || '|>' || chr(10) || r || '<|end|>' || chr(10) AS rx
+  FROM b
+), o AS (
+  SELECT *, split IS NULL OR turn < split AS common,
+    sum(CASE WHEN split IS NULL OR turn < split THEN 0 ELSE length(cx) END) OVER w AS ce,
+    sum(CASE WHEN split IS NULL OR turn < split THEN 0 ELSE length(rx) END) OVER w AS re
+  FROM n WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, c)
+)
+SELECT conv_id, count(*) FILTER (common) AS n_common,
+  coalesce(string_agg(cx, '' ORDER BY turn, role, c) FILTER (common), '') AS prompt,
+  coalesce(string_agg(cx, '' ORDER BY turn, role, c) FILTER (NOT common), '') AS chosen,
+  coalesce(string_agg(rx, '' ORDER BY turn, role, r) FILTER (NOT common), '') AS rejected,
+  coalesce(string_agg((ce - length(cx) + length(role) + 5)::BIGINT || '-' || (ce - 1)::BIGINT, ',' ORDER BY turn, role, c) FILTER (NOT common AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg((re - length(rx) + length(role) + 5)::BIGINT || '-' || (re - 1)::BIGINT, ',' ORDER BY turn, role, r) FILTER (NOT common AND role = 'assistant'), '') AS rejected_mask,
+  count(*) FILTER (NOT common AND role = 'assistant') > 0 AS usable
+FROM o GROUP BY conv_id""",
 }
