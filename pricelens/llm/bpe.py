@@ -23,7 +23,6 @@ again.
 from __future__ import annotations
 
 import functools
-import io
 import json
 import os
 import re
@@ -34,18 +33,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import blocks as B
 from .common import slices
 
 #: Text bytes of a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 _OUT_BYTES = 2 << 20
-_ROW = "route long, block long, kind int, data binary"
 
 
 def _cls(kind: str) -> str:
@@ -104,28 +102,6 @@ def _tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def _pack(*parts: np.ndarray | bytes) -> bytes:
-    buf = io.BytesIO()
-    for p in parts:
-        raw = p.tobytes() if isinstance(p, np.ndarray) else p
-        buf.write(len(raw).to_bytes(8, "little") + raw)
-    return zstandard.compress(buf.getvalue(), 3)
-
-
-def _unpack(data: bytes) -> list[bytes]:
-    raw, out, at = zstandard.decompress(data), [], 0
-    while at < len(raw):
-        n = int.from_bytes(raw[at:at + 8], "little")
-        out.append(raw[at + 8:at + 8 + n])
-        at += 8 + n
-    return out
-
-
-def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    route, block, kind, data = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(route, pa.int64()), pa.array(block, pa.int64()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], ["route", "block", "kind", "data"])
-
-
 def _split_blocks(path: str, routes: int, text_at: int):
     """Texts -> blocks: rows (kind 0: words of a block and route, kind 2: the block's texts)."""
 
@@ -135,17 +111,14 @@ def _split_blocks(path: str, routes: int, text_at: int):
         order = np.argsort(-np.bincount(flat, minlength=len(table)), kind="stable")  # frequent words get small numbers
         rank = np.empty(len(table), dtype=np.int64)
         rank[order] = np.arange(len(table))
-        flat = rank[flat].astype(np.uint32)
-        raw = [w.encode() for w in table]
+        flat = rank[flat]
+        own_words = list(table)
+        raw = [own_words[k].encode() for k in order.tolist()]
         by_route: dict[int, list[int]] = defaultdict(list)
         for k, w in enumerate(raw):
             by_route[zlib.crc32(w) % routes].append(k)
-        rows = [(r, block, 0, _pack(np.array([len(raw[k]) for k in own], dtype=np.uint32), b"".join(raw[k] for k in own), rank[own].astype(np.uint32))) for r, own in by_route.items()]
-        sink = io.BytesIO()
-        whole = pa.Table.from_batches(kept)
-        with pa.ipc.new_stream(sink, whole.schema) as out:
-            out.write_table(whole)
-        rows.append((routes + block % routes, block, 2, _pack(lens, (flat & 255).astype(np.uint8), (flat >> 8).astype(np.uint16 if len(table) <= 1 << 24 else np.uint32), len(table).to_bytes(8, "little"), sink.getvalue())))
+        rows = [(r, block, 0, B.pack(B.planes(np.array([len(raw[k]) for k in own])), b"".join(raw[k] for k in own), B.planes(np.diff(own, prepend=0)))) for r, own in by_route.items()]
+        rows.append((routes + block % routes, block, 2, B.pack(B.planes(lens), B.planes(flat), len(table).to_bytes(8, "little"), B.ipc(pa.Table.from_batches(kept)))))
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,11 +134,11 @@ def _split_blocks(path: str, routes: int, text_at: int):
             kept.append(pa.RecordBatch.from_arrays([c for i, c in enumerate(b.columns) if i != text_at], [c for i, c in enumerate(b.schema.names) if i != text_at]))
             size += col.nbytes
             if size >= BLOCK_BYTES:
-                yield _rows(flush(part + n, seqs, table, kept))
+                yield B.rows(flush(part + n, seqs, table, kept))
                 n, size, seqs, kept = n + 1, 0, [], []
                 table.clear()
         if kept:
-            yield _rows(flush(part + n, seqs, table, kept))
+            yield B.rows(flush(part + n, seqs, table, kept))
 
     return run
 
@@ -176,20 +149,20 @@ def _encode_words(path: str, routes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, route, known = _tokenizer(path), -1, {}
         for b in batches:
-            for r, block, kind, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for r, block, kind, data in B.items(b):
                 if kind == 2:
-                    yield _rows([(block, block, kind, data)])
+                    yield B.rows([(block, block, kind, data)])
                     continue
                 if r != route:
                     route, known = r, {}
-                lens, raw, places = _unpack(data)
-                cuts = np.concatenate(([0], np.cumsum(np.frombuffer(lens, np.uint32), dtype=np.int64))).tolist()
+                lens, raw, places = B.unpack(data)
+                cuts = np.concatenate(([0], np.cumsum(B.numbers(lens)))).tolist()
                 words = [raw[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
                 new = [w for w in words if w not in known]
                 for w, ids in zip(new, t.encode([w.decode() for w in new]), strict=True):
                     known[w] = np.array(ids, dtype=np.int32)
                 ids = [known[w] for w in words]
-                yield _rows([(block, block, 1, _pack(places, np.array([len(x) for x in ids], dtype=np.uint32), np.concatenate(ids)))])
+                yield B.rows([(block, block, 1, B.pack(places, B.planes(np.array([len(x) for x in ids])), B.planes(np.concatenate(ids))))])
 
     return run
 
@@ -201,18 +174,18 @@ def _join_back(path: str, schema: T.StructType):
         pieces = _tokenizer(path).pieces()
         block, got = None, []
         for b in batches:
-            for _, at, kind, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for _, at, kind, data in B.items(b):
                 if at != block:
                     block, got = at, []
                 if kind == 1:
-                    got.append(_unpack(data))
+                    got.append(B.unpack(data))
                     continue
-                lens, low, high, n, kept = _unpack(data)
+                lens, seq, n, kept = B.unpack(data)
                 n = int.from_bytes(n, "little")
                 ids: list[np.ndarray] = [None] * n
                 for places, sizes, flat in got:
-                    cuts = np.split(np.frombuffer(flat, np.int32), np.cumsum(np.frombuffer(sizes, np.uint32), dtype=np.int64)[:-1])
-                    for k, x in zip(np.frombuffer(places, np.uint32).tolist(), cuts, strict=True):
+                    cuts = np.split(B.numbers(flat).astype(np.int32), np.cumsum(B.numbers(sizes))[:-1])
+                    for k, x in zip(np.cumsum(B.numbers(places)).tolist(), cuts, strict=True):
                         ids[k] = x
                 if any(x is None for x in ids):
                     raise RuntimeError("a block's words did not all come back")
@@ -220,8 +193,7 @@ def _join_back(path: str, schema: T.StructType):
                 size = np.array([len(x) for x in ids], dtype=np.int64)
                 start = np.concatenate(([0], np.cumsum(size)))[:-1]
                 flat = np.concatenate(ids) if n else np.empty(0, np.int32)
-                seq = np.frombuffer(low, np.uint8).astype(np.int64) + (np.frombuffer(high, np.uint16 if n <= 1 << 24 else np.uint32).astype(np.int64) << 8)
-                ends = np.cumsum(np.frombuffer(lens, np.int64))
+                seq, ends = B.numbers(seq), np.cumsum(B.numbers(lens))
                 table = pa.ipc.open_stream(kept).read_all()
                 i, rows = 0, len(ends)
                 while i < rows:
@@ -247,8 +219,8 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     keep = [c for c in docs.columns if c != text and c.lower() not in ("ids", "decoded", "_text")]
     routes = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType(), True)), T.StructField("decoded", T.StringType())])
-    blocks = docs.select(*keep, F.col(text).alias("_text")).mapInArrow(_split_blocks(tokenizer, routes, len(keep)), _ROW)
-    words = blocks.repartition(routes, "route").sortWithinPartitions("route").mapInArrow(_encode_words(tokenizer, routes), _ROW)
+    blocks = docs.select(*keep, F.col(text).alias("_text")).mapInArrow(_split_blocks(tokenizer, routes, len(keep)), B.ROW)
+    words = blocks.repartition(routes, "route").sortWithinPartitions("route").mapInArrow(_encode_words(tokenizer, routes), B.ROW)
     return words.repartition(routes, "block").sortWithinPartitions("block", "kind").mapInArrow(_join_back(tokenizer, schema), schema)
 
 
