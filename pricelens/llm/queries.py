@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, licenses, pii, preference, quality, warc
+from . import bpe, decontaminate, jaccard, language, licenses, pii, preference, quality, warc
 
 #: Secret of the pseudonyms; a deployment sets its own.
 PII_KEY = os.environ.get("PRICELENS_PII_KEY", "pricelens")
@@ -30,6 +30,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, root, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     return licenses.scan(docs, licenses.train(docs)).select("doc_id", "paragraph", "word", "family", "probability", "similarity", "passage")
@@ -64,6 +68,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
+    "op3_jaccard": op3_jaccard,
     "op4_licenses": op4_licenses,
     "op6_pii": op6_pii,
     "op7_quality_rules": op7_quality_rules,
@@ -90,6 +95,20 @@ SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes,
        CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
 FROM b""",
+    "op3_jaccard": r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS MATERIALIZED (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * o >= 80 * (na.n + nb.n - o)
+), r(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other
+)
+SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.other) AS component_id
+FROM w JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY w.doc_id""",
     "op7_quality_rules": rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
