@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, language, licenses, pii, preference, quality, warc
+from . import bpe, decontaminate, jaccard, language, licenses, pii, preference, quality, substring, warc
 
 #: Secret of the pseudonyms; a deployment sets its own.
 PII_KEY = os.environ.get("PRICELENS_PII_KEY", "pricelens")
@@ -39,6 +39,11 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs, licenses.train(docs)).select("doc_id", "paragraph", "word", "family", "probability", "similarity", "passage")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(_table(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(_table(spark, sf_dir, "documents", "doc_id", "text"), PII_KEY)
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_jaccard": op3_jaccard,
     "op4_licenses": op4_licenses,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_pii": op6_pii,
     "op7_quality_rules": op7_quality_rules,
     "op8_preference": op8_preference,
