@@ -1,28 +1,63 @@
-"""Corpus pipeline: language ID and the stages after it, each written and read again."""
+"""Corpus pipeline over ``documents``.
+
+Language ID, near-duplicate removal, benchmark decontamination, pseudonyms for
+personal data, token ids.  Each stage takes all that the one before kept, and
+its decisions take effect; ``run`` writes every stage's rows to the shared
+folder and reads them back.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import language
+from pricelens.llm import bpe, decontaminate, jaccard, language, pii
 from pricelens.llm.common import staged
+from pricelens.llm.queries import PII_KEY, TOKENIZER
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents with a recognised language (``und`` goes)."""
+    """Documents with a recognised language; ``und`` (null or no letter) goes."""
     model = language.train(docs.where(~language.held_out()))
     return language.predict(docs, model).where(F.col("lang_pred") != "und").select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that of the least ``doc_id``."""
+    return jaccard.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with pseudonyms in ``text`` and ``n_chars`` of the new text."""
+    done = pii.pseudonymised(docs, PII_KEY)
+    return done.withColumn("n_chars", F.when(F.col("n_pii") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as token ids, with the text they decode to."""
+    coded = bpe.encode(docs, TOKENIZER)
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
+
+
 STAGES = [
     ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("tokens", tokens),
 ]
 
+#: The stages train a model, walk links and permute by key: no SQL for them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each stage's rows are written and reread."""
+    """Apply the stages to ``documents``; each stage's rows are written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")

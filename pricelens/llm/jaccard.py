@@ -55,7 +55,7 @@ PART, SHARE = 100, 80
 BITS = 56
 #: Members of a list, or compared with one class, that one task takes at most.
 LIST_PART, PAIR_PART = 20_000, 256
-_SETS = "doc_id long, n_shingles long, sig binary, tokens array<long>, dfs array<long>"
+_SETS = "doc_id long, text_key long, n_shingles long, sig binary, tokens array<long>, dfs array<long>"
 
 
 def _least_overlap(n: np.ndarray) -> np.ndarray:
@@ -66,7 +66,7 @@ def _least_overlap(n: np.ndarray) -> np.ndarray:
 # ------------------------------------------------------------ 1. shared shingles
 
 def _send(routes: int):
-    def flush(block: int, sets: list[np.ndarray], ids: list[pa.Array]) -> list[tuple[int, int, int, bytes]]:
+    def flush(block: int, sets: list[np.ndarray], ids: list[pa.RecordBatch]) -> list[tuple[int, int, int, bytes]]:
         n = np.array([len(s) for s in sets], dtype=np.int64)
         token = np.concatenate(sets).astype(np.int64)
         doc = np.repeat(np.arange(len(sets)), n)
@@ -86,8 +86,7 @@ def _send(routes: int):
                 out.append((r, block, 0, B.pack(B.planes(np.diff(token[a:z], prepend=0)), B.planes(ref[a:z]), B.planes(own[own > 1]), len(sets).to_bytes(8, "little"))))
         inside = np.repeat(many > 1, many)
         sig = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
-        table = pa.table({"doc_id": pa.concat_arrays(ids)})
-        out.append((routes + block % routes, block, 2, B.pack(B.planes(n), sig, B.planes(many[multi]), B.planes(doc[inside]), B.ipc(table))))
+        out.append((routes + block % routes, block, 2, B.pack(B.planes(n), sig, B.planes(many[multi]), B.planes(doc[inside]), B.ipc(pa.Table.from_batches(ids)))))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +95,7 @@ def _send(routes: int):
             for s in doc_shingles(words_of(b.column(1), lower=True)):
                 s = s >> np.uint64(64 - BITS)
                 sets.append(s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s)
-            ids.append(b.column(0))
+            ids.append(b.select(["doc_id", "text_key"]))
             size += b.column(1).nbytes
             if size >= BLOCK_BYTES:
                 yield B.rows(flush(block, sets, ids))
@@ -153,7 +152,7 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             sizes, sig, many, inside, table = B.unpack(data)
             n, many, inside = B.numbers(sizes), B.numbers(many), B.numbers(inside)
-            ids = pa.ipc.open_stream(table).read_all().column("doc_id").combine_chunks()
+            ids = pa.ipc.open_stream(table).read_all().combine_chunks()
             empty = np.empty(0, np.int64)
             token = np.concatenate([np.cumsum(x[0]) for x in got] or [empty])
             ref = np.concatenate([x[1] for x in got] or [empty])
@@ -174,15 +173,15 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offsets = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(n)))))
             lists = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(x[order]), mask=pa.array(~able)) for x in (token, df)]
             sigs = pa.Array.from_buffers(pa.binary(16), len(n), [None, pa.py_buffer(sig)]).cast(pa.binary())
-            whole = pa.RecordBatch.from_arrays([ids, pa.array(n), sigs, *lists], ["doc_id", "n_shingles", "sig", "tokens", "dfs"])
+            whole = pa.RecordBatch.from_arrays([*(pa.array(c.to_pylist(), pa.int64()) for c in ids.columns), pa.array(n), sigs, *lists], ["doc_id", "text_key", "n_shingles", "sig", "tokens", "dfs"])
             for i in range(0, len(n), 1000):
                 yield whole.slice(i, 1000)
 
 
 def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, sig (of the set), and for texts that may link the shared shingles and their df."""
+    """doc_id, text_key, n_shingles, sig (of the set), and for texts that may link the shared shingles and their df."""
     routes = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_send(routes), B.ROW)
+    sent = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key")).mapInArrow(_send(routes), B.ROW)
     shared = sent.repartition(routes, "route").sortWithinPartitions("route").mapInArrow(_share, B.ROW)
     return shared.repartition(routes, "block").sortWithinPartitions("block", "kind").mapInArrow(_collect, _SETS)
 
@@ -313,14 +312,33 @@ def links(classes: DataFrame) -> DataFrame:
     return direct.unionByName(found.where("sure").select("a", "b")).unionByName(more.select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links, itself included) of every row."""
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Every row with its set, and the component of each set that may link."""
     sets = staged(shingle_sets(docs, doc_id, text), "sets")
-    able = sets.where("tokens IS NOT NULL")
-    classes = staged(able.groupBy("sig").agg(F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("dfs").alias("dfs"), F.min("doc_id").alias("least")), "classes")
+    classes = staged(sets.where("tokens IS NOT NULL").groupBy("sig").agg(
+        F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("dfs").alias("dfs"),
+        F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("stays")), "classes")
     comp = components(links(classes))
-    named = staged(classes.select("sig", "least").join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig")), "named")
+    return sets, staged(classes.select("sig", "least", "stays").join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig")), "named")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable by links, itself included) of every row."""
+    sets, named = _grouped(docs, doc_id, text)
     least = staged(named.groupBy("comp").agg(F.min("least").alias("component_id")), "least")
     by_sig = staged(named.join(least, "comp").select("sig", "component_id"), "by-class")
     alone = sets.where("tokens IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return able.select("doc_id", "n_shingles", "sig").join(by_sig, "sig").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    return sets.where("tokens IS NOT NULL").select("doc_id", "n_shingles", "sig").join(by_sig, "sig").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: that of the least ``doc_id`` (null last).
+
+    Rows that repeat an id and its text count as one document.
+    """
+    sets, named = _grouped(docs, doc_id, text)
+    stays = named.groupBy("comp").agg(F.min("stays").alias("s")).select("s.doc_id", "s.text_key")
+    keep = staged(stays.unionByName(sets.where("tokens IS NULL").select("doc_id", "text_key")).distinct(), "kept-rows")
+    keyed = docs.withColumns({"_id": F.col(doc_id).cast("long"), "_key": F.xxhash64(text)})
+    same = keyed["_id"].eqNullSafe(keep["doc_id"]) & (keyed["_key"] == keep["text_key"])
+    return keyed.join(keep, same, "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns)
