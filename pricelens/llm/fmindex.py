@@ -115,7 +115,7 @@ def repeated_windows(index: FMIndex, symbol: np.ndarray, starts: np.ndarray, end
     searched at a sequence's last end and first window's end, and between two
     ends only where theirs leave it open whether windows repeat.
     """
-    out = np.zeros(len(symbol), dtype=np.int32)  # marks: +1 at first, -1 after the last repeated window
+    out = np.zeros(len(symbol) + 1, dtype=np.int32)  # marks: +1 at first, -1 after the last repeated window
 
     def mark(first: np.ndarray, stop: np.ndarray) -> None:
         some = first < stop
@@ -146,4 +146,4 @@ def repeated_windows(index: FMIndex, symbol: np.ndarray, starts: np.ndarray, end
         hit = s_mid <= mid - w
         mark(np.where(hit, mid - w, 0), np.where(hit, mid - w + 1, 0))
         lo, hi, s_lo, s_hi = np.concatenate((lo, mid)), np.concatenate((mid, hi)), np.concatenate((s_lo, s_mid)), np.concatenate((s_mid, s_hi))
-    return np.cumsum(out) > 0
+    return np.cumsum(out[:-1]) > 0
