@@ -197,10 +197,14 @@ def fit(rows: list[tuple[str, str]], steps: int = 300, rate: float = 2.0, decay:
 def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> LicenseModel:
     """Fit on template pieces and on the lines of a bounded sample of documents.
 
-    Sampled lines that hold a licence word or resemble a template are left out
-    of the negatives.
+    The sample is taken by a bound on the hash of ``doc_id``, so the tasks send
+    about twice ``sample_docs`` rows in all.  Sampled lines that hold a licence
+    word are left out of the negatives.
     """
-    rows = docs.where(F.col(text).isNotNull()).orderBy(F.xxhash64(F.col(doc_id).cast("string")), F.col(doc_id)).limit(sample_docs).select(F.substring(text, 1, 20_000).alias("t")).collect()
+    draw = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 32)
+    some = docs.where(F.col(text).isNotNull())
+    share = min(1.0, 2 * sample_docs / max(1, some.count()))
+    rows = some.select(draw.alias("draw"), F.substring(text, 1, 20_000).alias("t")).where(F.col("draw") < int(share * 2**32)).orderBy("draw", "t").limit(sample_docs).collect()
     trigger = ("licen", "copyright", "rights reserved", "public domain", "permission", "redistribut", "proprietary", "spdx", "creative commons")
     lines = [x for r in rows for x in r["t"].split("\n") if x.split() and not any(w in x.lower() for w in trigger)]
     return fit(training_rows(list(dict.fromkeys(" ".join(x.split()[:STRETCH]) for x in lines))[:4 * sample_docs]))
