@@ -44,11 +44,11 @@ def parse_price(c) -> Column:
 
     Plain spaces, NBSP and dots are thousands separators; any other blank
     left inside the number makes it unparseable ("5 500" -> NULL) while
-    trailing blanks are ignored.
+    trailing blanks are ignored.  A number beyond the BIGINT type is NULL.
     """
     run = F.regexp_extract(_c(c), rf"({DIGIT}[{DIGIT}{WS[1:-1]}.]*)", 1)
     digits = py_strip(F.regexp_replace(run, r"[ \x{A0}.]", ""))
-    return F.when(digits.rlike(r"^[0-9]{1,18}$"), digits.try_cast("bigint"))
+    return F.when(digits.rlike(r"^[0-9]+$"), digits.try_cast("bigint"))
 
 
 def listing_id_from_url(c) -> Column:
@@ -92,7 +92,7 @@ def city_of(location) -> Column:
 
 def format_price(p) -> Column:
     """``12 345 kr``; NULL and 0 print as a dash."""
-    v = _c(p).cast("double").cast("bigint")
+    v = _c(p).cast("bigint")
     return F.when(v.isNull() | (v == 0), F.lit("—")).otherwise(
         F.concat(F.replace(F.format_number(v, 0), F.lit(","), F.lit(" ")), F.lit(" kr")))
 
@@ -102,7 +102,3 @@ def location_text(t) -> Column:
     s = py_strip(t)
     ok = (~F.substring(s, 1, 3).rlike(DIGIT)) & (F.length(s) > 2)
     return F.when(ok, py_strip(F.split_part(s, F.lit("\n"), F.lit(1))))
-
-
-def blank_to_null(c) -> Column:
-    return F.nullif(_c(c), F.lit(""))

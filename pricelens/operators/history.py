@@ -10,15 +10,13 @@ Scale notes
   the previous one is the same aggregate over rows strictly before it, found
   with an equi-join on the key that AQE can split when a key is hot.
 * ``price_changes`` (the full rebuild) and ``step_changes`` need each row's
-  predecessor within its key.  ``sequential_lag`` gets it without a window
-  per key, so one listing holding a third of all rows is still spread over
-  many tasks: rows are range-partitioned on ``(key, order)`` (Spark samples
-  the bounds, so a hot key spans several partitions), ``lag`` runs inside
-  each range partition, and each partition's first row takes the last row
-  of the previous non-empty partition from a boundary table with one row per
-  partition (its size is bounded by the partition count, so broadcasting it
-  is safe).  The incremental path (``tables.append_history``) only windows
-  the last stored row plus the new batch rows of a key.
+  predecessor within its key.  ``previous_value`` gets it from a window per
+  (key, day), so one listing holding a third of all rows is spread over its
+  days; the first row of a day takes the last row of the key's day before from
+  a table with one row per (key, day).  Everything is keyed on data, so the
+  result does not depend on how Spark deals or re-runs partitions.  The
+  incremental path (``tables.append_history``) only windows the last stored
+  row plus the new batch rows of a key.
 """
 
 from __future__ import annotations
@@ -41,31 +39,18 @@ def observations_to_history(obs: DataFrame) -> DataFrame:
                     F.col("scraped_at").alias("seen_at"), "seq"))
 
 
-def sequential_lag(df: DataFrame, keys: list[str], order: list[str], value: str,
-                   out: str = "_prev", partitions: int | None = None) -> DataFrame:
+def previous_value(df: DataFrame, keys: list[str], order: list[str], value: str, out: str = "_prev") -> DataFrame:
     """Add ``out`` = ``value`` of the previous row of the same key in ``order``
-    (NULL for a key's first row), skew-safe (see module notes)."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = keys + order
-    r = df.repartitionByRange(n, *cols).withColumn("_pid", F.spark_partition_id())
-    row = F.struct(*[F.col(c) for c in cols], F.col(value).alias("_v"))
-    # Last row of every non-empty partition, and for each partition the last
-    # row of the nearest earlier one: one row per partition.
-    last = r.groupBy("_pid").agg(F.max(row).alias("_last"))
-    boundary = last.select("_pid", F.lag("_last").over(Window.orderBy("_pid")).alias("_b"))
-    w = Window.partitionBy("_pid").orderBy(*cols)
-    same_key_prev = F.lit(True)
-    for k in keys:
-        same_key_prev = same_key_prev & (F.lag(k).over(w) == F.col(k))
-    inner = F.when(same_key_prev, F.lag(value).over(w))
-    with_inner = r.select("*", inner.alias("_inner"), F.row_number().over(w).alias("_rn"))
-    b_same = F.lit(True)
-    for k in keys:
-        b_same = b_same & (F.col(f"_b.{k}") == F.col(k))
-    j = with_inner.join(F.broadcast(boundary), "_pid", "left")
-    prev = F.when(F.col("_rn") == 1, F.when(b_same, F.col("_b._v"))).otherwise(F.col("_inner"))
-    return j.select(*df.columns, prev.alias(out))
+    (NULL for a key's first row).  ``order`` starts with a timestamp; rows
+    equal in it are ordered by ``value``.  See the module notes."""
+    day = F.coalesce(F.to_date(order[0]), F.lit("0001-01-01").cast("date"))
+    rows = df.withColumn("_day", day)
+    last = rows.groupBy(*keys, "_day").agg(F.max(F.struct(*order, value)).alias("_last"))
+    before = last.select(*keys, "_day", F.lag(F.col(f"_last.{value}")).over(Window.partitionBy(*keys).orderBy("_day")).alias("_before"))
+    w = Window.partitionBy(*keys, "_day").orderBy(*order, value)
+    inner = rows.withColumns({"_inner": F.lag(value).over(w), "_first": F.row_number().over(w) == 1})
+    return (inner.join(before, [*keys, "_day"], "left")
+            .select(*df.columns, F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_inner")).alias(out)))
 
 
 def price_changes(obs: DataFrame, keep_previous: bool = False) -> DataFrame:
@@ -76,7 +61,7 @@ def price_changes(obs: DataFrame, keep_previous: bool = False) -> DataFrame:
     a recorded row's previous observation price *is* the previous recorded
     price; ``keep_previous`` keeps it as ``previous_price``."""
     h = observations_to_history(obs)
-    out = (sequential_lag(h, list(KEY), ["seen_at", "seq"], "price")
+    out = (previous_value(h, list(KEY), ["seen_at", "seq"], "price")
            .filter(F.col("_prev").isNull() | (F.col("_prev") != F.col("price"))))
     return out.withColumnRenamed("_prev", "previous_price") if keep_previous else out.drop("_prev")
 
@@ -122,7 +107,8 @@ def drop_candidates(history: DataFrame, query: str | None = None) -> DataFrame:
 
 def price_drops(history: DataFrame, listings: DataFrame, limit: int | None = None,
                 query: str | None = None) -> DataFrame:
-    """Active listings whose latest price dropped, biggest relative drop first.
+    """Active listings whose latest price dropped; with ``limit`` the biggest
+    relative drops, first to last (without, the rows are not sorted).
 
     ``drop_pct`` uses the history prices; ``listing_price`` is the listing's
     stored price (it may be NULL when the last scan saw no price)."""
@@ -134,13 +120,12 @@ def price_drops(history: DataFrame, listings: DataFrame, limit: int | None = Non
     out = (d.join(active, list(KEY))
            .withColumn("drop_pct", (prev - cur).cast("double") / prev.cast("double")
                        * F.lit(100.0)))
-    out = out.orderBy(F.col("drop_pct").desc(), "query", "listing_id")
-    return out.limit(limit) if limit is not None else out
+    return out if limit is None else out.orderBy(F.col("drop_pct").desc(), "query", "listing_id").limit(limit)
 
 
 def step_changes(history: DataFrame) -> DataFrame:
     """Each history point with the % change from the previous one (NULL first)."""
-    h = sequential_lag(history, list(KEY), ["seen_at", "seq"], "price")
+    h = previous_value(history, list(KEY), ["seen_at", "seq"], "price")
     prev = F.col("_prev")
     return h.withColumn(
         "change_pct", (F.col("price") - prev).cast("double") / prev.cast("double") * F.lit(100.0)
@@ -157,4 +142,4 @@ def listing_histories(history: DataFrame, listings: DataFrame,
         l = l.filter(F.col("listing_id") == listing_id)
     return (h.join(l, list(KEY))
             .select("listing_id", "query", "title", "url", "seen_at", "seq", "price")
-            .orderBy("listing_id", "query", "seen_at", "seq"))
+            .sortWithinPartitions("listing_id", "query", "seen_at", "seq"))

@@ -6,12 +6,12 @@ Scale notes
   a map-side partial aggregation, so a search holding a third of all rows
   shuffles one row per distinct price, never its raw rows.  ``percentile``
   then takes the counts as frequencies.
-* Attaching the report to listings is a join on ``query`` against a table
-  with one row per search: AQE measures it at runtime and broadcasts it when
-  it is under the adaptive threshold; otherwise a skew-split sort-merge join.
-* Candidate selection never runs a full window per search: a top-k
-  ``row_number() <= k`` filter lets Spark insert a partial WindowGroupLimit
-  before the shuffle, so each search sends at most k rows per map task.
+* Attaching the report to listings is a salted join (``operators.attach``):
+  the rows of a hot search are dealt to many tasks.
+* Candidate selection never runs a full window per search: it ranks narrow
+  rows, and a top-k ``row_number() <= k`` filter lets Spark insert a partial
+  WindowGroupLimit before the shuffle, so each search sends at most k rows per
+  map task.  Wide columns are fetched for the k rows last.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from pricelens.functions.numeric import py_round
 from pricelens.functions.scoring import price_score
+from pricelens.operators.attach import attach
 
 REPORT_COLUMNS = ("query", "count", "mean", "median", "std", "min_price", "max_price",
                   "p25", "p75")
@@ -43,14 +44,23 @@ def market_report(listings: DataFrame, price_col: str = "price_nok") -> DataFram
     agg = f.groupBy("query").agg(
         F.coalesce(F.sum(priced_cnt), F.lit(0)).cast("bigint").alias("n"),
         F.sum(F.col("price").cast(dec) * F.col("cnt")).alias("s1"),
-        F.sum(F.col("price").cast(dec) * F.col("price").cast(dec) * F.col("cnt")).alias("s2"),
+        # NULL where a price is too large for the exact sum (see below)
+        F.try_sum(F.try_multiply(F.try_multiply(F.col("price").cast(dec), F.col("price").cast(dec)), F.col("cnt").cast(dec))).alias("s2"),
+        F.max(F.col("price").cast("double")).alias("_top"),
+        F.sum(F.col("price").cast("double") * F.col("price").cast("double") * F.col("cnt").cast("double")).alias("s2_approx"),
         F.min("price").alias("min_price"),
         F.max("price").alias("max_price"),
         F.percentile(F.col("price"), [0.25, 0.5, 0.75], F.col("cnt")).alias("q"),
     )
     n = F.col("n")
-    var_num = (F.col("n").cast(dec) * F.col("s2") - F.col("s1") * F.col("s1")).cast("double")
-    std = F.sqrt(var_num / (n.cast("double") * n.cast("double")))
+    # The variance is exact in whole numbers while they fit 38 digits; one
+    # advert with a junk price of 17 digits or more makes its own search's
+    # variance approximate (doubles), and touches no other search.
+    nd = n.cast("double")
+    exact = F.try_subtract(F.try_multiply(n.cast(dec), F.col("s2")), F.try_multiply(F.col("s1"), F.col("s1"))).cast("double")
+    exact = F.when(F.col("_top") < 1e16, exact)
+    approx = F.greatest(F.lit(0.0), F.col("s2_approx") / nd - (F.col("s1").cast("double") / nd) * (F.col("s1").cast("double") / nd))
+    std = F.sqrt(F.coalesce(exact / (nd * nd), approx))
     has = n > 0
     return agg.select(
         "query",
@@ -66,10 +76,10 @@ def market_report(listings: DataFrame, price_col: str = "price_nok") -> DataFram
 
 
 def score_against_market(listings: DataFrame, report: DataFrame,
-                         price_col: str = "price_nok") -> DataFrame:
+                         price_col: str = "price_nok", spread: str | None = None) -> DataFrame:
     """Add ``price_score``: % vs the search's median (NULL if unpriced)."""
     med = report.select("query", F.col("median").alias("_median"))
-    out = listings.join(med, "query", "left")
+    out = attach(listings, med, "query", spread or ("id" if "id" in listings.columns else price_col))
     keep = [c for c in listings.columns if c != "price_score"]
     return out.select(*keep, price_score(F.col(price_col), F.col("_median")).alias("price_score"))
 
@@ -87,31 +97,24 @@ def select_candidates(scored: DataFrame, limit: int, suspicious: float = -60.0)
     score (NULL as 0) descending if any candidate has one, else by price score
     ascending; ties fall back to price score, then id.
 
-    Every scored row gets a tier (0 above the threshold, 1 otherwise) and is
-    ranked per search under three orderings, all led by the tier: composite
-    first, price first, and "has a composite" first.  The rank-1 row of the
-    third tells the lowest tier present and whether a candidate there has a
-    composite score, which picks the ordering; rows of other tiers drop out.
-    ``row_number() <= limit`` lets Spark keep ``limit`` rows per search and
-    ordering on each map task before the shuffle, so no task ever holds a
-    whole search.
+    One partial aggregate per search tells whether a safe listing exists and
+    whether a candidate has a composite score; it is attached to the narrow
+    rows, which are then ranked once.
     """
     ps, cs = F.col("price_score"), F.col("composite_score")
-    base = (scored.filter(ps.isNotNull())
-            .withColumn("_tier", F.when(ps > suspicious, 0).otherwise(1))
-            .withColumn("_v", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))))
-    key = (F.when(F.col("_v") == 0, -F.coalesce(cs, F.lit(0.0)))
-           .when(F.col("_v") == 1, ps)
-           .otherwise(F.when(cs.isNotNull(), 0).otherwise(1).cast("double")))
-    w = Window.partitionBy("query", "_v").orderBy("_tier", key, ps, "id")
-    top = (base.withColumn("rank", F.row_number().over(w))
-           .filter(F.col("rank") <= limit))
-    flags = (top.filter((F.col("_v") == 2) & (F.col("rank") == 1))
-             .select("query", F.col("_tier").alias("_min_tier"), cs.isNotNull().alias("_use_cs")))
-    picked = (top.filter(F.col("_v") < 2).join(flags, "query")
-              .filter((F.col("_tier") == F.col("_min_tier"))
-                      & (F.col("_v") == F.when(F.col("_use_cs"), 0).otherwise(1))))
-    return picked.drop("_tier", "_v", "_min_tier", "_use_cs")
+    narrow = scored.filter(ps.isNotNull()).select("id", "query", "price_score", "composite_score")
+    safe = ps > suspicious
+    flags = narrow.groupBy("query").agg(
+        F.bool_or(safe).alias("_has_safe"),
+        F.bool_or(safe & cs.isNotNull()).alias("_safe_cs"), F.bool_or(cs.isNotNull()).alias("_any_cs"))
+    rows = attach(narrow, flags, "query", "id", "inner").filter(safe | ~F.col("_has_safe"))
+    use_cs = F.when(F.col("_has_safe"), F.col("_safe_cs")).otherwise(F.col("_any_cs"))
+    key = F.when(use_cs, -F.coalesce(cs, F.lit(0.0))).otherwise(ps)
+    w = Window.partitionBy("query").orderBy(key, ps, "id")
+    top = rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    if set(scored.columns) == {"id", "query", "price_score", "composite_score"}:
+        return top.select(*scored.columns, "rank")
+    return scored.join(top.select("id", "query", "rank"), ["id", "query"])
 
 
 def percentiles(freq: DataFrame, ps: list[float]) -> DataFrame:

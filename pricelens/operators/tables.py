@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelens.functions.times import ts_lit
+from pricelens.operators.attach import attach
 
 KEY = ["id", "query"]
 REPORT_FIELDS = ("condition_score", "battery_pct", "red_flags", "summary")
@@ -73,20 +74,14 @@ def _rebuild_report(df: DataFrame) -> DataFrame:
     return df.withColumn("ai_report", rep).drop(*cols)
 
 
-MAX_BROADCAST_SEARCHES = 100_000
-
-
 def upsert_listings(table: DataFrame, batch: DataFrame,
                     complete: DataFrame | None = None,
-                    prune_missing: bool = True,
-                    searches_in_batch: int | None = None) -> DataFrame:
+                    prune_missing: bool = True) -> DataFrame:
     """New listing table after applying ``batch``.
 
     ``complete`` holds ``(query, complete)`` for the scans in the batch; when
     omitted every scanned search counts as complete.  ``prune_missing=False``
-    never deactivates (a partial scan).  ``searches_in_batch``, when the
-    caller knows it (a scan holds one search), bounds the per-search flag
-    table so it is broadcast; otherwise AQE decides from its measured size."""
+    never deactivates (a partial scan)."""
     t = _flatten_report(table)
     b = dedupe_batch(batch).withColumn("_hit", F.lit(True))
     scanned = batch.select("query").distinct()
@@ -94,13 +89,7 @@ def upsert_listings(table: DataFrame, batch: DataFrame,
         scanned = scanned.join(complete.groupBy("query").agg(F.bool_and("complete").alias("_c")),
                                "query", "left").filter(F.coalesce("_c", F.lit(False))).select("query")
     scanned = scanned.withColumn("_scanned", F.lit(prune_missing))
-    # One row per scanned search, joined to every stored row on ``query``:
-    # a shuffle join would put a hot search's rows in one task, so it is
-    # broadcast when its size is known to be bounded, and otherwise left to
-    # AQE, which broadcasts it from the measured size of this small aggregate.
-    if searches_in_batch is not None and searches_in_batch <= MAX_BROADCAST_SEARCHES:
-        scanned = F.broadcast(scanned)
-    tj = t.join(scanned, "query", "left")
+    tj = attach(t, scanned, "query", "id")
     j = tj.alias("t").join(b.alias("b"), KEY, "full_outer")
     hit = F.coalesce(F.col("b._hit"), F.lit(False))
     kept = set(_kept_columns(t)) | set(_kept_columns(b))

@@ -105,8 +105,8 @@ FROM labels l JOIN documents d ON l.doc_id = d.doc_id""")
 cte("captured", """
 SELECT page_id,
        regexp_extract(url, '^[a-z]+://[^/]*/([a-z]{2})/', 1) AS query,
-       CASE WHEN regexp_extract(url, '[?&]page=([0-9]{1,6})', 1) <> ''
-            THEN CAST(regexp_extract(url, '[?&]page=([0-9]{1,6})', 1) AS INTEGER)
+       CASE WHEN regexp_extract(url, '[?&]page=([0-9]+)', 1) <> ''
+            THEN TRY_CAST(regexp_extract(url, '[?&]page=([0-9]+)', 1) AS BIGINT)
             ELSE 1 END AS page_num,
        url, html
 FROM pages""")
@@ -418,7 +418,9 @@ ORACLE["listings_by_query"] = build_sql(
 
 def _py_int(e: str) -> str:
     s = X.py_strip(f"CAST({e} AS VARCHAR)")
-    return f"(CASE WHEN regexp_full_match({s}, '[+-]?[0-9]{{1,18}}') THEN TRY_CAST({s} AS BIGINT) END)"
+    w = f"regexp_extract({s}, '^([+-]?[0-9]+)([.][0-9]+)?$', 1)"
+    return (f"(CASE WHEN {w} <> '' THEN coalesce(TRY_CAST({w} AS BIGINT), CASE WHEN starts_with({w}, '-') "
+            f"THEN CAST('-9223372036854775808' AS BIGINT) ELSE 9223372036854775807 END) END)")
 
 
 cte("sanitized", f"""

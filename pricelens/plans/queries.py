@@ -96,8 +96,8 @@ def q_price_scores(spark, sf):
 
 @register("composite_scores")
 def q_composite_scores(spark, sf):
-    return SC.score_listings(S.posts_scored(spark, sf)).select(
-        "id", "query", "price_score", "composite_score")
+    return SC.best_first(SC.score_listings(S.posts_scored(spark, sf)).select(
+        "id", "query", "price_score", "composite_score"))
 
 
 @register("keyword_hits")
@@ -285,10 +285,7 @@ def q_top_reviewed(spark, sf):
 def q_review_worklist(spark, sf):
     scored = SC.score_listings(S.posts_scored(spark, sf))
     cand = M.select_candidates(scored, KP.CANDIDATE_LIMIT)
-    posts_src = read_table(spark, sf, "documents", "doc_id", "source").select(
-        F.col("doc_id").cast("string").alias("id"), F.col("source").alias("location"))
-    cand = (cand.join(posts_src, "id", "left")
-            .withColumn("image_urls", F.array().cast("array<string>")))
+    cand = cand.withColumn("image_urls", F.array().cast("array<string>"))
     return AS.review_worklist(cand).select("id", "query", "prompt_text",
                                            F.size("images").alias("n_images"))
 
@@ -322,9 +319,7 @@ def q_condition_bands(spark, sf):
 # --- export ----------------------------------------------------------------
 
 def _export_source(spark, sf):
-    posts_src = read_table(spark, sf, "documents", "doc_id", "source").select(
-        F.col("doc_id").cast("string").alias("id"), F.col("source").alias("location"))
-    return (_reviewed_posts(spark, sf).join(posts_src, "id")
+    return (_reviewed_posts(spark, sf)
             .withColumn("url", F.concat(F.lit("https://www.finn.no/item/"), F.col("id")))
             .withColumn("scraped_at", F.lit(None).cast("timestamp")))
 
@@ -465,8 +460,7 @@ def q_timestamp_text(spark, sf):
 @register("drops_for_query")
 def q_drops_for_query(spark, sf):
     """Drops of one search.  History is per (id, query), so filtering the
-    observations first is equivalent and lets the filter reach the scan (the
-    range-partitioned lag would otherwise stop it)."""
+    observations first is equivalent and lets the filter reach the scan."""
     q = F.col("query") == KP.EXPORT_QUERY
     hist = H.price_changes(S.obs(spark, sf).filter(q), keep_previous=True)
     return H.price_drops(hist, S.listings_base(spark, sf), query=KP.EXPORT_QUERY)

@@ -48,10 +48,8 @@ def score_scan(cards: DataFrame, params: Params = Params(),
         rev = AS.sanitize_assessments(raw_reviews)
         rev = rev.join(cands.select("id", "query"), ["id", "query"], "left_semi")
         merged = AS.merge_assessments(scored, rev)
-        reviewed = F.col("ai_report").isNotNull()
-        scored = (AS.rescore_reviewed(merged).withColumnRenamed("composite_score", "_new")
-                  .join(merged.select("id", "query", "composite_score"), ["id", "query"])
-                  .withColumn("composite_score", F.when(reviewed, F.col("_new"))
-                              .otherwise(F.col("composite_score"))).drop("_new"))
+        old = merged.withColumnRenamed("composite_score", "_old")
+        scored = (AS.rescore_reviewed(old)
+                  .withColumn("composite_score", F.when(F.col("ai_report").isNotNull(), F.col("composite_score")).otherwise(F.col("_old"))).drop("_old"))
     rank = cands.select("id", "query", "rank")
     return ScanResult(report, scored.join(rank, ["id", "query"], "left"), cands)

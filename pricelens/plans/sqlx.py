@@ -60,7 +60,7 @@ def normalize_query(e: str) -> str:
 def parse_price(e: str) -> str:
     run = f"regexp_extract({e}, {q(f'({DIGIT}[{DIGIT}{WS[1:-1]}.]*)')}, 1)"
     digits = py_strip(f"regexp_replace({run}, {q('[ \\x{A0}.]')}, '', 'g')")
-    return (f"(CASE WHEN regexp_full_match({digits}, '[0-9]{{1,18}}') "
+    return (f"(CASE WHEN regexp_full_match({digits}, '[0-9]+') "
             f"THEN TRY_CAST({digits} AS BIGINT) END)")
 
 
@@ -97,7 +97,7 @@ def city_of(loc: str) -> str:
 
 
 def format_price(p: str) -> str:
-    v = f"CAST(trunc(CAST({p} AS DOUBLE)) AS BIGINT)"
+    v = f"CAST({p} AS BIGINT)"
     return (f"(CASE WHEN {v} IS NULL OR {v} = 0 THEN '—' "
             f"ELSE replace(format('{{:,}}', {v}), ',', ' ') || ' kr' END)")
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -26,7 +25,6 @@ def get_session(master: str | None = None, app: str = "pricelens",
     """Return the active session, or build a local one for tests and benches."""
     active = SparkSession.getActiveSession()
     if active is not None:
-        ensure_checkpoint_dir(active)
         return active
     b = SparkSession.builder.appName(app)
     if master:
@@ -35,24 +33,7 @@ def get_session(master: str | None = None, app: str = "pricelens",
         b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    b = b.config("spark.driver.memory", os.environ.get("PRICELENS_DRIVER_MEM", "16g"))
+    b = b.config("spark.driver.memory", os.environ.get("PRICELENS_DRIVER_MEM", "8g"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("WARN")
-    ensure_checkpoint_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only when unset.
-
-    On a cluster the setting names a shared folder that survives executor
-    loss.  A private temporary folder is only acceptable for local tests.
-    """
-    conf = spark.sparkContext.getConf()
-    cp = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not cp:
-        cp = tempfile.mkdtemp(prefix="pricelens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", cp)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(cp)
-    return cp

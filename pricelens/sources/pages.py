@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelens.functions.text import listing_id_from_url, location_text, parse_price, py_strip
+from pricelens.operators.attach import attach
 from pricelens.functions.urls import absolute_url, image_url_allowed, safe_listing_url
 from pricelens.params import ALLOWED_EXACT_HOSTS, ALLOWED_HOST_SUFFIXES
 
@@ -136,7 +137,7 @@ def dedupe_scan(cards: DataFrame, completeness: DataFrame | None = None) -> Data
     partial aggregate; with ``completeness`` pages after the stop page, which
     the scan never loaded, are left out."""
     if completeness is not None:
-        cards = (cards.join(completeness.select("scan_id", "stop_page"), "scan_id")
+        cards = (attach(cards, completeness.select("scan_id", "stop_page"), "scan_id", "id", "inner")
                  .filter(F.col("page_num") <= F.col("stop_page")).drop("stop_page"))
     rest = [c for c in cards.columns if c not in ("scan_id", "id", "page_num", "pos")]
     first = F.min(F.struct("page_num", "pos", *rest)).alias("f")

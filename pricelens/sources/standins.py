@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from pricelens.functions.scoring import with_composite_score
 from pricelens.functions.text import py_strip
+from pricelens.operators.attach import attach
 from pricelens.operators.market import score_against_market, market_report
 from pricelens.params import BASE_URL
 from pricelens.sources.tables import read_table
@@ -45,7 +46,7 @@ def latest_base(o: DataFrame) -> DataFrame:
               .agg(F.max(F.struct("scraped_at", "seq", "price_nok", "scan_day")).alias("l"))
               .select("id", "query", "l.*"))
     last_day = o.groupBy("query").agg(F.max("scan_day").alias("last_day"))
-    return latest.join(last_day, "query").select(
+    return attach(latest, last_day, "query", "id", "inner").select(
         "query", "id", "scraped_at", "seq", "price_nok",
         (F.col("scan_day") == F.col("last_day")).alias("is_active"),
         F.concat(F.lit("listing "), F.col("id")).alias("title"),
@@ -74,7 +75,7 @@ def _split_last_scan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     """Observations before each search's last scan day, and that day's scan."""
     o = obs(spark, sf_dir)
     last = o.groupBy("query").agg(F.max("scan_day").alias("_last"))
-    oj = o.join(last, "query")
+    oj = attach(o, last, "query", "seq", "inner")
     before = oj.filter(F.col("scan_day") < F.col("_last")).drop("_last")
     batch = oj.filter(F.col("scan_day") == F.col("_last")).drop("_last")
     return before, batch
@@ -121,13 +122,14 @@ def market_big(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "n_chars")
+    d = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "n_chars", "source")
     return d.select(
         F.col("doc_id").cast("string").alias("id"),
         F.col("lang").alias("query"),
         py_strip(F.split_part(F.col("text"), F.lit("\n"), F.lit(1))).alias("title"),
         F.col("text").alias("description"),
         F.col("n_chars").alias("price_nok"),
+        F.col("source").alias("location"),
     )
 
 
@@ -149,11 +151,11 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured pages; the search is the language path segment, page from ``page=``."""
     p = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
-    page = F.regexp_extract("url", r"[?&]page=([0-9]{1,6})", 1)
+    page = F.regexp_extract("url", r"[?&]page=([0-9]+)", 1)
     return p.select(
         "page_id",
         F.regexp_extract("url", r"^[a-z]+://[^/]*/([a-z]{2})/", 1).alias("query"),
-        F.when(page != "", page.cast("int")).otherwise(F.lit(1)).alias("page_num"),
+        F.when(page != "", page.try_cast("bigint")).otherwise(F.lit(1)).alias("page_num"),
         "url", "html")
 
 

@@ -170,7 +170,7 @@ class ListingStore:
             part = self._commit("price_history", new_rows, "a", tag=scan_id)
         appended = self.spark.read.schema(schemas.PRICE_HISTORY).parquet(part)
         new_state = TB.with_recorded_price(
-            TB.upsert_listings(state, batch, complete, prune_missing, searches_in_batch=len(searches)),
+            TB.upsert_listings(state, batch, complete, prune_missing),
             appended)
         self._commit_listings(new_state)
 

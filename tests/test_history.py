@@ -1,9 +1,15 @@
-"""Skew-safe sequential lag equals a per-key window, also for a hot key."""
+"""The day-split lag equals a per-key window, also for a hot key."""
 
+import os
+
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pricelens.operators import history as H
+from pricelens.sources import standins as S
+
+SF = "/root/testdata/sf0.1"
 
 
 def _reference_lag(df):
@@ -18,21 +24,46 @@ def test_hot_key_spans_partitions(spark):
     rows += [("a", "q", 5, 1, 20000), ("zz", "q", 6, 1, 20001)]
     df = spark.createDataFrame(rows, "listing_id string, query string, price long, t long, seq long")
     df = df.withColumn("seen_at", F.timestamp_seconds("t")).drop("t")
-    got = H.sequential_lag(df, ["listing_id", "query"], ["seen_at", "seq"], "price", partitions=16)
+    df = df.withColumn("seen_at", F.expr("seen_at + make_interval(0, 0, 0, CAST(seq % 40 AS INT))"))
     want = _reference_lag(df)
-    assert got.count() == want.count()
-    assert got.exceptAll(want.select(*got.columns)).count() == 0
-    # the hot key really was split across range partitions
-    pids = df.repartitionByRange(16, "listing_id", "query", "seen_at", "seq") \
-        .filter("listing_id = 'hot'").select(F.spark_partition_id()).distinct().count()
-    assert pids > 2
+    for conf in ({}, {"spark.sql.exchange.reuse": "false", "spark.sql.adaptive.enabled": "false"}):
+        old = {k: spark.conf.get(k) for k in conf}
+        try:
+            for k, v in conf.items():
+                spark.conf.set(k, v)
+            got = H.previous_value(df, ["listing_id", "query"], ["seen_at", "seq"], "price")
+            assert got.count() == want.count()
+            assert got.exceptAll(want.select(*got.columns)).count() == 0
+        finally:
+            for k, v in old.items():
+                spark.conf.set(k, v)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
+def test_equal_to_a_plain_window_at_scale_without_reuse(spark):
+    o = H.observations_to_history(S.obs(spark, SF))
+    want = _reference_lag(o)
+    for conf in ({"spark.sql.exchange.reuse": "false"}, {"spark.sql.adaptive.enabled": "false"}):
+        try:
+            for k, v in conf.items():
+                spark.conf.set(k, v)
+            got = H.previous_value(o, ["listing_id", "query"], ["seen_at", "seq"], "price")
+            assert got.exceptAll(want.select(*got.columns)).count() == 0 and got.count() == want.count()
+        finally:
+            for k in conf:
+                spark.conf.set(k, "true")
+
+
+def test_one_full_size_shuffle(spark):
+    plan = H.price_changes(S.obs(spark, SF))._jdf.queryExecution().sparkPlan().toString()
+    assert "RangePartitioning" not in plan and "rangepartitioning" not in plan
 
 
-def test_more_partitions_than_rows(spark):
+def test_few_rows(spark):
     df = spark.createDataFrame([("a", "q", 1, 1), ("a", "q", 2, 2), ("b", "q", 3, 3)],
                                "listing_id string, query string, price long, seq long")
     df = df.withColumn("seen_at", F.timestamp_seconds("seq"))
-    got = H.sequential_lag(df, ["listing_id", "query"], ["seen_at", "seq"], "price", partitions=50)
+    got = H.previous_value(df, ["listing_id", "query"], ["seen_at", "seq"], "price")
     assert sorted((r["listing_id"], r["price"], r["_prev"]) for r in got.collect()) == \
         [("a", 1, None), ("a", 2, 1), ("b", 3, None)]
 

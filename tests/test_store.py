@@ -115,7 +115,7 @@ def test_histories_of_one_id(spark, tmpdir_path):
     _scan(s, spark, [listing(111, 4500, T1, query="iphone 13 pro")])
     _scan(s, spark, [listing(111, 4000, T1)])
     h = H.listing_histories(s.read("price_history"), s.read("listings"), "111")
-    assert rows(h, "query", "price") == [("iphone 13", 5000), ("iphone 13", 4000),
+    assert rows(h.orderBy("query", "seen_at", "seq"), "query", "price") == [("iphone 13", 5000), ("iphone 13", 4000),
                                         ("iphone 13 pro", 4500)]
     assert H.listing_histories(s.read("price_history"), s.read("listings"), "nope").count() == 0
 
