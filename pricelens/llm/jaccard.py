@@ -2,7 +2,7 @@
 
 A text's set is its distinct 5-word shingles; two sets link when
 ``100 * |x & y| >= 80 * |x | y|``.  The join is exact (shingles are compared
-by 56-bit hashes) and returns the components of the links.
+by 48-bit hashes, sets by 64-bit hashes) and returns the components of the links.
 
 1. *Sharing.*  Blocks of texts send their distinct shingles, delta-coded, to
    the shuffle partition that owns the hash range, which returns those that
@@ -46,16 +46,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import doc_shingles, slices, staged, words_of
+from .common import doc_shingles, release, slices, staged, words_of
 from .graph import components
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Similarity as whole numbers: links need PART * |x & y| >= SHARE * |x | y|.
 PART, SHARE = 100, 80
-BITS = 56
+BITS = 48
+#: Hash ranges of each shuffle partition, taken one after another.
+ROUTES = 4
 #: Members of a list, or compared with one class, that one task takes at most.
 LIST_PART, PAIR_PART = 20_000, 256
-_SETS = "doc_id long, text_key long, n_shingles long, sig binary, tokens array<long>, dfs array<long>"
+_SETS = "doc_id long, text_key long, n_shingles long, sig long, tokens binary, prefix binary, alone long, central long"
 
 
 def _least_overlap(n: np.ndarray) -> np.ndarray:
@@ -68,7 +70,7 @@ def _least_overlap(n: np.ndarray) -> np.ndarray:
 def _send(routes: int):
     def flush(block: int, sets: list[np.ndarray], ids: list[pa.RecordBatch]) -> list[tuple[int, int, int, bytes]]:
         n = np.array([len(s) for s in sets], dtype=np.int64)
-        token = np.concatenate(sets).astype(np.int64)
+        token = (np.concatenate(sets) >> np.uint64(64 - BITS)).astype(np.int64)
         doc = np.repeat(np.arange(len(sets)), n)
         order = np.argsort(token, kind="stable")
         token, doc = token[order], doc[order]
@@ -85,7 +87,7 @@ def _send(routes: int):
                 own = many[a:z]
                 out.append((r, block, 0, B.pack(B.planes(np.diff(token[a:z], prepend=0)), B.planes(ref[a:z]), B.planes(own[own > 1]), len(sets).to_bytes(8, "little"))))
         inside = np.repeat(many > 1, many)
-        sig = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
+        sig = b"".join(hashlib.blake2b(s.tobytes(), digest_size=8).digest() for s in sets)
         out.append((routes + block % routes, block, 2, B.pack(B.planes(n), sig, B.planes(many[multi]), B.planes(doc[inside]), B.ipc(pa.Table.from_batches(ids)))))
         return out
 
@@ -93,8 +95,7 @@ def _send(routes: int):
         block, size, sets, ids = TaskContext.get().partitionId() << 32, 0, [], []
         for b in slices(batches, "text"):
             for s in doc_shingles(words_of(b.column(1), lower=True)):
-                s = s >> np.uint64(64 - BITS)
-                sets.append(s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s)
+                sets.append(s)
             ids.append(b.select(["doc_id", "text_key"]))
             size += b.column(1).nbytes
             if size >= BLOCK_BYTES:
@@ -102,6 +103,8 @@ def _send(routes: int):
                 block, size, sets, ids = block + 1, 0, [], []
         if sets:
             yield B.rows(flush(block, sets, ids))
+        del sets, ids
+        release()
 
     return run
 
@@ -138,6 +141,8 @@ def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             many[ref >= int.from_bytes(docs, "little")] = B.numbers(counts)
             held.append((block, np.cumsum(B.numbers(delta)), ref, many))
     yield from answer()
+    held.clear()
+    release()
 
 
 def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,43 +171,49 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wide = np.repeat(listed, times)
             doc[wide] = inside[starts[doc[wide] - len(n)] + step[wide]]
             token, df = np.repeat(token, times), np.repeat(df, times)
-            able = (np.bincount(doc, minlength=len(n)) >= _least_overlap(n)) & (n > 0)
+            shared = np.bincount(doc, minlength=len(n))
+            able = (shared >= _least_overlap(n)) & (n > 0)
             keep = able[doc]
             token, df, doc = token[keep], df[keep], doc[keep]
             order = np.lexsort((token, doc))
-            offsets = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(n)))))
-            lists = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(x[order]), mask=pa.array(~able)) for x in (token, df)]
-            sigs = pa.Array.from_buffers(pa.binary(16), len(n), [None, pa.py_buffer(sig)]).cast(pa.binary())
-            whole = pa.RecordBatch.from_arrays([*(pa.array(c.to_pylist(), pa.int64()) for c in ids.columns), pa.array(n), sigs, *lists], ["doc_id", "text_key", "n_shingles", "sig", "tokens", "dfs"])
+            token, df, doc = token[order], df[order], doc[order]
+            ends = np.cumsum(np.bincount(doc, minlength=len(n)))
+            rare = np.lexsort((token, df, doc))
+            most = np.maximum(0, shared - _least_overlap(n) + 1)  # index entries beside the unshared shingles
+            whole, prefix, central = [], [], []
+            for a, z, k, m, total in zip((ends - np.diff(ends, prepend=0)).tolist(), ends.tolist(), able.tolist(), most.tolist(), np.maximum(n, 1).tolist(), strict=True):
+                whole.append(B.planes(np.diff(token[a:z], prepend=0)) if k else None)
+                prefix.append(B.planes(token[rare[a:min(z, a + m)]]) if k else None)
+                central.append(int(df[a:z].sum()) * 1000 // total)
+            cols = [*(pa.array(c.to_pylist(), pa.int64()) for c in ids.columns), pa.array(n), pa.array(np.frombuffer(sig, np.int64)), pa.array(whole, pa.binary()), pa.array(prefix, pa.binary()), pa.array(n - shared), pa.array(central, pa.int64())]
+            result = pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "n_shingles", "sig", "tokens", "prefix", "alone", "central"])
             for i in range(0, len(n), 1000):
-                yield whole.slice(i, 1000)
+                yield result.slice(i, 1000)
+    release()
 
 
 def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_key, n_shingles, sig (of the set), and for texts that may link the shared shingles and their df."""
-    routes = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """doc_id, text_key, n_shingles, sig (of the set), and for texts that may link
+    the shared shingles, the index entries among them and the number of unshared ones."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    routes = ROUTES * parts
     sent = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key")).mapInArrow(_send(routes), B.ROW)
-    shared = sent.repartition(routes, "route").sortWithinPartitions("route").mapInArrow(_share, B.ROW)
-    return shared.repartition(routes, "block").sortWithinPartitions("block", "kind").mapInArrow(_collect, _SETS)
+    shared = sent.repartition(parts, "route").sortWithinPartitions("route").mapInArrow(_share, B.ROW)
+    return shared.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(_collect, _SETS)
 
 
 # ------------------------------------------------------------------- 2. index
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Index entries of each class: its rarest shingles up to the prefix length."""
-    for b in batches:
-        out = []
-        for k in range(b.num_rows):
-            n = b.column(1)[k].as_py()
-            token, df = (b.column(i)[k].values.to_numpy() for i in (2, 3))
-            order = np.lexsort((token, df))
-            alone = n - len(token)
-            most = max(0, n - int(_least_overlap(np.int64(n))) + 1 - alone)
-            pick = order[:most]
-            out.append((token[pick], np.full(len(pick), k), np.full(len(pick), n), alone + np.arange(len(pick)), np.full(len(pick), df.sum() // n)))
-        if out:
-            token, at, n, pos, central = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(token), b.column(0).take(pa.array(at)), pa.array(n), pa.array(pos), pa.array(central)], ["token", "sig", "n", "pos", "central"])
+    for b in (x.slice(i, 1000) for x in batches for i in range(0, x.num_rows, 1000)):
+        token = [B.numbers(x) for x in b.column(2).to_pylist()]
+        at = np.repeat(np.arange(len(token)), [len(t) for t in token])
+        if len(at):
+            first = np.concatenate(([0], np.cumsum([len(t) for t in token])))[:-1]
+            sig, n, _, alone, central = (c.take(pa.array(at)) for c in b.columns)
+            pos = alone.to_numpy() + np.arange(len(at)) - first[at]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), sig, n, pa.array(pos), central], ["token", "sig", "n", "pos", "central"])
 
 
 def _need(x: str, y: str) -> str:
@@ -214,27 +225,26 @@ def _compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b) -> (a, b, na, nb, o): each class ``a`` is laid beside the classes it is compared with."""
     parts = staged(pairs.groupBy("a").agg(F.count("*").alias("many")), "pair-counts")
     dealt = staged(pairs.join(parts, "a").select("a", "b", F.expr(f"pmod(xxhash64(b), ceil(many / {PAIR_PART}))").cast("int").alias("part")), "pairs")
-    tokens = classes.select("sig", F.col("n_shingles").alias("n"), "tokens")
-    left = dealt.select("a", "part").distinct().join(tokens, F.col("a") == F.col("sig")).select("a", "part", F.lit(None).cast("binary").alias("b"), "n", "tokens")
-    right = dealt.join(tokens, F.col("b") == F.col("sig")).select("a", "part", "b", "n", "tokens")
+    wanted = dealt.select("a", "part", "b", F.col("b").alias("sig")).unionByName(dealt.select("a", "part").distinct().select("a", "part", F.lit(None).cast("long").alias("b"), F.col("a").alias("sig")))
+    laid = wanted.join(classes.select("sig", F.col("n_shingles").alias("n"), "tokens"), "sig").select("a", "part", "b", "n", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n_base = None, 0
         for batch in batches:
             out = []
-            for a, _, b, n, t in zip(*batch.columns, strict=True):
-                t = t.values.to_numpy()
-                if not b.is_valid:
-                    base, n_base = t, n.as_py()
+            for a, _, b, n, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                t = np.cumsum(B.numbers(t))
+                if b is None:
+                    base, n_base = t, n
                     continue
                 at = np.searchsorted(base, t)
                 at[at == len(base)] = 0
-                out.append((a.as_py(), b.as_py(), n_base, n.as_py(), int((base[at] == t).sum()) if len(base) else 0))
+                out.append((a, b, n_base, n, int((base[at] == t).sum()) if len(base) else 0))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["a", "b", "na", "nb", "o"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b", "na", "nb", "o"])
 
-    return (left.unionByName(right).repartition("a", "part").sortWithinPartitions(F.col("a"), F.col("part"), F.col("b").asc_nulls_first())
-            .mapInArrow(run, "a binary, b binary, na long, nb long, o long"))
+    return (laid.repartition("a", "part").sortWithinPartitions(F.col("a"), F.col("part"), F.col("b").asc_nulls_first())
+            .mapInArrow(run, "a long, b long, na long, nb long, o long"))
 
 
 _LINKED = f"{PART} * o >= {SHARE} * (na + nb - o)"
@@ -251,7 +261,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         sig, n, pos, comp, probe, o, hub_n, part = zip(*held, strict=True)
         n, pos, o = (np.array(x, dtype=np.int64) for x in (n, pos, o))
-        names: dict[bytes, int] = {}
+        names: dict[int, int] = {}
         comp = np.array([names.setdefault(x, len(names)) for x in comp])
         probe = np.array(probe)
         place = n << 32 | pos  # rows come sorted by it
@@ -275,7 +285,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append((*sorted((sig[i], sig[k])), sure))
         if out:
             a, b, sure = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(sure)], ["a", "b", "sure"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure)], ["a", "b", "sure"])
 
     for batch in batches:
         for token, part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -288,25 +298,26 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(classes: DataFrame) -> DataFrame:
     """Links (a, b) between classes that make the same components as all links do."""
-    postings = staged(classes.select("sig", "n_shingles", "tokens", "dfs").mapInArrow(_postings, "token long, sig binary, n long, pos long, central long"), "postings")
+    postings = staged(classes.select("sig", "n_shingles", "prefix", "alone", "central").mapInArrow(_postings, "token long, sig long, n long, pos long, central long"), "postings")
     hubs = staged(postings.groupBy("token").agg(F.count("*").alias("many"), F.max(F.struct("central", "sig", "n", "pos")).alias("hub")).where("many > 1")
                   .select("token", "many", F.col("hub.sig").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos")), "hubs")
-    met = (postings.join(hubs, "token").where("sig <> hub")
-           .where(f"least(n - pos, hub_n - hub_pos) >= {_need('n', 'hub_n')} AND {PART} * least(n, hub_n) >= {SHARE} * greatest(n, hub_n)"))
+    lists = staged(postings.drop("central").join(hubs, "token"), "lists")
+    met = lists.where("sig <> hub").where(f"least(n - pos, hub_n - hub_pos) >= {_need('n', 'hub_n')} AND {PART} * least(n, hub_n) >= {SHARE} * greatest(n, hub_n)")
     computed = staged(_compared(met.select(F.col("hub").alias("a"), F.col("sig").alias("b")).distinct(), classes), "computed")
     direct = computed.where(_LINKED).select("a", "b")
     comp = staged(components(direct), "components")
-    labelled = staged(postings.join(hubs, "token").join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig")), "labelled")
-    mixed = staged(labelled.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token"), "mixed-lists")
-    overlap = computed.select(F.col("a").alias("hub"), F.col("b").alias("sig"), "o")
-    hub_comp = labelled.where("sig = hub").select("token", F.col("comp").alias("hub_comp"))
-    rows = (labelled.join(mixed, "token").join(hub_comp, "token").join(overlap, ["hub", "sig"], "left")
+    of = lambda node: comp.select(F.col("node").alias(node), F.col("comp").alias(f"{node}_comp"))
+    apart = staged(lists.select("token", "sig", "hub").join(of("sig"), "sig", "left").join(of("hub"), "hub", "left")
+                   .where("coalesce(sig_comp, sig) <> coalesce(hub_comp, hub)").select("token").distinct(), "mixed-lists")
+    rows = (lists.join(apart, "token").join(of("sig"), "sig", "left").join(of("hub"), "hub", "left")
+            .join(computed.select(F.col("a").alias("hub"), F.col("b").alias("sig"), "o"), ["hub", "sig"], "left")
+            .withColumn("comp", F.coalesce("sig_comp", "sig"))
             .withColumn("o", F.when(F.col("sig") == F.col("hub"), F.col("n")).otherwise(F.coalesce("o", F.lit(-1))))
-            .withColumn("probe", F.col("comp") != F.col("hub_comp"))
+            .withColumn("probe", F.col("comp") != F.coalesce("hub_comp", "hub"))
             .withColumn("parts", F.expr(f"CAST(ceil(many / {LIST_PART}) AS INT)"))
             .withColumn("part", F.explode(F.expr("IF(probe, sequence(0, parts - 1), array(CAST(pmod(xxhash64(sig), parts) AS INT)))"))))
     found = staged(rows.select("token", "part", "sig", "n", "pos", "comp", "probe", "o", "hub_n").repartition("token", "part").sortWithinPartitions("token", "part", "n", "pos")
-                   .mapInArrow(_across, "a binary, b binary, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")), "across")
+                   .mapInArrow(_across, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")), "across")
     done = computed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = _compared(found.where("NOT sure").join(done, ["a", "b"], "left_anti").select("a", "b"), classes).where(_LINKED)
     return direct.unionByName(found.where("sure").select("a", "b")).unionByName(more.select("a", "b"))
@@ -316,7 +327,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFr
     """Every row with its set, and the component of each set that may link."""
     sets = staged(shingle_sets(docs, doc_id, text), "sets")
     classes = staged(sets.where("tokens IS NOT NULL").groupBy("sig").agg(
-        F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("dfs").alias("dfs"),
+        *[F.first(c).alias(c) for c in ("n_shingles", "tokens", "prefix", "alone", "central")],
         F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("stays")), "classes")
     comp = components(links(classes))
     return sets, staged(classes.select("sig", "least", "stays").join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig")), "named")
