@@ -41,7 +41,7 @@ def keyword_hits(text: Column | str, words: Sequence[str]) -> Column:
     if isinstance(text, str):
         body = " + ".join(f"CASE WHEN contains(`{text}`, {_sql_str(w)}) THEN 1 ELSE 0 END"
                           for w in words)
-        return F.expr(f"({body})")
+        return F.expr(f"({body or 0})")
     hits = F.lit(0)
     for w in words:
         hits = hits + F.when(F.contains(text, F.lit(w)), 1).otherwise(0)
@@ -93,12 +93,13 @@ def condition_band(cs) -> Column:
 
 
 def with_composite_score(df, title="title", description="description", ps="price_score",
-                         reviewed_battery=None, out: str = "composite_score"):
+                         reviewed_battery=None, out: str = "composite_score",
+                         positive: Sequence[str] = POSITIVE_KEYWORDS, negative: Sequence[str] = NEGATIVE_KEYWORDS):
     """Add the composite score through a staged ``_score_text`` column: the
     lower-cased text is computed once per row and every keyword test reads it."""
     staged = df.select("*", score_text(_c(title), _c(description)).alias("_score_text"))
     rb = _c(reviewed_battery) if reviewed_battery is not None else None
     keep = [c for c in df.columns if c != out]
-    return staged.select(*keep, composite_score(title, description, ps, rb,
+    return staged.select(*keep, composite_score(title, description, ps, rb, positive, negative,
                                                 text=F.col("_score_text"),
                                                 text_name="_score_text").alias(out))

@@ -21,6 +21,7 @@ CACHE_TTL_HOURS = 6.0
 RETENTION_DAYS = 7
 
 CANDIDATE_LIMIT = 5
+SCAN_PAGES = 3
 DEALS_LIMIT = 10
 DROPS_LIMIT = 10
 EXPORT_QUERY = "view"          # the search exported / listed by query

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pricelens.plans import sqlx as X
 from pricelens.plans import keyparams as KP
+from pricelens.plans import splices as SP
 from pricelens.params import BLACKLIST_TERMS
 
 # name -> (dependencies, body)
@@ -60,7 +61,7 @@ cte("lv_base", f"""
 SELECT l.id, l.query, l.price_nok, l.scraped_at, l.seq,
        l.scan_day = m.last_day AS is_active,
        'listing ' || l.id AS title, {X.q('https://www.finn.no/item/')} || l.id AS url,
-       '' AS description
+       {SP.LISTING_TEXT} AS description
 FROM lv_last l JOIN (SELECT query, max(scan_day) AS last_day FROM obs GROUP BY query) m
   USING (query)""", ("lv_last",))
 
@@ -89,26 +90,26 @@ FROM lineitem JOIN part ON l_partkey = p_partkey""")
 
 cte("posts", f"""
 SELECT CAST(doc_id AS VARCHAR) AS id, lang AS query,
-       {X.py_strip('split_part(text, chr(10), 1)')} AS title,
-       text AS description, n_chars AS price_nok
+       {SP.POST_TITLE.format(title=X.py_strip('split_part(text, chr(10), 1)'))} AS title,
+       {SP.POST_TEXT} AS description, n_chars AS price_nok, source, doc_id
 FROM documents""")
 
-cte("reviews", """
+cte("reviews", f"""
 SELECT CAST(l.doc_id AS VARCHAR) AS id, d.lang AS query,
-       CAST(l.quality * 14 - 2 AS VARCHAR) AS condition_score,
+       {SP.CONDITION.replace('doc_id', 'l.doc_id')} AS condition_score,
        CAST(l.doc_id % 130 AS VARCHAR) AS battery_pct,
        CASE WHEN l.toxic = 1 THEN ['toxic language', 'check seller']
             ELSE CAST([] AS VARCHAR[]) END AS red_flags,
        'quality ' || CAST(l.quality AS VARCHAR) AS summary
 FROM labels l JOIN documents d ON l.doc_id = d.doc_id""")
 
-cte("captured", """
+cte("captured", f"""
 SELECT page_id,
-       regexp_extract(url, '^[a-z]+://[^/]*/([a-z]{2})/', 1) AS query,
+       regexp_extract(url, '^[a-z]+://[^/]*/([a-z]{{2}})/', 1) AS query,
        CASE WHEN regexp_extract(url, '[?&]page=([0-9]+)', 1) <> ''
             THEN TRY_CAST(regexp_extract(url, '[?&]page=([0-9]+)', 1) AS BIGINT)
             ELSE 1 END AS page_num,
-       url, html
+       url, {SP.HTML} AS html
 FROM pages""")
 
 
@@ -140,27 +141,19 @@ SELECT listing_id, query, price, seen_at FROM (
   SELECT *, row_number() OVER (PARTITION BY listing_id, query ORDER BY seen_at DESC, seq DESC) rn
   FROM hist) t WHERE rn = 1""", "hist")
 
+cte("drops", """
+SELECT listing_id, query, p[1] AS current_price, latest AS current_seen_at, p[2] AS previous_price
+FROM (SELECT listing_id, query, max(seen_at) AS latest, arg_max(price, (seen_at, seq), 2) AS p FROM hist GROUP BY ALL) t
+WHERE len(p) = 2 AND p[1] < p[2]""", ("hist",))
+
 _DROPS = """
-SELECT d.listing_id, d.query, d.current_price, d.current_seen_at, d.previous_price,
-       l.title, l.url, l.price_nok AS listing_price,
-       CAST(d.previous_price - d.current_price AS DOUBLE) / CAST(d.previous_price AS DOUBLE)
-         * CAST(100.0 AS DOUBLE) AS drop_pct
-FROM (
-  SELECT cur.listing_id, cur.query, cur.price AS current_price, cur.seen_at AS current_seen_at,
-         prev.price AS previous_price
-  FROM ranked cur JOIN ranked prev
-    ON prev.listing_id = cur.listing_id AND prev.query = cur.query AND prev.rn = 2
-  WHERE cur.rn = 1 AND cur.price < prev.price) d
-JOIN listings_v l ON l.id = d.listing_id AND l.query = d.query AND l.is_active
+SELECT d.*, l.title, l.url, l.price_nok AS listing_price,
+       CAST(previous_price - current_price AS DOUBLE) / CAST(previous_price AS DOUBLE) * CAST(100.0 AS DOUBLE) AS drop_pct
+FROM drops d JOIN listings_v l ON l.id = d.listing_id AND l.query = d.query AND l.is_active
 ORDER BY drop_pct DESC, d.query, d.listing_id"""
 
-cte("ranked", """
-SELECT listing_id, query, price, seen_at,
-       row_number() OVER (PARTITION BY listing_id, query ORDER BY seen_at DESC, seq DESC) AS rn
-FROM hist""", ("hist",))
-
-ORACLE["price_drops"] = build_sql(_DROPS, "ranked", "listings_v")
-ORACLE["top_price_drops"] = build_sql(_DROPS + "\nLIMIT 10", "ranked", "listings_v")
+ORACLE["price_drops"] = build_sql(_DROPS, "drops", "listings_v")
+ORACLE["top_price_drops"] = build_sql(_DROPS + "\nLIMIT 10", "drops", "listings_v")
 
 ORACLE["price_history_changes"] = build_sql("""
 SELECT listing_id, query, price, seen_at, seq,
@@ -270,23 +263,18 @@ ORACLE["deal_bands"] = build_sql(
     f"SELECT id, query, price_score, {X.price_band('price_score')} AS price_band FROM listings_v",
     "listings_v")
 
-cte("posts_src", f"""
-SELECT CAST(doc_id AS VARCHAR) AS id, lang AS query,
-       {X.py_strip('split_part(text, chr(10), 1)')} AS title,
-       text AS description, n_chars AS price_nok, source
-FROM documents""")
-
 ORACLE["listing_display"] = build_sql(
     f"SELECT id, query, "
     f"{X.battery_match(chr(32).join(['concat_ws(', X.q(' '), ', coalesce(title, ', X.q(''), '), coalesce(description, ', X.q(''), '))']))} AS battery_display, "
     f"coalesce({X.storage_of('title')}, '—') AS storage, {X.city_of('location')} AS city, "
     f"{X.format_price('price_nok')} AS price_text "
-    f"FROM (SELECT *, source AS location FROM posts_src) t", "posts_src")
+    f"FROM (SELECT *, source AS location FROM posts) t", "posts")
 
 
 ORACLE["normalize_query"] = f"SELECT doc_id, {X.normalize_query('text')} AS normalized FROM documents"
 ORACLE["parse_price"] = f"SELECT doc_id, {X.parse_price('text')} AS price_nok FROM documents"
-ORACLE["listing_id"] = f"SELECT page_id, {X.listing_id_from_url('url')} AS listing_id FROM pages"
+ORACLE["listing_id"] = f"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN {X.listing_id_from_url('url')}
+WHEN 1 THEN CAST(100000000 + page_id AS VARCHAR) ELSE CAST(500000 + page_id AS VARCHAR) END AS listing_id FROM pages"""
 
 # --- table maintenance -----------------------------------------------------
 
@@ -301,7 +289,7 @@ SELECT * FROM (
 SELECT l.id, l.query, l.price_nok, l.scraped_at, l.seq,
        l.scan_day = m.last_day AS is_active,
        'listing ' || l.id AS title, {X.q('https://www.finn.no/item/')} || l.id AS url,
-       '' AS description
+       {SP.LISTING_TEXT} AS description
 FROM {name}_last l JOIN (SELECT query, max(scan_day) AS last_day FROM {src} GROUP BY query) m
   USING (query)""", (f"{name}_last",))
     cte(f"{name}_ps", f"""
@@ -321,7 +309,7 @@ FROM obs o JOIN (SELECT query, max(scan_day) AS last_day FROM obs GROUP BY query
 cte("obs_before", "SELECT * EXCLUDE (is_before) FROM obs_split WHERE is_before", ("obs_split",))
 cte("batch", f"""
 SELECT id, query, 'listing ' || id AS title, price_nok, {X.q('https://www.finn.no/item/')} || id AS url,
-       scraped_at, '' AS description, CAST(NULL AS DOUBLE) AS price_score,
+       scraped_at, {SP.LISTING_TEXT} AS description, CAST(NULL AS DOUBLE) AS price_score,
        CAST(NULL AS DOUBLE) AS composite_score, seq
 FROM obs_split WHERE NOT is_before""", ("obs_split",))
 _latest_state("tb", "obs_before")
@@ -402,7 +390,8 @@ ORACLE["saved_searches"] = build_sql(
 ORACLE["search_freshness"] = build_sql(
     f"SELECT query, max(scraped_at) AS last_scan, "
     f"coalesce(max(scraped_at) >= {KP.NOW_SQL} - INTERVAL {int(KP.CACHE_TTL_HOURS * 3600)} SECOND, false) AS fresh "
-    f"FROM listings_v WHERE coalesce(is_active, true) GROUP BY query", "listings_v")
+    f"FROM (SELECT * REPLACE (query || '/' || CAST(CAST(id AS BIGINT) % 50 AS VARCHAR) AS query) FROM listings_v) t "
+    f"WHERE coalesce(is_active, true) GROUP BY query", "listings_v")
 
 ORACLE["best_deals"] = build_sql(
     f"SELECT id, query, price_nok, price_score FROM listings_v "
@@ -490,13 +479,11 @@ cte("posts_cs", f"SELECT *, {X.composite_score('title', 'description', 'price_sc
 _candidate_ctes("posts_cs")
 cte("post_candidates", _candidates_sql("posts_cs", KP.CANDIDATE_LIMIT), ("cand_posts_cs",))
 
-_PROMPT = ("'Listing title: ' || title || chr(10) || 'Price: ' || coalesce(CAST(price_nok AS VARCHAR), 'None')"
-           " || ' NOK' || chr(10) || 'Location: ' || coalesce(nullif(location, ''), '-') || chr(10)"
-           " || 'Description: ' || coalesce(nullif(description, ''), '(no description)') || chr(10)")
-ORACLE["review_worklist"] = build_sql(f"""
-SELECT id, query, {_PROMPT} AS prompt_text, CAST(0 AS INTEGER) AS n_images
-FROM (SELECT c.*, d.source AS location FROM post_candidates c
-      LEFT JOIN documents d ON CAST(d.doc_id AS VARCHAR) = c.id) t""", "post_candidates")
+ORACLE["review_worklist"] = build_sql("""
+SELECT id, query, title, price_nok, coalesce(nullif(source, ''), '-') AS location,
+       coalesce(nullif(description, ''), '(no description)') AS description,
+       CAST((least(doc_id % 12, 8) + 2) // 3 AS INTEGER) AS n_images
+FROM post_candidates""", "post_candidates")
 
 cte("stored_flat", """
 SELECT CAST(l.doc_id AS VARCHAR) AS id, d.lang AS query,
@@ -534,9 +521,9 @@ cte("export_src", """
 SELECT r.id, r.query, r.title, r.price_nok, r.price_score, r.composite_score, r.condition_score,
        r.battery_pct, r.summary AS ai_summary,
        nullif(array_to_string(r.red_flags, '; '), '') AS red_flags,
-       d.source AS location, 'https://www.finn.no/item/' || r.id AS url,
-       CAST(NULL AS VARCHAR) AS scraped_at
-FROM reviewed r JOIN documents d ON CAST(d.doc_id AS VARCHAR) = r.id""", ("reviewed",))
+       r.source AS location, 'https://www.finn.no/item/' || r.id AS url,
+       strftime(TIMESTAMP '2024-01-01 00:00:00' + r.doc_id * INTERVAL 1 MINUTE, '%Y-%m-%dT%H:%M:%S+00:00') AS scraped_at
+FROM reviewed r""", ("reviewed",))
 
 _TEXT_COLS = ("id", "query", "title", "ai_summary", "red_flags", "location", "url", "scraped_at")
 _EXPORT = ("id", "query", "title", "price_nok", "price_score", "composite_score",
@@ -554,63 +541,26 @@ from pricelens.sources import pages as PG  # noqa: E402
 from pricelens.sources import standins as SI  # noqa: E402
 
 
-def _inner_text(e: str) -> str:
-    t = f"regexp_replace({e}, {X.q('(?i)<br' + chr(92) + 's*/?>')}, chr(10), 'g')"
-    t = f"regexp_replace({t}, '<[^>]*>', '', 'g')"
-    for ent, ch in PG.ENTITIES:
-        t = f"replace({t}, {X.q(ent)}, {X.q(ch)})"
-    return X.py_strip(t)
-
-
-def _rx(s: str, p: str, g: int = 1) -> str:
-    return f"regexp_extract({s}, {X.q(p)}, {g})"
-
-
-def _first_of(s: str, p: str, n: int) -> str:
-    return "(" + " || ".join(_rx(s, p, g) for g in range(1, n + 1)) + ")"
-
-
-def _has(s: str, p: str) -> str:
-    return f"regexp_matches({s}, {X.q(p)})"
-
-
-cte("cards0", f"""
-SELECT page_id, query, page_num, CAST(unnest(range(0, len(cs))) AS INTEGER) AS pos, unnest(cs) AS card
-FROM (SELECT *, regexp_extract_all(html, {X.q(PG.CARD_RE)}, 1) AS cs FROM captured) t""", ("captured",))
-
-cte("cards1", f"""
-SELECT *, CASE WHEN pref <> '' THEN pref ELSE anyl END AS link FROM (
-  SELECT *, {_rx('card', PG.LISTING_LINK_RE)} AS pref, {_rx('card', PG.ANY_LINK_RE)} AS anyl
-  FROM cards0) t""", ("cards0",))
-
-cte("cards2", f"""
-SELECT *, {X.safe_listing_url(X.absolute_url('href'))} AS safe,
-       {_inner_text(_first_of('card', PG.TITLE_RE, 3))} AS t1,
-       {_inner_text(_rx('link', PG.ANCHOR_TEXT_RE))} AS t2,
-       CASE WHEN {_has('card', PG.PRICE_RE)} THEN {_first_of('card', PG.PRICE_RE, 3)} END AS price_text,
-       coalesce({', '.join(f"CASE WHEN {_has('card', p)} THEN {X.location_text(_inner_text(_rx('card', p)))} END" for p in PG.LOCATION_RES)}) AS location,
-       {_rx('card', PG.IMG_RE, 0)} AS img,
-       CASE WHEN {_has('card', PG.DESC_RE)} THEN {_inner_text(_first_of('card', PG.DESC_RE, 2))} ELSE '' END AS description
-FROM (SELECT *, {_rx('link', PG.HREF_RE)} AS href FROM cards1) t""", ("cards1",))
-
-cte("cards3", f"""
-SELECT page_id, query, page_num, pos, CASE WHEN href <> '' THEN safe END AS url,
-       CASE WHEN t1 <> '' THEN t1 ELSE t2 END AS title, {X.parse_price('price_text')} AS price_nok,
-       location, CASE WHEN src <> '' AND {X.image_url_allowed('src')} THEN src ELSE '' END AS image_urls,
-       description
-FROM (SELECT *, coalesce(nullif({_rx('img', PG.SRC_RE)}, ''), {_rx('img', PG.DATA_SRC_RE)}) AS src
-      FROM cards2) t""", ("cards2",))
-
-ORACLE["page_cards"] = build_sql(f"""
-SELECT page_id, query, page_num, pos, {X.listing_id_from_url('url')} AS id, title, price_nok, url,
-       location, image_urls, description
-FROM cards3 WHERE url IS NOT NULL AND title <> ''""", "cards3")
+# What the spliced cards must read as, stated from the ids.
+cte("cards", f"""
+SELECT page_id, query, CAST(page_num AS BIGINT) AS page_num, 0 AS pos,
+       CAST(n AS VARCHAR) AS id,
+       CASE k WHEN 0 THEN 'Ting ' || p || ' fra ' || {SP.HOST} WHEN 2 THEN 'Søker – ' || p WHEN 3 THEN 'Ting ' || p ELSE 'Uten kort ' || p END AS title,
+       CAST(CASE k WHEN 0 THEN (page_id % 9 + 1) * 1000 + 500 WHEN 2 THEN page_id WHEN 3 THEN (page_id % 5 + 1) * 1000 ELSE page_id * 1000 END AS BIGINT) AS price_nok,
+       'https://www.finn.no' || CASE k WHEN 2 THEN '/bap/forsale/ad.html?finnkode=' WHEN 3 THEN '/bap/' ELSE '/recommerce/forsale/item/' END || CAST(n AS VARCHAR) AS url,
+       CASE k WHEN 0 THEN 'Oslo, ' || {SP.HOST} WHEN 2 THEN 'Bergen' WHEN 3 THEN 'Tromsø' END AS location,
+       CASE k WHEN 0 THEN 'https://images.finncdn.no/dynamic/1x1/' || p || '.jpg' ELSE '' END AS image_urls,
+       CASE k WHEN 0 THEN 'Pent brukt' ELSE '' END AS description
+FROM (SELECT *, page_id % 6 AS k, CAST(page_id AS VARCHAR) AS p,
+             page_id + CASE page_id % 6 WHEN 0 THEN 100000000 WHEN 2 THEN 123456789 WHEN 3 THEN 7000000 ELSE 200000000 END AS n FROM captured) t
+WHERE k IN (0, 2, 3, 5)""", ("captured",))
+ORACLE["page_cards"] = build_sql("SELECT * FROM cards", "cards")
 
 cte("links", f"""
 SELECT page_id, pos, href, abs_url, {X.safe_listing_url('abs_url')} AS safe_url FROM (
   SELECT page_id, pos, href, {X.absolute_url('href')} AS abs_url FROM (
     SELECT page_id, CAST(unnest(range(0, len(hs))) AS INTEGER) AS pos, unnest(hs) AS href
-    FROM (SELECT page_id, regexp_extract_all(html, {X.q(SI.HREFS_RE)}, 1) AS hs FROM pages) a) b) c""")
+    FROM (SELECT page_id, regexp_extract_all(html, {X.q(SI.HREFS_RE)}, 1) AS hs FROM captured) a) b) c""", ("captured",))
 
 ORACLE["page_links"] = build_sql(
     f"SELECT page_id, pos, href, abs_url, safe_url, "
@@ -629,11 +579,11 @@ _W = "(40 + (page_id * 7 + (i - 1) * 13) % 400)"
 cte("img_cands", f"""
 SELECT page_id, cands,
        CASE WHEN len(cands) > 0 THEN [cands[1].src] ELSE CAST([] AS VARCHAR[]) END AS existing
-FROM (SELECT page_id, list_transform(regexp_extract_all(html, {X.q(SI.HREFS_RE)}, 1),
-        lambda h, i: {{'src': {X.q(SI.CDN_PREFIX)} || CAST({_W} AS VARCHAR) || 'x' ||
+FROM (SELECT page_id, list_transform(list_concat(hs, list_concat(hs, hs)),
+        lambda h, i: {{'src': CASE WHEN (i - 1) % 4 = 3 THEN 'https://evil.example.org/dynamic/' ELSE {X.q(SI.CDN_PREFIX)} END || CAST({_W} AS VARCHAR) || 'x' ||
                               CAST({_W} AS VARCHAR) || 'c' || h,
                       'width': CAST({_W} AS INTEGER)}}) AS cands
-      FROM pages) t""")
+      FROM (SELECT page_id, regexp_extract_all(html, {X.q(SI.HREFS_RE)}, 1) AS hs FROM pages) h) t""")
 
 ORACLE["image_url_upgrade"] = build_sql(
     f"SELECT page_id, pos, src, {X.upgrade_image_url('src')} AS upgraded FROM ("
@@ -657,20 +607,17 @@ SELECT page_id, CAST(len(cands) AS INTEGER) AS n_candidates,
 FROM (SELECT *, CASE WHEN len(g) > 0 THEN g[1:8] ELSE existing END AS imgs FROM gallery) t""",
     "gallery")
 
-_DD = [f"CASE WHEN {_has('html', p)} THEN {_inner_text(_rx('html', p))} END" for p in PG.DETAIL_DESC_RES]
-_DL = [f"CASE WHEN {_has('html', p)} THEN {_inner_text(_rx('html', p))} END" for p in PG.DETAIL_LOCATION_RES]
 cte("details", f"""
 SELECT page_id,
-       coalesce({', '.join(f'CASE WHEN length({d}) > 20 THEN {d} END' for d in _DD)},
-                CASE WHEN {_has('html', PG.DETAIL_HEADING_RE)} THEN {_inner_text(_rx('html', PG.DETAIL_HEADING_RE))} END,
-                '') AS detail_description,
-       coalesce({', '.join(f"CASE WHEN {l} <> '' THEN {X.py_strip(f'split_part({l}, chr(10), 1)')} END" for l in _DL)}) AS detail_location
+       CASE page_id % 7 WHEN 0 THEN 'Selges fra ' || {SP.HOST} || ' som ny' WHEN 1 THEN 'Annonse ' || CAST(page_id AS VARCHAR) || ' fra ' || {SP.HOST}
+         WHEN 2 THEN 'Lang tekst om ' || {SP.HOST} ELSE '' END AS detail_description,
+       CASE page_id % 7 WHEN 0 THEN 'Bodø' WHEN 1 THEN 'Oslo' WHEN 2 THEN 'Alta' WHEN 3 THEN 'Voss' END AS detail_location
 FROM pages""")
 
 ORACLE["enrich_details"] = build_sql("""
 SELECT CAST(d.doc_id AS VARCHAR) AS id, d.lang AS query,
        length(coalesce(nullif(x.detail_description, ''), d.text)) AS description_len,
-       coalesce(nullif(d.source, ''), x.detail_location) AS location
+       coalesce(CASE WHEN d.doc_id % 2 = 0 THEN nullif(d.source, '') END, x.detail_location) AS location
 FROM documents d LEFT JOIN details x ON x.page_id = d.doc_id""", "details")
 
 cte("scan_cards", """
@@ -725,6 +672,34 @@ ORACLE["scan_scoring"] = build_sql("""
 SELECT s.id, s.query, s.seq, s.price_nok, s.price_score, s.composite_score, c.rank
 FROM ss_cs s LEFT JOIN ss_cands c ON c.id = s.id AND c.query = s.query""", "ss_cs", "ss_cands")
 
+cte("ps_loaded", f"SELECT DISTINCT query, page_num FROM captured WHERE page_num <= {KP.SCAN_PAGES}", ("captured",))
+cte("ps_comp", """
+SELECT query, bool_or(page_num > 1 AND n = 0) AS complete,
+       coalesce(min(page_num) FILTER (WHERE page_num > 1 AND n = 0), max(page_num)) AS stop_page
+FROM (SELECT l.query, l.page_num, count(c.id) AS n FROM ps_loaded l
+      LEFT JOIN (SELECT query, id, min(page_num) AS page_num FROM cards GROUP BY query, id) c USING (query, page_num) GROUP BY ALL) t
+GROUP BY query""", ("ps_loaded", "cards"))
+cte("ps_kept", f"""
+SELECT c.*, p.complete FROM cards c JOIN ps_comp p USING (query)
+WHERE c.page_num <= p.stop_page AND c.page_num <= {KP.SCAN_PAGES} AND NOT {_blacklisted('title', BLACKLIST_TERMS)}
+  AND NOT coalesce(price_nok < 500, false)""", ("cards", "ps_comp"))
+cte("ps_scored", f"""
+SELECT k.*, {X.price_score('k.price_nok', 'm.median')} AS price_score FROM ps_kept k LEFT JOIN (
+  SELECT query, quantile_cont(price_nok, 0.5) FILTER (WHERE price_nok > 0) AS median
+  FROM ps_kept GROUP BY query) m USING (query)""", ("ps_kept",))
+cte("ps_cs", f"SELECT *, {X.composite_score('title', 'description', 'price_score')} AS composite_score FROM ps_scored", ("ps_scored",))
+_candidate_ctes("ps_cs")
+cte("ps_cands", _candidates_sql("ps_cs", KP.CANDIDATE_LIMIT), ("cand_ps_cs",))
+cte("ps_rich", """
+SELECT s.* REPLACE (CASE WHEN c.rank IS NOT NULL THEN coalesce(nullif(d.detail_description, ''), s.description) ELSE s.description END AS description,
+                    CASE WHEN c.rank IS NOT NULL THEN coalesce(nullif(s.location, ''), d.detail_location) ELSE s.location END AS location), c.rank
+FROM ps_cs s LEFT JOIN ps_cands c ON c.id = s.id AND c.query = s.query LEFT JOIN details d ON d.page_id = s.page_id""", ("ps_cs", "ps_cands", "details"))
+ORACLE["page_scan_scoring"] = build_sql(f"""
+SELECT query, id, page_num, title, price_nok, price_score,
+       CASE WHEN rank IS NOT NULL THEN {X.composite_score('title', 'description', 'price_score')} ELSE composite_score END AS composite_score,
+       rank, location, CAST(length(description) AS INTEGER) AS description_len, complete
+FROM ps_rich""", "ps_rich")
+
 ORACLE["timestamp_text"] = """
 SELECT event_id, ts_text,
        epoch_us(CAST(CASE WHEN regexp_matches(ts_text, '(Z|[+-][0-9]{2}:?[0-9]{2})$') THEN ts_text
@@ -735,4 +710,4 @@ FROM (SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S')
 
 ORACLE["drops_for_query"] = build_sql(
     _DROPS.replace("ORDER BY drop_pct DESC", f"WHERE d.query = {X.q(KP.EXPORT_QUERY)} ORDER BY drop_pct DESC"),
-    "ranked", "listings_v")
+    "drops", "listings_v")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pricelens.operators import history as H
 from pricelens.operators import market as M
+from pricelens.plans import splices as SP
 from pricelens.sources import standins as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,12 +146,7 @@ def q_deal_bands(spark, sf):
 
 @register("listing_display")
 def q_listing_display(spark, sf):
-    d = read_table(spark, sf, "documents", "doc_id", "text", "lang", "n_chars", "source")
-    p = d.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("query"),
-                 TX.py_strip(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"),
-                 F.col("text").alias("description"), F.col("n_chars").alias("price_nok"),
-                 F.col("source").alias("location"))
-    return SC.listing_display(p)
+    return SC.listing_display(S.posts(spark, sf))
 
 
 @register("normalize_query")
@@ -168,7 +164,7 @@ def q_parse_price(spark, sf):
 @register("listing_id")
 def q_listing_id(spark, sf):
     p = read_table(spark, sf, "pages", "page_id", "url")
-    return p.select("page_id", TX.listing_id_from_url("url").alias("listing_id"))
+    return p.select("page_id", TX.listing_id_from_url(F.expr(SP.LISTING_URL)).alias("listing_id"))
 
 
 # --- table maintenance -----------------------------------------------------
@@ -229,7 +225,9 @@ def q_saved_searches(spark, sf):
 
 @register("search_freshness")
 def q_search_freshness(spark, sf):
-    return SE.search_freshness(S.listings_base(spark, sf), KP.NOW, KP.CACHE_TTL_HOURS)
+    l = S.listings_base(spark, sf)  # finer searches, so that some are stale
+    l = l.withColumn("query", F.concat("query", F.lit("/"), (F.col("id").cast("long") % 50).cast("string")))
+    return SE.search_freshness(l, KP.NOW, KP.CACHE_TTL_HOURS)
 
 
 @register("best_deals")
@@ -285,8 +283,9 @@ def q_top_reviewed(spark, sf):
 def q_review_worklist(spark, sf):
     scored = SC.score_listings(S.posts_scored(spark, sf))
     cand = M.select_candidates(scored, KP.CANDIDATE_LIMIT)
-    cand = cand.withColumn("image_urls", F.array().cast("array<string>"))
-    return AS.review_worklist(cand).select("id", "query", "prompt_text",
+    image = lambda i: F.when(i % 3 == 1, F.lit("https://images.finncdn.no/a.jpg")).when(i % 3 == 2, F.lit("http://images.finncdn.no/b.jpg")).otherwise(F.lit("https://evil.example.org/c.jpg"))
+    cand = cand.withColumn("image_urls", F.filter(F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 12).cast("int")), lambda i: F.when(i > 0, image(i))), lambda u: u.isNotNull()))
+    return AS.review_worklist(cand).select("id", "query", "title", "price_nok", "location", "description",
                                            F.size("images").alias("n_images"))
 
 
@@ -321,7 +320,7 @@ def q_condition_bands(spark, sf):
 def _export_source(spark, sf):
     return (_reviewed_posts(spark, sf)
             .withColumn("url", F.concat(F.lit("https://www.finn.no/item/"), F.col("id")))
-            .withColumn("scraped_at", F.lit(None).cast("timestamp")))
+            .withColumn("scraped_at", F.expr("TIMESTAMP_SECONDS(1704067200 + doc_id * 60)")))
 
 
 @register("export_rows")
@@ -367,7 +366,7 @@ def q_safe_image_urls(spark, sf):
     l = PG.page_links(S.captured(spark, sf))
     return l.select("page_id", "pos", "abs_url",
                     U.image_url_allowed("abs_url").alias("allowed"),
-                    F.filter(F.array("abs_url"), lambda u: U.image_url_allowed(u)).getItem(0)
+                    F.get(F.filter(F.array("abs_url"), lambda u: U.image_url_allowed(u)), F.lit(0))
                     .alias("kept"))
 
 
@@ -393,7 +392,8 @@ def q_enrich_details(spark, sf):
         F.col("doc_id").alias("page_id"), F.col("doc_id").cast("string").alias("id"),
         F.col("lang").alias("query"), F.col("text").alias("description"),
         F.col("source").alias("location"))
-    e = PG.enrich_details(posts_src, PG.detail_fields(S.captured(spark, sf)))
+    posts_src = posts_src.withColumn("location", F.when(F.col("page_id") % 2 == 0, F.col("location")))  # some cards have none
+    e = PG.enrich_details(posts_src, PG.detail_fields(S.detail_pages(spark, sf)))
     return e.select("id", "query", F.length("description").alias("description_len"), "location")
 
 
@@ -430,7 +430,7 @@ def q_scan_activity(spark, sf):
 # --- end-to-end scan flow --------------------------------------------------
 
 from pricelens.params import Params  # noqa: E402
-from pricelens.plans.search_job import score_scan  # noqa: E402
+from pricelens.plans.search_job import score_pages, score_scan  # noqa: E402
 
 
 @register("scan_scoring")
@@ -441,6 +441,16 @@ def q_scan_scoring(spark, sf):
                                "composite_score", "rank")
 
 
+@register("page_scan_scoring")
+def q_page_scan_scoring(spark, sf):
+    """Captured pages to scored listings, candidates enriched from detail pages."""
+    res, complete = score_pages(S.captured(spark, sf), Params(pages=KP.SCAN_PAGES, ai_limit=KP.CANDIDATE_LIMIT),
+                                PG.detail_fields(S.detail_pages(spark, sf)))
+    return res.listings.join(complete, "query").select(
+        "query", "id", "page_num", "title", "price_nok", "price_score", "composite_score", "rank", "location",
+        F.length("description").cast("int").alias("description_len"), "complete")
+
+
 # --- timestamps as text ----------------------------------------------------
 
 from pricelens.functions import times as TM  # noqa: E402

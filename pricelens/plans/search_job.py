@@ -1,11 +1,12 @@
 """One scan, end to end, as a single lazy plan (the search command).
 
-cards -> normalised search -> relevance filter -> market report -> price
-score -> composite score -> review candidates -> attach sanitized reviews to
-the candidates -> rescore them.  Persisting is ``ListingStore.apply_scan`` on
-the scored listings (with the scan's completeness).  Shuffles: the report
-(by search, on a price-count table), the candidate top-k (partial limit
-before the shuffle) and the review join (by listing key).
+captured pages -> cards -> first sighting and completeness -> normalised
+search -> relevance filter -> market report -> price score -> composite score
+-> review candidates -> their detail pages -> rescore -> attach sanitized
+reviews -> rescore.  Persisting is ``ListingStore.apply_scan`` on the scored
+listings (with the scan's completeness).  Shuffles: the report (by search, on a
+price-count table), the candidate top-k (partial limit before the shuffle),
+and one join by listing key each for ranks, details and reviews.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pricelens.operators import assessments as AS
 from pricelens.operators import market as M
 from pricelens.operators import relevance as R
 from pricelens.params import Params
+from pricelens.sources import pages as PG
 
 
 def first_sighting(cards: DataFrame, order: str = "seq") -> DataFrame:
@@ -33,23 +35,58 @@ def first_sighting(cards: DataFrame, order: str = "seq") -> DataFrame:
 @dataclass
 class ScanResult:
     report: DataFrame       # one row per search
-    listings: DataFrame     # every kept listing, scored; candidates rescored
+    listings: DataFrame     # every kept listing, scored; candidates enriched and rescored; rank of candidates
     candidates: DataFrame   # top-k per search with rank
 
 
-def score_scan(cards: DataFrame, params: Params = Params(),
-               raw_reviews: DataFrame | None = None) -> ScanResult:
+def _scored(df: DataFrame, params: Params, reviewed_battery=None) -> DataFrame:
+    return with_composite_score(df, reviewed_battery=reviewed_battery, positive=params.positive_keywords, negative=params.negative_keywords)
+
+
+def _rescored(df: DataFrame, params: Params, when, reviewed_battery=None) -> DataFrame:
+    """The composite score computed anew where ``when`` holds, kept elsewhere."""
+    new = _scored(df.withColumnRenamed("composite_score", "_old"), params, reviewed_battery)
+    return new.withColumn("composite_score", F.when(when, F.col("composite_score")).otherwise(F.col("_old"))).drop("_old")
+
+
+def score_scan(cards: DataFrame, params: Params = Params(), raw_reviews: DataFrame | None = None,
+               details: DataFrame | None = None) -> ScanResult:
+    """Score the cards of a scan; ``details`` (page_id, detail_description,
+    detail_location) enrich the candidates only, whose score is then computed
+    from the full text."""
     c = first_sighting(cards.withColumn("query", normalize_query("query")))
     kept = R.relevant_listings(c, params.min_price, params.blacklist)
     report = M.market_report(kept)
-    scored = with_composite_score(M.score_against_market(kept, report))
+    scored = _scored(M.score_against_market(kept, report), params)
     cands = M.select_candidates(scored, params.ai_limit, params.suspicious_threshold)
+    scored = scored.join(cands.select("id", "query", "rank"), ["id", "query"], "left")
+    candidate = F.col("rank").isNotNull()
+    if details is not None:
+        rich = PG.enrich_details(scored.withColumn("_card", F.struct("description", "location")), details)
+        for name in ("description", "location"):
+            rich = rich.withColumn(name, F.when(candidate, F.col(name)).otherwise(F.col(f"_card.{name}")))
+        scored = _rescored(rich.drop("_card"), params, candidate)
     if raw_reviews is not None:
-        rev = AS.sanitize_assessments(raw_reviews)
-        rev = rev.join(cands.select("id", "query"), ["id", "query"], "left_semi")
-        merged = AS.merge_assessments(scored, rev)
-        old = merged.withColumnRenamed("composite_score", "_old")
-        scored = (AS.rescore_reviewed(old)
-                  .withColumn("composite_score", F.when(F.col("ai_report").isNotNull(), F.col("composite_score")).otherwise(F.col("_old"))).drop("_old"))
-    rank = cands.select("id", "query", "rank")
-    return ScanResult(report, scored.join(rank, ["id", "query"], "left"), cands)
+        merged = AS.merge_assessments(scored, AS.sanitize_assessments(raw_reviews))
+        report_of = F.when(candidate, F.col("ai_report"))
+        scored = _rescored(merged.withColumn("ai_report", report_of), params, F.col("ai_report").isNotNull(), F.col("ai_report.battery_pct"))
+    return ScanResult(report, scored, cands)
+
+
+def scan_pages(pages: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
+    """Cards of the first ``params.pages`` captured pages of each search, one row
+    per listing, and ``(query, complete)``."""
+    loaded = pages.where(F.col("page_num") <= params.pages).withColumn("query", normalize_query("query"))
+    cards = PG.page_cards(loaded, params.allowed_exact_hosts, params.allowed_host_suffixes)
+    cards = cards.withColumn("scan_id", F.col("query"))
+    complete = PG.scan_completeness(cards, loaded.select(F.col("query").alias("scan_id"), "page_num"))
+    first = PG.dedupe_scan(cards, complete)
+    first = first.withColumn("seq", F.col("page_num") * F.lit(1_000_000) + F.col("pos")).drop("scan_id", "pos")
+    return first, complete.select(F.col("scan_id").alias("query"), "complete")
+
+
+def score_pages(pages: DataFrame, params: Params = Params(), details: DataFrame | None = None,
+                raw_reviews: DataFrame | None = None) -> tuple[ScanResult, DataFrame]:
+    """``score_scan`` from captured pages, and each search's completeness."""
+    cards, complete = scan_pages(pages, params)
+    return score_scan(cards, params, raw_reviews, details), complete

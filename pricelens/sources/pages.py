@@ -1,123 +1,95 @@
 """Captured result pages -> listing cards; scans -> deduped listings.
 
-Card extraction uses built-in regex functions (``regexp_extract_all`` +
-``posexplode``), so it runs JVM-side in whole-stage codegen; the rules follow
-the card selectors in priority order:
-
-* cards are ``<article>`` blocks; a card needs a link: the first anchor whose
-  href names a listing (``/recommerce/forsale/item/``, ``/bap/`` or
-  ``finnkode=``), else the first anchor at all;
+Elements are found in a parsed tree (``sources.htmltree``) inside one
+``mapInPandas`` step that returns raw texts; all rules on those texts (URL
+allowlist, id, price, location test) are built-in expressions.
+
+* cards are ``<article>`` elements, or on a page without any the anchors of
+  listings themselves; a card needs a link: the first anchor whose href names
+  a listing (``/recommerce/forsale/item/``, ``/bap/`` or ``finnkode=``), else
+  the first anchor at all;
 * the href is made absolute against the site root and must pass the host
   allowlist; the id comes from the URL;
 * title: first ``h2``/``h3``/``data-testid="ad-title"`` text, else the link text;
-* price: first ``data-testid*="price"`` / class ``t3`` / span containing "kr";
-* location: per selector in order (``data-testid="location"``, class with
-  ``location``, class with ``address``, span class ``text-caption``), the
-  first text that passes the location rule;
+* price: first of ``data-testid*="price"``, class ``t3``, span containing "kr";
+* location: of five places in order, the first whose text passes the location rule;
 * image: first ``img`` ``src`` (else ``data-src``), kept if allowed;
 * description: first ``data-testid="description"`` or ``p`` text.
-
-Limits (documented): attribute values must be quoted (either quote); an
-element's text runs to the next closing tag; only common entities are decoded; the "last span of a 'between' div" location selector
-is not modelled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.functions.text import listing_id_from_url, location_text, parse_price, py_strip
-from pricelens.operators.attach import attach
+from pricelens.functions.text import listing_id_from_url, location_text, parse_price
 from pricelens.functions.urls import absolute_url, image_url_allowed, safe_listing_url
-from pricelens.params import ALLOWED_EXACT_HOSTS, ALLOWED_HOST_SUFFIXES
-
-# Regexes standing in for the card selectors.
-CARD_RE = r"(?s)<article\b[^>]*>(.*?)</article>"
-Q = "[\"']"          # an attribute value may be in double or single quotes
-V = "[^\"']"         # a character of an attribute value
-LISTING_LINK_RE = (rf"(?s)(<a\b[^>]*\shref={Q}{V}*(?:/recommerce/forsale/item/|/bap/|finnkode=)"
-                   rf"{V}*{Q}[^>]*>.*?</a>)")
-ANY_LINK_RE = r"(?s)(<a\b[^>]*>.*?</a>)"
-HREF_RE = rf"^<a\b[^>]*\shref={Q}({V}*){Q}"
-ANCHOR_TEXT_RE = r"(?s)^<a\b[^>]*>(.*?)</a>"
-TITLE_RE = (rf"(?s)<h2\b[^>]*>(.*?)</h2>|<h3\b[^>]*>(.*?)</h3>"
-            rf"|<[A-Za-z0-9]+\b[^>]*\sdata-testid={Q}ad-title{Q}[^>]*>(.*?)</")
-PRICE_RE = (rf"(?s)<[A-Za-z0-9]+\b[^>]*\sdata-testid={Q}{V}*price{V}*{Q}[^>]*>(.*?)</"
-            rf"|<[A-Za-z0-9]+\b[^>]*\sclass={Q}(?:{V}*\s)?t3(?:\s{V}*)?{Q}[^>]*>(.*?)</"
-            rf"|<span\b[^>]*>([^<]*[Kk][Rr][^<]*)</span>")
-LOCATION_RES = (
-    rf"(?s)<[A-Za-z0-9]+\b[^>]*\sdata-testid={Q}location{Q}[^>]*>(.*?)</",
-    rf"(?s)<[A-Za-z0-9]+\b[^>]*\sclass={Q}{V}*location{V}*{Q}[^>]*>(.*?)</",
-    rf"(?s)<[A-Za-z0-9]+\b[^>]*\sclass={Q}{V}*address{V}*{Q}[^>]*>(.*?)</",
-    rf"(?s)<span\b[^>]*\sclass={Q}{V}*text-caption{V}*{Q}[^>]*>(.*?)</",
-)
-IMG_RE = r"(?s)<img\b[^>]*>"
-SRC_RE = rf"\ssrc={Q}({V}*){Q}"
-DATA_SRC_RE = rf"\sdata-src={Q}({V}*){Q}"
-DESC_RE = (rf"(?s)<[A-Za-z0-9]+\b[^>]*\sdata-testid={Q}description{Q}[^>]*>(.*?)</"
-           r"|<p\b[^>]*>(.*?)</p>")
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-            ("&#39;", "'"), ("&amp;", "&"))
-
-
-def inner_text(html_fragment: Column) -> Column:
-    """Tags removed (``<br>`` as a newline), common entities decoded, stripped."""
-    t = F.regexp_replace(html_fragment, r"(?i)<br\s*/?>", "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", "")
-    for ent, ch in ENTITIES:
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    return py_strip(t)
-
-
-def _first_of(s: Column, pattern: str, groups: int) -> Column:
-    """Content of whichever alternative matched first (leftmost match)."""
-    return F.concat(*[F.regexp_extract(s, pattern, g) for g in range(1, groups + 1)])
-
-
-def _present(s: Column, pattern: str) -> Column:
-    return s.rlike(pattern)
+from pricelens.operators.attach import attach
+from pricelens.params import ALLOWED_EXACT_HOSTS, ALLOWED_HOST_SUFFIXES, MIN_DETAIL_DESCRIPTION
+from pricelens.sources.htmltree import Element, parse
+
+_CARD = "page_id long, query string, page_num long, pos int, href string, heading string, link_text string, price_text string, locations array<string>, src string, description string"
+#: What an href of a listing contains.
+_LISTING_HREFS = ("/recommerce/forsale/item/", "/bap/", "finnkode=")
+
+
+def _text(e: Element | None) -> str:
+    return e.text() if e is not None else ""
+
+
+def _card(card: Element) -> dict | None:
+    """Raw texts of a card, None without a link."""
+    a = card if card.tag == "a" else (
+        card.first(lambda e: e.tag == "a" and any(h in e.get("href") for h in _LISTING_HREFS)) or card.first(lambda e: e.tag == "a"))
+    if a is None or not a.get("href"):
+        return None
+
+    def between(e: Element) -> bool:
+        return e.tag == "span" and e.parent.elements()[-1] is e and any(x.tag == "div" and "between" in x.get("class") for x in e.ancestors())
+
+    places = (lambda e: e.get("data-testid") == "location", lambda e: "location" in e.get("class"), lambda e: "address" in e.get("class"),
+              lambda e: e.tag == "span" and "text-caption" in e.get("class"), between)
+    img = card.first(lambda e: e.tag == "img")
+    return {
+        "href": a.get("href"), "link_text": a.text(),
+        "heading": _text(card.first(lambda e: e.tag in ("h2", "h3") or e.get("data-testid") == "ad-title")),
+        "price_text": _text(card.first(lambda e: "price" in e.get("data-testid") or "t3" in e.classes() or (e.tag == "span" and "kr" in e.text().lower()))),
+        "locations": [_text(card.first(p)) for p in places],
+        "src": (img.get("src") or img.get("data-src")) if img is not None else "",
+        "description": _text(card.first(lambda e: e.get("data-testid") == "description" or e.tag == "p")),
+    }
+
+
+def _raw_cards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [f.split()[0] for f in _CARD.split(", ")]
+    for f in frames:
+        for part in (f.iloc[i:i + 200] for i in range(0, len(f), 200)):
+            rows = []
+            for page_id, query, num, html in part.itertuples(index=False):
+                root = parse(html)
+                cards = [e for e in root.walk() if e.tag == "article"] or [
+                    e for e in root.walk() if e.tag == "a" and (_LISTING_HREFS[0] in e.get("href") or e.get("id").startswith("bap-"))]
+                rows += [{"page_id": page_id, "query": query, "page_num": num, "pos": pos, **c} for pos, c in enumerate(map(_card, cards)) if c]
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
 
 def page_cards(pages: DataFrame, exact=ALLOWED_EXACT_HOSTS, suffixes=ALLOWED_HOST_SUFFIXES) -> DataFrame:
     """Listing cards of captured result pages: ``(page_id, query, page_num, pos,
     id, title, price_nok, url, location, image_urls, description)``."""
-    cards = pages.select("page_id", "query", "page_num",
-                         F.posexplode(F.regexp_extract_all("html", F.lit(CARD_RE), 1))
-                         .alias("pos", "card"))
-    c = F.col("card")
-    # Staged projections: shared regex results become columns, and the seven
-    # text fragments go through ``inner_text`` once, inside one ``transform``,
-    # which keeps the generated code of the stage small.  An absent element
-    # extracts as '' and so reads as "no value" downstream.
-    s1 = cards.select("*", F.regexp_extract(c, LISTING_LINK_RE, 1).alias("_pref"),
-                      F.regexp_extract(c, ANY_LINK_RE, 1).alias("_any"))
-    s2 = s1.select("*", F.when(F.col("_pref") != "", F.col("_pref"))
-                   .otherwise(F.col("_any")).alias("_link"))
-    frags = F.array(_first_of(c, TITLE_RE, 3), F.regexp_extract("_link", ANCHOR_TEXT_RE, 1),
-                    *[F.regexp_extract(c, p, 1) for p in LOCATION_RES],
-                    _first_of(c, DESC_RE, 2))
-    s3 = s2.select("*", F.regexp_extract("_link", HREF_RE, 1).alias("_href"),
-                   F.transform(frags, inner_text).alias("_txt"),
-                   _first_of(c, PRICE_RE, 3).alias("_price_text"),
-                   F.regexp_extract(c, IMG_RE, 0).alias("_img"))
-    t = F.col("_txt")
-    n_loc = len(LOCATION_RES)
-    s4 = s3.select(
-        "*",
-        F.when(t[0] != "", t[0]).otherwise(t[1]).alias("title"),
-        F.coalesce(F.nullif(F.regexp_extract("_img", SRC_RE, 1), F.lit("")),
-                   F.regexp_extract("_img", DATA_SRC_RE, 1)).alias("_src"))
-    location = F.coalesce(*[location_text(t[2 + i]) for i in range(n_loc)])
-    src = F.col("_src")
-    images = F.when((src != "") & image_url_allowed(src), F.array(src)).otherwise(
-        F.array().cast("array<string>"))
-    href = F.col("_href")
-    out = s4.select(
+    raw = pages.select("page_id", "query", F.col("page_num").cast("long").alias("page_num"), "html").mapInPandas(_raw_cards, _CARD)
+    src = F.col("src")
+    images = F.when((src != "") & image_url_allowed(src, exact, suffixes), F.array(src)).otherwise(F.array().cast("array<string>"))
+    out = raw.select(
         "page_id", "query", "page_num", "pos",
-        F.when(href != "", safe_listing_url(absolute_url(href), exact, suffixes)).alias("url"),
-        "title", parse_price(F.col("_price_text")).alias("price_nok"), location.alias("location"),
-        images.alias("image_urls"), t[2 + n_loc].alias("description"))
+        safe_listing_url(absolute_url(F.col("href")), exact, suffixes).alias("url"),
+        F.when(F.col("heading") != "", F.col("heading")).otherwise(F.col("link_text")).alias("title"),
+        parse_price(F.col("price_text")).alias("price_nok"),
+        F.coalesce(*[location_text(F.col("locations")[i]) for i in range(5)]).alias("location"),
+        images.alias("image_urls"), "description")
     return (out.filter(F.col("url").isNotNull() & (F.col("title") != ""))
             .withColumn("id", listing_id_from_url("url")))
 
@@ -164,34 +136,56 @@ def scan_completeness(cards: DataFrame, pages_loaded: DataFrame) -> DataFrame:
         .alias("stop_page"))
 
 
-# Detail-page selectors, in priority order.
-DETAIL_DESC_RES = (
-    r"(?s)<[A-Za-z0-9]+\b[^>]*\sdata-testid=\"description\"[^>]*>(.*?)</",
-    r"(?s)<[A-Za-z0-9]+\b[^>]*\sdata-testid=\"ad-description-text\"[^>]*>(.*?)</",
-    r"(?s)<div\b[^>]*\sclass=\"(?:[^\"]*\s)?whitespace-pre-wrap(?:\s[^\"]*)?\"[^>]*>(.*?)</div>",
-    r"(?s)<div\b[^>]*\sclass=\"[^\"]*description[^\"]*\"[^>]*>(.*?)</div>",
-)
-DETAIL_HEADING_RE = r"(?s)<h[23]\b[^>]*>\s*Beskrivelse\s*</h[23]>(.*?)</section>"
-DETAIL_LOCATION_RES = (
-    r"(?s)<[A-Za-z0-9]+\b[^>]*\sdata-testid=\"object-address\"[^>]*>(.*?)</",
-    r"(?s)<span\b[^>]*\sdata-testid=\"location\"[^>]*>(.*?)</",
-    r"(?s)<dt\b[^>]*>\s*Sted\s*</dt>\s*<dd\b[^>]*>(.*?)</dd>",
-    r"(?s)<th\b[^>]*>\s*Sted\s*</th>.*?<td\b[^>]*>(.*?)</td>",
-    r"(?s)>\s*Sted\s*</(?:dt|th|span|div)>\s*<[A-Za-z0-9]+\b[^>]*>(.*?)</",
-)
+def _detail(root: Element) -> tuple[str, str | None]:
+    """Description and location of a detail page.
+
+    The description is the first of five places (in order) with more than
+    ``MIN_DETAIL_DESCRIPTION`` characters, else what stands beside the
+    "Beskrivelse" heading in its section; the location the first of four
+    places with a text, else what follows a label "Sted"."""
+
+    def says(e: Element, word: str) -> bool:
+        return word in e.text().lower() and not any(word in c.text().lower() for c in e.elements())
+
+    pre = lambda e: "whitespace-pre-wrap" in e.classes()
+    places = (lambda e: e.get("data-testid") == "description", lambda e: e.get("data-testid") == "ad-description-text",
+              lambda e: e.tag == "div" and pre(e) and any(x.tag == "section" and x.first(lambda y: y.tag == "h2") for x in e.ancestors()),
+              pre, lambda e: e.tag == "div" and "description" in e.get("class"))
+    description = next((t for t in (_text(root.first(p)) for p in places) if len(t) > MIN_DETAIL_DESCRIPTION), "")
+    if not description and (h := root.first(lambda e: e.tag in ("h2", "h3") and says(e, "beskrivelse"))) is not None:
+        parent = next((x for x in h.ancestors() if x.tag == "section"), h.parent)
+        description = parent.text().replace(h.text(), "", 1).strip()
+
+    def after(tag: str, other: str, adjacent: bool) -> Element | None:
+        for e in root.walk():
+            if e.tag == tag and says(e, "sted"):
+                found = [x for x in (e.siblings_after()[:1] if adjacent else e.siblings_after()) if x.tag == other]
+                if found:
+                    return found[0]
+        return None
+
+    def labelled() -> Element | None:
+        for e in root.walk():
+            if e.tag in ("dt", "th", "span", "div") and e.text() == "Sted" and e.siblings_after():
+                return e.siblings_after()[0]
+        return None
+
+    spots = (lambda: root.first(lambda e: e.get("data-testid") == "object-address"),
+             lambda: root.first(lambda e: e.tag == "span" and e.get("data-testid") == "location"),
+             lambda: after("dt", "dd", True), lambda: after("th", "td", False), labelled)
+    location = next((t for t in (_text(p()) for p in spots) if t), None)
+    return description, location and location.split("\n")[0].strip()
+
+
+def _raw_details(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        got = [(i, *_detail(parse(html))) for i, html in f.itertuples(index=False)]
+        yield pd.DataFrame(got, columns=["page_id", "detail_description", "detail_location"])
 
 
 def detail_fields(pages: DataFrame) -> DataFrame:
     """Description and location read from captured detail pages."""
-    h = F.col("html")
-    descs = [F.when(h.rlike(p), inner_text(F.regexp_extract(h, p, 1))) for p in DETAIL_DESC_RES]
-    desc = F.coalesce(*[F.when(F.length(d) > 20, d) for d in descs],
-                      F.when(h.rlike(DETAIL_HEADING_RE),
-                             inner_text(F.regexp_extract(h, DETAIL_HEADING_RE, 1))),
-                      F.lit(""))
-    locs = [F.when(h.rlike(p), inner_text(F.regexp_extract(h, p, 1))) for p in DETAIL_LOCATION_RES]
-    loc = F.coalesce(*[F.when(l != "", py_strip(F.split_part(l, F.lit("\n"), F.lit(1)))) for l in locs])
-    return pages.select("page_id", desc.alias("detail_description"), loc.alias("detail_location"))
+    return pages.select("page_id", "html").mapInPandas(_raw_details, "page_id long, detail_description string, detail_location string")
 
 
 def enrich_details(listings: DataFrame, details: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from pricelens.functions.text import py_strip
 from pricelens.operators.attach import attach
 from pricelens.operators.market import score_against_market, market_report
 from pricelens.params import BASE_URL
+from pricelens.plans import splices as SP
 from pricelens.sources.tables import read_table
 
 
@@ -51,7 +52,7 @@ def latest_base(o: DataFrame) -> DataFrame:
         (F.col("scan_day") == F.col("last_day")).alias("is_active"),
         F.concat(F.lit("listing "), F.col("id")).alias("title"),
         F.concat(F.lit(BASE_URL + "/item/"), F.col("id")).alias("url"),
-        F.lit("").alias("description"))
+        F.expr(SP.LISTING_TEXT).alias("description"))
 
 
 def latest_state(o: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def last_scan_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _split_last_scan(spark, sf_dir)[1]
     return b.select("id", "query", F.concat(F.lit("listing "), F.col("id")).alias("title"),
                     "price_nok", F.concat(F.lit(BASE_URL + "/item/"), F.col("id")).alias("url"),
-                    "scraped_at", F.lit("").alias("description"),
+                    "scraped_at", F.expr(SP.LISTING_TEXT).alias("description"),
                     F.lit(None).cast("double").alias("price_score"),
                     F.lit(None).cast("double").alias("composite_score"), "seq")
 
@@ -123,13 +124,15 @@ def market_big(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "n_chars", "source")
+    d = d.withColumn("_title", py_strip(F.split_part(F.col("text"), F.lit("\n"), F.lit(1))))
     return d.select(
         F.col("doc_id").cast("string").alias("id"),
         F.col("lang").alias("query"),
-        py_strip(F.split_part(F.col("text"), F.lit("\n"), F.lit(1))).alias("title"),
-        F.col("text").alias("description"),
+        F.expr(SP.POST_TITLE.format(title="_title")).alias("title"),
+        F.expr(SP.POST_TEXT).alias("description"),
         F.col("n_chars").alias("price_nok"),
         F.col("source").alias("location"),
+        "doc_id",
     )
 
 
@@ -140,7 +143,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (lab.join(d, "doc_id").select(
         F.col("doc_id").cast("string").alias("id"),
         F.col("lang").alias("query"),
-        (F.col("quality") * 14 - 2).cast("string").alias("condition_score"),
+        F.expr(SP.CONDITION).alias("condition_score"),
         (F.col("doc_id") % 130).cast("string").alias("battery_pct"),
         F.when(F.col("toxic") == 1, F.array(F.lit("toxic language"), F.lit("check seller")))
          .otherwise(F.array().cast("array<string>")).alias("red_flags"),
@@ -156,7 +159,12 @@ def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id",
         F.regexp_extract("url", r"^[a-z]+://[^/]*/([a-z]{2})/", 1).alias("query"),
         F.when(page != "", page.try_cast("bigint")).otherwise(F.lit(1)).alias("page_num"),
-        "url", "html")
+        "url", F.expr(SP.HTML).alias("html"))
+
+
+def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured detail pages (see ``plans.splices``)."""
+    return read_table(spark, sf_dir, "pages", "page_id", "url", "html").select("page_id", F.expr(SP.DETAIL_HTML).alias("html"))
 
 
 def posts_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,16 +201,18 @@ CDN_PREFIX = "https://images.finncdn.no/dynamic/"
 
 
 def image_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per captured page, image candidates derived from its links: each href
-    becomes a CDN path with a width from the page id and position (some are
-    thumbnails); the first one is the card's existing image."""
+    """Per captured page, image candidates derived from its links (three rounds
+    over them): each href becomes a CDN path with a width from the page id and
+    position (some are thumbnails), every fourth one on a foreign host; the
+    first one is the card's existing image."""
     p = read_table(spark, sf_dir, "pages", "page_id", "html")
-    hrefs = F.regexp_extract_all("html", F.lit(HREFS_RE), 1)
+    once = F.regexp_extract_all("html", F.lit(HREFS_RE), 1)
+    hrefs = F.concat(once, once, once)
     pid = F.col("page_id")
 
     def cand(h, i):
         w = F.lit(40) + (pid * 7 + i * 13) % 400
-        return F.struct(F.concat(F.lit(CDN_PREFIX), w.cast("string"), F.lit("x"), w.cast("string"),
+        return F.struct(F.concat(F.when(i % 4 == 3, F.lit("https://evil.example.org/dynamic/")).otherwise(F.lit(CDN_PREFIX)), w.cast("string"), F.lit("x"), w.cast("string"),
                                  F.lit("c"), h).alias("src"), w.cast("int").alias("width"))
 
     c = p.select("page_id", F.transform(hrefs, cand).alias("candidates"))

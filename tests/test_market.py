@@ -88,3 +88,15 @@ def test_truthiness_of_prices(spark):
                                 "id string, query string, price_nok bigint, seq long") \
         .withColumn("scraped_at", F.timestamp_seconds("seq"))
     assert [x["price"] for x in H.price_changes(obs).collect()] == [-50]
+
+
+def test_one_junk_price_stops_no_report(spark):
+    junk = 999_999_999_999_999_999
+    rows = [("q", 1000)] * 150 + [("q", junk), ("other", 100), ("other", 300), ("max", 2**63 - 1), ("max", 2**63 - 1)]
+    got = {r["query"]: r for r in M.market_report(spark.createDataFrame(rows, "query string, price_nok long")).collect()}
+    assert (got["other"]["mean"], got["other"]["std"], got["other"]["median"]) == (200.0, 100.0, 200.0)
+    assert got["q"]["median"] == 1000.0 and got["q"]["count"] == 151 and got["q"]["max_price"] == junk
+    prices = [1000] * 150 + [junk]
+    mean = sum(prices) / 151
+    assert abs(got["q"]["std"] / (sum((p - mean) ** 2 for p in prices) / 151) ** 0.5 - 1) < 1e-9
+    assert got["max"]["count"] == 2 and got["max"]["std"] < 1e12

@@ -17,13 +17,47 @@ def _pages(spark):
 
 def test_cards_from_snapshot(spark):
     cards = PG.page_cards(_pages(spark)).orderBy("pos").collect()
-    assert len(cards) == 2
-    a, b = cards
-    assert (a["id"], a["title"], a["price_nok"], a["location"]) == ("400111222", "iPhone 13 Pro Max 256GB", 5500, "Oslo")
-    assert "batterikapasitet 91%" in a["description"]
-    assert a["url"] == "https://www.finn.no/bap/forsale/ad.html?finnkode=400111222"
-    assert a["image_urls"] == ["https://images.finncdn.no/dynamic/220x220c/2026/7/vertical-0/img1.jpg"]
-    assert (b["id"], b["title"], b["price_nok"], b["location"]) == ("400333444", "iPhone 13 mini 128GB", None, "Bergen")
+    got = [(r["id"], r["title"], r["price_nok"], r["location"], r["url"], r["image_urls"], r["description"]) for r in cards]
+    assert got == [
+        ("710000321", "Sykkel – 28″ herre", 3250, "Tromsø", "https://www.finn.no/recommerce/forsale/item/710000321",
+         ["https://images.finncdn.no/dynamic/100x75c/p/sykkel.jpg"], "Lite brukt,\nnye dekk & gir"),
+        ("55512345", "Kano, to seter", 1900, "Hamar, Innlandet", "https://www.finn.no/bap/forsale/ad.html?finnkode=55512345", [], ""),
+        ("8800123", "Ski", 700, "Molde", "https://www.finn.no/bap/8800123", [], ""),
+    ]
+
+
+def _cards(spark, html):
+    df = spark.createDataFrame([(1, "q", 1, "u", html)], "page_id long, query string, page_num int, url string, html string")
+    return PG.page_cards(df).orderBy("pos").collect()
+
+
+def test_nested_texts_are_whole(spark):
+    (r,) = _cards(spark, '<article><a href="/bap/1234567"><h2>A</h2></a><div data-testid="price"><div><b>5</b> 500</div> kr</div>'
+                         '<div data-testid="location"><svg></svg><span>Oslo</span></div></article>')
+    assert (r["price_nok"], r["location"]) == (5500, "Oslo")
+
+
+def test_page_without_articles(spark):
+    got = _cards(spark, '<main><a href="/recommerce/forsale/item/1111111"><h2>En</h2><span>10 kr</span></a>'
+                        '<a id="bap-2" href="/bap/2222222">To</a><a href="/om">Om oss</a></main>')
+    assert [(r["id"], r["title"], r["price_nok"]) for r in got] == [("1111111", "En", 10), ("2222222", "To", None)]
+
+
+def test_null_and_broken_pages(spark):
+    assert _cards(spark, None) == [] and _cards(spark, "") == []
+    assert [r["id"] for r in _cards(spark, "<article><a href='/bap/7654321'><h2>T" + "<b>" * 3000)] == ["7654321"]
+
+
+def test_detail_rules(spark):
+    long = "Kjøpt ny i fjor og lite brukt siden."
+    pages = [
+        (1, f'<div data-testid="description"><p>{long}</p></div><dl><dt>Sted</dt><dd>Bodø<br>8000</dd></dl>'),
+        (2, f'<div data-testid="description">kort</div><div class="x whitespace-pre-wrap">{long}</div><span data-testid="location">Oslo</span>'),
+        (3, f"<section><h2>Full beskrivelse</h2><div><div>{long}</div></div></section><table><tr><th>Sted</th><td>Alta</td></tr></table>"),
+        (4, f"<div><h3>beskrivelse av varen</h3>{long}</div><p data-testid='object-address'></p><div><div>Sted</div><div>Voss\nmer</div></div>"),
+        (5, "<p>ingenting</p>"), (6, None)]
+    got = {r["page_id"]: (r["detail_description"], r["detail_location"]) for r in PG.detail_fields(spark.createDataFrame(pages, "page_id long, html string")).collect()}
+    assert got == {1: (long, "Bodø"), 2: (long, "Oslo"), 3: (long, "Alta"), 4: (long, "Voss mer"), 5: ("", None), 6: ("", None)}
 
 
 def test_offsite_and_script_links_rejected(spark):
@@ -73,7 +107,7 @@ def test_gallery_fold(spark):
 
 def test_detail_merge(spark):
     html = ('<html><div data-testid="description">Full description text that is long enough</div>'
-            '<dl><dt>Sted</dt><dd>Trondheim\nSentrum</dd></dl></html>')
+            '<dl><dt>Sted</dt><dd>Trondheim<br>Sentrum</dd></dl></html>')
     pages = spark.createDataFrame([(1, html)], "page_id long, html string")
     listings = spark.createDataFrame([(1, "short", None), ], "page_id long, description string, location string")
     r = PG.enrich_details(listings, PG.detail_fields(pages)).collect()[0]

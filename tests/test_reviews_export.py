@@ -28,6 +28,12 @@ def test_sanitize(spark):
                    "3": (7, 84, ["a", "b"], "fine"), "4": (5, None, [], "s")}
 
 
+def test_long_numbers_and_decimals(spark):
+    raw = _raw(spark, [("1", "q", "11111111111111111111", None, [], ""), ("2", "q", "7.5", "83.9", [], ""), ("3", "q", "-99999999999999999999", "1", [], ""), ("4", "q", "7.", None, [], "")])
+    got = {r["id"]: (r["condition_score"], r["battery_pct"]) for r in AS.sanitize_assessments(raw).collect()}
+    assert got == {"1": (10, None), "2": (7, 83), "3": (1, 1)}
+
+
 def test_stored_reports(spark):
     df = spark.createDataFrame([("1", "q", None, None, "only summary", None),
                                 ("2", "q", 0, 50, None, "not json"),

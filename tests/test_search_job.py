@@ -29,3 +29,29 @@ def test_scan_flow(spark):
     assert got["2"]["composite_score"] == before["2"]
     assert sorted(r["id"] for r in res.candidates.collect()) == sorted(
         i for i, r in got.items() if r["rank"] is not None)
+
+
+def test_keyword_lists_are_parameters(spark):
+    cards = batch(spark, [listing(1, 5000, description="zzz og yyy"), listing(2, 5200)]).drop("price_score", "composite_score", "ai_report")
+    score = lambda p: {r["id"]: r["composite_score"] for r in score_scan(cards, p).listings.collect()}
+    plain = score(Params())
+    assert score(Params(positive_keywords=("zzz",)))["1"] == plain["1"] + 2.5
+    assert score(Params(negative_keywords=("yyy",)))["1"] == plain["1"] - 6.0
+    assert score(Params(positive_keywords=(), negative_keywords=())) == plain
+
+
+def test_page_scan(spark):
+    from pricelens.plans.search_job import score_pages
+
+    card = lambda n, price: f'<article><a href="/bap/{1000000 + n}"><h2>Sykkel {n}</h2></a><span>{price} kr</span><p>kort</p></article>'
+    html = {1: card(1, 1000) + card(2, 2000), 2: card(2, 9000) + card(3, 3000), 3: card(1, 1000), 4: card(4, 1500)}
+    pages = spark.createDataFrame([(n, "Sykkel ", n, h) for n, h in html.items()], "page_id long, query string, page_num long, html string")
+    details = spark.createDataFrame([(1, "Pent brukt med kvittering og mye annet", "Oslo")], "page_id long, detail_description string, detail_location string")
+    res, complete = score_pages(pages, Params(pages=4, ai_limit=2), details)
+    assert [tuple(r) for r in complete.collect()] == [("sykkel", True)]
+    got = {r["id"]: r for r in res.listings.collect()}
+    assert {i: r["price_nok"] for i, r in got.items()} == {"1000001": 1000, "1000002": 2000, "1000003": 3000}
+    rich = [r for r in got.values() if r["description"] != "kort"]
+    assert rich and all(r["rank"] is not None and r["location"] == "Oslo" for r in rich)
+    _, partial = score_pages(pages, Params(pages=2), details)
+    assert partial.collect()[0]["complete"] is False
