@@ -4,7 +4,7 @@ Each method composes the operators; results are DataFrames (nothing is
 collected), except the counts ``prune`` reports.
 
     t = Tracker(spark, "/shared/pricelens")
-    res = t.search(cards, raw_reviews)            # score, persist, prune
+    res = t.search(cards, "2026-07-01T12:00", raw_reviews)   # score, persist, prune
     t.deals(limit=10, query="iphone 13")
     t.drops(limit=10)
     t.history("https://www.finn.no/recommerce/forsale/item/400111222")
@@ -14,6 +14,7 @@ collected), except the counts ``prune`` reports.
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from pricelens.operators import history as H
 from pricelens.operators import market as M
 from pricelens.operators import searches as SE
 from pricelens.params import Params
-from pricelens.plans.search_job import ScanResult, score_scan
+from pricelens.plans.search_job import ScanResult, score_pages, score_scan
 from pricelens.sources import export as EX
 from pricelens.sources.store import ListingStore
 
@@ -40,19 +41,36 @@ class Tracker:
         self.store = ListingStore(spark, root, buckets)
 
     # -- write path ----------------------------------------------------------
-    def search(self, cards: DataFrame, raw_reviews: DataFrame | None = None,
+    def search(self, cards: DataFrame, scan_id: str, raw_reviews: DataFrame | None = None,
                complete: bool = True, now: datetime | None = None) -> ScanResult:
         """Score one scan's cards, persist them (deactivating missing listings
-        only when the scan was complete), then apply retention."""
-        res = score_scan(cards, self.params, raw_reviews)
-        keep = [c for c in res.listings.columns if c != "rank"]
-        batch = res.listings.select(*keep)
-        comp = None
-        if not complete:
-            comp = batch.select("query").distinct().withColumn("complete", F.lit(False))
-        self.store.apply_scan(batch, comp)
+        only when the scan was complete), then apply retention.  A search that
+        failed is repeated with the same ``scan_id``."""
+        return self._persist(score_scan(cards, self.params, raw_reviews), scan_id, None if complete else F.lit(False), None, now)
+
+    def search_pages(self, pages: DataFrame, scan_id: str, details: DataFrame | None = None,
+                     raw_reviews: DataFrame | None = None, now: datetime | None = None) -> ScanResult:
+        """The same from captured pages: cards, first sightings and each
+        search's completeness come from them; candidates are enriched from
+        ``details``."""
+        res, complete = score_pages(pages, self.params, details, raw_reviews)
+        return self._persist(res, scan_id, None, complete, now)
+
+    def _persist(self, res: ScanResult, scan_id: str, flag, complete: DataFrame | None, now: datetime | None) -> ScanResult:
+        # The scored scan is used several times: stored once, read from there.
+        path = f"{self.store.root}/scans/scan_id={quote(scan_id, safe='')}"
+        rows = res.listings
+        for name, kind in (("scraped_at", "timestamp"), ("image_urls", "array<string>")):
+            if name not in rows.columns:
+                rows = rows.withColumn(name, (F.lit(now) if name == "scraped_at" and now else F.current_timestamp() if name == "scraped_at" else F.lit(None)).cast(kind))
+        if not self.store.applied(scan_id):
+            rows.write.mode("overwrite").parquet(path)
+        batch = self.spark.read.parquet(path)
+        if flag is not None:
+            complete = batch.select("query").distinct().withColumn("complete", flag)
+        self.store.apply_scan(batch.drop("rank", "page_id", "page_num"), scan_id, complete)
         self.prune(now=now)
-        return res
+        return ScanResult(res.report, batch, res.candidates)
 
     def prune(self, days: int | None = None, now: datetime | None = None) -> list[tuple[str, int]]:
         days = self.params.retention_days if days is None else days
@@ -84,16 +102,18 @@ class Tracker:
     def saved_searches(self) -> DataFrame:
         return SE.saved_searches(self.listings())
 
-    def cached(self, query: str, now: datetime | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """The cached-result path: freshness of the search, its report
-        recomputed from the stored active listings, and the reviewed top."""
+    def cached(self, query: str, now: datetime | None = None) -> tuple[DataFrame, DataFrame] | None:
+        """The cached result of a search while it is fresh: its report from the
+        stored active listings and the reviewed top.  None when the search is
+        stale or unknown, so that it must be scanned again."""
         q = _normalized(self.spark, query)
         active = self.listings().filter((F.col("query") == q) & F.col("is_active"))
         fresh = SE.search_freshness(active, now or datetime.now(timezone.utc),
                                     self.params.cache_ttl_hours)
-        report = M.market_report(active)
-        top = SE.top_reviewed(active, self.params.ai_limit)
-        return fresh, report, top
+        row = fresh.first()
+        if row is None or not row["fresh"]:
+            return None
+        return M.market_report(active), SE.top_reviewed(active, self.params.ai_limit)
 
     def export(self, query: str, path: str, fmt: str = "csv") -> None:
         rows = EX.export_rows(self.listings(), _normalized(self.spark, query))

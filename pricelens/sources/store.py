@@ -1,199 +1,117 @@
-"""Versioned Parquet tables for the listing state and the price history.
-
-Each commit writes a new version directory and then replaces a small
-``_CURRENT`` pointer file, so a job never overwrites the files it is reading
-and a failed job leaves the previous version in place.  The root must be a
-shared folder on a cluster (the same one ``spark.checkpoint.dir`` names is a
-good choice); writes are plain ``DataFrame.write.parquet``.
-
-Listings are written partitioned by ``bucket = pmod(hash(query), buckets)``
-and sorted by ``(query, price_score)`` inside files, so one search's rows sit
-in one bucket directory (partition pruning for ``query = ...``) and min/max
-statistics help the price-score scans; the write is range-partitioned so a
-hot search's bucket is written by several tasks.
+"""The listing state and the price history as plain partitioned Parquet tables.
+
+    <root>/listings/scan_id=<id>/bucket=<k>/    the listing rows a scan changed
+    <root>/price_history/scan_id=<id>/          the price changes it found
+    <root>/retired/                             keys that retention deleted
+
+Every scan writes (overwrites) only folders of its own name, from the state of
+the other scans, so a re-run after any failure gives the same rows; Spark's
+commit hides what a failed job left.  The listing folder is written last and
+marks the scan as applied.  A listing's state is its row of the highest
+``version`` (one partial aggregate); retention appends keys instead of
+rewriting data, and ``copy_to`` writes a compact copy.  The root must be a
+shared folder on a cluster.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricelens import schemas
 from pricelens.operators import tables as TB
 
+KEY = ["id", "query"]
+
+
+def _with(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([*schema.fields, *(T.StructField(n, t) for n, t in fields)])
 
-class ListingStore:
-    """Tables ``listings`` and ``price_history`` under ``root``.
 
-    ``price_history`` is a series of numbered directories: ``b<n>`` a full
-    snapshot, ``a<n>`` rows appended after it; reading takes the newest
-    snapshot plus the later appends.  Each scan appends only its change rows.
+_STATE = _with(schemas.STORED_LISTINGS, ("version", T.LongType()), ("scan_id", T.StringType()), ("bucket", T.IntegerType()))
+_HISTORY = _with(schemas.PRICE_HISTORY, ("version", T.LongType()), ("scan_id", T.StringType()))
+_RETIRED = T.StructType([T.StructField("id", T.StringType()), T.StructField("query", T.StringType()), T.StructField("retired", T.LongType())])
 
-    ``listings`` is versioned per bucket (``bucket = pmod(hash(query), N)``):
-    version ``v<n>`` holds ``bucket=K`` directories for the buckets it
-    rewrote, and a bucket's current data is its newest version.  A scan
-    rewrites only the buckets of the searches it contains, so its cost
-    follows the scanned searches, not the table.  Each listing row also
-    carries ``recorded_price``, the last price written to the history, so
-    appending needs no history scan.
 
-    A directory counts once Spark wrote its ``_SUCCESS`` marker, so a failed
-    job leaves no trace.  Paths go through the Hadoop FileSystem API, so the
-    root may be any cluster filesystem."""
+class ListingStore:
+    """Tables ``listings`` and ``price_history`` under ``root``."""
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
-        self.spark = spark
-        self.root = root.rstrip("/")
-        self.buckets = buckets
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+
+    def exists(self, path: str) -> bool:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+    def _part(self, table: str, scan_id: str) -> str:
+        return f"{self.root}/{table}/scan_id={quote(scan_id, safe='')}"
 
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+    def applied(self, scan_id: str) -> bool:
+        return self.exists(f"{self._part('listings', scan_id)}/_SUCCESS")
 
     def _bucket(self):
         return F.pmod(F.hash("query"), F.lit(self.buckets))
 
-    def entries(self, table: str) -> list[tuple[int, str]]:
-        """Committed ``(number, kind)`` entries, kind ``b``/``a``/``v``."""
-        fs, p = self._fs(f"{self.root}/{table}")
-        if not fs.exists(p):
-            return []
-        out = []
-        for st in fs.listStatus(p):
-            name = st.getPath().getName()
-            num = name[1:].split("_", 1)[0]
-            if st.isDirectory() and name[:1] in ("a", "b", "v") and num.isdigit():
-                if fs.exists(self._fs(f"{self.root}/{table}/{name}/_SUCCESS")[1]):
-                    out.append((int(num), name[0], name))
-        return [(n, k) for n, k, _ in sorted(out)]
-
-    def _dirs(self, table: str) -> list[tuple[int, str, str]]:
-        fs, p = self._fs(f"{self.root}/{table}")
-        if not fs.exists(p):
-            return []
-        out = []
-        for st in fs.listStatus(p):
-            name = st.getPath().getName()
-            num = name[1:].split("_", 1)[0]
-            if st.isDirectory() and name[:1] in ("a", "b", "v") and num.isdigit() \
-                    and fs.exists(self._fs(f"{self.root}/{table}/{name}/_SUCCESS")[1]):
-                out.append((int(num), name[0], name))
-        return sorted(out)
-
-    def paths(self, table: str) -> list[str]:
-        es = self._dirs(table)
-        bases = [n for n, k, _ in es if k == "b"]
-        start = bases[-1] if bases else 0
-        return [f"{self.root}/{table}/{name}" for n, k, name in es if n >= start]
-
-    def _scan_part(self, scan_id: str) -> str | None:
-        """The committed history part of ``scan_id``, if any."""
-        for _, k, name in self._dirs("price_history"):
-            if k == "a" and name.endswith(f"_{scan_id}"):
-                return f"{self.root}/price_history/{name}"
-        return None
-
-    def bucket_paths(self, buckets: list[int] | None = None) -> list[str]:
-        """Current directory of each (wanted) listing bucket."""
-        cur: dict[int, str] = {}
-        for n, _ in self.entries("listings"):
-            vdir = f"{self.root}/listings/v{n:08d}"
-            fs, p = self._fs(vdir)
-            for st in fs.listStatus(p):
-                name = st.getPath().getName()
-                if st.isDirectory() and name.startswith("bucket="):
-                    cur[int(name.split("=", 1)[1])] = f"{vdir}/{name}"
-        wanted = cur if buckets is None else {b: cur[b] for b in buckets if b in cur}
-        return [wanted[b] for b in sorted(wanted)]
-
-    def _read_listings(self, buckets: list[int] | None = None) -> DataFrame:
-        schema = schemas.STORED_LISTINGS
-        paths = self.bucket_paths(buckets)
-        if not paths:
+    def _table(self, table: str, schema: T.StructType) -> DataFrame:
+        if not self.exists(f"{self.root}/{table}"):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*paths).select(*schema.fieldNames())
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
+
+    def _retired(self) -> DataFrame:
+        return self._table("retired", _RETIRED).groupBy(*KEY).agg(F.max("retired").alias("retired"))
+
+    def _kept(self, rows: DataFrame, key: str) -> DataFrame:
+        """Rows that no later retention deleted."""
+        gone = self._retired().withColumnRenamed("id", key)
+        return rows.join(gone, [key, "query"], "left").filter(F.col("retired").isNull() | (F.col("version") > F.col("retired"))).drop("retired")
+
+    def _state(self, log: DataFrame) -> DataFrame:
+        cols = [c for c in schemas.STORED_LISTINGS.fieldNames() if c not in KEY]
+        last = self._kept(log, "id").groupBy(*KEY).agg(F.max_by(F.struct(*cols), "version").alias("l"))
+        return last.select(*KEY, "l.*").select(*schemas.STORED_LISTINGS.fieldNames())
 
     def read(self, table: str) -> DataFrame:
         if table == "listings":
-            return self._read_listings().select(*schemas.LISTINGS.fieldNames())
-        paths = self.paths(table)
-        if not paths:
-            return self.spark.createDataFrame([], schemas.PRICE_HISTORY)
-        return (self.spark.read.schema(schemas.PRICE_HISTORY).parquet(*paths)
-                .select(*schemas.PRICE_HISTORY.fieldNames()))
-
-    def _next(self, table: str, kind: str) -> str:
-        es = self.entries(table)
-        return f"{self.root}/{table}/{kind}{(es[-1][0] + 1 if es else 1):08d}"
-
-    def _commit(self, table: str, df: DataFrame, kind: str, tag: str | None = None) -> str:
-        path = self._next(table, kind) + (f"_{tag}" if tag else "")
-        df.write.parquet(path)
-        return path
-
-    def _commit_listings(self, df: DataFrame) -> str:
-        """Write the given rows as a new version of the buckets they fall in.
-        Range partitioning on (bucket, query, price_score) splits a hot
-        search's bucket over several write tasks and sorts each file."""
-        path = self._next("listings", "v")
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        cols = schemas.STORED_LISTINGS.fieldNames()
-        (df.select(*cols).withColumn("bucket", self._bucket())
-         .repartitionByRange(parts, "bucket", "query", "price_score")
-         .sortWithinPartitions("bucket", "query", "price_score")
-         .write.partitionBy("bucket").parquet(path))
-        return path
-
-    def apply_scan(self, batch: DataFrame, complete: DataFrame | None = None,
-                   prune_missing: bool = True, scan_id: str | None = None) -> None:
-        """Upsert one scan's listings and append its price changes, touching
-        only the buckets of the scanned searches.
-
-        With ``scan_id`` the history part is named after the scan; a re-run
-        after a failure finds the committed part and reuses it instead of
-        appending again (the listing state it would compare with may be the
-        old one), and the upsert itself is idempotent."""
-        # The batch's searches (one per scan; a few per micro-batch): small,
-        # and they name the buckets to rewrite.
-        searches = [r[0] for r in batch.select("query").distinct().collect()]
-        if not searches:
+            return self._state(self._table("listings", _STATE)).select(*schemas.LISTINGS.fieldNames())
+        return self._kept(self._table("price_history", _HISTORY), "listing_id").select(*schemas.PRICE_HISTORY.fieldNames())
+
+    def apply_scan(self, batch: DataFrame, scan_id: str, complete: DataFrame | None = None, prune_missing: bool = True) -> None:
+        """Append one scan's price changes and the listing rows it changes.
+
+        ``batch`` is read several times: give a stored table.  An applied scan
+        is left alone; one that failed half-way is written again."""
+        if self.applied(scan_id):
             return
-        touched = sorted({r[0] for r in self.spark.createDataFrame(
-            [(q,) for q in searches], "query string").select(self._bucket()).collect()})
-        state = self._read_listings(touched)
-        part = self._scan_part(scan_id) if scan_id else None
-        if part is None:
-            new_rows = TB.append_history_from_state(state, batch).select(*schemas.PRICE_HISTORY.fieldNames())
-            part = self._commit("price_history", new_rows, "a", tag=scan_id)
-        appended = self.spark.read.schema(schemas.PRICE_HISTORY).parquet(part)
-        new_state = TB.with_recorded_price(
-            TB.upsert_listings(state, batch, complete, prune_missing),
-            appended)
-        self._commit_listings(new_state)
+        log = self._table("listings", _STATE).filter(F.col("scan_id") != scan_id)
+        version = (log.agg(F.max("version")).first()[0] or 0) + 1
+        searches = batch.select("query", self._bucket().alias("bucket")).distinct()
+        state = self._state(log.join(searches, ["bucket", "query"], "left_semi"))
+        new = TB.append_history_from_state(state, batch).select(*schemas.PRICE_HISTORY.fieldNames(), F.lit(version).alias("version"))
+        new.write.mode("overwrite").parquet(self._part("price_history", scan_id))
+        added = self.spark.read.schema(new.schema).parquet(self._part("price_history", scan_id))
+        now = TB.with_recorded_price(TB.upsert_listings(state, batch, complete, prune_missing), added)
+        (now.select(*schemas.STORED_LISTINGS.fieldNames()).withColumns({"version": F.lit(version), "bucket": self._bucket()})
+         .repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "query", "price_score")
+         .write.mode("overwrite").partitionBy("bucket").parquet(self._part("listings", scan_id)))
 
     def prune(self, now: datetime, days: int) -> list[tuple[str, int]]:
-        """Retention: delete stale inactive listings and, first, their history."""
+        """Retention: retire inactive listings last seen before ``now - days``, with their history."""
         listings, history = self.read("listings"), self.read("price_history")
-        counts = [(r["table"], r["deleted"])
-                  for r in TB.prune_counts(history, listings, now, days).collect()]
+        counts = [(r["table"], r["deleted"]) for r in TB.prune_counts(history, listings, now, days).collect()]
         if days > 0 and any(n for _, n in counts):
-            self._commit("price_history", TB.prune_history(history, listings, now, days), "b")
-            kept = TB.prune_listings(self._read_listings(), now, days)
-            # every bucket gets a new version; emptied buckets become empty dirs
-            self._commit_listings(kept)
-            self._mark_empty_buckets(kept)
+            version = self._table("listings", _STATE).agg(F.max("version")).first()[0]
+            TB.stale_listings(listings, now, days).select(*KEY, F.lit(version).cast("long").alias("retired")).write.mode("append").parquet(f"{self.root}/retired")
         return counts
 
-    def _mark_empty_buckets(self, kept: DataFrame) -> None:
-        """Buckets left without rows get an empty version so old data is not
-        read again."""
-        present = {r[0] for r in kept.select(self._bucket()).distinct().collect()}
-        vdir = f"{self.root}/listings/v{self.entries('listings')[-1][0]:08d}"
-        schema = schemas.STORED_LISTINGS
-        for b in set(range(self.buckets)) - present:
-            if self.bucket_paths([b]):
-                (self.spark.createDataFrame([], schema).coalesce(1)
-                 .write.mode("overwrite").parquet(f"{vdir}/bucket={b}"))
+    def copy_to(self, root: str) -> ListingStore:
+        """A compact copy: the current state and history as one scan each."""
+        other = ListingStore(self.spark, root, self.buckets)
+        one = F.lit(1).cast("long").alias("version")
+        self.read("price_history").select("*", one).write.parquet(other._part("price_history", "base"))
+        (self._state(self._table("listings", _STATE)).select("*", one, other._bucket().alias("bucket"))
+         .write.partitionBy("bucket").parquet(other._part("listings", "base")))
+        return other

@@ -1,12 +1,10 @@
 """Table maintenance per landed scan (X5).
 
 Scans land as directories of observation Parquet files under a landing root
-(one directory per scan, names sortable in arrival order).  Each one not yet
-applied is applied to the store as one batch job -- history append, then the
-listing upsert -- and its id is then recorded in the store's ``applied_scans``
-table.  A crash between those steps is safe to re-run: the history part is
-named after the scan and reused when present, and the upsert is idempotent.
-A ``complete`` column, when present, gives the scan's completeness.
+(one directory per scan, names sortable in arrival order).  Each one that the
+store has not applied yet is applied as one batch job.  A crash at any step is
+safe to re-run: a scan writes only folders of its own name.  A ``complete``
+column, when present, gives the scan's completeness.
 """
 
 from __future__ import annotations
@@ -14,41 +12,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelens import schemas
 from pricelens.sources.store import ListingStore
 
 
 def landed_scans(store: ListingStore, landing_root: str) -> list[str]:
-    fs, p = store._fs(landing_root)
-    if not fs.exists(p):
+    if not store.exists(landing_root):
         return []
+    p = store.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(landing_root)
+    fs = p.getFileSystem(store.spark.sparkContext._jsc.hadoopConfiguration())
     names = [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
     return sorted(n for n in names if not n.startswith(("_", ".")))
 
 
-def applied_scans(store: ListingStore) -> set[str]:
-    paths = store.paths("applied_scans")
-    if not paths:
-        return set()
-    return {r[0] for r in store.spark.read.parquet(*paths).select("scan_id").collect()}
-
-
 def apply_landed(store: ListingStore, landing_root: str) -> list[str]:
-    """Apply every landed, not yet applied scan in order; returns their ids."""
-    done = applied_scans(store)
+    """Apply every landed scan that is not applied yet, in order; returns their ids."""
     applied = []
     for scan_id in landed_scans(store, landing_root):
-        if scan_id in done:
+        if store.applied(scan_id):
             continue
         obs: DataFrame = store.spark.read.parquet(f"{landing_root.rstrip('/')}/{scan_id}")
         complete = None
         if "complete" in obs.columns:
             complete = obs.groupBy("query").agg(F.bool_and("complete").alias("complete"))
             obs = obs.drop("complete")
-        store.apply_scan(obs, complete, scan_id=scan_id)
-        store._commit("applied_scans", store.spark.createDataFrame([(scan_id,)], "scan_id string"), "a")
+        store.apply_scan(obs, scan_id, complete)
         applied.append(scan_id)
     return applied
-
-
-OBSERVATION_SCHEMA = schemas.OBSERVATIONS

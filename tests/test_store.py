@@ -1,6 +1,7 @@
 """Upsert, change-only history, drops, active flags, saved searches, retention
 (through the versioned store, one scan per commit)."""
 
+import os
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -21,7 +22,8 @@ def _scan(store, spark, items, complete=True):
     if not complete:
         comp = spark.createDataFrame([(q, False) for q in {i["query"] for i in items}],
                                      "query string, complete boolean")
-    store.apply_scan(batch(spark, items), comp)
+    _scan.n = getattr(_scan, "n", 0) + 1
+    store.apply_scan(batch(spark, items), f"scan{_scan.n}", comp)
 
 
 def test_change_only_history(spark, tmpdir_path):
@@ -187,36 +189,64 @@ def test_landed_scans_applied_once(spark, tmpdir_path):
         [("111", 5000), ("111", 4000), ("111", 3900), ("222", 7000)]
 
 
-def test_scan_rewrites_only_its_buckets(spark, tmpdir_path):
+def test_scan_writes_only_its_searches(spark, tmpdir_path):
     s = ListingStore(spark, tmpdir_path, buckets=64)
-    b = lambda q: spark.createDataFrame([(q,)], "query string").select(
-        F.pmod(F.hash("query"), F.lit(64))).collect()[0][0]
-    qa, qb = "iphone 13", "macbook air"
-    assert b(qa) != b(qb)
-    _scan(s, spark, [listing(1, query=qa), listing(2, query=qb)])
-    _scan(s, spark, [listing(1, 4000, T1, query=qa)])
-    import os
-    latest = sorted(d for d in os.listdir(os.path.join(tmpdir_path, "listings")) if d.startswith("v"))[-1]
-    buckets = [d for d in os.listdir(os.path.join(tmpdir_path, "listings", latest)) if d.startswith("bucket=")]
-    assert buckets == [f"bucket={b(qa)}"]
+    _scan(s, spark, [listing(1, query="iphone 13"), listing(2, query="macbook air")])
+    s.apply_scan(batch(spark, [listing(1, 4000, T1, query="iphone 13")]), "second")
+    part = spark.read.parquet(os.path.join(tmpdir_path, "listings", "scan_id=second"))
+    assert [r["query"] for r in part.collect()] == ["iphone 13"]
     got = {r["id"]: (r["price_nok"], r["is_active"]) for r in s.read("listings").collect()}
     assert got == {"1": (4000, True), "2": (5000, True)}
 
 
+def test_scan_ids_that_end_alike(spark, tmpdir_path):
+    s = _store(spark, tmpdir_path)
+    for scan_id, price in (("iphone_02", 5000), ("02", 4000), ("2", 3000), ("a/b=c %", 2000)):
+        s.apply_scan(batch(spark, [listing(1, price)]), scan_id)
+        assert s.applied(scan_id)
+    assert sorted(r["price"] for r in s.read("price_history").collect()) == [2000, 3000, 4000, 5000]
+    assert s.read("listings").collect()[0]["price_nok"] == 2000
+
+
 def test_rerun_after_partial_failure_does_not_duplicate(spark, tmpdir_path):
     s = _store(spark, tmpdir_path)
-    b1 = batch(spark, [listing(111, 5000)])
-    s.apply_scan(b1, scan_id="s1")
+    s.apply_scan(batch(spark, [listing(111, 5000)]), "s1")
     b2 = batch(spark, [listing(111, 4000, T1)])
-    # simulate a crash after the history part of s2 was committed: write it,
-    # but not the listings
-    from pricelens import schemas
-    from pricelens.operators import tables as TB
-    state = s._read_listings()
-    part = TB.append_history_from_state(state, b2).select(*schemas.PRICE_HISTORY.fieldNames())
-    s._commit("price_history", part, "a", tag="s2")
-    s.apply_scan(b2, scan_id="s2")       # the re-run
+    s.apply_scan(b2, "s2")
+    marker = os.path.join(tmpdir_path, "listings", "scan_id=s2", "_SUCCESS")
+    os.rename(marker, marker + ".lost")  # as if the upsert had not finished
+    s.apply_scan(b2, "s2")
     assert rows(s.read("price_history"), "price", order=["seen_at"]) == [(5000,), (4000,)]
     assert s.read("listings").collect()[0]["price_nok"] == 4000
     d = H.price_drops(s.read("price_history"), s.read("listings"))
     assert rows(d, "listing_id", "previous_price", "current_price") == [("111", 5000, 4000)]
+
+
+def test_leftovers_of_failed_jobs_do_not_matter(spark, tmpdir_path):
+    s = _store(spark, tmpdir_path)
+    s.apply_scan(batch(spark, [listing(1, 5000)]), "s1")
+    for table in ("price_history", "listings"):
+        left = os.path.join(tmpdir_path, table, "scan_id=s2", "_temporary", "0")
+        os.makedirs(left)
+        with open(os.path.join(left, "part-00000.parquet"), "w") as f:
+            f.write("torn")
+    assert s.read("listings").count() == 1 and s.read("price_history").count() == 1
+    s.apply_scan(batch(spark, [listing(1, 4000, T1)]), "s2")
+    assert rows(s.read("price_history"), "price", order=["seen_at"]) == [(5000,), (4000,)]
+
+
+def test_retired_keys_can_come_back_and_copy(spark, tmpdir_path):
+    now = datetime(2026, 9, 1, 12, 0)
+    s = _store(spark, os.path.join(tmpdir_path, "a"))
+    _scan(s, spark, [listing(1, 5000, now - timedelta(days=90)), listing(2, 6000, now - timedelta(days=90))])
+    _scan(s, spark, [listing(2, 6000, now - timedelta(days=9))])
+    assert dict(s.prune(now, 60)) == {"listings": 1, "price_history": 1}
+    assert dict(s.prune(now, 60)) == {"listings": 0, "price_history": 0}
+    _scan(s, spark, [listing(1, 4000, now), listing(2, 6000, now)])
+    want = [("1", 4000), ("2", 6000)]
+    assert rows(s.read("price_history"), "listing_id", "price", order=["listing_id"]) == want
+    c = s.copy_to(os.path.join(tmpdir_path, "b"))
+    assert rows(c.read("price_history"), "listing_id", "price", order=["listing_id"]) == want
+    assert rows(c.read("listings"), "id", "price_nok", order=["id"]) == want
+    _scan(c, spark, [listing(1, 3000, now)])
+    assert c.read("price_history").count() == 3
