@@ -2,31 +2,24 @@
 
 * ``latest_price_stream`` (X1): latest price per listing, update mode; state
   is one partial aggregate per key.
-* ``price_changes_stream`` (X2 + X3): change-only history with live drop
-  flags.  ``applyInPandasWithState`` keeps one small state per
-  ``(id, query)`` -- the last recorded price and the one before it -- so state
-  does not grow with the number of observations.  Inside a micro-batch the
-  rows of a key are ordered by ``(scraped_at, seq)``.
+* ``apply_feed`` (X2 + X3): every micro-batch goes through the per-scan batch
+  path of ``sources.store`` under its batch id, so its price changes (with the
+  previous price, hence live drop flags) are found by the same built-in
+  expressions as in batch, and a batch that is run again writes the same rows.
 * ``scan_activity_stream`` (X4): observations per search and tumbling window
   with a watermark, append mode (a window is emitted once the watermark
   passes its end).  ``scan_activity`` is the batch twin: the windows a
   drained stream has emitted.
-* Table maintenance (X5) runs per landed scan: ``sources.store.ListingStore``
-  applied to each new scan as a batch job.
+* Table maintenance (X5) runs per landed scan, see ``streaming.maintenance``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
-CHANGE_SCHEMA = ("listing_id string, query string, price long, seen_at timestamp, seq long, "
-                 "previous_price long, is_drop boolean")
-STATE_SCHEMA = "last_price long, prev_price long"
+from pricelens.sources.store import ListingStore
 
 
 def latest_price_stream(feed: DataFrame) -> DataFrame:
@@ -38,41 +31,25 @@ def latest_price_stream(feed: DataFrame) -> DataFrame:
                     F.col("l.scraped_at").alias("seen_at")))
 
 
-def _changes(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Vectorised per key: a row is a change when its price differs from the
-    one before it (the stored last price for the first row); the previous
-    recorded price of a change is the change before it (or the stored one)."""
-    last, prev = (state.get if state.exists else (None, None))
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["scraped_at", "seq"], kind="stable")
-    price = pdf["price_nok"].astype("int64")
-    before = price.shift(1).astype("Float64")
-    if last is not None:
-        before.iloc[0] = last
-    changed = before.isna() | (price != before)
-    ch = pdf.loc[changed.to_numpy()]
-    if ch.empty:
-        state.update((last, prev))
-        return
-    cp = ch["price_nok"].astype("int64").reset_index(drop=True)
-    prev_rec = cp.shift(1).astype("Float64")
-    prev_rec.iloc[0] = last if last is not None else pd.NA
-    out = pd.DataFrame({
-        "listing_id": key[0], "query": key[1], "price": cp,
-        "seen_at": ch["scraped_at"].reset_index(drop=True), "seq": ch["seq"].astype("int64").reset_index(drop=True),
-        "previous_price": prev_rec.astype("Int64"),
-        "is_drop": (prev_rec.notna() & (cp < prev_rec)).fillna(False).astype(bool)})
-    new_last = int(cp.iloc[-1])
-    new_prev = int(cp.iloc[-2]) if len(cp) > 1 else last
-    state.update((new_last, new_prev))
-    yield out
-
-
-def price_changes_stream(feed: DataFrame) -> DataFrame:
-    """Change-only history rows (append mode) with the previous recorded price
-    and a drop flag."""
-    priced = feed.filter(F.col("price_nok") != 0).select("id", "query", "price_nok", "scraped_at", "seq")
-    return priced.groupBy("id", "query").applyInPandasWithState(
-        _changes, CHANGE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+def apply_feed(feed: DataFrame, store: ListingStore, checkpoint: str, name: str = "feed") -> StreamingQuery:
+    """Apply what has landed on ``feed`` to ``store``, one scan per micro-batch.
+
+    Partial by nature, so no listing turns inactive.  Inside a micro-batch the
+    rows of a key apply in ``seq`` order."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        scan_id = f"{name}-{number:012d}"
+        path = f"{store.root}/scans/scan_id={scan_id}"
+        if not store.applied(scan_id):
+            batch.write.mode("overwrite").parquet(path)
+            store.apply_scan(batch.sparkSession.read.schema(batch.schema).parquet(path), scan_id, prune_missing=False)
+
+    return feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def price_drops_found(history: DataFrame) -> DataFrame:
+    """Recorded changes with ``is_drop``."""
+    return history.withColumn("is_drop", F.coalesce(F.col("price") < F.col("previous_price"), F.lit(False)))
 
 
 def scan_activity_stream(feed: DataFrame, window: str = "1 day", delay: str = "1 hour") -> DataFrame:

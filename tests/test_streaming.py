@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pricelens.operators import history as H
 from pricelens.sources import standins as S
+from pricelens.sources.store import ListingStore
 from pricelens.streaming import feed as FD
 
 SF = "/root/testdata/sf0.001"
@@ -37,24 +38,31 @@ def _drain(df, name, mode, ckpt):
     q.stop()
 
 
-def test_change_stream_matches_batch(spark, landed, tmp_path):
-    _drain(FD.price_changes_stream(_stream(spark, landed)), "changes", "append", str(tmp_path / "c1"))
-    got = spark.sql("SELECT listing_id, query, price, seq FROM changes")
-    want = H.price_changes(S.obs(spark, SF)).select("listing_id", "query", "price", "seq")
-    assert got.count() == want.count()
-    assert got.exceptAll(want).count() == 0
-    drops = spark.sql("SELECT listing_id, query, seq FROM changes WHERE is_drop")
-    batch_drops = (H.step_changes(H.price_changes(S.obs(spark, SF)))
-                   .filter("change_pct < 0").select("listing_id", "query", "seq"))
-    assert drops.count() == batch_drops.count() > 0
-    assert drops.exceptAll(batch_drops).count() == 0
+def test_changes_of_the_feed_match_batch(spark, landed, tmp_path):
+    store = ListingStore(spark, str(tmp_path / "store"), buckets=4)
+    for _ in range(2):  # drained, then started again with nothing new
+        FD.apply_feed(_stream(spark, landed), store, str(tmp_path / "c1")).awaitTermination(600)
+    got = FD.price_drops_found(store.read("price_history"))
+    cols = ["listing_id", "query", "price", "seq"]
+    want = H.price_changes(S.obs(spark, SF))
+    assert got.count() == want.count() and got.select(cols).exceptAll(want.select(cols)).count() == 0
+    steps = H.step_changes(want).filter("change_pct < 0").select("listing_id", "query", "seq")
+    drops = got.filter("is_drop").select("listing_id", "query", "seq")
+    assert drops.count() == steps.count() > 0 and drops.exceptAll(steps).count() == 0
+    assert store.applied("feed-000000000003") and not store.applied("feed-000000000004")
 
 
 def test_latest_price_stream(spark, landed, tmp_path):
-    _drain(FD.latest_price_stream(_stream(spark, landed)), "latest", "complete", str(tmp_path / "c2"))
-    got = spark.sql("SELECT id AS listing_id, query, price FROM latest")
+    """Update mode: each micro-batch emits the keys it touched; the last emission of a key is its price."""
+    out = str(tmp_path / "updates")
+    (FD.latest_price_stream(_stream(spark, landed)).writeStream.outputMode("update")
+     .foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"))
+     .option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination(300))
+    seen = spark.read.parquet(out)
+    got = seen.groupBy(F.col("id").alias("listing_id"), "query").agg(F.max_by("price", "batch").alias("price"))
     want = H.latest_price(H.price_changes(S.obs(spark, SF))).select("listing_id", "query", "price")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert seen.filter("batch = 3").count() < got.count()  # only the touched keys
 
 
 def test_scan_activity_stream(spark, landed, tmp_path):
