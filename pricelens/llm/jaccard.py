@@ -55,7 +55,7 @@ PART, SHARE = 100, 80
 BITS = 48
 #: Hash ranges of each shuffle partition, taken one after another.
 ROUTES = 4
-#: Members of a list, or compared with one class, that one task takes at most.
+#: Members of a list, or classes compared with one, that a task takes together.
 LIST_PART, PAIR_PART = 20_000, 256
 _SETS = "doc_id long, text_key long, n_shingles long, sig long, tokens binary, prefix binary, alone long, central long"
 
@@ -253,46 +253,45 @@ _LINKED = f"{PART} * o >= {SHARE} * (na + nb - o)"
 # --------------------------------------------------------- 4. derived answers
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs across components of each list part that the bounds leave open or decide as links."""
+    """Pairs across components of each tile of a list, probes against members,
+    that the bounds leave open or decide as links."""
     key, held = None, []
 
     def pairs() -> Iterator[pa.RecordBatch]:
-        if len(held) < 2:
+        members, probes = ([r[1:] for r in held if r[0] == kind] for kind in (False, True))
+        if not members or not probes:
             return
-        sig, n, pos, comp, probe, o, hub_n, part = zip(*held, strict=True)
-        n, pos, o = (np.array(x, dtype=np.int64) for x in (n, pos, o))
-        names: dict[int, int] = {}
-        comp = np.array([names.setdefault(x, len(names)) for x in comp])
-        probe = np.array(probe)
+        sig, n, pos, comp, also_probe, o, hub_n = (np.array(x) for x in zip(*members, strict=True))
+        hub_n = int(hub_n[0])
         place = n << 32 | pos  # rows come sorted by it
         sizes = np.unique(n)
         out = []
-        for i in np.flatnonzero(probe).tolist():
-            size = sizes[(SHARE * sizes <= PART * n[i]) & (SHARE * n[i] <= PART * sizes)]
-            need = -(-SHARE * (n[i] + size) // (SHARE + PART))
-            open_ = (n[i] - pos[i] >= need) & (size >= need)  # else the whole block is skipped
+        for p_sig, p_n, p_pos, p_comp, _, p_o, _ in probes:
+            size = sizes[(SHARE * sizes <= PART * p_n) & (SHARE * p_n <= PART * sizes)]
+            need = -(-SHARE * (p_n + size) // (SHARE + PART))
+            open_ = (p_n - p_pos >= need) & (size >= need)  # else the whole block is skipped
             size, need = size[open_], need[open_]
             lo, hi = np.searchsorted(place, size << 32), np.searchsorted(place, (size << 32 | size - need) + 1)
             j = np.concatenate([np.arange(a, z) for a, z in zip(lo.tolist(), hi.tolist(), strict=True)] or [np.empty(0, np.int64)])
-            j = j[(comp[j] != comp[i]) & (~probe[j] | ((j > i) & (part[i] == 0)))]
+            # of two probes, the pair comes from the one with the smaller id
+            j = j[(comp[j] != p_comp) & (~also_probe[j] | (sig[j] > p_sig))]
             if not len(j):
                 continue
-            need = -(-SHARE * (n[i] + n[j]) // (SHARE + PART))
-            known = (o[i] >= 0) & (o[j] >= 0)
-            most = np.minimum(o[i], o[j]) + np.minimum(n[i] - o[i], n[j] - o[j])
-            least = o[i] + o[j] - hub_n[i]
-            for k, sure in zip(j[~known | (most >= need)].tolist(), (known & (least >= need))[~known | (most >= need)].tolist(), strict=True):
-                out.append((*sorted((sig[i], sig[k])), sure))
+            need = -(-SHARE * (p_n + n[j]) // (SHARE + PART))
+            known = (p_o >= 0) & (o[j] >= 0)
+            keep = ~known | (np.minimum(p_o, o[j]) + np.minimum(p_n - p_o, n[j] - o[j]) >= need)
+            sure = known & (p_o + o[j] - hub_n >= need)
+            out += [(min(p_sig, s), max(p_sig, s), d) for s, d in zip(sig[j[keep]].tolist(), sure[keep].tolist(), strict=True)]
         if out:
             a, b, sure = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure)], ["a", "b", "sure"])
 
     for batch in batches:
-        for token, part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (token, part) != key:
+        for token, row, col, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (token, row, col) != key:
                 yield from pairs()
-                key, held = (token, part), []
-            held.append((*row, part))
+                key, held = (token, row, col), []
+            held.append(rest)
     yield from pairs()
 
 
@@ -314,9 +313,14 @@ def links(classes: DataFrame) -> DataFrame:
             .withColumn("comp", F.coalesce("sig_comp", "sig"))
             .withColumn("o", F.when(F.col("sig") == F.col("hub"), F.col("n")).otherwise(F.coalesce("o", F.lit(-1))))
             .withColumn("probe", F.col("comp") != F.coalesce("hub_comp", "hub"))
-            .withColumn("parts", F.expr(f"CAST(ceil(many / {LIST_PART}) AS INT)"))
-            .withColumn("part", F.explode(F.expr("IF(probe, sequence(0, parts - 1), array(CAST(pmod(xxhash64(sig), parts) AS INT)))"))))
-    found = staged(rows.select("token", "part", "sig", "n", "pos", "comp", "probe", "o", "hub_n").repartition("token", "part").sortWithinPartitions("token", "part", "n", "pos")
+            .withColumn("parts", F.expr(f"CAST(ceil(many / {LIST_PART}) AS INT)")).withColumn("own", F.expr("CAST(pmod(xxhash64(sig), parts) AS INT)")))
+    rows = staged(rows, "mixed-rows")
+    # Tiles of a list: members fill a column, probes (those apart from the hub's component) a row.
+    every = F.explode(F.expr("sequence(0, parts - 1)"))
+    cells = rows.withColumn("as_probe", F.lit(False)).withColumn("row", every).withColumn("col", F.col("own")).unionByName(
+        rows.filter("probe").withColumn("as_probe", F.lit(True)).withColumn("row", F.col("own")).withColumn("col", every))
+    found = staged(cells.select("token", "row", "col", "as_probe", "sig", "n", "pos", "comp", "probe", "o", "hub_n")
+                   .repartition("token", "row", "col").sortWithinPartitions("token", "row", "col", "n", "pos")
                    .mapInArrow(_across, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")), "across")
     done = computed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = _compared(found.where("NOT sure").join(done, ["a", "b"], "left_anti").select("a", "b"), classes).where(_LINKED)

@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pricelens.operators.attach import attach
+
 from .common import mix, slices, text_buffers
 
 GRAM = 4
@@ -141,7 +143,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageFi
               .mapInArrow(_count, "lang string, gram long, n long")
               .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    owned = (counts.join(F.broadcast(totals), "lang")
+    owned = (attach(counts, totals, "lang", "gram", "inner")
              .select("lang", "gram", (F.col("n") / F.col("total")).alias("share"), "total")
              .where(F.col("share") >= MIN_SHARE)).toArrow()
     names, gram, share, total = (owned.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "gram", "share", "total"))
