@@ -115,6 +115,19 @@ l AS MATERIALIZED (
 )
 SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.other) AS component_id
 FROM w JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY w.doc_id""",
+    "op5_substring_dedup": r"""
+WITH w AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT rid, i, array_to_string(ws[i:i + 34], ' ') AS s FROM (SELECT rid, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)
+), c AS (
+  SELECT DISTINCT rid, p FROM (SELECT rid, unnest(range(i, i + 35)) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY s) AS n FROM g) WHERE n > 1)
+), k AS (
+  SELECT rid, string_agg(word, ' ' ORDER BY p) AS kept
+  FROM (SELECT rid, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w) ANTI JOIN c USING (rid, p) GROUP BY rid
+), r AS (SELECT rid, count(*) AS n FROM c GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(r.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN r USING (rid) LEFT JOIN k USING (rid)""",
     "op7_quality_rules": rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
