@@ -123,14 +123,18 @@ def percentiles(freq: DataFrame, ps: list[float]) -> DataFrame:
     ``v[f]*(c-k) + v[c]*(k-f)`` (``v[f]`` when ``f == c``); 0.0 when nothing
     is priced, the value itself for one price.
 
-    Works on the ``(query, price, cnt)`` table: a running count over a
-    search's *distinct* prices gives each price its rank range, and each order
-    statistic is ``min(price)`` over prices whose last rank reaches it.  The
-    per-search window holds distinct prices only, never raw rows."""
-    priced = freq.filter(F.col("price").isNotNull())
-    run = Window.partitionBy("query").orderBy("price").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (priced.withColumn("_hi", F.sum("cnt").over(run) - 1)
-              .withColumn("_n", F.sum("cnt").over(Window.partitionBy("query"))))
+    Works on the ``(query, price, cnt)`` table: a running count gives each
+    price its rank range, and each order statistic is ``min(price)`` over
+    prices whose last rank reaches it.  The count runs within bands of 1024
+    prices and over the bands, so no task orders all prices of a search."""
+    priced = freq.filter(F.col("price").isNotNull()).withColumn("_band", F.shiftright("price", 10))
+    bands = priced.groupBy("query", "_band").agg(F.sum("cnt").alias("_s"))
+    earlier = Window.partitionBy("query").orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    bands = bands.select("query", "_band", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"),
+                         F.sum("_s").over(Window.partitionBy("query")).alias("_n"))
+    run = Window.partitionBy("query", "_band").orderBy("price").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (priced.join(bands, ["query", "_band"])
+              .withColumn("_hi", F.sum("cnt").over(run) + F.col("_before") - 1))
     n = F.col("_n")
     aggs = [F.max("_n").alias("_n")]
     for i, p in enumerate(ps):
