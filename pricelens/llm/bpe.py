@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks as B
-from .common import slices
+from .common import release, slices
 
 #: Text bytes of a block.
 BLOCK_BYTES = 16 << 20
@@ -139,6 +139,9 @@ def _split_blocks(path: str, routes: int, text_at: int):
                 table.clear()
         if kept:
             yield B.rows(flush(part + n, seqs, table, kept))
+        table.clear()
+        del seqs, kept
+        release()
 
     return run
 
@@ -210,6 +213,7 @@ def _join_back(path: str, schema: T.StructType):
                     cols = table.slice(i, j - i).combine_chunks()
                     yield pa.RecordBatch.from_arrays([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols.columns), lists, pa.array(decoded, pa.string())], schema.names)
                     i = j
+        release()
 
     return run
 

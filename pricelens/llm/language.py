@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from pricelens.operators.attach import attach
 
-from .common import mix, slices, text_buffers
+from .common import mix, release, slices, text_buffers
 
 GRAM = 4
 MIN_SHARE = 1e-5
@@ -39,6 +39,8 @@ DOMINANCE = 0.02
 HASHES = 3
 ROWS_PER_GRAM = 8
 _FLUSH = 2_000_000
+#: Text bytes handled at once; each byte starts an n-gram of several words of memory.
+SLICE_BYTES = 1 << 20
 
 _FOLD = np.full(256, 32, dtype=np.uint8)
 for _b in range(256):
@@ -90,7 +92,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(keys)), pa.array(keys.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
         held.clear()
 
-    for b in slices(batches):
+    for b in slices(batches, most=SLICE_BYTES):
         g, first = _grams(b.column(0))
         langs = b.column(1).to_pylist()
         for lang in dict.fromkeys(langs):
@@ -108,6 +110,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from flush()
                 size = 0
     yield from flush()
+    release()
 
 
 @dataclass
@@ -181,7 +184,7 @@ def predict(docs: DataFrame, model: LanguageFilter, text: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = held.value
-        for b in slices(batches, text):
+        for b in slices(batches, text, SLICE_BYTES):
             letters = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
             n, hits = _popcounts(f, b.column(keep.index(text)))
             if f.langs:
@@ -193,6 +196,7 @@ def predict(docs: DataFrame, model: LanguageFilter, text: str = "text") -> DataF
             else:
                 score, names = np.zeros(len(n)), np.full(len(n), "und", dtype=object)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+        release()
 
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     return docs.select(*keep, letters.alias("_letters")).mapInArrow(run, schema)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks as B
-from .common import Words, mix, slices, staged, window_hashes, words_of
+from .common import Words, mix, release, slices, staged, window_hashes, words_of
 from .fmindex import FMIndex, repeated_windows
 
 WIDTH, GRAM = 35, 8
@@ -137,6 +137,8 @@ def _by_route(batches: Iterator[pa.RecordBatch], answer) -> Iterator[pa.RecordBa
             held.append((block, data))
     if held:
         yield from answer(held)
+    held.clear()
+    release()
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,6 +216,7 @@ def _segments(routes: int, width: int, gram: int, hot: int):
                         texts = [text[k] for k in own.tolist()]
                         out.append((r, block, 0, B.pack(seg[own].tobytes(), B.planes(np.diff(owner[own], prepend=0)), B.planes(copies[own]), B.planes(np.array([len(x) for x in texts])), b"".join(texts))))
                 yield B.rows(out)
+        release()
 
     return run
 
@@ -332,6 +335,7 @@ def _finish(width: int, gram: int, hot: bool, schema: T.StructType):
                 order = np.argsort(seg)
                 for t in slices(iter(_texts(data)), "_text", 2 << 20):
                     yield drop(t, seg[order], mask[order])
+        release()
 
     return run
 
