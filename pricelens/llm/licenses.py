@@ -8,7 +8,8 @@ here on varied pieces of the templates below and on paragraphs of a bounded
 sample of documents (``SAMPLE_DOCS`` rows, the smallest hashes of ``doc_id``);
 its temperature and the least probability of a named family are calibrated on
 a part kept out of the fit.  A named family must also resemble one of its
-templates (shared 2-grams), else the paragraph is ``unknown``.
+templates (shared 2-grams), else the paragraph is ``unknown``; a paragraph
+that resembles no template at all is ``none``.
 
 Prediction reads whole texts, slice by slice, without a shuffle.  Null and
 empty texts have no paragraphs.  Repeated rows are answered once each.  The
@@ -32,7 +33,8 @@ BITS = 16
 STRETCH = 64
 SAMPLE_DOCS = 400
 SEED = 7
-CONFIRM = 0.5
+#: Share of 2-grams shared with a template of the family, and of any for ``unknown``.
+CONFIRM, SOME = 0.5, 0.2
 NONE, UNKNOWN = "none", "unknown"
 
 #: Usual notices of each family.
@@ -113,7 +115,7 @@ def _features(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 def _bigrams(text: str) -> set[tuple[str, str]]:
     words = "".join(c.lower() if c.isalnum() else " " for c in text).split()
-    return set(zip(["", *words], [*words, ""], strict=True))
+    return set(zip(words[:-1], words[1:], strict=True))
 
 
 @dataclass
@@ -234,9 +236,12 @@ def scan(docs: DataFrame, model: LicenseModel, text: str = "text", keep: tuple[s
                 own = _bigrams(passage)
                 best = 1 + int(p[i, 1:].argmax())
                 family = m.classes[best]
-                like = max(len(own & t) / min(len(own), len(t)) for t in templates[family])
-                if family != UNKNOWN and (p[i, best] < m.least or like < CONFIRM):
-                    family = UNKNOWN
+                alike = {f: max(len(own & t) / max(1, min(len(own), len(t))) for t in ts) for f, ts in templates.items()}
+                like = alike[family]
+                if family == UNKNOWN or p[i, best] < m.least or like < CONFIRM:
+                    family, like = UNKNOWN, max(alike.values())
+                    if like < SOME:
+                        continue
                 rows.append((int(at[i]), int(line[i]), int(starts[i] - firsts[at[i]]), family, float(p[i, best]), like, passage))
             if rows:
                 src, *cols = zip(*rows, strict=True)
