@@ -54,7 +54,7 @@ BLOCK_BYTES = 8 << 20
 PART, SHARE = 100, 80
 BITS = 48
 #: Hash ranges of each shuffle partition, taken one after another.
-ROUTES = 4
+ROUTES = 8
 #: Members of a list, or classes compared with one, that a task takes together.
 LIST_PART, PAIR_PART = 20_000, 256
 _SETS = "doc_id long, text_key long, n_shingles long, sig long, tokens binary, prefix binary, alone long, central long"
@@ -93,7 +93,7 @@ def _send(routes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size, sets, ids = TaskContext.get().partitionId() << 32, 0, [], []
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 1 << 20):
             for s in doc_shingles(words_of(b.column(1), lower=True)):
                 sets.append(s)
             ids.append(b.select(["doc_id", "text_key"]))
@@ -189,7 +189,9 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             result = pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "n_shingles", "sig", "tokens", "prefix", "alone", "central"])
             for i in range(0, len(n), 1000):
                 yield result.slice(i, 1000)
-    release()
+            del token, ref, df, doc, order, rare, wide, listed, step, times, whole, prefix, result
+            got = []
+            release()
 
 
 def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -214,6 +216,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig, n, _, alone, central = (c.take(pa.array(at)) for c in b.columns)
             pos = alone.to_numpy() + np.arange(len(at)) - first[at]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), sig, n, pa.array(pos), central], ["token", "sig", "n", "pos", "central"])
+    release()
 
 
 def _need(x: str, y: str) -> str:
@@ -230,7 +233,7 @@ def _compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n_base = None, 0
-        for batch in batches:
+        for batch in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):
             out = []
             for a, _, b, n, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 t = np.cumsum(B.numbers(t))
@@ -242,6 +245,7 @@ def _compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 out.append((a, b, n_base, n, int((base[at] == t).sum()) if len(base) else 0))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b", "na", "nb", "o"])
+        release()
 
     return (laid.repartition("a", "part").sortWithinPartitions(F.col("a"), F.col("part"), F.col("b").asc_nulls_first())
             .mapInArrow(run, "a long, b long, na long, nb long, o long"))
@@ -293,6 +297,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key, held = (token, row, col), []
             held.append(rest)
     yield from pairs()
+    held.clear()
+    release()
 
 
 def links(classes: DataFrame) -> DataFrame:
