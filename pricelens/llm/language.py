@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from pricelens.operators.attach import attach
 
-from .common import mix, release, slices, text_buffers
+from .common import mix, release, slices, staged, text_buffers
 
 GRAM = 4
 MIN_SHARE = 1e-5
@@ -141,10 +141,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageFi
     The driver receives the owned n-grams only, at most ``1 / MIN_SHARE`` for
     each language.
     """
-    counts = (docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    counts = staged(docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
               .select(F.col(text).alias("text"), F.col(lang).alias("lang"))
               .mapInArrow(_count, "lang string, gram long, n long")
-              .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+              .groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram-counts")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     owned = (attach(counts, totals, "lang", "gram", "inner")
              .select("lang", "gram", (F.col("n") / F.col("total")).alias("share"), "total")
