@@ -17,8 +17,11 @@ def score_listings(scored: DataFrame, reviewed_battery: str | None = None) -> Da
 
 
 def best_first(scored: DataFrame) -> DataFrame:
-    """Descending composite score, NULL as 0; ties by (query, id)."""
-    return scored.orderBy(F.coalesce(F.col("composite_score"), F.lit(0.0)).desc(), "query", "id")
+    """Descending composite score, NULL as 0; ties by (query, id).
+
+    The rows are dealt by id first: a sort samples its input before it sorts,
+    and would score every text twice."""
+    return scored.repartition("id").orderBy(F.coalesce(F.col("composite_score"), F.lit(0.0)).desc(), "query", "id")
 
 
 def keyword_hits(listings: DataFrame) -> DataFrame:
