@@ -9,8 +9,9 @@ stay; a card number keeps a right check digit, a date stays a date.  E-mail
 names and access-key ids are permuted letter by letter within their classes
 (lower, upper, digit) by a network on the two halves of the string.
 
-Formats: e-mail names, North American and other ``+`` phone numbers, card
-numbers (13-19 digits, Luhn), IPv4 addresses, social security numbers, dates
+Formats: e-mail names, North American and other ``+`` phone numbers (area
+codes and exchanges that start with 0 or 1 too; they are permuted among
+themselves, so that a valid number stays valid), card numbers (13-19 digits, Luhn), IPv4 addresses, social security numbers, dates
 1800-2199 (``2020-01-31``, ``31.01.2020``, ``31/01/2020``; ``01/31/2020`` with
 days 13-28 where it can't be read day first), ``AKIA`` key ids.  What fails its
 validation stays as it is.
@@ -32,7 +33,7 @@ _YEAR, _MONTH, _DAY = r"(?:1[89]|2[01])[0-9]{2}", r"(?:0[1-9]|1[0-2])", r"(?:0[1
 KINDS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "key": r"AKIA[0-9A-Z]{16}",
-    "phone": r"(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}",
+    "phone": r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}",
     "ip": rf"{_OCTET}(?:\.{_OCTET}){{3}}(?!\.[0-9])",
     "ssn": r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}",
     "iso": rf"{_YEAR}-{_MONTH}-{_DAY}",
@@ -65,6 +66,9 @@ def _kind() -> str:
             cases.append(f"WHEN m RLIKE {_sql('^' + pattern + '$')} AND {_DATE['slash']} IS NOT NULL THEN 'slash'")
             cases.append(f"WHEN m RLIKE {_sql('^' + pattern + '$')} AND CAST(substr(m, 1, 2) AS INT) BETWEEN 1 AND 12 AND CAST(substr(m, 4, 2) AS INT) BETWEEN 13 AND 28 THEN 'us'")
             continue
+        if kind == "phone":
+            cases.append(f"WHEN m RLIKE {_sql('^(?:' + pattern + ')$')} THEN IF(substr({_DIGITS}, -10, 1) >= '2' AND substr({_DIGITS}, -7, 1) >= '2', 'phone', 'phone01')")
+            continue
         valid = {"card": _LUHN, **{k: f"{v} IS NOT NULL" for k, v in _DATE.items()}}.get(kind, "true")
         cases.append(f"WHEN m RLIKE {_sql('^(?:' + pattern + ')$')} AND {valid} THEN '{kind}'")
     return "CASE " + " ".join(cases) + " END"
@@ -81,7 +85,9 @@ def _number() -> str:
     body = "substr(x.d, {skip} + 1, length(x.d) - {skip} - {tail})"
     halves = lambda t: (f"coalesce(CAST(nullif(substr({t}, 1, length({t}) DIV 2), '') AS BIGINT), 0)", f"pow(10, length({t}) DIV 2)", f"CAST(substr({t}, length({t}) DIV 2 + 1) AS BIGINT)", f"pow(10, length({t}) - length({t}) DIV 2)")
     area, rest = "CAST(substr(x.m, 1, 3) AS INT)", "((CAST(substr(x.m, 5, 2) AS INT) - 1) * 9999 + CAST(substr(x.m, 8, 4) AS INT) - 1)"
+    odd = f"IF(substr({ten}, 1, 1) < '2', CAST({ten} AS BIGINT), 2000000000 + (CAST(substr({ten}, 1, 3) AS BIGINT) - 200) * 2000000 + CAST(substr({ten}, 4, 7) AS BIGINT))"
     cases = [
+        _pair("phone01", f"({odd}) DIV 60000", "60000", f"({odd}) % 60000", "60000"),
         _pair("phone", f"CAST(substr({ten}, 1, 3) AS INT) - 200", "800", f"CAST(substr({ten}, 4, 7) AS INT) - 2000000", "8000000"),
         _pair("ip", f"{octet(0)} * 256 + {octet(1)}", "65536", f"{octet(2)} * 256 + {octet(3)}", "65536"),
         _pair("ssn", f"{area} - 1 - IF({area} > 666, 1, 0)", "898", rest, "989901"),
@@ -122,7 +128,9 @@ def _string_rounds(key: str) -> str:
 
 def _written() -> str:
     """The pseudonym of ``x`` in the form of the match."""
+    odd = "(x.f.l * 60000 + x.f.r)"
     ends = {"phone": "concat(substr(x.d, 1, length(x.d) - 10), lpad(x.f.l + 200, 3, '0'), lpad(x.f.r + 2000000, 7, '0'))",
+            "phone01": f"concat(substr(x.d, 1, length(x.d) - 10), IF({odd} < 2000000000, lpad({odd}, 10, '0'), concat(({odd} - 2000000000) DIV 2000000 + 200, lpad({odd} % 2000000, 7, '0'))))",
             "ssn": "concat(lpad(x.f.l + 1 + IF(x.f.l >= 665, 1, 0), 3, '0'), lpad(x.f.r DIV 9999 + 1, 2, '0'), lpad(x.f.r % 9999 + 1, 4, '0'))",
             "card": "_card", "intl": "concat(substr(x.d, 1, 2), lpad(x.f.l, (length(x.d) - 2) DIV 2, '0'), lpad(x.f.r, (length(x.d) - 1) DIV 2, '0'))"}
     body = "concat(lpad(x.f.l, (length(x.d) - 1) DIV 2, '0'), lpad(x.f.r, length(x.d) DIV 2, '0'))"

@@ -98,3 +98,18 @@ def test_native_plan_and_empty_table(spark):
     plan = pii.pseudonymised(d, KEY)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Exchange"))
     assert pii.pseudonymised(d.limit(0), KEY).count() == 0
+
+
+def test_phones_of_any_area_code_and_exchange(spark):
+    texts = ["+1 (017) 555-7713", "+1 (132) 555-1352", "(212) 055-0100", "017-555-7713", "212.155.0100", "call +1 (017) 555-7713 now"]
+    r = apply(spark, texts)
+    for i, t in enumerate(texts):
+        assert r[i].n_pii == 1 and r[i].text != t and re.sub("[0-9]", "9", r[i].text) == re.sub("[0-9]", "9", t)
+        d = re.sub(r"\D", "", r[i].text)[-10:]
+        assert d[0] in "01" or d[3] in "01"
+    assert r[5].text == f"call {r[0].text} now" and re.sub(r"\D", "", r[0].text)[1:] == re.sub(r"\D", "", r[3].text)
+    numbers = [f"{a:03d}-{e:03d}-{n:04d}" for a in (0, 17, 199, 200, 212, 999) for e in (0, 101, 199, 200, 555, 999) for n in range(0, 10_000, 331)]
+    got = apply(spark, [" ".join(numbers)])[0].text.split()
+    assert len(set(got)) == len(numbers) and all(re.fullmatch(r"\d{3}-\d{3}-\d{4}", x) for x in got)
+    valid = lambda s: s[0] > "1" and s[4] > "1"
+    assert [valid(x) for x in got] == [valid(x) for x in numbers]
