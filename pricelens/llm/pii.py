@@ -10,10 +10,12 @@ names and access-key ids are permuted letter by letter within their classes
 (lower, upper, digit) by a network on the two halves of the string.
 
 Formats: e-mail names, North American and other ``+`` phone numbers (area
-codes and exchanges that start with 0 or 1 too; they are permuted among
-themselves, so that a valid number stays valid), card numbers (13-19 digits, Luhn), IPv4 addresses, social security numbers, dates
-1800-2199 (``2020-01-31``, ``31.01.2020``, ``31/01/2020``; ``01/31/2020`` with
-days 13-28 where it can't be read day first), ``AKIA`` key ids.  What fails its
+codes and exchanges that start with 0 or 1 too where ``+1``, parentheses or
+separators mark a number; they are permuted among themselves, so that a valid
+number stays valid; any 10 digits, or 11 from a 1 on, that make a valid number
+count without marks), card numbers (13-19 digits, Luhn), IPv4 addresses, social security numbers, dates
+1800-2199 (``2020-01-31``, ``31.01.2020``, ``31/01/2020``; ``01/31/2020``
+where it can't be read day first), ``AKIA`` key ids.  What fails its
 validation stays as it is.
 
 It is one projection: no shuffle, so hot sources and repeated rows do not
@@ -33,7 +35,7 @@ _YEAR, _MONTH, _DAY = r"(?:1[89]|2[01])[0-9]{2}", r"(?:0[1-9]|1[0-2])", r"(?:0[1
 KINDS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "key": r"AKIA[0-9A-Z]{16}",
-    "phone": r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}",
+    "phone": r"(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?:1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|1?[2-9][0-9]{2}[2-9][0-9]{6})",
     "ip": rf"{_OCTET}(?:\.{_OCTET}){{3}}(?!\.[0-9])",
     "ssn": r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}",
     "iso": rf"{_YEAR}-{_MONTH}-{_DAY}",
@@ -55,6 +57,7 @@ _LUHN = f"""(aggregate(sequence(1, length({_DIGITS})), 0, (s, i) -> s + CASE
     WHEN CAST(substr({_DIGITS}, -i, 1) AS INT) > 4 THEN 2 * CAST(substr({_DIGITS}, -i, 1) AS INT) - 9
     ELSE 2 * CAST(substr({_DIGITS}, -i, 1) AS INT) END) % 10 = 0)"""
 _DATE = {"iso": "try_to_timestamp(m, 'yyyy-MM-dd')", "dot": "try_to_timestamp(m, 'dd.MM.yyyy')", "slash": "try_to_timestamp(m, 'dd/MM/yyyy')"}
+_US = "try_to_timestamp(m, 'MM/dd/yyyy')"
 _FIRST = "DATE'1800-01-01'"
 
 
@@ -64,7 +67,7 @@ def _kind() -> str:
     for kind, pattern in KINDS.items():
         if kind == "slash":
             cases.append(f"WHEN m RLIKE {_sql('^' + pattern + '$')} AND {_DATE['slash']} IS NOT NULL THEN 'slash'")
-            cases.append(f"WHEN m RLIKE {_sql('^' + pattern + '$')} AND CAST(substr(m, 1, 2) AS INT) BETWEEN 1 AND 12 AND CAST(substr(m, 4, 2) AS INT) BETWEEN 13 AND 28 THEN 'us'")
+            cases.append(f"WHEN m RLIKE {_sql('^' + pattern + '$')} AND {_US} IS NOT NULL THEN 'us'")
             continue
         if kind == "phone":
             cases.append(f"WHEN m RLIKE {_sql('^(?:' + pattern + ')$')} THEN IF(substr({_DIGITS}, -10, 1) >= '2' AND substr({_DIGITS}, -7, 1) >= '2', 'phone', 'phone01')")
@@ -93,8 +96,10 @@ def _number() -> str:
         _pair("ssn", f"{area} - 1 - IF({area} > 666, 1, 0)", "898", rest, "989901"),
         _pair("card", *halves(body.format(skip=0, tail=1))),
         _pair("intl", *halves(body.format(skip=2, tail=0))),
-        _pair("us", "(CAST(substr(x.m, 1, 2) AS INT) - 1) * 16 + CAST(substr(x.m, 4, 2) AS INT) - 13", "192", "CAST(substr(x.m, 7, 4) AS INT) - 1800", "400"),
     ]
+    # the ordinal among the 88497 = 9 * 9833 dates with days from 13 on: each month has 12 fewer
+    us = f"(datediff(CAST({_US.replace('(m,', '(x.m,')} AS DATE), {_FIRST}) - 12 * ((CAST(substr(x.m, 7, 4) AS INT) - 1800) * 12 + CAST(substr(x.m, 1, 2) AS INT)))"
+    cases.append(_pair("us", f"{us} % 9", "9", f"{us} DIV 9", "9833"))
     for kind, parsed in _DATE.items():
         day = f"datediff(CAST({parsed.replace('(m,', '(x.m,')} AS DATE), {_FIRST})"
         cases.append(_pair(kind, f"{day} % 189", "189", f"{day} DIV 189", "773"))
@@ -146,7 +151,11 @@ def _written() -> str:
     day = f"date_add({_FIRST}, CAST(x.f.r * 189 + x.f.l AS INT))"
     cases = [f"WHEN '{k}' THEN {filled(v)}" for k, v in ends.items()]
     cases += [f"WHEN '{k}' THEN date_format({day}, '{form}')" for k, form in (("iso", "yyyy-MM-dd"), ("dot", "dd.MM.yyyy"), ("slash", "dd/MM/yyyy"))]
-    cases += ["WHEN 'us' THEN concat(lpad(x.f.l DIV 16 + 1, 2, '0'), '/', lpad(x.f.l % 16 + 13, 2, '0'), '/', x.f.r + 1800)",
+    us = "CAST(x.f.r * 9 + x.f.l AS INT)"
+    before = f"(datediff(add_months({_FIRST}, n), {_FIRST}) - 12 * n)"  # such dates before month n
+    near = f"CAST(CAST({us} AS BIGINT) * 4800 DIV 88497 AS INT)"
+    month = f"array_max(filter(sequence(greatest({near} - 1, 0), {near} + 1), n -> {before} <= {us}))"
+    cases += [f"WHEN 'us' THEN date_format(date_add({_FIRST}, {us} + 12 * {month} + 12), 'MM/dd/yyyy')",
               "WHEN 'ip' THEN concat_ws('.', x.f.l DIV 256, x.f.l % 256, x.f.r DIV 256, x.f.r % 256)",
               "WHEN 'email' THEN concat(x.s, substr(x.m, instr(x.m, '@')))", "WHEN 'key' THEN concat('AKIA', x.s)"]
     return "CASE x.k " + " ".join(cases) + " ELSE x.m END"

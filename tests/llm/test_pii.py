@@ -113,3 +113,28 @@ def test_phones_of_any_area_code_and_exchange(spark):
     assert len(set(got)) == len(numbers) and all(re.fullmatch(r"\d{3}-\d{3}-\d{4}", x) for x in got)
     valid = lambda s: s[0] > "1" and s[4] > "1"
     assert [valid(x) for x in got] == [valid(x) for x in numbers]
+
+
+def test_dates_in_us_order_with_any_day(spark):
+    first = datetime.date(1800, 1, 1)
+    dates = [d for d in (first + datetime.timedelta(i) for i in range(146_097)) if d.day >= 13]
+    rows = spark.createDataFrame([(i, d.strftime("%m/%d/") + str(d.year)) for i, d in enumerate(dates)], "doc_id long, text string")
+    got = pii.pseudonymised(rows, KEY).collect()
+    out = [datetime.datetime.strptime(r.text, "%m/%d/%Y").date() for r in got]
+    assert set(out) == set(dates) and all(r.n_pii == 1 for r in got)  # one to one, onto the same dates
+    want = lambda i: network(KEY, "us", i % 9, 9, i // 9, 9833)
+    for r, d in list(zip(got, out, strict=True))[::997]:
+        l, h = want(r.doc_id)  # noqa: E741
+        assert d == dates[h * 9 + l]
+    bad = ["02/30/2020", "02/29/2019", "13/31/2020", "04/31/2020", "00/13/2020"]
+    assert [r.text for r in sorted(apply(spark, bad).values(), key=lambda r: r.doc_id)] == bad
+
+
+def test_phones_without_separators(spark):
+    texts = ["+12125550100", "2125550100", "12125550100", "+1(212)5550100", "+1 0171550100", "+1 212-555-0100", "(212) 555-0100"]
+    r = apply(spark, texts)
+    for i, t in enumerate(texts):
+        assert r[i].n_pii == 1 and r[i].text != t and re.sub("[0-9]", "9", r[i].text) == re.sub("[0-9]", "9", t)
+    assert len({re.sub(r"\D", "", r[i].text)[-10:] for i in (0, 1, 2, 3, 5, 6)}) == 1
+    stay = ["1125550100", "2121550100", "1234567890", "212555010", "212555010099"]
+    assert [x.text for x in sorted(apply(spark, stay).values(), key=lambda x: x.doc_id)] == stay
