@@ -13,8 +13,9 @@ set: it is taken in blocks of bounded size, each sent to the tasks and applied
 in turn, so neither the driver nor a task holds more than a block at a time.
 
 Null or empty texts match nothing.  Items without letters or digits match
-nothing; items shorter than ``MIN_CHARS`` in normal form match only a text
-that equals them whole.  Equal items are all reported.  Whole texts are
+nothing; items shorter than ``MIN_CHARS`` in normal form match without errors
+and at whole words: anywhere in a text if they have ``MIN_WORDS`` words or
+more, else only a text that equals them whole.  Equal items are all reported.  Whole texts are
 searched.  Other columns pass through; a column ``matches`` is replaced.
 """
 
@@ -35,6 +36,7 @@ from .common import slices
 
 ERROR_RATE = 0.08
 MIN_CHARS = 40
+MIN_WORDS = 3
 #: Characters of items sent to the tasks at once.
 BLOCK_CHARS = 2_000_000
 _OTHER = re.compile(r"[\W_]+")
@@ -78,8 +80,9 @@ class Matcher:
         for i, text in items:
             if text:
                 ids[text].append(i)
-        self.whole = {t: v for t, v in ids.items() if len(t) < min_chars}
-        self.items = [(t, v, int(len(t) * error_rate)) for t, v in ids.items() if len(t) >= min_chars]
+        self.whole = {t: v for t, v in ids.items() if len(t) < min_chars and t.count(" ") + 1 < MIN_WORDS}
+        self.items = [(t, v, int(len(t) * error_rate) if len(t) >= min_chars else 0) for t, v in ids.items() if t not in self.whole]
+        self.min_chars = min_chars
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, (t, _, k) in enumerate(self.items):
             for j in range(k + 1):
@@ -102,6 +105,10 @@ class Matcher:
                 starts[item].add(end + 1 - n - at)
         for item, diagonals in starts.items():
             t, ids, k = self.items[item]
+            if len(t) < self.min_chars:
+                at = min((d for d in diagonals if (not d or text[d - 1] == " ") and text[d + len(t):d + len(t) + 1] in ("", " ")), default=None)
+                out += [(i, 0, at, at + len(t)) for i in ids if at is not None]
+                continue
             best = None
             for lo, hi in _windows(sorted(diagonals), k, len(t), len(text)):
                 errors, end = best_match(t, text[lo:hi])

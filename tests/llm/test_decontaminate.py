@@ -77,3 +77,17 @@ def test_span_of_the_match(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
     (m,) = D.Matcher([(1, item)]).find(f"one two {item} three")
     assert m == (1, 0, 8, 8 + len(item))
+
+
+def test_short_items_inside_longer_texts(spark):
+    items = [(1, "What is the capital of Peru?"), (2, "what is the CAPITAL of peru"), (3, "two words"), (4, "is the capital"), (5, "once more with feeling, he said: once more")]
+    m = D.Matcher([(i, D.normal(t)) for i, t in items])
+    assert m.find("He asked: What is the capital of Peru? Lima.") == [(1, 0, 9, 36), (2, 0, 9, 36), (4, 0, 14, 28)]
+    assert m.find("what is the capital of peru") == [(1, 0, 0, 27), (2, 0, 0, 27), (4, 0, 5, 19)]
+    assert m.find("somewhat is the capital of Perugia, this the capitals") == [(4, 0, 9, 23)]
+    assert m.find("this the capitals; is the capitals; is the capital") == [(4, 0, 34, 48)]
+    assert m.find("two words here") == [] and m.find("Two words!") == [(3, 0, 0, 9)]
+    bench = spark.createDataFrame([(1, items[0][1])], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " * 50_000 + items[0][1] + " y"), (2, "What is the capital of Perugia?")], "doc_id long, text string")
+    assert [(r.doc_id, r.errors) for r in D.leaks(docs, bench).collect()] == [(1, 0)]
+    assert [r.doc_id for r in D.decontaminated(docs, bench).collect()] == [2]
