@@ -17,9 +17,19 @@ from pricelens.llm.queries import PII_KEY, TOKENIZER
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language; ``und`` (null or no letter) goes."""
-    model = language.train(docs.where(~language.held_out()))
-    return language.predict(docs, model).where(F.col("lang_pred") != "und").select(*docs.columns)
+    """Documents in a learned language, with the predicted one in ``lang``.
+
+    Null texts, texts without a letter and texts that no learned language
+    explains go.  A text without any known n-gram, too short to be judged,
+    keeps its ``lang``.  If nothing is labelled, nothing is learned: all
+    texts with a letter stay as they are.
+    """
+    known = docs.where(~language.held_out())
+    model = language.train(known)
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language.predict(docs, model, floor=language.calibrated(known, model)).where(F.col("lang_pred") != "und")
+    return found.withColumn("lang", F.when(F.col("score") > 0, F.col("lang_pred")).otherwise(F.coalesce("lang", "lang_pred"))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,9 @@ language's false-positive rate, and the largest decides.
 Null text, or text without a letter, is ``und`` with score 0.  Texts too
 short for an n-gram, and ties, go to the language with more training text,
 then to the smaller name.  Without any labelled row every text is ``und``.
+With a floor, as ``calibrated`` on labelled rows, a text of ``LEAST_GRAMS``
+n-grams or more that no learned language explains (score below it) is ``und``
+too; shorter texts are too little evidence for that.
 Whole texts count, a bounded slice at a time; repeated rows train and are
 answered once each; extra columns pass through.
 """
@@ -38,6 +41,10 @@ MIN_SHARE = 1e-5
 DOMINANCE = 0.02
 HASHES = 3
 ROWS_PER_GRAM = 8
+#: N-grams from which a text can be found to be in no learned language.
+LEAST_GRAMS = 12
+#: The floor is this part of the score that all but ``FLOOR_TAIL`` of the labelled rows reach.
+FLOOR_PART, FLOOR_TAIL = 0.5, 0.001
 _FLUSH = 2_000_000
 #: Text bytes handled at once; each byte starts an n-gram of several words of memory.
 SLICE_BYTES = 1 << 20
@@ -176,11 +183,24 @@ def _popcounts(f: LanguageFilter, col: pa.Array) -> tuple[np.ndarray, np.ndarray
     return np.diff(first), hits
 
 
-def predict(docs: DataFrame, model: LanguageFilter, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (share of n-grams explained, 0 to 1)."""
+def predict(docs: DataFrame, model: LanguageFilter, text: str = "text", floor: float = 0.0) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` (share of n-grams explained, 0 to 1); under ``floor`` it is ``und``."""
+    foreign = (F.col("_grams") >= LEAST_GRAMS) & (F.col("score") < floor)
+    return _scored(docs, model, text).withColumn("lang_pred", F.when(foreign, F.lit("und")).otherwise(F.col("lang_pred"))).drop("_grams")
+
+
+def calibrated(docs: DataFrame, model: LanguageFilter, text: str = "text", lang: str = "lang") -> float:
+    """The floor of ``predict`` by the labelled rows of ``docs``: half the score that all but 0.1 % of them reach."""
+    rows = _scored(docs.where(F.col(lang).isNotNull()).select(text, lang), model, text).where((F.col("_grams") >= LEAST_GRAMS) & (F.col(lang) == F.col("lang_pred")))
+    low = rows.agg(F.percentile_approx("score", FLOOR_TAIL)).collect()[0][0]
+    return FLOOR_PART * (low or 0.0)
+
+
+def _scored(docs: DataFrame, model: LanguageFilter, text: str) -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` and ``_grams``, the number of n-grams."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "_letters")]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "_letters", "_grams")]
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("_grams", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = held.value
@@ -195,7 +215,7 @@ def predict(docs: DataFrame, model: LanguageFilter, text: str = "text") -> DataF
                 names = np.where(letters, np.array(f.langs, dtype=object)[best], "und")
             else:
                 score, names = np.zeros(len(n)), np.full(len(n), "und", dtype=object)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(score), pa.array(n)], [*keep, "lang_pred", "score", "_grams"])
         release()
 
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))

@@ -1,7 +1,9 @@
 import os
+import zlib
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as C
@@ -51,3 +53,17 @@ def test_each_stage_against_brute_force(stages, spark):
 def test_run_gives_the_last_stage(spark, stages):
     got = C.run(spark, SF)
     assert sorted((r.doc_id, r.n_tokens) for r in got.collect()) == sorted((r.doc_id, r.n_tokens) for r in stages[-1][1].collect())
+
+
+def test_language_stage_goes_by_its_prediction(spark):
+    en = "the quick brown fox jumps over the lazy dog and runs through the forest with friends"
+    de = "der schnelle braune Fuchs springt über den faulen Hund und läuft durch den Wald mit Freunden"
+    aside = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 3 == 1]  # held out of the training
+    rows = [(i, en if i % 2 else de, "en" if i % 2 else "de") for i in range(60)]
+    rows += [(aside[0], de, "en"), (aside[1], "der Hund springt über den Wald", None), (aside[2], "Ο γρήγορος καστανός αλεπού πηδάει πάνω από το σκυλί", "en"),
+             (aside[3], "zxq kjw vvq pqz xkz qqj wvx bgk", None), (aside[4], "a", "de"), (aside[5], "123", "en"), (aside[6], None, "en")]
+    d = spark.createDataFrame([(*r, "s", len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.lang for r in C.language_id(spark, d, SF).collect()}
+    assert got == {**{i: "en" if i % 2 else "de" for i in range(60)}, aside[0]: "de", aside[1]: "de", aside[4]: "de"}
+    bare = d.withColumn("lang", F.lit(None).cast("string"))
+    assert {(r.doc_id, r.lang) for r in C.language_id(spark, bare, SF).collect()} == {(r[0], None) for r in rows if r[1] and any(c.isalpha() for c in r[1])}
