@@ -2,14 +2,17 @@
 
 A paragraph is a line of a text that has words; longer ones are judged in
 stretches of ``STRETCH`` words.  Sparse features are hashed word 1- to
-3-grams; a multinomial logistic regression over them names a licence family,
+3-grams, each once; a multinomial logistic regression over them names a licence family,
 ``unknown`` (licence wording of no known family) or ``none``.  It is fitted
 here on varied pieces of the templates below and on paragraphs of a bounded
 sample of documents (``SAMPLE_DOCS`` rows, the smallest hashes of ``doc_id``);
 its temperature and the least probability of a named family are calibrated on
 a part kept out of the fit.  A named family must also resemble one of its
-templates (shared 2-grams), else the paragraph is ``unknown``; a paragraph
-that resembles no template at all is ``none``.
+templates (shared 2-grams), else the paragraph is ``unknown``.  A paragraph is
+reported if ``none`` is less likely than a bound, 0.1 to 0.5, that all but
+``FALSE_ALARMS`` of the other paragraphs in the calibration part exceed, if the
+bound can be as low; likeness to a template is no condition.  One word, alone
+or repeated, is no wording: such a paragraph is ``none``.
 
 Prediction reads whole texts, slice by slice, without a shuffle.  Null and
 empty texts have no paragraphs.  Repeated rows are answered once each.  The
@@ -33,8 +36,10 @@ BITS = 16
 STRETCH = 64
 SAMPLE_DOCS = 400
 SEED = 7
-#: Share of 2-grams shared with a template of the family, and of any for ``unknown``.
-CONFIRM, SOME = 0.5, 0.2
+#: Share of 2-grams shared with a template of the family.
+CONFIRM = 0.5
+#: Share of paragraphs without licence wording that may be reported.
+FALSE_ALARMS = 0.001
 NONE, UNKNOWN = "none", "unknown"
 
 #: Usual notices of each family.
@@ -42,28 +47,39 @@ TEMPLATES = {
     "apache": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
         "SPDX-License-Identifier: Apache-2.0",
     ),
     "mit": (
         "Released under the MIT License.",
         "This project is licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
         "SPDX-License-Identifier: MIT",
     ),
     "bsd": (
         "Released under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
         "SPDX-License-Identifier: MPL-2.0",
     ),
     "cc": (
@@ -71,6 +87,7 @@ TEMPLATES = {
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Dedicated to the public domain under CC0 1.0 Universal.",
+        "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work.",
     ),
     UNKNOWN: (
         "All rights reserved. No part of this publication may be reproduced without written permission of the publisher.",
@@ -85,7 +102,7 @@ _LETTERS[48:58] = _LETTERS[65:91] = _LETTERS[97:123] = _LETTERS[128:] = True
 
 
 def _features(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed 1- to 3-grams (words x 3, -1 where they would leave the stretch), stretch starts, and each stretch's text and line."""
+    """Hashed 1- to 3-grams (words x 3, -1 where they would leave the stretch or occur in it before), stretch starts, and each stretch's text and line."""
     w = words_of(col, lower=True, word_bytes=_LETTERS)
     n = len(w.starts)
     empty = np.empty(0, np.int64)
@@ -109,6 +126,11 @@ def _features(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         same = stretch[:n - k] == stretch[k:] if k else slice(None)
         got = (mix(acc + np.uint64(k)) >> np.uint64(64 - BITS)).astype(np.int64)
         grams[:n - k, k][same] = got[same]
+    flat = grams.reshape(-1)
+    once = np.full_like(flat, -1)
+    _, at = np.unique(np.repeat(stretch, 3) << (BITS + 1) | flat + 1, return_index=True)
+    once[at] = flat[at]
+    grams = once.reshape(-1, 3)
     base = np.concatenate(([0], np.searchsorted(breaks, np.cumsum([0] + [len(x.as_buffer()) if x.is_valid else 0 for x in col])[1:])))
     return grams, starts, text[starts], line[starts] - base[text[starts]], w
 
@@ -120,13 +142,14 @@ def _bigrams(text: str) -> set[tuple[str, str]]:
 
 @dataclass
 class LicenseModel:
-    """Weights (features x classes), bias, temperature and the least probability of a family."""
+    """Weights (features x classes), bias, temperature, the least probability of a family and the bound on that of ``none``."""
 
     classes: list[str]
     weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
     least: float = 0.5
+    none_below: float = 0.5
 
     def logits(self, grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
         used = grams >= 0
@@ -193,6 +216,8 @@ def fit(rows: list[tuple[str, str]], steps: int = 300, rate: float = 2.0, decay:
     p = m.probabilities(grams, starts)
     right = p[np.arange(len(y)), y][(p.argmax(axis=1) == y) & (y > 0)]
     m.least = float(np.clip(np.quantile(right, 0.01), 0.3, 0.9)) if len(right) else 0.5
+    others = p[y == 0, 0]
+    m.none_below = float(np.clip(np.quantile(others, FALSE_ALARMS), 0.1, 0.5)) if len(others) else 0.5
     return m
 
 
@@ -207,7 +232,7 @@ def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_do
     some = docs.where(F.col(text).isNotNull())
     share = min(1.0, 2 * sample_docs / max(1, some.count()))
     rows = some.select(draw.alias("draw"), F.substring(text, 1, 20_000).alias("t")).where(F.col("draw") < int(share * 2**32)).orderBy("draw", "t").limit(sample_docs).collect()
-    trigger = ("licen", "copyright", "rights reserved", "public domain", "permission", "redistribut", "proprietary", "spdx", "creative commons")
+    trigger = ("licen", "copyright", "rights reserved", "public domain", "permission", "redistribut", "proprietary", "spdx", "creative commons", "warrant")
     lines = [x for r in rows for x in r["t"].split("\n") if x.split() and not any(w in x.lower() for w in trigger)]
     return fit(training_rows(list(dict.fromkeys(" ".join(x.split()[:STRETCH]) for x in lines))[:4 * sample_docs]))
 
@@ -227,21 +252,21 @@ def scan(docs: DataFrame, model: LicenseModel, text: str = "text", keep: tuple[s
             if not len(starts):
                 continue
             p = m.probabilities(grams, starts)
-            hit = np.flatnonzero(p[:, 0] < 0.5)
+            hit = np.flatnonzero(p[:, 0] < m.none_below)
             ends = np.append(starts[1:], len(w.starts)) - 1
             firsts = w.firsts()
             rows = []
             for i in hit.tolist():
                 passage = w.data[w.starts[starts[i]]:w.ends[ends[i]]].tobytes().decode()
                 own = _bigrams(passage)
+                if all(a == b for a, b in own):
+                    continue
                 best = 1 + int(p[i, 1:].argmax())
                 family = m.classes[best]
                 alike = {f: max(len(own & t) / max(1, min(len(own), len(t))) for t in ts) for f, ts in templates.items()}
                 like = alike[family]
                 if family == UNKNOWN or p[i, best] < m.least or like < CONFIRM:
                     family, like = UNKNOWN, max(alike.values())
-                    if like < SOME:
-                        continue
                 rows.append((int(at[i]), int(line[i]), int(starts[i] - firsts[at[i]]), family, float(p[i, best]), like, passage))
             if rows:
                 src, *cols = zip(*rows, strict=True)

@@ -55,3 +55,11 @@ def test_planted_lines_of_the_corpus(spark):
     for word, family in (("Apache License", "apache"), ("MIT License", "mit"), ("CC BY-NC", "cc"), ("GNU General", "gpl")):
         ids = [r.doc_id for r in d.where(F.col("text").contains(word)).collect()]
         assert ids and all((i, family) in got for i in ids)
+
+
+def test_wording_far_from_the_templates_is_reported(model, spark):
+    rows = ['THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED', "THIS SOFTWARE IS PROVIDED BY THE AUTHOR AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED",
+            "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide copyright license to reproduce the Work", "mit mit mit mit mit mit", "Mit", "w1 w2 w3 w4 w5"]
+    got = {r.doc_id: r for r in L.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), model).collect()}
+    assert {i: r.family for i, r in got.items()} == {0: "mit", 1: "bsd", 2: "unknown"}
+    assert got[2].similarity < 0.2 and 0 < got[2].probability <= 1
