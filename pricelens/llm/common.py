@@ -30,10 +30,14 @@ _CHUNK = 1 << 20
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (local tests) a scratch folder is made and set.
+    Only where it is unset and the master is local (tests) a scratch folder is
+    made and set; on a cluster each machine would write its own, so it must be set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -51,6 +55,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, *taken: list[str]) -> str:
+    """A helper column's name that none of the columns in ``taken`` has."""
+    have = {c.lower() for cols in taken for c in cols}
+    while name.lower() in have:
+        name = f"{name}_"
+    return name
+
+
 def release() -> None:
     """Give memory that a task has freed back to the system: workers live on."""
     pa.default_memory_pool().release_unused()

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import doc_shingles, release, slices, staged, words_of
+from .common import doc_shingles, fresh, release, slices, staged, words_of
 from .graph import components
 
 BLOCK_BYTES = 8 << 20
@@ -57,6 +57,9 @@ BITS = 48
 ROUTES = 8
 #: Members of a list, or classes compared with one, that a task takes together.
 LIST_PART, PAIR_PART = 20_000, 256
+#: Bytes of keep flags (a bit a row) that one scan gets.
+FLAG_BYTES = 32 << 20
+_BIT = "shiftrightunsigned(element_at(`{words}`, CAST(`{place}` DIV 64 AS INT) + 1), CAST(`{place}` % 64 AS INT)) & 1L = 1L"
 _SETS = "doc_id long, text_key long, n_shingles long, sig long, tokens binary, prefix binary, alone long, central long"
 
 
@@ -352,14 +355,46 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return sets.where("tokens IS NOT NULL").select("doc_id", "n_shingles", "sig").join(by_sig, "sig").select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _placed(docs: DataFrame, file: str, place: str) -> DataFrame:
+    """``docs`` with the file and the place in it of each row; written first unless it is a plain scan of files."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation" or "_metadata" not in [x.name() for x in (plan.metadataOutput().apply(i) for i in range(plan.metadataOutput().size()))]:
+        docs = staged(docs, "documents")
+    return docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", flag_bytes: int = FLAG_BYTES) -> DataFrame:
     """``docs`` with one document of each component: that of the least ``doc_id`` (null last).
 
-    Rows that repeat an id and its text count as one document.
+    Rows that repeat an id and its text count as one document; of those that
+    differ in other columns the one with the least hash of all columns stays.
+    The rows are chosen on ids and hashes and told by file and place in it.
+    The scan drops the others by a bit a row, so no text is shuffled.  The bits
+    are broadcast, ``flag_bytes`` at most: with more, files are taken in turns.
     """
+    file, place = fresh("file", docs.columns), fresh("place", docs.columns)
+    rows = _placed(docs, file, place)
+    docs = rows.drop(file, place)
     sets, named = _grouped(docs, doc_id, text)
     stays = named.groupBy("comp").agg(F.min("stays").alias("s")).select("s.doc_id", "s.text_key")
-    keep = staged(stays.unionByName(sets.where("tokens IS NULL").select("doc_id", "text_key")).distinct(), "kept-rows")
-    keyed = docs.withColumns({"_id": F.col(doc_id).cast("long"), "_key": F.xxhash64(text)})
-    same = keyed["_id"].eqNullSafe(keep["doc_id"]) & (keyed["_key"] == keep["text_key"])
-    return keyed.join(keep, same, "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns)
+    keep = staged(stays.unionByName(sets.where("tokens IS NULL").select("doc_id", "text_key")).distinct(), "kept")
+    narrow = staged(rows.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("key"), F.xxhash64(*docs.columns).alias("tie"),
+                                F.col(file).alias("file"), F.col(place).alias("place")), "places")
+    same = narrow["id"].eqNullSafe(keep["doc_id"]) & (narrow["key"] == keep["text_key"])
+    chosen = narrow.join(keep, same, "left_semi").groupBy("id", "key").agg(F.min(F.struct("tie", "file", "place")).alias("row")).select("row.file", "row.place", F.lit(1).cast("long").alias("bit"))
+    bits = (narrow.select("file", "place", F.lit(0).cast("long").alias("bit")).unionByName(chosen)
+            .groupBy("file", F.expr("place DIV 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(bit, CAST(place % 64 AS INT))")).alias("bits")))
+    flags = staged(bits.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("words")), "flags")
+    total = flags.agg(F.sum(F.size("words"))).first()[0] or 0
+    turns = max(1, -(-8 * total // flag_bytes))
+    turn = lambda c: F.pmod(F.xxhash64(c), F.lit(turns))
+    out = None
+    for i in range(turns):
+        part, known = (rows, flags) if turns == 1 else (rows.where(turn(file) == i), flags.where(turn("file") == i))
+        known = known.select(F.col("file").alias(fresh("flag_file", rows.columns)), F.col("words").alias(fresh("words", rows.columns)))
+        kept = part.join(F.broadcast(known), part[file] == known[known.columns[0]])
+        kept = kept.where(F.expr(_BIT.format(words=known.columns[1], place=place))).select(*[part[c] for c in docs.columns])
+        out = kept if out is None else out.unionByName(kept)
+    return out

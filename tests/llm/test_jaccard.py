@@ -81,5 +81,22 @@ def test_one_of_each(spark):
     assert kept.columns == d.columns and sorted((r.doc_id, r.text) for r in kept.where("text IS NOT NULL").collect()) == [(3, base + " end"), (7, rows[3][1])]
 
 
+def test_one_of_each_keeps_clashing_columns_and_picks_among_ties(spark, tmp_path):
+    base = " ".join(f"w{i}" for i in range(50))
+    rows = [(2, base, "A", 10 * i, f"l{i % 3}", "f", "p") for i in range(200)] + [(i, base + f" x{i}", "B", i, "e", "f", "p") for i in range(3, 90)] + [(400 + i, f"text {i}", "C", i, "d", "g", "q") for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _id string, _key long, lang string, file string, place string").repartition(5)
+    d.write.parquet(str(tmp_path / "d"))
+    stored = spark.read.parquet(str(tmp_path / "d"))
+    want = [r for r in rows if r[2] == "C"]
+    for kept in (J.one_of_each(stored, flag_bytes=8), J.one_of_each(d)):
+        got = [tuple(r) for r in kept.collect()]
+        assert sorted(r for r in got if r[2] == "C") == sorted(want)
+        (one,) = [r for r in got if r[2] != "C"]
+        assert one in rows and one[0] == 2
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
 def test_empty_table(spark):
-    assert J.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert J.near_duplicates(empty).count() == 0 and J.one_of_each(empty).count() == 0
