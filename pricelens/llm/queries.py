@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, language, licenses, pii, preference, quality, substring, warc
+from . import bpe, decontaminate, jaccard, language, licenses, pii, preference, quality, shards, substring, warc
 
 #: Secret of the pseudonyms; a deployment sets its own.
 PII_KEY = os.environ.get("PRICELENS_PII_KEY", "pricelens")
@@ -17,6 +17,10 @@ PII_KEY = os.environ.get("PRICELENS_PII_KEY", "pricelens")
 TOKENIZER = os.environ.get("PRICELENS_BPE") or public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Shards of the registered sharding.
+SHARDS = 40
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
@@ -70,6 +74,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shards.shard_rows(_table(spark, sf_dir, "documents", "doc_id", "text"), [1.0] * SHARDS, [1.0] * (SHARDS + 1))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -81,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_preference": op8_preference,
     "op9_bpe": op9_bpe,
     "op10_language_id": op10_language_id,
+    "op13_sharding": op13_sharding,
 }
 
 _STOPS = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS)))
@@ -187,4 +197,23 @@ SELECT conv_id, count(*) FILTER (common) AS n_common,
   coalesce(string_agg((re - length(rx) + length(role) + 5)::BIGINT || '-' || (re - 1)::BIGINT, ',' ORDER BY turn, role, r) FILTER (NOT common AND role = 'assistant'), '') AS rejected_mask,
   count(*) FILTER (NOT common AND role = 'assistant') > 0 AS usable
 FROM o GROUP BY conv_id""",
+    "op13_sharding": f"""
+WITH crc_table AS (  -- each byte's remainder, eight steps of the polynomial
+  SELECT list(list_reduce(list_prepend(b, range(8)), lambda a, i: xor(a >> 1, (a & 1) * 3988292384)) ORDER BY b) AS tab FROM (SELECT unnest(range(256)) AS b)
+), d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + {shards.ROW_BYTES} AS size,
+         list_transform(string_split(rtrim(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\\1 ', 'g')), ' '), lambda x: CASE WHEN x = '' THEN NULL ELSE ('0x' || x)::BIGINT END) AS bytes
+  FROM documents
+), c AS (
+  SELECT doc_id, size, CASE WHEN size = {shards.ROW_BYTES} THEN 0 ELSE
+    xor(list_reduce(list_prepend(4294967295, bytes), lambda a, b: xor(a >> 8, tab[xor(a & 255, b) + 1])), 4294967295) END AS text_crc32
+  FROM d, crc_table
+), k AS (
+  SELECT *, list_transform(range({SHARDS + 1}), lambda j: {{'cost': -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || j), 1, {shards.DIGITS}))::BIGINT + 0.5) / {16 ** shards.DIGITS}::DOUBLE), 'shard': j}}) AS costs FROM c
+), a AS (
+  SELECT doc_id, size, text_crc32, list_min(costs[1:{SHARDS}]).shard::INT AS shard, list_min(costs).shard::INT AS grown_shard FROM k
+)
+SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard
+FROM a""",
 }
