@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, language, licenses, pii, preference, quality, shards, substring, warc
+from . import bpe, decontaminate, divergence, jaccard, language, licenses, negatives, pii, preference, quality, shards, substring, warc
 
 #: Secret of the pseudonyms; a deployment sets its own.
 PII_KEY = os.environ.get("PRICELENS_PII_KEY", "pricelens")
@@ -74,6 +74,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    rows = rows.withColumn("label", F.expr("CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END"))
+    return negatives.hard_negatives(negatives.quantised(rows), F.col("vec_id") % 100 == 0)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shards.shard_rows(_table(spark, sf_dir, "documents", "doc_id", "text"), [1.0] * SHARDS, [1.0] * (SHARDS + 1))
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -90,6 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_preference": op8_preference,
     "op9_bpe": op9_bpe,
     "op10_language_id": op10_language_id,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_source_divergence": op12_source_divergence,
     "op13_sharding": op13_sharding,
 }
 
@@ -197,6 +209,47 @@ SELECT conv_id, count(*) FILTER (common) AS n_common,
   coalesce(string_agg((re - length(rx) + length(role) + 5)::BIGINT || '-' || (re - 1)::BIGINT, ',' ORDER BY turn, role, r) FILTER (NOT common AND role = 'assistant'), '') AS rejected_mask,
   count(*) FILTER (NOT common AND role = 'assistant') > 0 AS usable
 FROM o GROUP BY conv_id""",
+    "op11_hard_negatives": """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM r a JOIN r b ON b.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)::INT AS rank,
+       n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+QUALIFY rank <= 5""",
+    "op12_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+), t AS MATERIALIZED (
+  SELECT lang, source, term, rid, count(*) AS n FROM (SELECT lang, source, rid, unnest(ws) AS term FROM d) GROUP BY ALL
+), k AS MATERIALIZED (
+  SELECT lang, term, sum(n)::BIGINT AS total FROM t GROUP BY lang, term HAVING count(*) >= 3
+), g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+l AS (SELECT lang, count(*) AS v, sum(total) AS n_lang FROM k GROUP BY lang),
+c AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, k.total, coalesce(any_value(x.n), 0) AS n
+  FROM g JOIN k USING (lang) LEFT JOIN (SELECT lang, source, term, sum(n)::BIGINT AS n FROM t GROUP BY ALL) x USING (lang, source, term) GROUP BY ALL
+), s AS MATERIALIZED (
+  SELECT c.*, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + v) AS p,
+         1 + (1000000000::HUGEINT * (total + 1)) // (n_lang + v) AS q
+  FROM c JOIN l USING (lang)
+), r AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // q AS value FROM s WHERE n > 0 AND p > q
+  UNION ALL
+  SELECT a.lang, a.source, 'pair', b.source, sum(((a.p - b.p) * (a.p - b.p)) // b.p) FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  UNION ALL
+  SELECT a.lang, a.source, 'pair', b.source, 0 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source WHERE a.lang NOT IN (SELECT lang FROM l)
+)
+SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 200""",
     "op13_sharding": f"""
 WITH crc_table AS (  -- each byte's remainder, eight steps of the polynomial
   SELECT list(list_reduce(list_prepend(b, range(8)), lambda a, i: xor(a >> 1, (a & 1) * 3988292384)) ORDER BY b) AS tab FROM (SELECT unnest(range(256)) AS b)
