@@ -13,14 +13,17 @@ ties on the turn number are ordered by role and text.  A null role is
 ``unknown``, a null text is empty.  Texts can't forge marks: ``<|`` becomes
 ``< |``.  A pair of which one side is missing is left out.  Conversations that
 are equal, or of which one ends where the other goes on, have an empty
-completion; ``usable`` tells that both completions train something.
+completion; ``usable`` tells that both completions train something.  An empty
+table gives no pairs.  Only the named columns are read, so others can't clash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 END = "<|end|>\n"
 _TURN = f"concat('<|', x.role, '|>\\n', x.text, '{END}')".replace("\n", "\\n")
 
@@ -62,19 +65,35 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, pair_id: str = "pair_id
         ((F.size("chosen_mask") > 0) & (F.size("rejected_mask") > 0)).alias("usable"))
 
 
-def neighbour_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chosen and rejected turns from plain conversations.
+def next_ids(ids: DataFrame, column: str) -> DataFrame:
+    """(``column``, next_id) of distinct ids: the next greater one, the least for the greatest.
+
+    Ids are sorted by range; only each part's first id passes to the part before.
+    """
+    ring = staged(ids.repartitionByRange(column).withColumn("part", F.spark_partition_id()), "ring")
+    firsts = ring.groupBy("part").agg(F.min(column).alias("first"))
+    every = Window.orderBy("part")
+    firsts = firsts.select("part", F.coalesce(F.lead("first").over(every), F.min("first").over(every)).alias("after"))
+    ring = ring.withColumn("inside", F.lead(column).over(Window.partitionBy("part").orderBy(column)))
+    return ring.join(firsts, "part").select(column, F.coalesce("inside", "after").alias("next_id"))
+
 
-    Chosen is the conversation up to its last assistant turn; rejected is the
-    same with that turn's text taken from the conversation whose id differs in
-    the lowest bit.  Conversations without an assistant turn, or whose
-    neighbour has none, give no pair.  Equal last turns numbers are resolved
-    to the largest text.
+def neighbour_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chosen and rejected turns from plain conversations (conv_id, turn, role, text).
+
+    Chosen is the conversation up to its last assistant turn.  Rejected has the
+    same turns, but from one assistant turn on, the one numbered ``conv_id``
+    modulo their number, each assistant turn's text is the last one of the next
+    conversation, by id, that has an assistant turn (the first follows the
+    last).  Every conversation with an assistant turn gives a pair; a single
+    one is paired with itself.  A null text is empty; of
+    several last texts with one turn number the greatest counts.
     """
-    turns = conversations.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    last = turns.where(F.col("role") == "assistant").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
-    other = last.select(F.expr("conv_id ^ 1").alias("conv_id"), F.col("last.text").alias("other"))
-    both = turns.join(last.join(other, "conv_id"), "conv_id").where(F.col("turn") <= F.col("last.turn"))
-    final = (F.col("turn") == F.col("last.turn")) & (F.col("role") == "assistant")
+    turns = conversations.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    own = staged(turns.where(F.col("role") == "assistant").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"), F.array_sort(F.collect_set("turn")).alias("at")), "last-turns")
+    own = own.withColumn("split", F.expr("element_at(at, CAST(pmod(conv_id, size(at)) AS INT) + 1)"))
+    other = next_ids(own.select("conv_id"), "conv_id").join(own.select(F.col("conv_id").alias("next_id"), F.col("last.text").alias("other")), "next_id")
+    both = turns.join(own.select("conv_id", "split", F.col("last.turn").alias("end")).join(other, "conv_id"), "conv_id").where(F.col("turn") <= F.col("end"))
+    swapped = (F.col("turn") >= F.col("split")) & (F.col("role") == "assistant")
     return (both.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text"),
-            both.select(F.col("conv_id").alias("pair_id"), "turn", "role", F.when(final, F.col("other")).otherwise(F.col("text")).alias("text")))
+            both.select(F.col("conv_id").alias("pair_id"), "turn", "role", F.when(swapped, F.col("other")).otherwise(F.col("text")).alias("text")))

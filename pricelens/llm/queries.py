@@ -185,12 +185,15 @@ WITH t AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
   WHERE conv_id IS NOT NULL AND turn IS NOT NULL
 ), l AS (
-  SELECT conv_id, turn AS last_turn, text AS last_text FROM t WHERE role = 'assistant'
-  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) = 1
+  SELECT conv_id, max(turn) AS last_turn, arg_max(text, struct_pack(a := turn, b := text)) AS last_text,
+         list_sort(list(DISTINCT turn))[1 + (conv_id % count(DISTINCT turn) + count(DISTINCT turn)) % count(DISTINCT turn)] AS swap_from
+  FROM t WHERE role = 'assistant' GROUP BY conv_id
+), x AS (
+  SELECT *, coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS next_id FROM l
 ), b AS (
   SELECT t.conv_id, turn, replace(role, '<|', '< |') AS role, replace(t.text, '<|', '< |') AS c,
-         CASE WHEN turn = l.last_turn AND role = 'assistant' THEN replace(o.last_text, '<|', '< |') ELSE replace(t.text, '<|', '< |') END AS r
-  FROM t JOIN l USING (conv_id) JOIN l o ON o.conv_id = xor(t.conv_id, 1) WHERE turn <= l.last_turn
+         CASE WHEN turn >= x.swap_from AND role = 'assistant' THEN replace(o.last_text, '<|', '< |') ELSE replace(t.text, '<|', '< |') END AS r
+  FROM t JOIN x USING (conv_id) JOIN l o ON o.conv_id = x.next_id WHERE turn <= x.last_turn
 ), n AS (
   SELECT *, min(CASE WHEN c <> r THEN turn END) OVER (PARTITION BY conv_id) AS split,
          '<|' || role || '|>' || chr(10) || c || '<|end|>' || chr(10) AS cx, '<|' || role || '|>' || chr(10) || r || '<|end|>' || chr(10) AS rx

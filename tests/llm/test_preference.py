@@ -66,10 +66,29 @@ def test_edges(spark):
 
 
 def test_neighbour_pairs(spark):
-    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a0"), (0, 2, "user", "more"), (1, 0, "user", "r"), (1, 1, "assistant", "a1"), (2, 0, "user", "alone"), (2, 1, "assistant", "a2"), (4, 0, "user", "q"), (5, 0, "user", "z"), (5, 1, "assistant", "a5")]
-    got = {r.pair_id: r for r in P.format_pairs(*P.neighbour_pairs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
-    assert set(got) == {0, 1}
-    assert got[0].chosen == "<|assistant|>\na0<|end|>\n" and got[0].rejected == "<|assistant|>\na1<|end|>\n" and got[0].n_common == 1
+    """Every conversation with an assistant turn has a pair; splits vary, completions have several turns."""
+    rng = random.Random(5)
+    rows = []
+    for c in [*range(0, 40, 3), 41, 42, -7, -8]:
+        rows += [(c, t, "assistant" if t % 2 else "user", rng.choice([f"t{c}.{t}", "same", None])) for t in range(rng.randint(1, 9))]
+    rows += [(100, 0, "user", "no answer"), (None, 1, "assistant", "x"), (7, None, "assistant", "x"), (0, 1, "assistant", "again"), rows[0]]
+    d = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, split string").repartition(4)
+    named = [(c, t, r, x or "") for c, t, r, x in rows if c is not None and t is not None]
+    last = {c: max((t, x) for d_, t, r, x in named if d_ == c and r == "assistant") for c in {c for c, _, r, _ in named if r == "assistant"}}
+    ring = sorted(last)
+    chosen, rejected = [], []
+    for c, t, r, x in named:
+        if c in last and t <= last[c][0]:
+            at = sorted({u for e, u, q, _ in named if e == c and q == "assistant"})
+            swap = r == "assistant" and t >= at[c % len(at)]
+            chosen.append((c, t, r, x))
+            rejected.append((c, t, r, last[ring[(ring.index(c) + 1) % len(ring)]][1] if swap else x))
+    got = {r.pair_id: (r.n_common, r.prompt, r.chosen, r.rejected, [tuple(x) for x in r.chosen_mask], [tuple(x) for x in r.rejected_mask], r.usable) for r in P.format_pairs(*P.neighbour_pairs(d)).collect()}
+    assert set(got) == set(last) and got == brute(chosen, rejected)
+    assert {g[0] for g in got.values()} > {1, 3} and max(len(g[4]) for g in got.values()) > 2
+    alone = d.where("conv_id = 42")
+    assert P.format_pairs(*P.neighbour_pairs(alone)).count() == (42 in last)
+    assert P.format_pairs(*P.neighbour_pairs(d.where("conv_id = 100"))).count() == 0
 
 
 def test_native_plan(spark):
