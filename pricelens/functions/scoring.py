@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pricelens.functions.numeric import clamp, py_round
-from pricelens.functions.text import battery_from_text, py_strip
+from pricelens.functions.text import battery_digits, battery_from_text, battery_number, py_strip
 from pricelens.params import NEGATIVE_KEYWORDS, POSITIVE_KEYWORDS
 
 
@@ -48,30 +48,34 @@ def keyword_hits(text: Column | str, words: Sequence[str]) -> Column:
     return hits
 
 
+def _price_part(ps: Column) -> Column:
+    return F.when(ps.isNull(), F.lit(20.0)).otherwise(clamp(F.lit(20.0) - ps * F.lit(0.5), 0.0, 40.0))
+
+
+def _battery_part(battery: Column) -> Column:
+    return F.when(battery.isNull(), F.lit(18.0)).otherwise(F.least(F.lit(30.0), battery.cast("double") * F.lit(0.30)))
+
+
+def _content(text: Column | str, positive: Sequence[str], negative: Sequence[str]) -> Column:
+    return (F.lit(15.0) + keyword_hits(text, positive).cast("double") * F.lit(2.5)
+            - keyword_hits(text, negative).cast("double") * F.lit(6.0))
+
+
+def _length_part(n: Column) -> Column:
+    return F.when(n > 200, 3.0).when(n > 80, 1.5).when(n == 0, -4.0).otherwise(0.0)
+
+
 def composite_score(title, description, price_score_col, reviewed_battery=None,
                     positive: Sequence[str] = POSITIVE_KEYWORDS,
-                    negative: Sequence[str] = NEGATIVE_KEYWORDS,
-                    text: Column | None = None, text_name: str | None = None) -> Column:
-    """0-100 deal score = price part (<=40) + battery part (<=30) + content (<=30).
-
-    ``text`` may pass a precomputed ``score_text`` column (see
-    ``with_composite_score``) so the lower-cased text is built once."""
-    text = score_text(title, description) if text is None else text
-    ps = _c(price_score_col)
-    price_part = F.when(ps.isNull(), F.lit(20.0)).otherwise(
-        clamp(F.lit(20.0) - ps * F.lit(0.5), 0.0, 40.0))
+                    negative: Sequence[str] = NEGATIVE_KEYWORDS) -> Column:
+    """0-100 deal score as one expression; over a table ``with_composite_score``
+    gives the same from staged columns, each computed once a row."""
+    text = score_text(title, description)
     battery = battery_from_text(text)
     if reviewed_battery is not None:
         battery = F.coalesce(_c(reviewed_battery), battery)
-    battery_part = F.when(battery.isNull(), F.lit(18.0)).otherwise(
-        F.least(F.lit(30.0), battery.cast("double") * F.lit(0.30)))
-    desc_len = F.length(py_strip(F.coalesce(_c(description), F.lit(""))))
-    length_adj = (F.when(desc_len > 200, 3.0).when(desc_len > 80, 1.5)
-                  .when(desc_len == 0, -4.0).otherwise(0.0))
-    kw_text = text_name if text_name is not None else text
-    content = (F.lit(15.0) + keyword_hits(kw_text, positive).cast("double") * F.lit(2.5)
-               - keyword_hits(kw_text, negative).cast("double") * F.lit(6.0) + length_adj)
-    total = price_part + battery_part + clamp(content, 0.0, 30.0)
+    content = _content(text, positive, negative) + _length_part(F.length(py_strip(F.coalesce(_c(description), F.lit("")))))
+    total = _price_part(_c(price_score_col)) + _battery_part(battery) + clamp(content, 0.0, 30.0)
     return py_round(F.least(F.lit(100.0), total), 1)
 
 
@@ -95,11 +99,19 @@ def condition_band(cs) -> Column:
 def with_composite_score(df, title="title", description="description", ps="price_score",
                          reviewed_battery=None, out: str = "composite_score",
                          positive: Sequence[str] = POSITIVE_KEYWORDS, negative: Sequence[str] = NEGATIVE_KEYWORDS):
-    """Add the composite score through a staged ``_score_text`` column: the
-    lower-cased text is computed once per row and every keyword test reads it."""
-    staged = df.select("*", score_text(_c(title), _c(description)).alias("_score_text"))
-    rb = _c(reviewed_battery) if reviewed_battery is not None else None
+    """Add the 0-100 deal score: price part (<=40) + battery part (<=30) + content (<=30).
+
+    Every part that later parts use more than once is a column of an earlier
+    projection (lower-cased text, battery match, keyword sum, total), so that
+    each is computed once a row."""
+    rb = _c(reviewed_battery) if reviewed_battery is not None else F.lit(None).cast("int")
+    desc = F.coalesce(_c(description), F.lit(""))
+    d = df.select("*", score_text(_c(title), _c(description)).alias("_score_text"), F.length(py_strip(desc)).alias("_desc_len"))
+    d = d.select("*", battery_digits("_score_text").alias("_digits"), _content("_score_text", positive, negative).alias("_content"))
+    d = d.select("*", battery_number("_digits").alias("_seen"))
+    d = d.select("*", F.coalesce(rb, F.when(F.col("_seen").between(50, 100), F.col("_seen"))).alias("_battery"))
+    d = d.select("*", (F.col("_content") + _length_part(F.col("_desc_len"))).alias("_text_part"))
+    total = _price_part(_c(ps)) + _battery_part(F.col("_battery")) + clamp(F.col("_text_part"), 0.0, 30.0)
+    d = d.select("*", F.least(F.lit(100.0), total).alias("_total"))
     keep = [c for c in df.columns if c != out]
-    return staged.select(*keep, composite_score(title, description, ps, rb, positive, negative,
-                                                text=F.col("_score_text"),
-                                                text_name="_score_text").alias(out))
+    return d.select(*keep, py_round(F.col("_total"), 1).alias(out))

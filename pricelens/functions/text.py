@@ -65,10 +65,21 @@ def upgrade_image_url(c) -> Column:
                             "$1" + IMAGE_SIZE_TARGET)
 
 
+def battery_digits(text) -> Column:
+    """Digits of the first ``NN%``/``NNN %`` in the text, NULL without a percent sign."""
+    t = _c(text)
+    return F.when(F.contains(t, F.lit("%")), F.regexp_extract(t, rf"({DIGIT}{{2,3}}){WS}*%", 1))
+
+
+def battery_number(digits) -> Column:
+    """The matched digits as a number, unchecked (NULL if none)."""
+    m = _c(digits)
+    return F.when(m.rlike(r"^[0-9]+$"), m.try_cast("int"))
+
+
 def battery_match(text) -> Column:
     """The first ``NN%``/``NNN %`` number in the text, unchecked (NULL if none)."""
-    m = F.regexp_extract(_c(text), rf"({DIGIT}{{2,3}}){WS}*%", 1)
-    return F.when(m.rlike(r"^[0-9]+$"), m.try_cast("int"))
+    return battery_number(battery_digits(text))
 
 
 def battery_from_text(text) -> Column:

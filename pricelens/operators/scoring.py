@@ -25,17 +25,15 @@ def best_first(scored: DataFrame) -> DataFrame:
 
 
 def keyword_hits(listings: DataFrame) -> DataFrame:
-    text = SC.score_text(F.col("title"), F.col("description"))
-    return listings.select(
-        "id", "query",
-        SC.keyword_hits(text, POSITIVE_KEYWORDS).alias("positive_hits"),
-        SC.keyword_hits(text, NEGATIVE_KEYWORDS).alias("negative_hits"))
+    text = listings.select("id", "query", SC.score_text(F.col("title"), F.col("description")).alias("_text"))
+    return text.select("id", "query", SC.keyword_hits("_text", POSITIVE_KEYWORDS).alias("positive_hits"),
+                       SC.keyword_hits("_text", NEGATIVE_KEYWORDS).alias("negative_hits"))
 
 
 def battery_pct(listings: DataFrame) -> DataFrame:
-    text = SC.score_text(F.col("title"), F.col("description"))
-    return listings.select("id", "query", TX.battery_match(text).alias("battery_match"),
-                           TX.battery_from_text(text).alias("battery_pct"))
+    text = listings.select("id", "query", SC.score_text(F.col("title"), F.col("description")).alias("_text"))
+    found = text.select("id", "query", TX.battery_digits("_text").alias("_digits")).select("id", "query", TX.battery_number("_digits").alias("battery_match"))
+    return found.withColumn("battery_pct", F.when(F.col("battery_match").between(50, 100), F.col("battery_match")))
 
 
 def deal_bands(df: DataFrame, condition_col: str | None = None) -> DataFrame:

@@ -380,10 +380,9 @@ def q_image_url_upgrade(spark, sf):
 
 @register("gallery_images")
 def q_gallery_images(spark, sf):
-    c = S.image_candidates(spark, sf)
-    g = PG.gallery(F.col("existing"), F.col("candidates"))
-    return c.select("page_id", F.size("candidates").alias("n_candidates"),
-                    F.size(g).alias("n_images"), F.array_join(g, " ").alias("images"))
+    c = S.image_candidates(spark, sf).select("page_id", F.size("candidates").alias("n_candidates"),
+                                             PG.gallery(F.col("existing"), F.col("candidates")).alias("gallery"))
+    return c.select("page_id", "n_candidates", F.size("gallery").alias("n_images"), F.array_join("gallery", " ").alias("images"))
 
 
 @register("enrich_details")

@@ -203,24 +203,23 @@ def gallery(existing: Column, candidates: Column, exact=ALLOWED_EXACT_HOSTS,
             suffixes=ALLOWED_HOST_SUFFIXES, max_images: int = 8, min_width: int = 100) -> Column:
     """Gallery images from detail-page candidates ``array<struct<src, width>>``.
 
-    A fold over the candidates in page order: skip blank sources and sources
-    already seen (the existing images and every URL taken so far), skip
-    thumbnails narrower than ``min_width`` (unknown width passes), upgrade the
-    size segment, keep it if allowed.  The first ``max_images`` replace the
-    existing list only when there is at least one."""
+    In page order: skip blank sources and sources already seen (the existing
+    images and every URL taken so far), skip thumbnails narrower than
+    ``min_width`` (unknown width passes), upgrade the size segment, keep it if
+    allowed.  The first ``max_images`` replace the existing list only when there
+    is at least one.  What doesn't depend on the images seen is judged first;
+    the fold stops at ``max_images``, so it is linear, and runs once."""
     from pricelens.functions.text import upgrade_image_url
-    zero = F.struct(F.coalesce(existing, F.array().cast("array<string>")).alias("seen"),
-                    F.array().cast("array<string>").alias("out"))
+    none = F.array().cast("array<string>")
+    wide = lambda c: ~F.coalesce((c["width"] > 0) & (c["width"] < min_width), F.lit(False))
+    named = F.filter(candidates, lambda c: (F.coalesce(c["src"], F.lit("")) != "") & wide(c))
+    upgraded = F.transform(named, lambda c: F.struct(c["src"].alias("src"), upgrade_image_url(c["src"]).alias("up")))
+    fit = F.filter(upgraded, lambda c: image_url_allowed(c["up"], exact, suffixes))
+    zero = F.struct(F.coalesce(existing, none).alias("seen"), none.alias("out"))
 
     def step(acc, c):
-        src, w = c["src"], c["width"]
-        up = upgrade_image_url(src)
-        take = (F.coalesce(src, F.lit("")) != "") & ~F.array_contains(acc["seen"], src) \
-            & ~F.coalesce((w > 0) & (w < min_width), F.lit(False)) \
-            & image_url_allowed(up, exact, suffixes)
-        return F.when(take, F.struct(F.array_append(acc["seen"], up).alias("seen"),
-                                     F.array_append(acc["out"], up).alias("out"))).otherwise(acc)
-
-    out = F.aggregate(candidates, zero, step)["out"]
-    return F.when(F.size(out) > 0, F.slice(out, 1, max_images)).otherwise(
-        F.coalesce(existing, F.array().cast("array<string>")))
+        take = (F.size(acc["out"]) < max_images) & ~F.array_contains(acc["seen"], c["src"])
+        return F.when(take, F.struct(F.array_append(acc["seen"], c["up"]).alias("seen"), F.array_append(acc["out"], c["up"]).alias("out"))).otherwise(acc)
+
+    out = F.aggregate(fit, zero, step)["out"]
+    return F.transform(F.array(out), lambda o: F.when(F.size(o) > 0, o).otherwise(F.coalesce(existing, none)))[0]

@@ -94,3 +94,17 @@ def test_rounding_half_even(spark):
     df = spark.createDataFrame([(62.25,), (2.675,), (0.125,)], "x double")
     assert [r[0] for r in df.select(py_round(F.col("x"), 1)).collect()][0] == 62.2
     assert [r[0] for r in df.select(py_round(F.col("x"), 2)).collect()][1:] == [2.67, 0.12]
+
+
+def test_each_text_rule_runs_once_a_row(spark):
+    d = spark.createDataFrame([("iphone", "batteri 91%", -3.0)], "title string, description string, price_score double")
+    plan = SC.with_composite_score(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 1 and plan.count("lower(") == 1
+
+
+def test_staged_score_equals_the_expression(spark):
+    rows = [("iPhone", "som ny og pent brukt, batteri 87%", -12.5, None), ("x", "defekt 30% rabatt " * 20, 40.0, 55), (None, None, None, None), ("a", " \n", 3.3, 0), ("b", "100 %", -99.0, 101), ("c", "49% 90%", 0.0, None)]
+    d = spark.createDataFrame(rows, "title string, description string, price_score double, battery int")
+    for rb in (None, "battery"):
+        want = [r[0] for r in d.select(SC.composite_score("title", "description", "price_score", rb)).collect()]
+        assert [r.composite_score for r in SC.with_composite_score(d, reviewed_battery=rb).collect()] == want
