@@ -42,19 +42,21 @@ class Tracker:
 
     # -- write path ----------------------------------------------------------
     def search(self, cards: DataFrame, scan_id: str, raw_reviews: DataFrame | None = None,
-               complete: bool = True, now: datetime | None = None) -> ScanResult:
+               complete: bool = True, now: datetime | None = None, details: DataFrame | None = None, persist: bool = True) -> ScanResult:
         """Score one scan's cards, persist them (deactivating missing listings
         only when the scan was complete), then apply retention.  A search that
-        failed is repeated with the same ``scan_id``."""
-        return self._persist(score_scan(cards, self.params, raw_reviews), scan_id, None if complete else F.lit(False), None, now)
+        failed is repeated with the same ``scan_id``.  ``details`` enrich the
+        candidates, or every listing if ``params.deep_scan`` is set.  With
+        ``persist=False`` (a dry run) nothing is written."""
+        res = score_scan(cards, self.params, raw_reviews, details)
+        return self._persist(res, scan_id, None if complete else F.lit(False), None, now) if persist else res
 
     def search_pages(self, pages: DataFrame, scan_id: str, details: DataFrame | None = None,
-                     raw_reviews: DataFrame | None = None, now: datetime | None = None) -> ScanResult:
+                     raw_reviews: DataFrame | None = None, now: datetime | None = None, persist: bool = True) -> ScanResult:
         """The same from captured pages: cards, first sightings and each
-        search's completeness come from them; candidates are enriched from
-        ``details``."""
+        search's completeness come from them."""
         res, complete = score_pages(pages, self.params, details, raw_reviews)
-        return self._persist(res, scan_id, None, complete, now)
+        return self._persist(res, scan_id, None, complete, now) if persist else res
 
     def _persist(self, res: ScanResult, scan_id: str, flag, complete: DataFrame | None, now: datetime | None) -> ScanResult:
         # The scored scan is used several times: stored once, read from there.

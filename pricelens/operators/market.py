@@ -4,8 +4,8 @@ Scale notes
 -----------
 * The report is computed from a ``(query, price) -> count`` table built with
   a map-side partial aggregation, so a search holding a third of all rows
-  shuffles one row per distinct price, never its raw rows.  ``percentile``
-  then takes the counts as frequencies.
+  shuffles one row per distinct price, never its raw rows.  The quartiles are
+  selected from it through price bands, so no task takes a search's prices.
 * Attaching the report to listings is a salted join (``operators.attach``):
   the rows of a hot search are dealt to many tasks.
 * Candidate selection never runs a full window per search: it ranks narrow
@@ -23,6 +23,8 @@ from pricelens.functions.numeric import py_round
 from pricelens.functions.scoring import price_score
 from pricelens.operators.attach import attach
 
+#: Width (as a power of two) and number of the price bands of the selection.
+BAND_BITS = 21
 REPORT_COLUMNS = ("query", "count", "mean", "median", "std", "min_price", "max_price",
                   "p25", "p75")
 
@@ -50,8 +52,8 @@ def market_report(listings: DataFrame, price_col: str = "price_nok") -> DataFram
         F.sum(F.col("price").cast("double") * F.col("price").cast("double") * F.col("cnt").cast("double")).alias("s2_approx"),
         F.min("price").alias("min_price"),
         F.max("price").alias("max_price"),
-        F.percentile(F.col("price"), [0.25, 0.5, 0.75], F.col("cnt")).alias("q"),
     )
+    agg = agg.join(_order_statistics(f, [25, 50, 75]), "query", "left")
     n = F.col("n")
     # The variance is exact in whole numbers while they fit 38 digits; one
     # advert with a junk price of 17 digits or more makes its own search's
@@ -66,12 +68,12 @@ def market_report(listings: DataFrame, price_col: str = "price_nok") -> DataFram
         "query",
         n.alias("count"),
         F.when(has, F.col("s1").cast("double") / n.cast("double")).otherwise(0.0).alias("mean"),
-        F.when(has, F.col("q")[1]).otherwise(0.0).alias("median"),
+        F.when(has, F.col("p50")).otherwise(0.0).alias("median"),
         F.when(n > 1, py_round(std, 6)).otherwise(0.0).alias("std"),
         F.coalesce(F.col("min_price"), F.lit(0)).cast("bigint").alias("min_price"),
         F.coalesce(F.col("max_price"), F.lit(0)).cast("bigint").alias("max_price"),
-        F.when(has, F.col("q")[0]).otherwise(0.0).alias("p25"),
-        F.when(has, F.col("q")[2]).otherwise(0.0).alias("p75"),
+        F.when(has, F.col("p25")).otherwise(0.0).alias("p25"),
+        F.when(has, F.col("p75")).otherwise(0.0).alias("p75"),
     )
 
 
@@ -117,40 +119,46 @@ def select_candidates(scored: DataFrame, limit: int, suspicious: float = -60.0)
     return scored.join(top.select("id", "query", "rank"), ["id", "query"])
 
 
-def percentiles(freq: DataFrame, ps: list[float]) -> DataFrame:
-    """Linear-interpolated percentiles per search with the rule
-    ``k = (n-1)*p/100, f = int(k), c = min(f+1, n-1)``,
-    ``v[f]*(c-k) + v[c]*(k-f)`` (``v[f]`` when ``f == c``); 0.0 when nothing
-    is priced, the value itself for one price.
-
-    Works on the ``(query, price, cnt)`` table: a running count gives each
-    price its rank range, and each order statistic is ``min(price)`` over
-    prices whose last rank reaches it.  The count runs within bands of 1024
-    prices and over the bands, so no task orders all prices of a search."""
-    priced = freq.filter(F.col("price").isNotNull()).withColumn("_band", F.shiftright("price", 10))
+def _order_statistics(freq: DataFrame, ps: list[float]) -> DataFrame:
+    """The percentiles ``ps`` of each search with a priced row (see ``percentiles``)."""
+    band = F.least(F.shiftright("price", BAND_BITS), F.lit(1 << BAND_BITS))
+    priced = freq.filter(F.col("price").isNotNull()).withColumn("_band", band)
+    n = F.col("_n")
+    k = [(n - 1).cast("double") * F.lit(p / 100.0) for p in ps]
+    f = [F.floor(x).cast("bigint") for x in k]
+    c = [F.least(x + 1, n - 1) for x in f]
     bands = priced.groupBy("query", "_band").agg(F.sum("cnt").alias("_s"))
     earlier = Window.partitionBy("query").orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
-    bands = bands.select("query", "_band", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"),
+    bands = bands.select("query", "_band", "_s", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"),
                          F.sum("_s").over(Window.partitionBy("query")).alias("_n"))
+    wanted = bands.filter(F.exists(F.array(*f, *c), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_s")))).drop("_s")
     run = Window.partitionBy("query", "_band").orderBy("price").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (priced.join(bands, ["query", "_band"])
-              .withColumn("_hi", F.sum("cnt").over(run) + F.col("_before") - 1))
-    n = F.col("_n")
+    ranked = priced.join(wanted, ["query", "_band"]).withColumn("_hi", F.sum("cnt").over(run) + F.col("_before") - 1)
     aggs = [F.max("_n").alias("_n")]
-    for i, p in enumerate(ps):
-        k = (n - 1).cast("double") * F.lit(p / 100.0)
-        f = F.floor(k).cast("bigint")
-        c = F.least(f + 1, n - 1)
-        aggs += [F.min(F.when(F.col("_hi") >= f, F.col("price"))).alias(f"_vf{i}"),
-                 F.min(F.when(F.col("_hi") >= c, F.col("price"))).alias(f"_vc{i}"),
-                 F.max(k).alias(f"_k{i}"), F.max(f).alias(f"_f{i}"), F.max(c).alias(f"_c{i}")]
+    for i in range(len(ps)):
+        aggs += [F.min(F.when(F.col("_hi") >= f[i], F.col("price"))).alias(f"_vf{i}"),
+                 F.min(F.when(F.col("_hi") >= c[i], F.col("price"))).alias(f"_vc{i}")]
     g = ranked.groupBy("query").agg(*aggs)
     out = [F.col("query")]
     for i, p in enumerate(ps):
         vf, vc = F.col(f"_vf{i}").cast("double"), F.col(f"_vc{i}").cast("double")
-        k, f, c = F.col(f"_k{i}"), F.col(f"_f{i}"), F.col(f"_c{i}")
-        val = F.when(f == c, vf).otherwise(vf * (c.cast("double") - k) + vc * (k - f.cast("double")))
+        val = F.when(f[i] == c[i], vf).otherwise(vf * (c[i].cast("double") - k[i]) + vc * (k[i] - f[i].cast("double")))
         out.append(val.alias(f"p{p:g}"))
+    return g.select(*out)
+
+
+def percentiles(freq: DataFrame, ps: list[float]) -> DataFrame:
+    """Linear-interpolated percentiles per search with the rule
+    ``k = (n-1)*p/100, f = int(k), c = min(f+1, n-1)``,
+    ``v[f]*(c-k) + v[c]*(k-f)`` (``v[f]`` when ``f == c``); 0.0 when nothing
+    is priced, the value itself for one price.
+
+    A weighted selection on the ``(query, price, cnt)`` table: prices are
+    counted in bands of ``2**BAND_BITS`` (one more takes all above as many
+    bands), a running count over a search's bands tells the few that hold a
+    wanted rank, and only their prices are ranked.  No task holds or sorts all
+    prices of a search, and no window has more than ``2**BAND_BITS`` rows."""
+    g = _order_statistics(freq, ps)
     with_empty = freq.select("query").distinct()
-    return with_empty.join(g.select(*out), "query", "left").select(
+    return with_empty.join(g, "query", "left").select(
         "query", *[F.coalesce(F.col(f"p{p:g}"), F.lit(0.0)).alias(f"p{p:g}") for p in ps])

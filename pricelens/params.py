@@ -80,6 +80,7 @@ class Params:
 
     pages: int = 3
     ai_limit: int = 5
+    deep_scan: bool = False     # every listing's detail page is read before the report, not the candidates' only
     min_price: int | None = 500
     cache_ttl_hours: float = 6.0
     retention_days: int = 60

@@ -700,6 +700,18 @@ SELECT query, id, page_num, title, price_nok, price_score,
        rank, location, CAST(length(description) AS INTEGER) AS description_len, complete
 FROM ps_rich""", "ps_rich")
 
+cte("ds_cs", f"""
+SELECT *, {X.composite_score('title', 'description', 'price_score')} AS composite_score FROM (
+  SELECT s.* REPLACE (coalesce(nullif(d.detail_description, ''), s.description) AS description,
+                      coalesce(nullif(s.location, ''), d.detail_location) AS location)
+  FROM ps_scored s LEFT JOIN details d ON d.page_id = s.page_id) t""", ("ps_scored", "details"))
+_candidate_ctes("ds_cs")
+cte("ds_cands", _candidates_sql("ds_cs", KP.CANDIDATE_LIMIT), ("cand_ds_cs",))
+ORACLE["deep_scan_scoring"] = build_sql("""
+SELECT s.query, s.id, s.page_num, s.title, s.price_nok, s.price_score, s.composite_score, c.rank, s.location,
+       CAST(length(s.description) AS INTEGER) AS description_len, s.complete
+FROM ds_cs s LEFT JOIN ds_cands c ON c.id = s.id AND c.query = s.query""", "ds_cs", "ds_cands")
+
 ORACLE["timestamp_text"] = """
 SELECT event_id, ts_text,
        epoch_us(CAST(CASE WHEN regexp_matches(ts_text, '(Z|[+-][0-9]{2}:?[0-9]{2})$') THEN ts_text

@@ -450,6 +450,16 @@ def q_page_scan_scoring(spark, sf):
         F.length("description").cast("int").alias("description_len"), "complete")
 
 
+@register("deep_scan_scoring")
+def q_deep_scan_scoring(spark, sf):
+    """The same as a deep scan: every kept listing is enriched before the report and the scores."""
+    params = Params(pages=KP.SCAN_PAGES, ai_limit=KP.CANDIDATE_LIMIT, deep_scan=True)
+    res, complete = score_pages(S.captured(spark, sf), params, PG.detail_fields(S.detail_pages(spark, sf)))
+    return res.listings.join(complete, "query").select(
+        "query", "id", "page_num", "title", "price_nok", "price_score", "composite_score", "rank", "location",
+        F.length("description").cast("int").alias("description_len"), "complete")
+
+
 # --- timestamps as text ----------------------------------------------------
 
 from pricelens.functions import times as TM  # noqa: E402

@@ -53,15 +53,19 @@ def score_scan(cards: DataFrame, params: Params = Params(), raw_reviews: DataFra
                details: DataFrame | None = None) -> ScanResult:
     """Score the cards of a scan; ``details`` (page_id, detail_description,
     detail_location) enrich the candidates only, whose score is then computed
-    from the full text."""
+    from the full text; in a deep scan (``params.deep_scan``) they enrich every
+    kept listing before the report, so that all scores and the choice of the
+    candidates rest on the full texts."""
     c = first_sighting(cards.withColumn("query", normalize_query("query")))
     kept = R.relevant_listings(c, params.min_price, params.blacklist)
+    if details is not None and params.deep_scan:
+        kept = PG.enrich_details(kept, details)
     report = M.market_report(kept)
     scored = _scored(M.score_against_market(kept, report), params)
     cands = M.select_candidates(scored, params.ai_limit, params.suspicious_threshold)
     scored = scored.join(cands.select("id", "query", "rank"), ["id", "query"], "left")
     candidate = F.col("rank").isNotNull()
-    if details is not None:
+    if details is not None and not params.deep_scan:
         rich = PG.enrich_details(scored.withColumn("_card", F.struct("description", "location")), details)
         for name in ("description", "location"):
             rich = rich.withColumn(name, F.when(candidate, F.col(name)).otherwise(F.col(f"_card.{name}")))
@@ -81,7 +85,7 @@ def scan_pages(pages: DataFrame, params: Params = Params()) -> tuple[DataFrame,
     cards = cards.withColumn("scan_id", F.col("query"))
     complete = PG.scan_completeness(cards, loaded.select(F.col("query").alias("scan_id"), "page_num"))
     first = PG.dedupe_scan(cards, complete)
-    first = first.withColumn("seq", F.col("page_num") * F.lit(1_000_000) + F.col("pos")).drop("scan_id", "pos")
+    first = first.withColumn("seq", F.shiftleft(F.col("page_num").cast("bigint"), 32) + F.col("pos")).drop("scan_id", "pos")
     return first, complete.select(F.col("scan_id").alias("query"), "complete")
 
 

@@ -100,3 +100,25 @@ def test_one_junk_price_stops_no_report(spark):
     mean = sum(prices) / 151
     assert abs(got["q"]["std"] / (sum((p - mean) ** 2 for p in prices) / 151) ** 0.5 - 1) < 1e-9
     assert got["max"]["count"] == 2 and got["max"]["std"] < 1e12
+
+
+def test_selection_through_bands_equals_sorted_prices(spark, monkeypatch):
+    """Prices in one band, in many, and above all bands; the same with narrow bands."""
+    import random
+
+    rng = random.Random(4)
+    prices = {"one": [rng.randrange(1, 900) for _ in range(301)], "many": [rng.randrange(1, 1 << 40) for _ in range(200)],
+              "junk": [rng.choice([3, 5, 10 ** 17, 9 * 10 ** 18]) for _ in range(50)], "single": [7], "none": [None, 0]}
+    d = spark.createDataFrame([(q, p) for q, x in prices.items() for p in x], "query string, price_nok long")
+    for bits in (21, 4):
+        monkeypatch.setattr(M, "BAND_BITS", bits)
+        got = {r["query"]: r for r in M.market_report(d).collect()}
+        for q, x in prices.items():
+            x = sorted(p for p in x if p)
+            for name, share in (("p25", 0.25), ("median", 0.5), ("p75", 0.75)):
+                k = (len(x) - 1) * share if x else 0
+                lo = int(k)
+                want = 0.0 if not x else x[lo] * (lo + 1 - k) + x[min(lo + 1, len(x) - 1)] * (k - lo)
+                assert abs(got[q][name] - want) <= 1e-12 * max(1.0, want), (q, name)
+    plan = M.market_report(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan

@@ -55,3 +55,27 @@ def test_page_scan(spark):
     assert rich and all(r["rank"] is not None and r["location"] == "Oslo" for r in rich)
     _, partial = score_pages(pages, Params(pages=2), details)
     assert partial.collect()[0]["complete"] is False
+
+
+def test_deep_scan_enriches_before_the_candidates_are_chosen(spark):
+    from pyspark.sql import functions as F
+
+    items = [listing(i, p, title="iPhone 13", description="kort") for i, p in ((1, 5000), (2, 5100), (3, 5200), (4, 4000))]
+    cards = batch(spark, items).drop("price_score", "composite_score", "ai_report").withColumn("page_id", F.col("id").cast("long"))
+    details = spark.createDataFrame([(3, "som ny, pent brukt, batterikapasitet 100% og kvittering", "Oslo"), (4, "defekt skjerm og batteri 60%", None), (2, "", "Bergen")],
+                                    "page_id long, detail_description string, detail_location string")
+    fast, deep = (score_scan(cards, Params(ai_limit=1, deep_scan=d), details=details) for d in (False, True))
+    assert [r.id for r in fast.candidates.collect()] == ["4"] and [r.id for r in deep.candidates.collect()] == ["3"]
+    text = {r.id: (r.description, r.location) for r in deep.listings.collect()}
+    assert text["3"][1] == "Oslo" and text["4"][0].startswith("defekt") and text["2"] == ("kort", "Bergen") and text["1"][0] == "kort"
+    assert {r.id for r in fast.listings.collect() if r.description != "kort"} == {"4"}
+    assert fast.report.collect() == deep.report.collect()
+
+
+def test_dry_run_writes_nothing(spark, tmp_path):
+    from pricelens.api import Tracker
+
+    cards = batch(spark, [listing(1, 5000), listing(2, 5200)]).drop("price_score", "composite_score", "ai_report")
+    t = Tracker(spark, str(tmp_path / "store"), buckets=2)
+    assert t.search(cards, "s1", persist=False).listings.count() == 2
+    assert not (tmp_path / "store").exists() or not any((tmp_path / "store").rglob("*.parquet"))
