@@ -1,22 +1,28 @@
 """Licence scans: a trained paragraph classifier confirmed by templates.
 
-A paragraph is a line of a text that has words; longer ones are judged in
-stretches of ``STRETCH`` words.  Sparse features are hashed word 1- to
-3-grams, each once; a multinomial logistic regression over them names a licence family,
-``unknown`` (licence wording of no known family) or ``none``.  It is fitted
-here on varied pieces of the templates below and on paragraphs of a bounded
-sample of documents (``SAMPLE_DOCS`` rows, the smallest hashes of ``doc_id``);
-its temperature and the least probability of a named family are calibrated on
-a part kept out of the fit.  A named family must also resemble one of its
-templates (shared 2-grams), else the paragraph is ``unknown``.  A paragraph is
-reported if ``none`` is less likely than a bound, 0.1 to 0.5, that all but
-``FALSE_ALARMS`` of the other paragraphs in the calibration part exceed, if the
-bound can be as low; likeness to a template is no condition.  One word, alone
-or repeated, is no wording: such a paragraph is ``none``.
+A paragraph is the lines of a text up to one without words.  It is judged in
+stretches of ``STRETCH`` words that overlap by half, so a notice of up to half
+a stretch lies in one as a whole; overlapping hits are merged, within a family or
+with unknown ones, and reported as the run of words that speaks for the family.
+Sparse features are hashed word 1- to 3-grams, each once; a multinomial
+logistic regression over them names a licence family, ``unknown`` (licence
+wording of no known family) or ``none``.  It is fitted here on varied pieces of
+the templates below and on stretches of a bounded sample: the ``SAMPLE_DOCS``
+documents of least hash, read whole, and of their distinct stretches the
+``SAMPLE_STRETCHES`` of least hash.  Its temperature and the least probability of
+a named family are calibrated on a part kept out of the fit.  A named family
+must also resemble one of its templates (shared 2-grams), else the stretch is
+``unknown``.  A stretch is reported if ``none`` is less likely than a bound, 0.1
+to 0.5, that all but ``FALSE_ALARMS`` of the other stretches in the calibration
+part exceed, if the bound can be as low; likeness to a template is no
+condition.  A paragraph of one word, alone or repeated, is no wording: it is
+reported only if the word is one of ``IDENTIFIERS``, with its family and
+probability 1.
 
 Prediction reads whole texts, slice by slice, without a shuffle.  Null and
-empty texts have no paragraphs.  Repeated rows are answered once each.  The
-columns asked for in ``keep`` pass through.
+empty texts have no paragraphs, an empty table no rows.  Repeated rows are
+answered once each.  The columns asked for in ``keep`` pass through, whatever
+their names; others aren't read.
 """
 
 from __future__ import annotations
@@ -30,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, slices, words_of
+from .common import Words, fresh, mix, slices, words_of
 
 BITS = 16
-STRETCH = 64
-SAMPLE_DOCS = 400
+STRETCH = 16
+SAMPLE_DOCS, SAMPLE_STRETCHES = 400, 4000
 SEED = 7
 #: Share of 2-grams shared with a template of the family.
 CONFIRM = 0.5
@@ -97,42 +103,80 @@ TEMPLATES = {
         "Proprietary and confidential. Unauthorised copying is prohibited.",
     ),
 }
+#: Short names that stand for a licence on their own, compared as written.
+IDENTIFIERS = {
+    "apache": ("Apache-2.0", "Apache2.0", "ASL2.0"),
+    "mit": ("MIT", "Expat"),
+    "bsd": ("BSD", "BSD-2-Clause", "BSD-3-Clause", "0BSD"),
+    "gpl": ("GPL", "GPLv2", "GPLv2+", "GPLv3", "GPLv3+", "LGPL", "LGPLv2.1", "LGPLv3", "AGPL", "AGPLv3", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only",
+            "GPL-3.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"),
+    "mpl": ("MPL", "MPLv2", "MPL-1.1", "MPL-2.0"),
+    "cc": ("CC0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0"),
+}
+_NAMED = {x: family for family, names in IDENTIFIERS.items() for x in names}
 _LETTERS = np.zeros(256, dtype=bool)
 _LETTERS[48:58] = _LETTERS[65:91] = _LETTERS[97:123] = _LETTERS[128:] = True
 
 
-def _features(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed 1- to 3-grams (words x 3, -1 where they would leave the stretch or occur in it before), stretch starts, and each stretch's text and line."""
+@dataclass
+class Stretches:
+    """Hashed 1- to 3-grams of each stretch's words (rows x 3, -1 where they would leave the stretch or occur in it
+    before); of each stretch its first row, its first and last word, its text and paragraph; of each word its line."""
+
+    grams: np.ndarray
+    starts: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    text: np.ndarray
+    paragraph: np.ndarray
+    whole: np.ndarray
+    lines: np.ndarray
+    words: Words
+
+
+def _stretches(col: pa.Array) -> Stretches:
     w = words_of(col, lower=True, word_bytes=_LETTERS)
     n = len(w.starts)
     empty = np.empty(0, np.int64)
     if not n:
-        return np.empty((0, 3), np.int64), empty, empty, empty, w
+        return Stretches(np.empty((0, 3), np.int64), empty, empty, empty, empty, empty, empty, empty, w)
     breaks = np.flatnonzero(w.data == 10)
     line = np.searchsorted(breaks, w.starts)
     text = np.repeat(np.arange(len(w.counts)), w.counts)
     new = np.ones(n, dtype=bool)
-    new[1:] = (line[1:] != line[:-1]) | (text[1:] != text[:-1])
-    first = np.flatnonzero(new)
-    place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
-    starts = np.flatnonzero(place % STRETCH == 0)
-    stretch = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
-    grams = np.full((n, 3), -1, dtype=np.int64)
-    h = w.hashes
-    acc = h.copy()
+    new[1:] = (line[1:] > line[:-1] + 1) | (text[1:] != text[:-1])
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, n))
+    # a stretch begins at every half stretch, as long as it holds words that the one before doesn't
+    half = STRETCH // 2
+    many = np.maximum(1, -(-size // half) - 1)
+    paragraph = np.repeat(np.arange(len(begin)), many)
+    first = begin[paragraph] + half * (np.arange(len(paragraph)) - np.repeat(np.cumsum(many) - many, many))
+    wide = np.minimum(STRETCH, begin[paragraph] + size[paragraph] - first)
+    starts = np.cumsum(wide) - wide
+    stretch = np.repeat(np.arange(len(first)), wide)
+    step = np.arange(len(stretch)) - starts[stretch]
+    at = first[stretch] + step
+    grams = np.full((len(at), 3), -1, dtype=np.int64)
+    acc = w.hashes.copy()
     for k in range(3):
         if k:
-            acc = acc[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[k:]
-        same = stretch[:n - k] == stretch[k:] if k else slice(None)
+            acc = acc[:-1] * np.uint64(0xD6E8FEB86659FD93) + w.hashes[k:]
         got = (mix(acc + np.uint64(k)) >> np.uint64(64 - BITS)).astype(np.int64)
-        grams[:n - k, k][same] = got[same]
+        inside = step + k < wide[stretch]
+        grams[inside, k] = got[at[inside]]
     flat = grams.reshape(-1)
     once = np.full_like(flat, -1)
     _, at = np.unique(np.repeat(stretch, 3) << (BITS + 1) | flat + 1, return_index=True)
     once[at] = flat[at]
-    grams = once.reshape(-1, 3)
     base = np.concatenate(([0], np.searchsorted(breaks, np.cumsum([0] + [len(x.as_buffer()) if x.is_valid else 0 for x in col])[1:])))
-    return grams, starts, text[starts], line[starts] - base[text[starts]], w
+    return Stretches(once.reshape(-1, 3), starts, first, first + wide - 1, text[first], paragraph, many[paragraph] == 1, line - base[text], w)
+
+
+def _features(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Words]:
+    """Grams, first rows, texts and lines of the stretches, and the words."""
+    x = _stretches(col)
+    return x.grams, x.starts, x.text, x.lines[x.first], x.words
 
 
 def _bigrams(text: str) -> set[tuple[str, str]]:
@@ -191,8 +235,8 @@ def fit(rows: list[tuple[str, str]], steps: int = 300, rate: float = 2.0, decay:
     part = np.arange(len(rows)) % 3 == 2
 
     def design(own: list[tuple[str, str]]):
-        grams, starts, text, _, _ = _features(pa.array([t.replace("\n", " ") for t, _ in own], pa.string()))
-        return grams, starts, np.array([classes.index(own[i][1]) for i in text.tolist()])
+        x = _stretches(pa.array([t.replace("\n", " ") for t, _ in own], pa.string()))
+        return x.grams, x.starts, np.array([classes.index(own[i][1]) for i in x.text.tolist()])
 
     grams, starts, y = design([r for r, p in zip(rows, part, strict=True) if not p])
     used = grams >= 0
@@ -221,55 +265,121 @@ def fit(rows: list[tuple[str, str]], steps: int = 300, rate: float = 2.0, decay:
     return m
 
 
-def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> LicenseModel:
-    """Fit on template pieces and on the lines of a bounded sample of documents.
+def sampled_stretches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_stretches: int = SAMPLE_STRETCHES) -> list[str]:
+    """Stretches of the lines of sampled documents: bounded, the same for the same rows.
 
-    The sample is taken by a bound on the hash of ``doc_id``, so the tasks send
-    about twice ``sample_docs`` rows in all.  Sampled lines that hold a licence
-    word are left out of the negatives.
+    Documents are taken by a bound on the hash of ``doc_id``, so the tasks send
+    about twice ``sample_docs`` rows in all; their lines are cut to stretches
+    over the whole text, of which those of least hash are drawn.
     """
     draw = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 32)
     some = docs.where(F.col(text).isNotNull())
     share = min(1.0, 2 * sample_docs / max(1, some.count()))
-    rows = some.select(draw.alias("draw"), F.substring(text, 1, 20_000).alias("t")).where(F.col("draw") < int(share * 2**32)).orderBy("draw", "t").limit(sample_docs).collect()
+    drawn = some.select(draw.alias("draw"), F.col(text).alias("t")).where(F.col("draw") < int(share * 2**32)).orderBy("draw", "t").limit(sample_docs)
+    words = drawn.select(F.explode(F.split("t", "\n")).alias("line")).select(F.filter(F.split("line", r"[\x20\x09-\x0D]+"), lambda x: x != "").alias("w")).where(F.size("w") > 0)
+    parts = words.select(F.explode(F.transform(F.expr(f"sequence(0, (size(w) - 1) DIV {STRETCH})"), lambda i: F.array_join(F.slice("w", i * STRETCH + 1, F.lit(STRETCH)), " "))).alias("part")).distinct()
+    return [r["part"] for r in parts.orderBy(F.xxhash64("part"), "part").limit(sample_stretches).collect()]
+
+
+def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_stretches: int = SAMPLE_STRETCHES) -> LicenseModel:
+    """Fit on template pieces and on sampled stretches of the documents; those
+    that hold a licence word are left out of the negatives."""
     trigger = ("licen", "copyright", "rights reserved", "public domain", "permission", "redistribut", "proprietary", "spdx", "creative commons", "warrant")
-    lines = [x for r in rows for x in r["t"].split("\n") if x.split() and not any(w in x.lower() for w in trigger)]
-    return fit(training_rows(list(dict.fromkeys(" ".join(x.split()[:STRETCH]) for x in lines))[:4 * sample_docs]))
+    parts = sampled_stretches(docs, text, doc_id, sample_docs, sample_stretches)
+    return fit(training_rows([x for x in parts if not any(w in x.lower() for w in trigger)]))
+
+
+@dataclass
+class Hit:
+    """A reported run of words: where, and as what."""
+
+    text: int
+    paragraph: int
+    first: int
+    last: int
+    family: str
+    probability: float
+    similarity: float = 0.0
+
+
+def _span(m: LicenseModel, grams: np.ndarray, best: int) -> tuple[int, int]:
+    """The run of words that speaks most for class ``best`` against ``none``: first and last of the rows."""
+    used = grams >= 0
+    gain = ((m.weights[:, best] - m.weights[:, 0])[np.where(used, grams, 0)] * used).sum(axis=1)
+    gain = gain - gain.max() / 10  # words that say nothing don't lengthen the run
+    total = np.concatenate(([0.0], np.cumsum(gain)))
+    least = np.minimum.accumulate(total[:-1])
+    last = int((total[1:] - least).argmax())
+    return int(total[:last + 1].argmin()), min(last + 2, len(grams) - 1)  # a gram reaches two words further
+
+
+def _judged(m: LicenseModel, x: Stretches, templates: dict[str, list[set]]) -> list[Hit]:
+    """The hits of a slice, merged where they overlap or touch and are not of two families."""
+    p = m.probabilities(x.grams, x.starts)
+    short = x.whole & (x.last - x.first < 8)
+    ends = np.append(x.starts[1:], len(x.grams))
+    out: list[Hit] = []
+    for i in np.flatnonzero((p[:, 0] < m.none_below) | short).tolist():
+        first, last = int(x.first[i]), int(x.last[i])
+        family = _NAMED.get(_blank_word(x.words, first, last)) if short[i] else None
+        sure = 1.0
+        if family is None:
+            own = _bigrams(_between(x.words, first, last))
+            if p[i, 0] >= m.none_below or all(a == b for a, b in own):
+                continue
+            best = 1 + int(p[i, 1:].argmax())
+            family, sure = m.classes[best], float(p[i, best])
+            a, z = _span(m, x.grams[x.starts[i]:ends[i]], best)
+            first, last = first + a, first + z
+            own = _bigrams(_between(x.words, first, last)) or own
+            if family == UNKNOWN or sure < m.least or _likeness(own, templates[family]) < CONFIRM:
+                family = UNKNOWN
+        old = out[-1] if out and out[-1].paragraph == x.paragraph[i] and first <= out[-1].last + 1 else None
+        if old and (old.family == family or UNKNOWN in (old.family, family)):  # a part of a notice may be unknown
+            old.first, old.last = min(old.first, first), max(old.last, last)
+            old.probability = max(old.probability, sure) if old.family == family else sure if old.family == UNKNOWN else old.probability
+            old.family = family if old.family == UNKNOWN else old.family
+        else:
+            out.append(Hit(int(x.text[i]), int(x.paragraph[i]), first, last, family, sure))
+    for h in out:
+        own = _bigrams(_between(x.words, h.first, h.last))
+        h.similarity = 1.0 if not own else max(_likeness(own, t) for f, t in templates.items() if h.family in (f, UNKNOWN))
+    return out
+
+
+def _likeness(own: set, templates: list[set]) -> float:
+    """The greatest share of 2-grams in common with a template, of the smaller of both."""
+    return max(len(own & t) / max(1, min(len(own), len(t))) for t in templates)
+
+
+def _between(w: Words, first: int, last: int) -> str:
+    return w.data[w.starts[first]:w.ends[last]].tobytes().decode()
+
+
+def _blank_word(w: Words, first: int, last: int) -> str:
+    """The words from ``first`` to ``last`` with the signs among them, if no blank is; else empty."""
+    name = _between(w, first, last)
+    return "" if any(c.isspace() for c in name) else name + "+" * w.data[w.ends[last]:w.ends[last] + 1].tobytes().count(b"+")
 
 
 def scan(docs: DataFrame, model: LicenseModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Licence paragraphs: ``keep``, paragraph (line number), part, family, probability, similarity, passage."""
+    """Licence paragraphs: ``keep``, paragraph (number of the line that the hit starts in), word (its place in the text), family, probability, similarity, passage."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("paragraph", T.LongType()), T.StructField("word", T.LongType()), T.StructField("family", T.StringType()),
                            T.StructField("probability", T.DoubleType()), T.StructField("similarity", T.DoubleType()), T.StructField("passage", T.StringType())])
     templates = {f: [_bigrams(t) for t in ts] for f, ts in TEMPLATES.items()}
+    body = fresh("body", list(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for b in slices(batches, "_text", 1 << 20):
-            col = b.column(len(keep))
-            grams, starts, at, line, w = _features(col)
-            if not len(starts):
+        for b in slices(batches, body, 1 << 19):
+            x = _stretches(b.column(len(keep)))
+            if not len(x.starts):
                 continue
-            p = m.probabilities(grams, starts)
-            hit = np.flatnonzero(p[:, 0] < m.none_below)
-            ends = np.append(starts[1:], len(w.starts)) - 1
-            firsts = w.firsts()
-            rows = []
-            for i in hit.tolist():
-                passage = w.data[w.starts[starts[i]]:w.ends[ends[i]]].tobytes().decode()
-                own = _bigrams(passage)
-                if all(a == b for a, b in own):
-                    continue
-                best = 1 + int(p[i, 1:].argmax())
-                family = m.classes[best]
-                alike = {f: max(len(own & t) / max(1, min(len(own), len(t))) for t in ts) for f, ts in templates.items()}
-                like = alike[family]
-                if family == UNKNOWN or p[i, best] < m.least or like < CONFIRM:
-                    family, like = UNKNOWN, max(alike.values())
-                rows.append((int(at[i]), int(line[i]), int(starts[i] - firsts[at[i]]), family, float(p[i, best]), like, passage))
+            firsts = x.words.firsts()
+            rows = [(h.text, int(x.lines[h.first]), h.first - firsts[h.text], h.family, h.probability, h.similarity, _between(x.words, h.first, h.last)) for h in _judged(m, x, templates)]
             if rows:
                 src, *cols = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(src)) for k in range(len(keep))), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.string()), strict=True))], schema.names)
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias(body)).mapInArrow(run, schema)

@@ -63,3 +63,83 @@ def test_wording_far_from_the_templates_is_reported(model, spark):
     got = {r.doc_id: r for r in L.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), model).collect()}
     assert {i: r.family for i, r in got.items()} == {0: "mit", 1: "bsd", 2: "unknown"}
     assert got[2].similarity < 0.2 and 0 < got[2].probability <= 1
+
+
+def test_notice_is_found_at_every_offset_of_prose(model, spark):
+    import random
+
+    rng = random.Random(1)
+    fill = [w for t in FILLER for w in t.split()]
+    notice = "Licensed under the Apache License, Version 2.0"
+    rows = [(k, " ".join([*(rng.choice(fill) for _ in range(k)), notice, *(rng.choice(fill) for _ in range(60))])) for k in range(129)]
+    got = L.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert {r.doc_id for r in got if r.family == "apache"} == set(range(129))
+    assert all(abs(r.word - r.doc_id) <= 3 for r in got if r.family == "apache")
+
+
+def test_wrapped_notice_is_one_paragraph(model, spark):
+    mit = L.TEMPLATES["mit"][2].split()
+    wrapped = "\n".join(" ".join(mit[i:i + 9]) for i in range(0, len(mit), 9))
+    a, b = FILLER[20], FILLER[21]
+    rows = [(1, f"{a}\n\n{wrapped}\n\n{b}"), (2, "GPLv3"), (3, f"{a}\n\n  Apache-2.0\n\n{b}"), (4, "Mit"), (5, a)]
+    got = [(r.doc_id, r.paragraph, r.family) for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()]
+    assert sorted(got) == [(1, 2, "mit"), (2, 0, "gpl"), (3, 2, "apache")]
+
+
+def test_scores_against_plain_python(model):
+    """Features, logits and probabilities computed anew, word by word."""
+    import math
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    words = [w for t in FILLER[:40] for w in t.split()] + L.TEMPLATES["bsd"][1].split() + ["É", "x-y", "...", "(c)"]
+    texts = [" ".join(rng.choice(words, n)) + sep + " ".join(rng.choice(words, n // 2)) for n in (1, 5, 7, 9, 16, 17, 31, 64, 65, 200) for sep in (" ", "\n", "\n \n")]
+    x = L._stretches(pa.array(texts))
+    p = model.probabilities(x.grams, x.starts)
+    want, word = [], re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
+    code = {}
+    for t in texts:  # each word's hash, from a text of its own
+        for v in word.findall(t):
+            low = "".join(c.lower() if "A" <= c <= "Z" else c for c in v)
+            code[v] = int(L.words_of(pa.array([low]), lower=True, word_bytes=L._LETTERS).hashes[0])
+    whole = 1 << 64
+
+    def bucket(run):
+        acc = code[run[0]]
+        for v in run[1:]:
+            acc = (acc * 0xD6E8FEB86659FD93 + code[v]) % whole
+        return int(L.mix(np.array([(acc + len(run) - 1) % whole], dtype=np.uint64))[0]) >> (64 - L.BITS)
+
+    for t in texts:
+        paragraphs, own = [], []
+        for line in t.split("\n"):
+            found = word.findall(line)
+            if found:
+                own += found
+            elif own:
+                paragraphs.append(own)
+                own = []
+        for own in [*paragraphs, own]:
+            at = 0
+            while own:
+                part = own[at:at + L.STRETCH]
+                grams = {bucket(part[i:i + k]) for k in (1, 2, 3) for i in range(len(part) - k + 1)}
+                z = [(sum(float(model.weights[g, c]) for g in grams) / math.sqrt(len(grams)) + float(model.bias[c])) / model.temperature for c in range(len(model.classes))]
+                top = max(z)
+                want.append([math.exp(v - top) / sum(math.exp(u - top) for u in z) for v in z])
+                if at + L.STRETCH >= len(own):
+                    break
+                at += L.STRETCH // 2
+    assert p.shape == (len(want), len(model.classes)) and np.abs(p - np.array(want)).max() < 1e-3
+
+
+def test_sample_takes_whole_texts_and_is_bounded(spark):
+    long = " ".join(f"v{i}" for i in range(9000))
+    d = spark.createDataFrame([(i, long if i == 3 else f"line {i}\nother {i}") for i in range(50)], "doc_id long, text string")
+    got = L.sampled_stretches(d, sample_docs=50, sample_stretches=1000)
+    assert len(got) == 98 + -(-9000 // L.STRETCH) and any("v8999" in x for x in got)
+    few = L.sampled_stretches(d, sample_docs=50, sample_stretches=40)
+    assert len(few) == 40 and set(few) <= set(got) and few == L.sampled_stretches(d.repartition(4), sample_docs=50, sample_stretches=40)
