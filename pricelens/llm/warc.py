@@ -16,7 +16,8 @@ through marker rows that sort beside their record, so payloads are shuffled
 once.
 
 Null ``html`` is an empty payload.  A null ``page_id`` is never a revisit and
-never referred to (nothing names it).  Of repeated rows (same id and payload)
+never referred to (nothing names it); such rows are dealt to shards of their
+own by the hash of URL and payload.  Of repeated rows (same id and payload)
 the first is the response and the rest revisit it.  A null ``url`` leaves out
 the target URI.  An empty table gives an archive without files.  Other columns
 are not written.
@@ -43,6 +44,8 @@ from .common import new_folder, staged
 #: Payload bytes of a shard, and compressed bytes after which a file rolls.
 SHARD_BYTES = 32 << 20
 ROLL_BYTES = 8 << 20
+#: Files of a manifest that are sent to all executors; a longer one is joined.
+LISTED_FILES = 100_000
 DATE = "2026-01-01T00:00:00Z"
 SOFTWARE = "pricelens warc writer"
 _NS = uuid.UUID("6f1c8a54-93cf-4a83-9a0c-7be9a1d5a2f1")
@@ -131,6 +134,10 @@ def write_archive(pages: DataFrame, root: str | None = None, shard_bytes: int =
     groups = staged(narrow.where(F.col("page_id").isNotNull()).groupBy("digest")
                     .agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-groups")
     starts = _shards(narrow, shard_bytes)
+    # rows without an id have no order: they are dealt by hash to as many further shards as their bytes ask for
+    unnamed = narrow.where(F.col("page_id").isNull()).agg(F.sum("n_bytes")).first()[0]
+    named, loose = len(starts), 0 if unnamed is None else -(-unnamed // shard_bytes) or 1
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * (named + loose))
     markers = (narrow.join(groups, "digest").where(F.col("page_id") < F.col("refers_to")).distinct()
                .select("page_id", F.lit(0).alias("kind"), "digest", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload")))
     rows = records.select("page_id", F.lit(1).alias("kind"), F.sha1("payload").alias("digest"), F.lit(None).cast("long").alias("refers_to"), "url", "payload").unionByName(markers)
@@ -138,9 +145,12 @@ def write_archive(pages: DataFrame, root: str | None = None, shard_bytes: int =
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+            ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             shard = np.maximum(np.searchsorted(cuts.value, ids, "right") - 1, 0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard, pa.int64())], [*b.schema.names, "shard"])
+            if b.column(0).null_count:
+                spread = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False) % loose + named
+                shard = np.where(b.column(0).is_null().to_numpy(zero_copy_only=False), spread, shard)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(shard, pa.int64())], [*b.schema.names[:-1], "shard"])
 
     store, folder = fs.FileSystem.from_uri(root)
     store.create_dir(f"{folder}/data", recursive=True)
@@ -179,8 +189,9 @@ def write_archive(pages: DataFrame, root: str | None = None, shard_bytes: int =
         if done:
             yield pa.RecordBatch.from_pylist([dict(zip(("file", "shard", "records", "bytes", "sha1", "first_page_id", "last_page_id"), x, strict=True)) for x in done], schema=_MANIFEST_ARROW)
 
+    rows = rows.withColumn("spread", F.shiftrightunsigned(F.xxhash64("url", "digest"), 1))
     placed = rows.mapInArrow(place, "page_id long, kind int, digest string, refers_to long, url string, payload binary, shard long")
-    (placed.repartition("shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    (placed.repartition(parts, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
      .mapInArrow(write, _MANIFEST).write.parquet(f"{root}/manifest"))
     return root
 
@@ -207,18 +218,26 @@ def _parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_archive(spark: SparkSession, root: str, payload: bool = True) -> DataFrame:
-    """The records of an archive, digests checked; ``payload`` is null for revisits or when not asked for."""
-    files = manifest(spark, root)
-    data = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(f"{root}/data")
-    listed = data.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"))
-    missing = files.select("file", "bytes").exceptAll(listed).count()
+    """The records of an archive; ``payload`` is null for revisits or when not asked for.
+
+    Only the files of the manifest are read, whatever else lies beside them.
+    Their sizes and digests, and those of all records, are checked.
+    """
+    files = manifest(spark, root).select("file", "bytes", "sha1")
+    data = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(f"{root}/data").withColumn("file", F.element_at(F.split("path", "/"), -1))
+    missing = files.select("file", "bytes").exceptAll(data.select("file", F.col("length").alias("bytes"))).count()
     if missing:
         raise ValueError(f"{missing} files of the manifest are missing or of another size in {root}")
+    listed = files.select("file", "sha1")
+    if listed.count() <= LISTED_FILES:
+        listed = F.broadcast(listed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b.column(0):
+            for content, sha1 in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 rows = []
+                if hashlib.sha1(memoryview(content.as_buffer())).hexdigest() != sha1:
+                    raise ValueError("a file differs from the manifest")
                 for head, block in _parse(gzip.GzipFile(fileobj=io.BytesIO(memoryview(content.as_buffer())))):
                     if head["warc-type"] == "warcinfo":
                         continue
@@ -234,7 +253,7 @@ def read_archive(spark: SparkSession, root: str, payload: bool = True) -> DataFr
                 if rows:
                     yield _batch(rows)
 
-    return data.select("content").mapInArrow(run, _RECORD)
+    return data.join(listed, "file").select("content", "sha1").mapInArrow(run, _RECORD)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from pricelens.llm import queries, warc
 
@@ -76,3 +77,27 @@ def test_empty_table_and_sql(spark, tmp_path):
     con.register("pages", spark.createDataFrame(rows, "page_id long, url string, html string").toPandas())
     cols = "page_id, payload_bytes, payload_digest, record_type, refers_to"
     assert sorted(con.execute(f"SELECT {cols} FROM ({queries.ORACLE['op2_warc']})").fetchall(), key=str) == brute(rows)
+
+
+def test_rows_without_id_fill_shards_of_their_own(spark, tmp_path):
+    rows = [(None if i % 10 else i, f"u{i}", "x" * 300 + str(i)) for i in range(2000)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    root = warc.write_archive(d, (tmp_path / "a").as_uri(), shard_bytes=20_000)
+    n = [r.records for r in warc.manifest(spark, root).collect()]
+    assert sum(n) == 2000 and len(n) > 25 and max(n) < 130
+    assert warc.read_archive(spark, root).where("record_type = 'response'").count() == 2000
+
+
+def test_reader_keeps_to_the_manifest(spark, tmp_path):
+    import shutil
+
+    d = spark.createDataFrame([(i, f"u{i}", f"p{i}") for i in range(50)], "page_id long, url string, html string")
+    root = warc.write_archive(d, (tmp_path / "a").as_uri())
+    (name,) = [r.file for r in warc.manifest(spark, root).collect()]
+    shutil.copy(tmp_path / "a" / "data" / name, tmp_path / "a" / "data" / "pages-000009-00000.warc.gz")
+    assert warc.read_archive(spark, root).count() == 50  # the stray file isn't read
+    good = warc.manifest(spark, root)
+    damaged = good.withColumn("sha1", F.reverse("sha1")).collect()
+    spark.createDataFrame(damaged, good.schema).write.mode("overwrite").parquet(f"{root}/manifest")
+    with pytest.raises(Exception, match="differs from the manifest"):
+        warc.read_archive(spark, root).count()
