@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pricelens.functions.unicode import ascii_digits, casefold
 from pricelens.params import (
     IMAGE_SIZE_PATTERN, IMAGE_SIZE_TARGET, PY_WHITESPACE_CHARS, PY_WHITESPACE_CLASS,
 )
@@ -34,9 +35,8 @@ def py_strip(c) -> Column:
 
 
 def normalize_query(c) -> Column:
-    """Trim, collapse inner blanks to one space, case-fold (with ß -> ss)."""
-    collapsed = F.regexp_replace(py_strip(c), rf"{WS}+", " ")
-    return F.replace(F.lower(collapsed), F.lit("ß"), F.lit("ss"))
+    """Trim, collapse inner blanks to one space, case-fold."""
+    return casefold(F.regexp_replace(py_strip(c), rf"{WS}+", " "))
 
 
 def parse_price(c) -> Column:
@@ -47,7 +47,7 @@ def parse_price(c) -> Column:
     trailing blanks are ignored.  A number beyond the BIGINT type is NULL.
     """
     run = F.regexp_extract(_c(c), rf"({DIGIT}[{DIGIT}{WS[1:-1]}.]*)", 1)
-    digits = py_strip(F.regexp_replace(run, r"[ \x{A0}.]", ""))
+    digits = ascii_digits(py_strip(F.regexp_replace(run, r"[ \x{A0}.]", "")))
     return F.when(digits.rlike(r"^[0-9]+$"), digits.try_cast("bigint"))
 
 
@@ -73,7 +73,7 @@ def battery_digits(text) -> Column:
 
 def battery_number(digits) -> Column:
     """The matched digits as a number, unchecked (NULL if none)."""
-    m = _c(digits)
+    m = ascii_digits(_c(digits))
     return F.when(m.rlike(r"^[0-9]+$"), m.try_cast("int"))
 
 
