@@ -191,7 +191,7 @@ def write_archive(pages: DataFrame, root: str | None = None, shard_bytes: int =
 
     rows = rows.withColumn("spread", F.shiftrightunsigned(F.xxhash64("url", "digest"), 1))
     placed = rows.mapInArrow(place, "page_id long, kind int, digest string, refers_to long, url string, payload binary, shard long")
-    (placed.repartition(parts, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    (placed.repartitionByRange(parts, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
      .mapInArrow(write, _MANIFEST).write.parquet(f"{root}/manifest"))
     return root
 
