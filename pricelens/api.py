@@ -102,19 +102,18 @@ class Tracker:
                 .orderBy("query", "seen_at", "seq"))
 
     def saved_searches(self) -> DataFrame:
-        return SE.saved_searches(self.listings())
+        return SE.newest_first(self.store.summaries())
 
     def cached(self, query: str, now: datetime | None = None) -> tuple[DataFrame, DataFrame] | None:
         """The cached result of a search while it is fresh: its report from the
         stored active listings and the reviewed top.  None when the search is
         stale or unknown, so that it must be scanned again."""
         q = _normalized(self.spark, query)
-        active = self.listings().filter((F.col("query") == q) & F.col("is_active"))
-        fresh = SE.search_freshness(active, now or datetime.now(timezone.utc),
-                                    self.params.cache_ttl_hours)
-        row = fresh.first()
+        last = self.store.summaries().filter(F.col("query") == q).select("query", F.col("last_seen").alias("last_scan"))
+        row = SE.with_freshness(last, now or datetime.now(timezone.utc), self.params.cache_ttl_hours).first()
         if row is None or not row["fresh"]:
             return None
+        active = self.listings().filter((F.col("query") == q) & F.col("is_active"))
         return M.market_report(active), SE.top_reviewed(active, self.params.ai_limit)
 
     def export(self, query: str, path: str, fmt: str = "csv") -> None:

@@ -16,20 +16,25 @@ def _active(listings: DataFrame) -> DataFrame:
 
 def saved_searches(listings: DataFrame) -> DataFrame:
     """Per search: active listing count and last scan time, newest first."""
-    return (_active(listings).groupBy("query")
-            .agg(F.count(F.lit(1)).alias("n_active"), F.max("scraped_at").alias("last_seen"))
-            .orderBy(F.col("last_seen").desc(), "query"))
+    return newest_first(_active(listings).groupBy("query").agg(F.count(F.lit(1)).alias("n_active"), F.max("scraped_at").alias("last_seen")))
+
+
+def newest_first(summaries: DataFrame) -> DataFrame:
+    return summaries.orderBy(F.col("last_seen").desc(), "query")
 
 
 def search_freshness(listings: DataFrame, now: datetime, ttl_hours: float) -> DataFrame:
     """Per search: last scan of its active listings and whether it is still
     fresh (``now - last <= ttl``); ``ttl <= 0`` means never fresh."""
-    last = _active(listings).groupBy("query").agg(F.max("scraped_at").alias("last_scan"))
+    return with_freshness(_active(listings).groupBy("query").agg(F.max("scraped_at").alias("last_scan")), now, ttl_hours)
+
+
+def with_freshness(last: DataFrame, now: datetime, ttl_hours: float) -> DataFrame:
+    """Add ``fresh`` to (query, last_scan)."""
     if ttl_hours <= 0:
         fresh = F.lit(False)
     else:
-        fresh = F.coalesce(F.col("last_scan") >= ts_lit(now - timedelta(hours=ttl_hours)),
-                           F.lit(False))
+        fresh = F.coalesce(F.col("last_scan") >= ts_lit(now - timedelta(hours=ttl_hours)), F.lit(False))
     return last.withColumn("fresh", fresh)
 
 

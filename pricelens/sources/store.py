@@ -3,11 +3,16 @@
     <root>/listings/scan_id=<id>/bucket=<k>/    the listing rows a scan changed
     <root>/price_history/scan_id=<id>/          the price changes it found
     <root>/retired/                             keys that retention deleted
+    <root>/versions/scan_id=<id>/               the scan's version, one row
+    <root>/summaries/scan_id=<id>/              active count and last sight of each search scanned
 
 Every scan writes (overwrites) only folders of its own name, from the state of
 the other scans, so a re-run after any failure gives the same rows; Spark's
-commit hides what a failed job left.  The listing folder is written last and
-marks the scan as applied.  A listing's state is its row of the highest
+commit hides what a failed job left.  The version is written first, the
+summary last, and marks the scan as applied.  A scan writes all rows of its
+searches, and retention deletes inactive listings only, so a search's summary
+of the highest version holds until its next scan: saved searches and freshness
+merge the summaries and never read the log.  A listing's state is its row of the highest
 ``version`` (one partial aggregate); retention appends keys instead of
 rewriting data, and ``copy_to`` writes a compact copy.  The root must be a
 shared folder on a cluster.
@@ -34,6 +39,9 @@ def _with(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.StructType
 
 _STATE = _with(schemas.STORED_LISTINGS, ("version", T.LongType()), ("scan_id", T.StringType()), ("bucket", T.IntegerType()))
 _HISTORY = _with(schemas.PRICE_HISTORY, ("version", T.LongType()), ("scan_id", T.StringType()))
+_VERSION = T.StructType([T.StructField("version", T.LongType()), T.StructField("scan_id", T.StringType())])
+_SUMMARY = T.StructType([T.StructField("query", T.StringType()), T.StructField("n_active", T.LongType()), T.StructField("last_seen", T.TimestampType()),
+                         T.StructField("version", T.LongType()), T.StructField("scan_id", T.StringType())])
 _RETIRED = T.StructType([T.StructField("id", T.StringType()), T.StructField("query", T.StringType()), T.StructField("retired", T.LongType())])
 
 
@@ -51,7 +59,7 @@ class ListingStore:
         return f"{self.root}/{table}/scan_id={quote(scan_id, safe='')}"
 
     def applied(self, scan_id: str) -> bool:
-        return self.exists(f"{self._part('listings', scan_id)}/_SUCCESS")
+        return self.exists(f"{self._part('summaries', scan_id)}/_SUCCESS")
 
     def _bucket(self):
         return F.pmod(F.hash("query"), F.lit(self.buckets))
@@ -87,7 +95,8 @@ class ListingStore:
         if self.applied(scan_id):
             return
         log = self._table("listings", _STATE).filter(F.col("scan_id") != scan_id)
-        version = (log.agg(F.max("version")).first()[0] or 0) + 1
+        version = self._version(scan_id) + 1
+        self.spark.range(1).select(F.lit(version).cast("long").alias("version")).write.mode("overwrite").parquet(self._part("versions", scan_id))
         searches = batch.select("query", self._bucket().alias("bucket")).distinct()
         state = self._state(log.join(searches, ["bucket", "query"], "left_semi"))
         new = TB.append_history_from_state(state, batch).select(*schemas.PRICE_HISTORY.fieldNames(), F.lit(version).alias("version"))
@@ -97,13 +106,30 @@ class ListingStore:
         (now.select(*schemas.STORED_LISTINGS.fieldNames()).withColumns({"version": F.lit(version), "bucket": self._bucket()})
          .repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "query", "price_score")
          .write.mode("overwrite").partitionBy("bucket").parquet(self._part("listings", scan_id)))
+        self._summarise(scan_id, version)
+
+    def _version(self, but: str = "") -> int:
+        """The highest version of the scans other than ``but``."""
+        return self._table("versions", _VERSION).filter(F.col("scan_id") != but).agg(F.max("version")).first()[0] or 0
+
+    def _summarise(self, scan_id: str, version: int) -> None:
+        """Write the active count and last sight of each search of a scan, from the rows it wrote."""
+        rows = self.spark.read.schema(_STATE).parquet(self._part("listings", scan_id))
+        active = F.coalesce(F.col("is_active"), F.lit(True))
+        (rows.groupBy("query").agg(F.count(F.when(active, 1)).alias("n_active"), F.max(F.when(active, F.col("scraped_at"))).alias("last_seen"))
+         .withColumn("version", F.lit(version).cast("long")).write.mode("overwrite").parquet(self._part("summaries", scan_id)))
+
+    def summaries(self) -> DataFrame:
+        """Searches with active listings: query, n_active, last_seen."""
+        last = self._table("summaries", _SUMMARY).groupBy("query").agg(F.max_by(F.struct("n_active", "last_seen"), "version").alias("l"))
+        return last.select("query", "l.*").filter("n_active > 0")
 
     def prune(self, now: datetime, days: int) -> list[tuple[str, int]]:
         """Retention: retire inactive listings last seen before ``now - days``, with their history."""
         listings, history = self.read("listings"), self.read("price_history")
         counts = [(r["table"], r["deleted"]) for r in TB.prune_counts(history, listings, now, days).collect()]
         if days > 0 and any(n for _, n in counts):
-            version = self._table("listings", _STATE).agg(F.max("version")).first()[0]
+            version = self._version()
             TB.stale_listings(listings, now, days).select(*KEY, F.lit(version).cast("long").alias("retired")).write.mode("append").parquet(f"{self.root}/retired")
         return counts
 
@@ -114,4 +140,6 @@ class ListingStore:
         self.read("price_history").select("*", one).write.parquet(other._part("price_history", "base"))
         (self._state(self._table("listings", _STATE)).select("*", one, other._bucket().alias("bucket"))
          .write.partitionBy("bucket").parquet(other._part("listings", "base")))
+        self.spark.range(1).select(one).write.parquet(other._part("versions", "base"))
+        other._summarise("base", 1)
         return other

@@ -250,3 +250,33 @@ def test_retired_keys_can_come_back_and_copy(spark, tmpdir_path):
     assert rows(c.read("listings"), "id", "price_nok", order=["id"]) == want
     _scan(c, spark, [listing(1, 3000, now)])
     assert c.read("price_history").count() == 3
+
+
+def test_summaries_equal_the_folded_state(spark, tmp_path):
+    """Random scans, complete and partial, a scan that fails before its summary, retention, a compact copy."""
+    import random
+    from datetime import datetime, timedelta
+
+    from pricelens.operators import searches as SE
+    from pricelens.sources.store import ListingStore
+    from tests.helpers import batch, listing
+
+    rng = random.Random(8)
+    store, t0 = ListingStore(spark, str(tmp_path / "s"), buckets=2), datetime(2026, 1, 1)
+    same = lambda st: sorted(map(tuple, SE.saved_searches(st.read("listings")).collect())) == sorted(map(tuple, SE.newest_first(st.summaries()).collect()))
+    for n in range(5):
+        at = t0 + timedelta(days=20 * n)
+        items = [listing(rng.randrange(12), rng.randrange(100, 110), at=at, query=q) for q in rng.sample(["a", "b", "c"], 2) for _ in range(5)]
+        rows = batch(spark, items)
+        if n == 3:  # fails after the listings: not applied, and repeated
+            summarise, store._summarise = store._summarise, lambda *_: None
+            store.apply_scan(rows, f"s{n}")
+            store._summarise = summarise
+            assert not store.applied(f"s{n}")
+        store.apply_scan(rows, f"s{n}", prune_missing=n % 2 == 0)
+        assert store.applied(f"s{n}")
+        store.prune(at, 30)
+    assert same(store)
+    plan = store.summaries()._jdf.queryExecution().optimizedPlan().toString()
+    assert "price_nok" not in plan and len(store.summaries().inputFiles()) > 0 and all("/summaries/" in f for f in store.summaries().inputFiles())
+    assert same(store.copy_to(str(tmp_path / "copy")))
