@@ -10,10 +10,13 @@ Scale notes
   the previous one is the same aggregate over rows strictly before it, found
   with an equi-join on the key that AQE can split when a key is hot.
 * ``price_changes`` (the full rebuild) and ``step_changes`` need each row's
-  predecessor within its key.  ``previous_value`` gets it from a window per
-  (key, day), so one listing holding a third of all rows is spread over its
-  days; the first row of a day takes the last row of the key's day before from
-  a table with one row per (key, day).  Everything is keyed on data, so the
+  predecessor within its key.  ``previous_value`` scans in pieces: rows are
+  ordered within their (key, second) only, the first row of a second takes the
+  last value before it from a table with one row per (key, second), whose own
+  predecessors are found in the same way per (key, day), then per key.  So a
+  listing holding a third of all rows, even inside one hour, is spread over its
+  seconds, and no task orders more than one second's rows, one day's seconds or
+  one key's days.  Everything is keyed on data, so the
   result does not depend on how Spark deals or re-runs partitions.  The
   incremental path (``tables.append_history``) only windows the last stored
   row plus the new batch rows of a key.
@@ -39,18 +42,30 @@ def observations_to_history(obs: DataFrame) -> DataFrame:
                     F.col("scraped_at").alias("seen_at"), "seq"))
 
 
+#: Pieces that a key's rows are ordered in, fine to coarse; each follows from the one before.
+CELLS = (("_second", lambda t: F.coalesce(F.date_trunc("second", t), F.lit("0001-01-01").cast("timestamp"))),
+         ("_day", lambda t: F.to_date(t)))
+
+
 def previous_value(df: DataFrame, keys: list[str], order: list[str], value: str, out: str = "_prev") -> DataFrame:
     """Add ``out`` = ``value`` of the previous row of the same key in ``order``
     (NULL for a key's first row).  ``order`` starts with a timestamp; rows
     equal in it are ordered by ``value``.  See the module notes."""
-    day = F.coalesce(F.to_date(order[0]), F.lit("0001-01-01").cast("date"))
-    rows = df.withColumn("_day", day)
-    last = rows.groupBy(*keys, "_day").agg(F.max(F.struct(*order, value)).alias("_last"))
-    before = last.select(*keys, "_day", F.lag(F.col(f"_last.{value}")).over(Window.partitionBy(*keys).orderBy("_day")).alias("_before"))
-    w = Window.partitionBy(*keys, "_day").orderBy(*order, value)
+    return _previous(df, keys, order, value, CELLS, out)
+
+
+def _previous(df: DataFrame, keys: list[str], order: list[str], value: str, cells: tuple, out: str) -> DataFrame:
+    if not cells:
+        return df.select("*", F.lag(value).over(Window.partitionBy(*keys).orderBy(*order, value)).alias(out))
+    (cell, cut), *coarser = cells
+    rows = df.withColumn(cell, cut(F.col(order[0])))
+    piece = [*keys, cell]
+    last = rows.groupBy(*piece).agg(F.max(F.struct(*order, value)).alias("_last")).select(*piece, F.col(f"_last.{value}").alias("_value"))
+    before = _previous(last, keys, [cell], "_value", tuple(coarser), f"_before{cell}").drop("_value")
+    w = Window.partitionBy(*piece).orderBy(*order, value)
     inner = rows.withColumns({"_inner": F.lag(value).over(w), "_first": F.row_number().over(w) == 1})
-    return (inner.join(before, [*keys, "_day"], "left")
-            .select(*df.columns, F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_inner")).alias(out)))
+    return (inner.join(before, piece, "left")
+            .select(*df.columns, F.when(F.col("_first"), F.col(f"_before{cell}")).otherwise(F.col("_inner")).alias(out)))
 
 
 def price_changes(obs: DataFrame, keep_previous: bool = False) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The day-split lag equals a per-key window, also for a hot key."""
+"""The lag in pieces equals a per-key window, also for a hot key."""
 
 import os
 
@@ -54,6 +54,32 @@ def test_equal_to_a_plain_window_at_scale_without_reuse(spark):
                 spark.conf.set(k, "true")
 
 
+def test_a_third_of_all_rows_inside_one_hour(spark):
+    # the hot key: 30 000 rows in one hour, several a second and some in one microsecond; a null time, equal rows
+    hot = spark.range(30_000).selectExpr("'hot' AS listing_id", "'q' AS query", "id * 7919 % 13 AS price",
+                                         "timestamp_micros(1767225600000000 + id DIV 3 * 360007) AS seen_at", "id AS seq")
+    cold = spark.range(60_000).selectExpr("'k' || id % 700 AS listing_id", "'q' AS query", "id % 5 AS price",
+                                          "timestamp_micros(1767225600000000 + id * 9000000000) AS seen_at", "id AS seq")
+    odd = spark.sql("SELECT 'odd' AS listing_id, 'q' AS query, p AS price, CAST(t AS TIMESTAMP) AS seen_at, s AS seq FROM VALUES "
+                    "(5L, NULL, 1L), (6L, '2026-01-01 00:00:00', 1L), (6L, '2026-01-01 00:00:00', 1L), (NULL, '2026-01-01 00:00:00.5', 2L), (7L, '2026-01-02', 3L) AS v(p, t, s)")
+    df = hot.unionByName(cold).unionByName(odd)
+    got = H.previous_value(df, ["listing_id", "query"], ["seen_at", "seq"], "price")
+    want = _reference_lag(df)
+    assert got.count() == want.count() == 90_005
+    assert got.exceptAll(want).count() == 0
+    # what one task of the row-level window orders: pieces of the hot key are small and fall evenly on 20 tasks
+    dealt = (df.repartition(20, "listing_id", "query", F.date_trunc("second", "seen_at")).groupBy(F.spark_partition_id().alias("p")).count())
+    most, middle = dealt.agg(F.max("count"), F.percentile("count", 0.5)).first()
+    assert most < 2 * middle
+
+
+def test_no_window_over_the_rows_of_a_key_or_day(spark):
+    h = H.observations_to_history(S.obs(spark, SF))
+    plan = H.previous_value(h, ["listing_id", "query"], ["seen_at", "seq"], "price")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [lag(price" in line]
+    assert len(windows) == 1 and "_second" in windows[0].rsplit("], [", 2)[1]
+
+
 def test_one_full_size_shuffle(spark):
     plan = H.price_changes(S.obs(spark, SF))._jdf.queryExecution().sparkPlan().toString()
     assert "RangePartitioning" not in plan and "rangepartitioning" not in plan
