@@ -20,7 +20,8 @@ validation stays as it is.
 
 It is one projection: no shuffle, so hot sources and repeated rows do not
 matter.  Null text stays null, text without a value is unchanged.  Other
-columns pass through; ``n_pii`` is replaced.
+columns pass through, whatever their names; ``n_pii`` is replaced.  An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 ROUNDS = 8
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _YEAR, _MONTH, _DAY = r"(?:1[89]|2[01])[0-9]{2}", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12][0-9]|3[01])"
@@ -167,20 +170,24 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     ``key`` is the secret of the permutation: the same key links values across
     runs, another key gives unrelated pseudonyms.
     """
-    secret = "'" + key.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    some = F.col(text).rlike("[0-9@]") & F.col(text).rlike(PATTERN)
-    names = ("_m", "_parts", "_x")
-    d = docs.drop("n_pii").withColumn("_some", F.coalesce(some, F.lit(False)))
+    spark = docs.sparkSession
+    d = docs.drop("n_pii")
+    some, m, parts, x, secret = (fresh(n, docs.columns) for n in ("_some", "_m", "_parts", "_x", "_secret"))
+    # The key comes from a one-row table as a scalar subquery: no plan or event log shows it.
+    row = spark.sql("SELECT * FROM VALUES (:key) AS t(key)", args={"key": key})
+    found = F.col(text).rlike("[0-9@]") & F.col(text).rlike(PATTERN)
+    d = d.withColumn(some, F.coalesce(found, F.lit(False)))
     d = d.withColumns({
-        "_m": F.when(F.col("_some"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))),
-        "_parts": F.when(F.col("_some"), F.split(text, PATTERN)),
+        m: F.when(F.col(some), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))),
+        parts: F.when(F.col(some), F.split(text, PATTERN)),
+        secret: F.when(F.col(some), row.scalar()),
     })
-    d = d.withColumn("_x", F.expr(f"transform(_m, m -> named_struct('m', m, 'd', {_DIGITS}, 'k', {_kind()}))"))
-    d = d.withColumn("_x", F.expr(f"""transform(_x, x -> named_struct('m', x.m, 'd', x.d, 'k', x.k, 'n', {_number()},
+    d = d.withColumn(x, F.expr(f"transform(`{m}`, m -> named_struct('m', m, 'd', {_DIGITS}, 'k', {_kind()}))"))
+    d = d.withColumn(x, F.expr(f"""transform(`{x}`, x -> named_struct('m', x.m, 'd', x.d, 'k', x.k, 'n', {_number()},
         'name', CASE x.k WHEN 'email' THEN substring_index(x.m, '@', 1) WHEN 'key' THEN substr(x.m, 5) END))"""))
-    d = d.withColumn("_x", F.expr(f"transform(_x, x -> named_struct('m', x.m, 'd', x.d, 'k', x.k, 'f', {_rounds(secret)}, 's', {_string_rounds(secret)}))"))
-    d = d.withColumn("_x", F.expr(f"transform(_x, x -> named_struct('k', x.k, 'v', {_written()}))"))
+    d = d.withColumn(x, F.expr(f"transform(`{x}`, x -> named_struct('m', x.m, 'd', x.d, 'k', x.k, 'f', {_rounds(f'`{secret}`')}, 's', {_string_rounds(f'`{secret}`')}))"))
+    d = d.withColumn(x, F.expr(f"transform(`{x}`, x -> named_struct('k', x.k, 'v', {_written()}))"))
     return d.withColumns({
-        text: F.when(F.col("_some"), F.expr("array_join(zip_with(_parts, _x, (p, x) -> concat(p, coalesce(x.v, ''))), '')")).otherwise(F.col(text)),
-        "n_pii": F.when(F.col("_some"), F.size(F.filter("_x", lambda x: x["k"].isNotNull()))).otherwise(F.lit(0)).cast("long"),
-    }).drop("_some", *names)
+        text: F.when(F.col(some), F.expr(f"array_join(zip_with(`{parts}`, `{x}`, (p, x) -> concat(p, coalesce(x.v, ''))), '')")).otherwise(F.col(text)),
+        "n_pii": F.when(F.col(some), F.size(F.filter(x, lambda v: v["k"].isNotNull()))).otherwise(F.lit(0)).cast("long"),
+    }).drop(some, m, parts, x, secret)

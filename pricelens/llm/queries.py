@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 from collections.abc import Callable
 
 import public_tokenizers
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, divergence, jaccard, language, licenses, negatives, pii, preference, quality, shards, substring, warc
 
-#: Secret of the pseudonyms; a deployment sets its own.
-PII_KEY = os.environ.get("PRICELENS_PII_KEY", "pricelens")
+#: Secret of the pseudonyms.  Without the variable each process draws its own, so
+#: that nobody can undo them; set it to link values across runs.
+PII_KEY = os.environ.get("PRICELENS_PII_KEY") or secrets.token_hex(32)
 #: Place of the public byte-level BPE file; a parameter of the query.
 TOKENIZER = os.environ.get("PRICELENS_BPE") or public_tokenizers.path("byte_bpe_50k.json")
 

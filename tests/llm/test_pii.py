@@ -138,3 +138,16 @@ def test_phones_without_separators(spark):
     assert len({re.sub(r"\D", "", r[i].text)[-10:] for i in (0, 1, 2, 3, 5, 6)}) == 1
     stay = ["1125550100", "2121550100", "1234567890", "212555010", "212555010099"]
     assert [x.text for x in sorted(apply(spark, stay).values(), key=lambda x: x.doc_id)] == stay
+
+
+def test_helper_names_and_the_key_stay_out(spark):
+    d = spark.createDataFrame([(1, "mail ann.lee@example.org now", "a", "b", "c", "d", "e", "f")], "doc_id long, text string, _m string, _parts string, _x string, _some string, _secret string, x string")
+    out = pii.pseudonymised(d, "a-very-secret-key")
+    assert out.columns == [*d.columns, "n_pii"]
+    (r,) = out.collect()
+    assert r[2:8] == ("a", "b", "c", "d", "e", "f") and r.n_pii == 1 and "ann.lee" not in r.text
+    for mode in ("extended", "formatted", "codegen"):
+        assert "a-very-secret-key" not in spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), mode)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Join" not in plan and "Exchange" not in plan
+    assert pii.pseudonymised(d.limit(0), KEY).count() == 0
