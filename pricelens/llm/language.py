@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from pricelens.operators.attach import attach
 
-from .common import mix, release, slices, staged, text_buffers
+from .common import fresh, mix, release, slices, staged, text_buffers
 
 GRAM = 4
 MIN_SHARE = 1e-5
@@ -142,11 +142,13 @@ def _places(grams: np.ndarray, m: int) -> list[np.ndarray]:
     return [((h + np.uint64(i) * step) & np.uint64(m - 1)).astype(np.int64) for i in range(HASHES)]
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageFilter:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", min_share: float = MIN_SHARE, dominance: float = DOMINANCE) -> LanguageFilter:
     """Fit the filter on all rows of ``docs`` whose language is not null.
 
-    The driver receives the owned n-grams only, at most ``1 / MIN_SHARE`` for
-    each language.
+    The driver receives the owned n-grams only, at most ``1 / min_share`` for
+    each language.  With ``min_share`` and ``dominance`` 0 a language owns
+    every n-gram it was seen with: the full filter, whose size only the number
+    of distinct n-grams bounds.
     """
     counts = staged(docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
               .select(F.col(text).alias("text"), F.col(lang).alias("lang"))
@@ -155,14 +157,14 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageFi
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     owned = (attach(counts, totals, "lang", "gram", "inner")
              .select("lang", "gram", (F.col("n") / F.col("total")).alias("share"), "total")
-             .where(F.col("share") >= MIN_SHARE)).toArrow()
+             .where(F.col("share") >= min_share)).toArrow()
     names, gram, share, total = (owned.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "gram", "share", "total"))
     size = dict(zip(names.tolist(), total.tolist(), strict=True))
     langs = sorted(size, key=lambda x: (-size[x], x))
     uniq, at = np.unique(gram, return_inverse=True)
     top = np.zeros(len(uniq))
     np.maximum.at(top, at, share)
-    strong = share >= DOMINANCE * top[at]
+    strong = share >= dominance * top[at]
     m = 1 << max(10, int(ROWS_PER_GRAM * max(1, len(uniq)) - 1).bit_length())
     rows = np.zeros((m, max(1, -(-len(langs) // 64))), dtype=np.uint64)
     for k, name in enumerate(langs):
@@ -185,22 +187,24 @@ def _popcounts(f: LanguageFilter, col: pa.Array) -> tuple[np.ndarray, np.ndarray
 
 def predict(docs: DataFrame, model: LanguageFilter, text: str = "text", floor: float = 0.0) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (share of n-grams explained, 0 to 1); under ``floor`` it is ``und``."""
-    foreign = (F.col("_grams") >= LEAST_GRAMS) & (F.col("score") < floor)
-    return _scored(docs, model, text).withColumn("lang_pred", F.when(foreign, F.lit("und")).otherwise(F.col("lang_pred"))).drop("_grams")
+    grams = fresh("grams", docs.columns)
+    foreign = (F.col(grams) >= LEAST_GRAMS) & (F.col("score") < floor)
+    return _scored(docs, model, text, grams).withColumn("lang_pred", F.when(foreign, F.lit("und")).otherwise(F.col("lang_pred"))).drop(grams)
 
 
 def calibrated(docs: DataFrame, model: LanguageFilter, text: str = "text", lang: str = "lang") -> float:
     """The floor of ``predict`` by the labelled rows of ``docs``: half the score that all but 0.1 % of them reach."""
-    rows = _scored(docs.where(F.col(lang).isNotNull()).select(text, lang), model, text).where((F.col("_grams") >= LEAST_GRAMS) & (F.col(lang) == F.col("lang_pred")))
+    labelled = docs.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    rows = _scored(labelled, model, "text", "grams").where((F.col("grams") >= LEAST_GRAMS) & (F.col("lang") == F.col("lang_pred")))
     low = rows.agg(F.percentile_approx("score", FLOOR_TAIL)).collect()[0][0]
     return FLOOR_PART * (low or 0.0)
 
 
-def _scored(docs: DataFrame, model: LanguageFilter, text: str) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` and ``_grams``, the number of n-grams."""
+def _scored(docs: DataFrame, model: LanguageFilter, text: str, grams: str) -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` and ``grams``, the number of n-grams."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "_letters", "_grams")]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("_grams", T.LongType())])
+    keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField(grams, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = held.value
@@ -215,11 +219,11 @@ def _scored(docs: DataFrame, model: LanguageFilter, text: str) -> DataFrame:
                 names = np.where(letters, np.array(f.langs, dtype=object)[best], "und")
             else:
                 score, names = np.zeros(len(n)), np.full(len(n), "und", dtype=object)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(score), pa.array(n)], [*keep, "lang_pred", "score", "_grams"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(score), pa.array(n)], [*keep, "lang_pred", "score", grams])
         release()
 
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*keep, letters.alias("_letters")).mapInArrow(run, schema)
+    return docs.select(*keep, letters.alias(fresh("letters", keep))).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -227,8 +231,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """Train on the rows not held out and predict every row of ``docs``."""
+def identify(docs: DataFrame, **options) -> DataFrame:
+    """Train (with ``options``) on the rows not held out and predict every row of ``docs``."""
     marked = docs.withColumn("held_out", held_out())
-    model = train(marked.where(~F.col("held_out")))
+    model = train(marked.where(~F.col("held_out")), **options)
     return predict(marked, model)

@@ -5,8 +5,9 @@
 run; nothing is shuffled, so hot sources and copies do not matter.
 
 Null text counts as empty (no words: fails).  Very long texts cost
-``n log n`` in their words.  Other columns pass through untouched; the
-operator's own columns replace those of the same name.
+``n log n`` in their words.  Other columns pass through untouched, whatever
+their names; the operator's own columns (the measures, ``base_failed``,
+``kept``) replace those of the same name.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of the supported languages.
@@ -51,27 +54,28 @@ RULES = (
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the counts that the rules read (no filtering)."""
+    w, ls, s, p = (fresh(n, docs.columns) for n in ("_w", "_l", "_s", "_p"))
     body = F.coalesce(F.col(text), F.lit(""))
     d = docs.withColumns({
-        "_w": F.regexp_extract_all(body, F.lit(WORD), F.lit(0)),
-        "_l": F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD)),
+        w: F.regexp_extract_all(body, F.lit(WORD), F.lit(0)),
+        ls: F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD)),
         "word_chars": F.length(F.translate(body, " \t\n\x0b\x0c\r", "")).cast("long"),
         "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
     })
     d = d.withColumns({
-        "n_words": F.size("_w").cast("long"),
-        "n_lines": F.size("_l").cast("long"),
-        "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-        "n_stop": F.size(F.filter(F.expr("_w"), lambda x: F.lower(x).isin(*sorted(set(STOP_WORDS))))).cast("long"),
+        "n_words": F.size(w).cast("long"),
+        "n_lines": F.size(ls).cast("long"),
+        "n_dup_lines": (F.size(ls) - F.size(F.array_distinct(ls))).cast("long"),
+        "n_stop": F.size(F.filter(F.col(w), lambda x: F.lower(x).isin(*sorted(set(STOP_WORDS))))).cast("long"),
         # every 3-word window with its place, equal windows side by side
-        "_s": F.expr("""array_sort(CASE WHEN size(_w) < 3 THEN array() ELSE
-            transform(sequence(0, size(_w) - 3), i -> struct(xxhash64(_w[i], _w[i + 1], _w[i + 2]) AS h, i AS i)) END)"""),
+        s: F.expr(f"""array_sort(CASE WHEN size(`{w}`) < 3 THEN array() ELSE
+            transform(sequence(0, size(`{w}`) - 3), i -> struct(xxhash64(`{w}`[i], `{w}`[i + 1], `{w}`[i + 2]) AS h, i AS i)) END)"""),
     })
-    d = d.withColumn("_p", F.expr("""sort_array(transform(filter(_s, (e, k) ->
-        (k > 0 AND _s[k - 1].h = e.h) OR (k < size(_s) - 1 AND _s[k + 1].h = e.h)), e -> e.i))"""))
-    return d.withColumn("n_repeat_words", F.expr("""aggregate(_p, named_struct('n', 0L, 'end', 0),
+    d = d.withColumn(p, F.expr(f"""sort_array(transform(filter(`{s}`, (e, k) ->
+        (k > 0 AND `{s}`[k - 1].h = e.h) OR (k < size(`{s}`) - 1 AND `{s}`[k + 1].h = e.h)), e -> e.i))"""))
+    return d.withColumn("n_repeat_words", F.expr(f"""aggregate(`{p}`, named_struct('n', 0L, 'end', 0),
         (a, p) -> named_struct('n', a.n + 3L - greatest(a.end - p, 0), 'end', p + 3), a -> a.n)""")
-    ).drop("_w", "_l", "_s", "_p")
+    ).drop(w, ls, s, p)
 
 
 def base_failed() -> Column:

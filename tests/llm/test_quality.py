@@ -56,3 +56,10 @@ def test_no_user_functions(spark):
     d = spark.createDataFrame(ROWS, "doc_id long, text string")
     plan = quality.quality_rules(d)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Exchange"))
+
+
+def test_helper_names_stay(spark):
+    d = spark.createDataFrame([(1, "a b c a b c", "w", "l", "s", "p")], "doc_id long, text string, _w string, _l string, _s string, _p string")
+    (r,) = quality.measures(d).collect()
+    assert (r._w, r._l, r._s, r._p) == ("w", "l", "s", "p") and r.n_words == 6 and r.n_repeat_words == 6
+    assert quality.quality_rules(d.limit(0)).count() == 0
