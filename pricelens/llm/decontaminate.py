@@ -8,40 +8,50 @@ All pieces are searched at once (Aho-Corasick); around each hit's diagonal
 Myers' bit-parallel distance decides, with the item as one big-integer column.
 The answer is exact for the stated budget.
 
-Documents are read once and not shuffled.  The benchmark is a stated query
-set: it is taken in blocks of bounded size, each sent to the tasks and applied
-in turn, so neither the driver nor a task holds more than a block at a time.
+Documents are read once, by one stage, and not shuffled.  The benchmark is a
+stated query set: Spark writes it to the shared folder in blocks of about
+``BLOCK_CHARS`` characters, dealt by hash.  A task reads the blocks from there,
+one after another, and holds one at a time beside ``ROUND_BYTES`` of documents
+(with a single block, a slice of them).  The driver sees counts only and nothing
+is broadcast.
 
 Null or empty texts match nothing.  Items without letters or digits match
 nothing; items shorter than ``MIN_CHARS`` in normal form match without errors
 and at whole words: anywhere in a text if they have ``MIN_WORDS`` words or
 more, else only a text that equals them whole.  Equal items are all reported.  Whole texts are
-searched.  Other columns pass through; a column ``matches`` is replaced.
+searched.  Other columns pass through; a column ``matches`` is replaced.  Ids of
+items are whole numbers or strings.  An empty benchmark matches nothing.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import slices
+from .common import new_folder, release, slices
 
 ERROR_RATE = 0.08
 MIN_CHARS = 40
 MIN_WORDS = 3
-#: Characters of items sent to the tasks at once.
+#: Characters of the items that a task holds at once, about.
 BLOCK_CHARS = 2_000_000
+#: Text bytes that a task searches for one block after another, if there are several.
+ROUND_BYTES = 32 << 20
 _OTHER = re.compile(r"[\W_]+")
-MATCH = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("errors", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-_MATCH_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("errors", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _match_type(item_id: T.DataType) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField("item_id", item_id), T.StructField("errors", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
 def normal(text: str | None) -> str:
@@ -136,39 +146,68 @@ def _windows(diagonals: list[int], k: int, m: int, n: int) -> Iterator[tuple[int
         yield lo, hi
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterator[list[tuple[int, str]]]:
-    block, size = [], 0
-    for r in benchmark.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("long"), text).toLocalIterator():
-        item = (r[0], normal(r[1]))
-        if block and size + len(item[1]) > most:
-            yield block
-            block, size = [], 0
-        block.append(item)
-        size += len(item[1])
-    if block:
-        yield block
+def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> tuple[str, int]:
+    """Write the items in blocks of about ``most`` characters: their folder and number."""
+    items = (benchmark.where(F.col(item_id).isNotNull() & F.col(text).isNotNull())
+             .groupBy(F.col(item_id).alias("id"), F.col(text).alias("item")).agg(F.count("*").alias("copies")))
+    n = -(-(items.agg(F.sum(F.length("item"))).first()[0] or 0) // most)
+    folder = new_folder(benchmark.sparkSession, "benchmark")
+    if n:
+        (items.withColumn("block", F.pmod(F.xxhash64("id", "item"), F.lit(n))).repartition("block")
+         .write.partitionBy("block").parquet(folder))
+    return folder, n
+
+
+def _read_block(folder: str, k: int) -> list[tuple[int | str, str]]:
+    store, root = fs.FileSystem.from_uri(folder)
+    place = f"{root}/block={k}"
+    if store.get_file_info(place).type == fs.FileType.NotFound:
+        return []
+    rows = pq.read_table(place, filesystem=store, columns=["id", "item", "copies"], partitioning=None)
+    return [(i, normal(t)) for i, t, n in zip(*(c.to_pylist() for c in rows.columns), strict=True) for _ in range(n)]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
             error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` with ``matches``: the items found in the text, each with its best passage."""
     keep = [c for c in docs.columns if c.lower() != "matches"]
-    out = docs.select(*keep).withColumn("matches", F.array().cast(MATCH))
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("matches", MATCH)])
-    for block in _blocks(benchmark, item_id, item_text, block_chars):
-        out = out.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(block), keep.index(text), text, error_rate, min_chars), schema)
-    return out
-
-
-def _search(held, at: int, text: str, error_rate: float, min_chars: int):
+    id_type = T.StringType() if isinstance(benchmark.schema[item_id].dataType, T.StringType) else T.LongType()
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("matches", _match_type(id_type))])
+    folder, n = _blocks(benchmark.withColumn(item_id, F.col(item_id).cast(id_type)), item_id, item_text, block_chars)
+    if not n:
+        return docs.select(*keep, F.array().cast(schema["matches"].dataType).alias("matches"))
+    return docs.select(*keep).mapInArrow(_search(folder, n, keep.index(text), text, error_rate, min_chars, to_arrow_type(schema["matches"].dataType)), schema)
+
+
+def _rounds(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[list[pa.RecordBatch]]:
+    held, size = [], 0
+    for b in slices(batches, text):
+        held.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _search(folder: str, n: int, at: int, text: str, error_rate: float, min_chars: int, found_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Matcher(held.value, error_rate, min_chars)
-        for b in slices(batches, text):
-            found = [m.find(x) for x in b.column(at).to_pylist()]
-            old = b.column(b.num_columns - 1).to_pylist()
-            rows = [sorted(itertools.chain(((x["item_id"], x["errors"], x["start"], x["end"]) for x in o), f)) for o, f in zip(old, found, strict=True)]
-            new = pa.array([[dict(zip(("item_id", "errors", "start", "end"), x, strict=True)) for x in r] for r in rows], _MATCH_ARROW)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], new], b.schema.names)
+        block = lambda k: Matcher(_read_block(folder, k), error_rate, min_chars)
+        only = None
+        for held in _rounds(batches, text, ROUND_BYTES if n > 1 else 0):
+            found = [[[] for _ in range(b.num_rows)] for b in held]
+            for k in range(n):
+                m = only or block(k)
+                only = m if n == 1 else None
+                for b, rows in zip(held, found, strict=True):
+                    for row, x in zip(rows, b.column(at), strict=True):
+                        row += m.find(x.as_py())
+                del m
+            for b, rows in zip(held, found, strict=True):
+                new = [[dict(zip(("item_id", "errors", "start", "end"), x, strict=True)) for x in sorted(r)] for r in rows]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, found_type)], [*b.schema.names, "matches"])
+        release()
 
     return run
 

@@ -91,3 +91,17 @@ def test_short_items_inside_longer_texts(spark):
     docs = spark.createDataFrame([(1, "x " * 50_000 + items[0][1] + " y"), (2, "What is the capital of Perugia?")], "doc_id long, text string")
     assert [(r.doc_id, r.errors) for r in D.leaks(docs, bench).collect()] == [(1, 0)]
     assert [r.doc_id for r in D.decontaminated(docs, bench).collect()] == [2]
+
+
+def test_many_blocks_are_one_stage(spark):
+    words = [f"w{i * 7919 % 997}" for i in range(4000)]
+    items = [(f"q-{i}", " ".join(words[i * 13:i * 13 + 12])) for i in range(200)] + [("q-0", " ".join(words[:12]))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = spark.createDataFrame([(i, f"start {' '.join(words[i * 13:i * 13 + 12])} end", "b", 1) for i in range(0, 200, 3)] + [(-1, "clean words only", "b", 1)], "doc_id long, text string, block string, id int")
+    many = D.matches(docs, bench, block_chars=300)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    got = {r.doc_id: [m.item_id for m in r.matches] for r in many.collect()}
+    assert got == {r.doc_id: [m.item_id for m in r.matches] for r in D.matches(docs, bench).collect()}
+    assert got[-1] == [] and got[0].count("q-0") == 2 and all(f"q-{i}" in got[i] for i in range(0, 200, 3))
+    assert many.columns == [*docs.columns, "matches"]
