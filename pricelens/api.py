@@ -119,3 +119,7 @@ class Tracker:
     def export(self, query: str, path: str, fmt: str = "csv") -> None:
         rows = EX.export_rows(self.listings(), _normalized(self.spark, query))
         (EX.write_json if fmt == "json" else EX.write_csv)(rows, path)
+
+    def compact(self) -> None:
+        """Fold the stored scans into one base, in place."""
+        self.store.compact()

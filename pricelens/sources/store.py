@@ -5,6 +5,7 @@
     <root>/retired/                             keys that retention deleted
     <root>/versions/scan_id=<id>/               the scan's version, one row
     <root>/summaries/scan_id=<id>/              active count and last sight of each search scanned
+    <root>/generations/gen=<n>/                 the version up to which base <n> holds everything, one row
 
 Every scan writes (overwrites) only folders of its own name, from the state of
 the other scans, so a re-run after any failure gives the same rows; Spark's
@@ -14,14 +15,21 @@ searches, and retention deletes inactive listings only, so a search's summary
 of the highest version holds until its next scan: saved searches and freshness
 merge the summaries and never read the log.  A listing's state is its row of the highest
 ``version`` (one partial aggregate); retention appends keys instead of
-rewriting data, and ``copy_to`` writes a compact copy.  The root must be a
-shared folder on a cluster.
+rewriting data, and ``copy_to`` writes a compact copy.
+
+``compact`` folds the log in place: it writes the state and the history as base
+``~<n>`` beside the scans and its generation last.  Readers take the base of
+the newest generation and the scans after its version, so a compaction that
+fails at any step changes nothing and is simply run again.  Folders that a
+generation replaces are deleted by the next compaction only, so that jobs
+planned before a compaction still find their files.  A compaction and a scan
+must not run at the same time.  The root must be a shared folder on a cluster.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +39,8 @@ from pricelens import schemas
 from pricelens.operators import tables as TB
 
 KEY = ["id", "query"]
+#: First character of a base's folder name; no scan id may start with it.
+BASE = "~"
 
 
 def _with(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.StructType:
@@ -42,6 +52,7 @@ _HISTORY = _with(schemas.PRICE_HISTORY, ("version", T.LongType()), ("scan_id", T
 _VERSION = T.StructType([T.StructField("version", T.LongType()), T.StructField("scan_id", T.StringType())])
 _SUMMARY = T.StructType([T.StructField("query", T.StringType()), T.StructField("n_active", T.LongType()), T.StructField("last_seen", T.TimestampType()),
                          T.StructField("version", T.LongType()), T.StructField("scan_id", T.StringType())])
+_GENERATION = T.StructType([T.StructField("upto", T.LongType()), T.StructField("gen", T.LongType())])
 _RETIRED = T.StructType([T.StructField("id", T.StringType()), T.StructField("query", T.StringType()), T.StructField("retired", T.LongType())])
 
 
@@ -69,6 +80,17 @@ class ListingStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
 
+    def _generation(self) -> tuple[int, int]:
+        """The newest generation and the version up to which its base holds everything."""
+        last = self._table("generations", _GENERATION).agg(F.max(F.struct("gen", "upto")).alias("g")).select("g.*").first()
+        return last["gen"] or 0, last["upto"] or 0
+
+    def _log(self, table: str, schema: T.StructType) -> DataFrame:
+        """The rows of the newest base and of the scans after it."""
+        gen, upto = self._generation()
+        later = ~F.col("scan_id").startswith(BASE) & (F.col("version") > upto)
+        return self._table(table, schema).filter((F.col("scan_id") == f"{BASE}{gen}") | later)
+
     def _retired(self) -> DataFrame:
         return self._table("retired", _RETIRED).groupBy(*KEY).agg(F.max("retired").alias("retired"))
 
@@ -84,17 +106,19 @@ class ListingStore:
 
     def read(self, table: str) -> DataFrame:
         if table == "listings":
-            return self._state(self._table("listings", _STATE)).select(*schemas.LISTINGS.fieldNames())
-        return self._kept(self._table("price_history", _HISTORY), "listing_id").select(*schemas.PRICE_HISTORY.fieldNames())
+            return self._state(self._log("listings", _STATE)).select(*schemas.LISTINGS.fieldNames())
+        return self._kept(self._log("price_history", _HISTORY), "listing_id").select(*schemas.PRICE_HISTORY.fieldNames())
 
     def apply_scan(self, batch: DataFrame, scan_id: str, complete: DataFrame | None = None, prune_missing: bool = True) -> None:
         """Append one scan's price changes and the listing rows it changes.
 
         ``batch`` is read several times: give a stored table.  An applied scan
         is left alone; one that failed half-way is written again."""
+        if scan_id.startswith(BASE):
+            raise ValueError(f"a scan id may not start with {BASE}")
         if self.applied(scan_id):
             return
-        log = self._table("listings", _STATE).filter(F.col("scan_id") != scan_id)
+        log = self._log("listings", _STATE).filter(F.col("scan_id") != scan_id)
         version = self._version(scan_id) + 1
         self.spark.range(1).select(F.lit(version).cast("long").alias("version")).write.mode("overwrite").parquet(self._part("versions", scan_id))
         searches = batch.select("query", self._bucket().alias("bucket")).distinct()
@@ -133,12 +157,43 @@ class ListingStore:
             TB.stale_listings(listings, now, days).select(*KEY, F.lit(version).cast("long").alias("retired")).write.mode("append").parquet(f"{self.root}/retired")
         return counts
 
+    def compact(self) -> None:
+        """Fold the log into a new base (see the module notes); every scan must have been applied whole."""
+        open_ = [r["scan_id"] for r in self._table("versions", _VERSION).select("scan_id").distinct().toLocalIterator() if not self.applied(r["scan_id"])]
+        if open_:
+            raise ValueError(f"scans not applied whole, apply them again first: {open_}")
+        (gen, before), upto = self._generation(), self._version()
+        if upto <= before:
+            return
+        base, version = f"{BASE}{gen + 1}", F.lit(upto).cast("long").alias("version")
+        self.read("price_history").select("*", version).write.mode("overwrite").parquet(self._part("price_history", base))
+        (self._state(self._log("listings", _STATE)).select("*", version, self._bucket().alias("bucket"))
+         .repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "query", "price_score")
+         .write.mode("overwrite").partitionBy("bucket").parquet(self._part("listings", base)))
+        self._publish(gen + 1, upto)
+        later = self._table("versions", _VERSION).filter(F.col("version") > before).select("scan_id").distinct()
+        self._delete_but({f"{BASE}{gen + 1}", f"{BASE}{gen}", *(r["scan_id"] for r in later.toLocalIterator())})
+
+    def _publish(self, gen: int, upto: int) -> None:
+        self.spark.range(1).select(F.lit(upto).cast("long").alias("upto")).write.mode("overwrite").parquet(f"{self.root}/generations/gen={gen}")
+
+    def _delete_but(self, names: set[str]) -> None:
+        """Delete the folders of scans and bases other than ``names`` (as many as one generation replaced)."""
+        jvm = self.spark.sparkContext._jvm
+        for table in ("listings", "price_history"):
+            folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
+            files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            for one in files.listStatus(folder) if files.exists(folder) else []:
+                name = one.getPath().getName()
+                if name.startswith("scan_id=") and unquote(name.removeprefix("scan_id=")) not in names:
+                    files.delete(one.getPath(), True)
+
     def copy_to(self, root: str) -> ListingStore:
         """A compact copy: the current state and history as one scan each."""
         other = ListingStore(self.spark, root, self.buckets)
         one = F.lit(1).cast("long").alias("version")
         self.read("price_history").select("*", one).write.parquet(other._part("price_history", "base"))
-        (self._state(self._table("listings", _STATE)).select("*", one, other._bucket().alias("bucket"))
+        (self._state(self._log("listings", _STATE)).select("*", one, other._bucket().alias("bucket"))
          .write.partitionBy("bucket").parquet(other._part("listings", "base")))
         self.spark.range(1).select(one).write.parquet(other._part("versions", "base"))
         other._summarise("base", 1)

@@ -280,3 +280,72 @@ def test_summaries_equal_the_folded_state(spark, tmp_path):
     plan = store.summaries()._jdf.queryExecution().optimizedPlan().toString()
     assert "price_nok" not in plan and len(store.summaries().inputFiles()) > 0 and all("/summaries/" in f for f in store.summaries().inputFiles())
     assert same(store.copy_to(str(tmp_path / "copy")))
+
+
+def _all(s):
+    state = sorted(map(str, s.read("listings").collect()))
+    return state, sorted(map(str, s.read("price_history").collect())), sorted(map(str, s.summaries().collect()))
+
+
+def _folders(s, table):
+    return sorted(os.path.basename(x)[8:] for x in os.listdir(f"{s.root}/{table}") if x.startswith("scan_id="))
+
+
+def test_compaction_in_place(spark, tmpdir_path):
+    s = _store(spark, tmpdir_path)
+    for name, items in (("a b/1", [listing(111, 5000), listing(222, 7000)]), ("two", [listing(111, 4200, T1)]), ("three", [listing(111, 4100, T1 + timedelta(days=1)), listing(333, 9, T1)])):
+        s.apply_scan(batch(spark, items), name)
+    assert s.prune(T1 + timedelta(days=70), 60)  # retires 222
+    want = _all(s)
+    planned = s.read("price_history")
+    s.compact()
+    assert _all(s) == want and planned.count() == len(want[1])  # a job planned before still finds its files
+    s.compact()  # nothing new
+    assert _folders(s, "listings").count("~2") == 0
+    s.apply_scan(batch(spark, [listing(111, 4300, T1 + timedelta(days=2)), listing(222, 6900, T1 + timedelta(days=2))]), "four")
+    want = _all(s)
+    assert any("222" in x for x in want[0])
+    s.compact()
+    assert _all(s) == want
+    assert _folders(s, "listings") == _folders(s, "price_history") == ["four", "~1", "~2"]
+    s.apply_scan(batch(spark, [listing(111, 4300, T1 + timedelta(days=2))]), "four")  # applied already
+    assert _all(s) == want
+
+
+def test_compaction_that_fails_changes_nothing(spark, tmpdir_path, monkeypatch):
+    s = _store(spark, tmpdir_path)
+    s.apply_scan(batch(spark, [listing(111, 5000), listing(222, 7000)]), "one")
+    s.apply_scan(batch(spark, [listing(111, 4200, T1)]), "two")
+    want = _all(s)
+    for step in ("_bucket", "_publish", "_delete_but"):
+        with monkeypatch.context() as m:
+            m.setattr(ListingStore, step, lambda *a: 1 / 0)
+            try:
+                s.compact()
+                raise AssertionError("did not fail")
+            except ZeroDivisionError:
+                pass
+        assert _all(s) == want
+    s.apply_scan(batch(spark, [listing(111, 4000, T1 + timedelta(days=1))]), "three")
+    want = _all(s)
+    s.compact()
+    assert _all(s) == want and _folders(s, "listings") == ["three", "~1", "~2"]
+
+
+def test_compaction_asks_for_whole_scans(spark, tmpdir_path, monkeypatch):
+    s = _store(spark, tmpdir_path)
+    s.apply_scan(batch(spark, [listing(111, 5000)]), "one")
+    with monkeypatch.context() as m:
+        m.setattr(ListingStore, "_summarise", lambda *a: 1 / 0)
+        try:
+            s.apply_scan(batch(spark, [listing(111, 4200, T1)]), "two")
+        except ZeroDivisionError:
+            pass
+    try:
+        s.compact()
+        raise AssertionError("compacted a scan that is not whole")
+    except ValueError as e:
+        assert "two" in str(e)
+    s.apply_scan(batch(spark, [listing(111, 4200, T1)]), "two")
+    s.compact()
+    assert rows(s.read("price_history"), "price", order=["seen_at"]) == [(5000,), (4200,)]
