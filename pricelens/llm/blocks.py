@@ -26,7 +26,7 @@ def numbers(raw: bytes) -> np.ndarray:
     got = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
     out = np.zeros((got.shape[1], 8), dtype=np.uint8)
     out[:, :raw[0]] = got.T
-    return out.reshape(-1).view("<u8").astype(np.int64)
+    return out.reshape(-1).view("<i8")
 
 
 def pack(*parts: bytes) -> bytes:
@@ -51,8 +51,9 @@ def rows(got: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
 
 
 def items(batch: pa.RecordBatch):
-    """(route, block, kind, data) of each row."""
-    return zip(*(c.to_pylist() for c in batch.columns), strict=True)
+    """(route, block, kind, data) of each row, one row's data copied at a time."""
+    *keys, data = batch.columns
+    return ((*k, x.as_py()) for *k, x in zip(*(c.to_pylist() for c in keys), data, strict=True))
 
 
 def ipc(table: pa.Table) -> bytes:

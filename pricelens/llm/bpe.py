@@ -39,11 +39,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks as B
-from .common import release, slices
+from .common import fresh, release, slices
 
 #: Text bytes of a block.
 BLOCK_BYTES = 16 << 20
-_OUT_BYTES = 2 << 20
+#: Words of an output batch.
+_OUT_WORDS = 1 << 18
 
 
 def _cls(kind: str) -> str:
@@ -102,15 +103,15 @@ def _tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def _split_blocks(path: str, routes: int, text_at: int):
+def _split_blocks(path: str, routes: int, text_at: int, text: str):
     """Texts -> blocks: rows (kind 0: words of a block and route, kind 2: the block's texts)."""
 
     def flush(block: int, seqs: list[np.ndarray], table: dict[str, int], kept: list[pa.RecordBatch]) -> list[tuple[int, int, int, bytes]]:
         lens = np.array([len(s) for s in seqs], dtype=np.int64)
         flat = np.concatenate(seqs) if seqs else np.empty(0, np.int32)
         order = np.argsort(-np.bincount(flat, minlength=len(table)), kind="stable")  # frequent words get small numbers
-        rank = np.empty(len(table), dtype=np.int64)
-        rank[order] = np.arange(len(table))
+        rank = np.empty(len(table), dtype=np.int32)
+        rank[order] = np.arange(len(table), dtype=np.int32)
         flat = rank[flat]
         own_words = list(table)
         raw = [own_words[k].encode() for k in order.tolist()]
@@ -127,11 +128,12 @@ def _split_blocks(path: str, routes: int, text_at: int):
         table: dict[str, int] = defaultdict()
         table.default_factory = table.__len__
         seqs, kept = [], []
-        for b in slices(batches, "_text", BLOCK_BYTES // 4):
+        for b in slices(batches, text, BLOCK_BYTES // 4):
             col = b.column(text_at)
             for s in col.to_pylist():
                 seqs.append(np.array(list(map(table.__getitem__, t.words(s))), dtype=np.int32) if s else np.empty(0, np.int32))
-            kept.append(pa.RecordBatch.from_arrays([c for i, c in enumerate(b.columns) if i != text_at], [c for i, c in enumerate(b.schema.names) if i != text_at]))
+            own = pa.array(np.arange(b.num_rows))  # copied, since a slice would hold the whole batch with its texts
+            kept.append(pa.RecordBatch.from_arrays([c.take(own) for i, c in enumerate(b.columns) if i != text_at], [c for i, c in enumerate(b.schema.names) if i != text_at]))
             size += col.nbytes
             if size >= BLOCK_BYTES:
                 yield B.rows(flush(part + n, seqs, table, kept))
@@ -185,23 +187,26 @@ def _join_back(path: str, schema: T.StructType):
                     continue
                 lens, seq, n, kept = B.unpack(data)
                 n = int.from_bytes(n, "little")
-                ids: list[np.ndarray] = [None] * n
-                for places, sizes, flat in got:
-                    cuts = np.split(B.numbers(flat).astype(np.int32), np.cumsum(B.numbers(sizes))[:-1])
-                    for k, x in zip(np.cumsum(B.numbers(places)).tolist(), cuts, strict=True):
-                        ids[k] = x
-                if any(x is None for x in ids):
+                # each word's ids are flat[start:start + size], in the order in which the routes came back
+                start, size, text, flat = np.zeros(n, np.int64), np.full(n, -1, np.int64), [b""] * n, []
+                for places, sizes, ids in got:
+                    at_word, many, ids = np.cumsum(B.numbers(places)), B.numbers(sizes), B.numbers(ids).astype(np.int32)
+                    ends = np.cumsum(many)
+                    size[at_word], start[at_word] = many, sum(map(len, flat)) + ends - many
+                    flat.append(ids)
+                    ids = ids.tolist()
+                    for k, x, y in zip(at_word.tolist(), (ends - many).tolist(), ends.tolist(), strict=True):
+                        text[k] = b"".join([pieces[i] for i in ids[x:y]])
+                if (size < 0).any():
                     raise RuntimeError("a block's words did not all come back")
-                text = [b"".join([pieces[i] for i in x.tolist()]) for x in ids]
-                size = np.array([len(x) for x in ids], dtype=np.int64)
-                start = np.concatenate(([0], np.cumsum(size)))[:-1]
-                flat = np.concatenate(ids) if n else np.empty(0, np.int32)
-                seq, ends = B.numbers(seq), np.cumsum(B.numbers(lens))
+                got, ids = [], None
+                flat = np.concatenate(flat) if flat else np.empty(0, np.int32)
+                seq, ends = B.numbers(seq).astype(np.int32), np.cumsum(B.numbers(lens))
                 table = pa.ipc.open_stream(kept).read_all()
                 i, rows = 0, len(ends)
                 while i < rows:
                     a = int(ends[i - 1]) if i else 0
-                    j = max(i + 1, int(np.searchsorted(ends, a + _OUT_BYTES // 4, "right")))
+                    j = max(i + 1, int(np.searchsorted(ends, a + _OUT_WORDS, "right")))
                     part = seq[a:int(ends[j - 1])]
                     many = size[part]
                     offsets = np.concatenate(([0], np.cumsum(many)))
@@ -220,10 +225,11 @@ def _join_back(path: str, schema: T.StructType):
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """``docs`` without ``text``, with ``ids`` (array<int>) and ``decoded`` (the ids' text)."""
-    keep = [c for c in docs.columns if c != text and c.lower() not in ("ids", "decoded", "_text")]
+    keep = [c for c in docs.columns if c != text and c.lower() not in ("ids", "decoded")]
+    body = fresh("text", keep)
     routes = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType(), True)), T.StructField("decoded", T.StringType())])
-    blocks = docs.select(*keep, F.col(text).alias("_text")).mapInArrow(_split_blocks(tokenizer, routes, len(keep)), B.ROW)
+    blocks = docs.select(*keep, F.col(text).alias(body)).mapInArrow(_split_blocks(tokenizer, routes, len(keep), body), B.ROW)
     words = blocks.repartition(routes, "route").sortWithinPartitions("route").mapInArrow(_encode_words(tokenizer, routes), B.ROW)
     return words.repartition(routes, "block").sortWithinPartitions("block", "kind").mapInArrow(_join_back(tokenizer, schema), schema)
 
