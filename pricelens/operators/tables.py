@@ -18,11 +18,11 @@ Rules
 * Retention deletes inactive listings last seen before ``now - days`` and,
   first, their history; ``days <= 0`` keeps everything.
 
-Scale: the upsert is one full outer join on the key (both sides shuffled once
-by ``(id, query)``; batch duplicates are pre-aggregated so the join never
-fans out).  Only searches present in the batch can change, so the store reads
-just the storage buckets of those searches.  History append windows at most
-the stored last row plus the batch rows of a key.
+Scale: the upsert is one full outer join on the key (batch duplicates are
+pre-aggregated so the join never fans out).  The store keeps its rows clustered
+by ``(id, query)``, so only the batch is shuffled; of them it reads just the
+buckets of the batch's searches.  History append joins a key's stored last
+price to the batch rows and windows those.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pricelens.operators.attach import attach
 
 KEY = ["id", "query"]
 REPORT_FIELDS = ("condition_score", "battery_pct", "red_flags", "summary")
-KEPT_SCALARS = ("composite_score",)
+KEPT_SCALARS = ("composite_score", "recorded_price")
 NON_DATA = ("seq", "scan_id", "scan_day", "is_active")
 
 
@@ -76,20 +76,28 @@ def _rebuild_report(df: DataFrame) -> DataFrame:
 
 def upsert_listings(table: DataFrame, batch: DataFrame,
                     complete: DataFrame | None = None,
-                    prune_missing: bool = True) -> DataFrame:
+                    prune_missing: bool = True, few_searches: bool = False,
+                    clusters: int | None = None) -> DataFrame:
     """New listing table after applying ``batch``.
 
+    ``few_searches``: the caller has checked that the batch's searches are
+    small enough to broadcast, so that the stored side needs no exchange for them.
+    ``clusters``: the parts in which ``table`` is stored by key; the batch is
+    dealt likewise (else the planner would deal the larger side anew if its own
+    number of partitions is higher).
     ``complete`` holds ``(query, complete)`` for the scans in the batch; when
     omitted every scanned search counts as complete.  ``prune_missing=False``
     never deactivates (a partial scan)."""
     t = _flatten_report(table)
     b = dedupe_batch(batch).withColumn("_hit", F.lit(True))
+    if clusters:
+        b = b.repartition(clusters, *KEY)
     scanned = batch.select("query").distinct()
     if complete is not None:
         scanned = scanned.join(complete.groupBy("query").agg(F.bool_and("complete").alias("_c")),
                                "query", "left").filter(F.coalesce("_c", F.lit(False))).select("query")
     scanned = scanned.withColumn("_scanned", F.lit(prune_missing))
-    tj = attach(t, scanned, "query", "id")
+    tj = t.join(F.broadcast(scanned), "query", "left") if few_searches else attach(t, scanned, "query", "id")
     j = tj.alias("t").join(b.alias("b"), KEY, "full_outer")
     hit = F.coalesce(F.col("b._hit"), F.lit(False))
     kept = set(_kept_columns(t)) | set(_kept_columns(b))
@@ -156,23 +164,21 @@ def append_history_from_state(state: DataFrame, batch: DataFrame) -> DataFrame:
     """Same rows as ``append_history``, with each key's last recorded price
     read from the listing state's ``recorded_price`` column instead of a scan
     of the whole history."""
-    new = _batch_history_rows(batch)
+    new = _batch_history_rows(batch).drop("_new").withColumn("seen_at", F.col("seen_at").cast("timestamp"))
     last = (state.filter(F.col("recorded_price").isNotNull())
-            .select(F.col("id").alias("listing_id"), "query",
-                    F.col("recorded_price").alias("price"),
-                    F.lit(None).cast("timestamp").alias("seen_at"),
-                    F.lit(None).cast("bigint").alias("seq"), F.lit(0).alias("_new")))
-    return _changes_after(last, new.withColumn("seen_at", F.col("seen_at").cast("timestamp")))
+            .select(F.col("id").alias("listing_id"), "query", F.col("recorded_price").alias("_last")))
+    w = Window.partitionBy("listing_id", "query").orderBy("seq")
+    u = (new.join(last, ["listing_id", "query"], "left")
+         .withColumn("previous_price", F.coalesce(F.lag("price").over(w), "_last")).drop("_last"))
+    return u.filter(F.col("previous_price").isNull() | (F.col("previous_price") != F.col("price")))
 
 
-def with_recorded_price(state: DataFrame, new_rows: DataFrame) -> DataFrame:
-    """``recorded_price`` = the last appended history price of a key, else the old one."""
+def with_recorded_price(batch: DataFrame, new_rows: DataFrame) -> DataFrame:
+    """``batch`` with the last history price appended for each key; NULL keeps the stored one."""
     rec = (new_rows.groupBy("listing_id", "query")
-           .agg(F.max_by("price", "seq").alias("_rec"))
+           .agg(F.max_by("price", "seq").alias("recorded_price"))
            .withColumnRenamed("listing_id", "id"))
-    old = F.col("recorded_price") if "recorded_price" in state.columns else F.lit(None).cast("bigint")
-    return (state.join(rec, KEY, "left")
-            .withColumn("recorded_price", F.coalesce(F.col("_rec"), old)).drop("_rec"))
+    return batch.drop("recorded_price").join(rec, KEY, "left")
 
 
 def _cutoff(now: datetime, days: int) -> Column:

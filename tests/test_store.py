@@ -349,3 +349,56 @@ def test_compaction_asks_for_whole_scans(spark, tmpdir_path, monkeypatch):
     s.apply_scan(batch(spark, [listing(111, 4200, T1)]), "two")
     s.compact()
     assert rows(s.read("price_history"), "price", order=["seen_at"]) == [(5000,), (4200,)]
+
+
+def _above(plan, leaf):
+    """The operators above each leaf whose line holds ``leaf``."""
+    out, path = [], []
+    for line in plan.splitlines():
+        op = line.lstrip(" :+-")
+        depth = len(line) - len(op)
+        path = [(d, o) for d, o in path if d < depth] + [(depth, op)]
+        if leaf in op:
+            out.append([o for _, o in path[:-1]])
+    return out
+
+
+def test_stored_rows_are_never_exchanged(spark, tmpdir_path):
+    """Folding the log, price changes and the upsert shuffle the batch only; many searches take the other way."""
+    from pricelens.operators import tables as TB
+    s = ListingStore(spark, tmpdir_path, buckets=4, clusters=5)
+    s.apply_scan(batch(spark, [listing(i, 5000 + i, query=f"q{i % 3}") for i in range(40)]), "one")
+    s.apply_scan(batch(spark, [listing(i, 4000 + i, T1, query=f"q{i % 3}") for i in range(20)]), "two")
+    path = os.path.join(tmpdir_path, "batch")
+    batch(spark, [listing(i, 3000, T1 + timedelta(days=1), query=f"q{i % 3}") for i in range(30)]).write.parquet(path)
+    b = spark.read.parquet(path)
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        state, few = s._touched(b, "three")
+        assert few
+        added = TB.append_history_from_state(state, b)
+        for df in (s.read("listings"), added, TB.upsert_listings(state, TB.with_recorded_price(b, b.select(F.col("id").alias("listing_id"), "query", F.col("price_nok").alias("price"), "seq")), None, True, few, s.clusters)):
+            above = _above(df._jdf.queryExecution().executedPlan().toString(), "Bucketed: true")
+            assert above and not [o for ops in above for o in ops if o.startswith("Exchange")]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_many_searches_give_the_same_rows(spark, tmpdir_path, monkeypatch):
+    import pricelens.sources.store as ST
+    scans = [[listing(i, 5000 + 7 * i * n, T1 + timedelta(days=n), query=f"q{i % 4}") for i in range(n, 12 + n)] for n in range(3)]
+    few = _store(spark, os.path.join(tmpdir_path, "few"))
+    many = ListingStore(spark, os.path.join(tmpdir_path, "many"), buckets=3, clusters=5)
+    for n, items in enumerate(scans):
+        few.apply_scan(batch(spark, items), f"s{n}")
+    monkeypatch.setattr(ST, "BROADCAST_BYTES", 0)
+    for n, items in enumerate(scans):
+        many.apply_scan(batch(spark, items), f"s{n}")
+    assert _all(few) == _all(many)
+    again = ListingStore(spark, many.root, buckets=64, clusters=64)  # the stored layout holds
+    assert (again.buckets, again.clusters) == (3, 5) and _all(again) == _all(many)
+    assert _all(many.copy_to(os.path.join(tmpdir_path, "copy"), clusters=7)) == _all(many)
